@@ -62,3 +62,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> bytes:
+    """Content of a public tokenizer's file, read once on the driver."""
+    with open(f"{folder}/{name}", "rb") as f:
+        return f.read()

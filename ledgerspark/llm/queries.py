@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, shared_path, tokenizer_file
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import maintained
+
+    return maintained(documents(spark, sf_dir), shared_path(spark, "token-rollup"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
 
@@ -31,9 +43,38 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digests, store_texts
+
+    return media_digests(store_texts(documents(spark, sf_dir)))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode
+
+    return encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"), with_ids=False).drop("text")
+
+
+def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import learn, predict
+
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    models = learn(docs, trainable=~held_out)
+    return predict(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .token_counts import MAINTAINED_SQL
+
+    return {"op4_token_rollup": MAINTAINED_SQL}
