@@ -11,7 +11,7 @@ are summed first, and the cut is found from counted slices of finish time, of wh
 
 Defined results: null texts have size 0; the null source is a source of its own, last in order; documents of size
 0 are never taken; equal finish times go by source order, document hash, id, then pass; repeated rows are separate rows. An
-empty table gives an empty result. Extra columns are dropped, so their names cannot clash.
+empty table gives an empty result. Of extra columns those named in ``keep`` are carried.
 """
 
 from __future__ import annotations
@@ -51,15 +51,18 @@ def targets(sizes: DataFrame, weights: list[int], max_repeats: int) -> DataFrame
     return one.withColumn("target", F.least(share, F.col("_cap").cast("double"))).select("source", "place", "weight", "source_size", "target")
 
 
-def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Rows of docs (doc_id, source, text) with size, source_size, target, passes (times taken), taken and first_time.
+def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", rows_per_bucket: int = ROWS_PER_BUCKET, keep: list[str] = ()) -> DataFrame:
+    """Rows of docs (doc_id, source, text and the columns to keep) with size, source_size, target, passes (times taken), taken and first_time.
 
     first_time is the virtual finish time of the first pass: the order of the mix.
     """
     weights = list(weights)
     n = docs.count()
     buckets = max(1, -(-n // rows_per_bucket))
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
+    kept = [F.col(f"`{c}`").alias(f"keep.{c}") for c in keep]  # names with a dot clash with none of ours
+    carried = [F.col(f"`keep.{c}`") for c in keep]
+    named = [F.col(f"`keep.{c}`").alias(c) for c in keep]
+    base = docs.select("doc_id", "source", *kept, word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
     base = base.withColumn("b", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     sums = base.groupBy("source", "b").agg(F.sum("size").alias("bs"))
     goal = targets(sums.groupBy("source").agg(F.sum("bs").alias("source_size")), weights, max_repeats)
@@ -73,7 +76,7 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
     placed = (
         base.alias("d").join(starts.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.b") == F.col("t.b")))
         .withColumn("upto", F.sum("size").over(inside) + F.col("start"))
-        .select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "upto", "place", "h")
+        .select("doc_id", F.col("d.source").alias("source"), *carried, "size", "source_size", "target", "upto", "place", "h")
     )
     placed = placed.withColumn("times", F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda k: (F.col("upto") - F.col("size") / 2 + k * F.col("source_size")) / F.col("target")))
     # Slices of finish time: the budget ends in one of them, and only that one is ordered.
@@ -82,9 +85,8 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
     slice_of = lambda t: F.least(F.floor(t * slices), F.lit(cap)).cast("long")
     flat = placed.where(F.col("size") > 0).select("size", F.explode("times").alias("time")).groupBy(slice_of(F.col("time")).alias("sl")).agg(F.sum("size").alias("ss"))
     running = Window.orderBy("sl").rowsBetween(Window.unboundedPreceding, 0)
-    budget = docs.sparkSession.createDataFrame([], "x int") if n == 0 else None
-    if budget is not None:
-        return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).alias("passes"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("first_time"))
+    if n == 0:
+        return placed.select("doc_id", "source", *named, "size", "source_size", "target", F.lit(0).alias("passes"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("first_time"))
     cut = (
         flat.withColumn("upto", F.sum("ss").over(running)).crossJoin(F.broadcast(goal.agg(F.sum("source_size").alias("budget"))))
         .where(F.col("upto") >= F.col("budget")).agg(F.min_by(F.struct("sl", (F.col("budget") - F.col("upto") + F.col("ss")).alias("left")), "sl").alias("c")).first()["c"]
@@ -106,4 +108,4 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
         return sure | ((slice_of(t) == cut_slice) & (key <= end))
     passes = F.size(F.filter(F.transform("times", lambda t, k: taken(k, t)), lambda x: x))
     out = placed.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).cast("long").alias("taken"), F.col("times")[0].alias("first_time"))
+    return out.select("doc_id", "source", *named, "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).cast("long").alias("taken"), F.col("times")[0].alias("first_time"))
