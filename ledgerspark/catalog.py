@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ["relational"]
+PLANS = ["relational", "text"]
 
 
 def _plans() -> list:
