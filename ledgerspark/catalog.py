@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ["relational", "text"]
+PLANS = ["relational", "text", "reconciliation"]
 
 
 def _plans() -> list:

@@ -1,0 +1,26 @@
+"""Small inputs made here: mails, words with places, signatures, packs."""
+
+MAILS = [
+    ("m1.pdf", "p1", "Desde: Ana Ruiz <ana@x.co>\nEnviado: 4 Sep 2026\nAprobada por $ 62,029\nSaludos"),
+    ("m2.pdf", "p1", "Desde: Luis Paz\npor favor su aprobación por $ 150,000\nOk procedamos por $150.000"),
+    ("m3.pdf", "p2", "De: Eva\nAprobadas:\nINFOSISCO S A S\nFRA 4819 valor $ 1.786.190,00\nACEROS DEL NORTE LTDA\nFRA 77112 valor $ 2.764.800,00"),
+    ("m4.pdf", "p3", "Desde: Rey\nsaldo de $ 900.000\nTel 605.123.4567\nsolicito su visto bueno por 3.000.000"),
+    ("m5.pdf", "p1", "Desde: Ana Ruiz <ana@x.co>\nAprobada por $ 62,029"),
+    ("m6.pdf", "p4", "nada que aprobar"),
+]
+
+WORDS = [
+    ("w1", 1, 1, "Valor", 10.0, 40.0, 10.0, 20.0), ("w1", 1, 2, "Titular", 100.0, 150.0, 11.0, 21.0),
+    ("w1", 1, 3, "4.093.736,00", 10.0, 60.0, 40.0, 50.0), ("w1", 1, 4, "ACEROS", 100.0, 140.0, 42.0, 52.0), ("w1", 1, 5, "NORTE", 145.0, 180.0, 41.0, 51.0),
+    ("w1", 1, 6, "775.200,00", 10.0, 60.0, 70.0, 80.0), ("w1", 1, 7, "INFOSISCO", 100.0, 160.0, 71.0, 81.0),
+    ("w2", 1, 1, "Auxiliar", 10.0, 60.0, 200.0, 210.0), ("w2", 1, 2, "Pedro", 70.0, 100.0, 201.0, 211.0), ("w2", 1, 3, "Supervisor", 200.0, 260.0, 200.0, 210.0), ("w2", 1, 4, "Marta", 205.0, 240.0, 230.0, 240.0),
+]
+ROWS = [("w1", 1, 45.0), ("w1", 1, 75.0)]
+COLUMNS = [("w1", 1, "valor", 35.0), ("w1", 1, "titular", 130.0)]
+LABELS = [("w2", 1, "auxiliar", 10.0, 60.0, 200.0, 210.0), ("w2", 1, "supervisor", 200.0, 260.0, 200.0, 210.0), ("w3", 1, "auxiliar", 10.0, 60.0, 200.0, 210.0)]
+IMAGES = [("w2", 1, 20.0, 80.0, 180.0), ("w2", 1, 300.0, 340.0, 190.0)]
+SCANNED = [("w3", 1)]
+PACKS = [
+    ("a", [10.0, 5.0], [4, None], [40.0, 5.0], 30.0), ("b", [10.0], [4], [41.0], 30.0), ("c", [40.0], [4], [10.0], -30.0),
+    ("d", [2.0, 2.0, 3.0], [5, 5, 3], [10.0, 9.0], 8.0), ("e", [], [], [], 0.0),
+]
