@@ -1,0 +1,8 @@
+"""Schemas of the stored tables. Unknown fields of older and newer rows live in a JSON column named resto or listas."""
+
+LOTES = "id long, hoja string, dueno string, tipo_pago string, nombre_pago string, cuenta string, valor_total double, num_registros int, nit_cliente string, fecha_creacion string, fecha_aplicacion string, orden int, creado_en timestamp_ntz, actualizado_en timestamp_ntz, libro string, exportado_en timestamp_ntz"
+REGISTROS = "id long, lote_id long, orden int, nro string, estado string, titular string, documento string, cuenta string, valor double, correo string, numero_egreso string, total_egreso double, listas string, veredicto string"
+RENGLONES = "id long, registro_id long, orden int, factura string, valor_k double, valor_egreso double, no_factura string, nit_tercero string, validacion boolean, valor_pagar double, radian string, orden_compra string, egreso_g string, compras_p string, entrada_e string, cantidad_factura double, cantidad_recibida double, aprobado_por string, resto string"
+DOCUMENTOS = "id long, hash string, nombre string, archivo string, categoria string, tamano long, cargado_en timestamp_ntz, nit string, valor double"
+EVENTOS = "id long, cuando timestamp_ntz, tipo string, detalle string, lote string, registro string"
+USUARIOS = "id long, usuario string, nombre string, activo boolean, intentos int, bloqueado_hasta timestamp_ntz, creado timestamp_ntz, ultimo_acceso timestamp_ntz, admin boolean, rol string"
