@@ -64,6 +64,7 @@ class Models:
     keys: list[np.ndarray]  # per order: packed n-grams, sorted
     logp: list[np.ndarray]  # per order: rows as keys, a column per language
     rest: list[np.ndarray]  # per order: log weight that context of that order leaves to the shorter ones
+    unseen: np.ndarray  # log-probability of a letter that no language of the sample has
     mean: np.ndarray
     sd: np.ndarray
 
@@ -102,7 +103,7 @@ class Models:
                 known = self.keys[k - 1][at] == context
                 out[todo[known]] += self.rest[k - 1][at[known]]
             else:
-                out[todo] += np.float32(-math.log(256))
+                out[todo] += self.unseen
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +140,7 @@ def build(counts: dict[str, Counter], alphabet: dict[int, int]) -> Models:
     keys = [np.array(sorted(set().union(*(o[k] for o in orders))), np.uint32) for k in range(ORDER)]
     logp = [np.zeros((len(k), len(languages)), np.float32) for k in keys]
     rest = [np.zeros((len(k), len(languages)), np.float32) for k in keys]
+    unseen = np.zeros(len(languages), np.float32)
     for c in range(len(languages)):
         below: dict[int, float] = {}
         for k in range(ORDER):
@@ -155,10 +157,12 @@ def build(counts: dict[str, Counter], alphabet: dict[int, int]) -> Models:
                 lower = below[shorter] if k else 1 / 256
                 here[gram] = max(level.get(gram, 0) - DISCOUNT, 0) / total[h] + weight[h] * lower if h in total else lower
             logp[k][:, c] = np.log([here[g] for g in keys[k].tolist()])
-            if k:
+            if k == 0:
+                unseen[c] = math.log(weight[0] / 256)
+            else:
                 rest[k - 1][:, c] = np.log([weight.get(h, 1.0) for h in keys[k - 1].tolist()])
             below = here
-    return Models(languages, table, keys, logp, rest, np.zeros(len(languages)), np.ones(len(languages)))
+    return Models(languages, table, keys, logp, rest, unseen, np.zeros(len(languages)), np.ones(len(languages)))
 
 
 def learn(docs: DataFrame, *, trainable: Column | None = None, per_language: int = PER_LANGUAGE) -> Models | None:

@@ -177,6 +177,8 @@ class Codec:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.replace(" ", MARK) for c in chunks], add_special_tokens=False)]
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         theirs = self.other.encode([c[1:] if self.model.dummy_prefix else c for c in chunks], num_threads=1) if self.other else ids
+        if self.other and self.model.dummy_prefix:  # a space at a text's end is a chunk that the library has no text for
+            theirs = [[self.other.piece_to_id(MARK)] if c == " " else o for c, o in zip(chunks, theirs)]
         for c, i, b, o in zip(chunks, ids, back, theirs):
             self.place[c] = len(self.ids)
             self.ids.append(np.array(i, np.int32))
