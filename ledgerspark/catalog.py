@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ["relational", "text", "reconciliation"]
+PLANS = ["relational", "text", "reconciliation", "extraction"]
 
 
 def _plans() -> list:
