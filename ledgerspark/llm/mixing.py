@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import word_count, written
 
 #: Rows that one hash bucket of a source, or one slice of finish time, holds at most on average.
-ROWS_PER_BUCKET = 2_000
+ROWS_PER_BUCKET = 500
+#: Most buckets of a source: their totals are summed in one task, a few MB; beyond it buckets hold more rows.
+MAX_BUCKETS = 1 << 17
 
 
 def targets(sizes: DataFrame, weights: list[int], max_repeats: int) -> DataFrame:
@@ -58,12 +60,13 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
     """
     weights = list(weights)
     n = docs.count()
-    buckets = max(1, -(-n // rows_per_bucket))
+    buckets = min(MAX_BUCKETS, max(1, -(-n // rows_per_bucket)))
     kept = [F.col(f"`{c}`").alias(f"keep.{c}") for c in keep]  # names with a dot clash with none of ours
     carried = [F.col(f"`keep.{c}`") for c in keep]
     named = [F.col(f"`keep.{c}`").alias(c) for c in keep]
     base = docs.select("doc_id", "source", *kept, word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
     base = base.withColumn("b", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
+    base = written(base, "mix-sizes")  # texts are counted once
     sums = base.groupBy("source", "b").agg(F.sum("size").alias("bs"))
     goal = targets(sums.groupBy("source").agg(F.sum("bs").alias("source_size")), weights, max_repeats)
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,3 +112,19 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
     passes = F.size(F.filter(F.transform("times", lambda t, k: taken(k, t)), lambda x: x))
     out = placed.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
     return out.select("doc_id", "source", *named, "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).cast("long").alias("taken"), F.col("times")[0].alias("first_time"))
+
+
+#: The mix of the ``documents`` table with the default parameters, in DuckDB's SQL.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+ w AS (SELECT *, [1, 2, 3][place % 3 + 1] AS weight, 3 * source_size AS cap FROM p),
+ l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS per FROM w WINDOW b AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ v AS (SELECT arg_min(per, {'a': cap / weight, 'b': place}) AS level FROM l WHERE per * weight <= cap),
+ g AS (SELECT source, place, source_size, least(coalesce(level * weight, cap), cap) AS target FROM l, v),
+ r AS (SELECT doc_id, size, h, place, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+ x AS (SELECT *, (upto - size / 2 + k * source_size) / target AS t FROM r, (VALUES (0), (1), (2)) k(k) WHERE size > 0),
+ c AS (SELECT *, sum(size) OVER (ORDER BY t, place, h, doc_id, k ROWS UNBOUNDED PRECEDING) AS upto_all FROM x),
+ a AS (SELECT doc_id, count(*) AS n FROM c WHERE upto_all <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) * size AS BIGINT) AS taken, CAST(coalesce(n, 0) AS INTEGER) AS passes FROM r LEFT JOIN a USING (doc_id)
+"""

@@ -60,8 +60,8 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
         F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines),
     )
     b = F.col(body)
-    return step.select(
-        *keep,
+    # One struct through a generator: filters on statistics stay above it, where each is computed once.
+    return step.select(*keep, F.inline(F.array(F.struct(
         F.size(words).cast("long").alias(out["n_words"]),
         F.length(b).cast("long").alias(out["word_chars"]),
         (F.length(b) - F.length(F.translate(b, SYMBOLS, ""))).cast("long").alias(out["n_symbols"]),
@@ -69,7 +69,7 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
         (F.length(b) - F.length(F.translate(b, "!?", ""))).cast("long").alias(out["n_marks"]),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(out["n_dup_lines"]),
         F.expr(repeated_words(words)).alias(out["n_repeat_words"]),
-    )
+    ))))
 
 
 def signals(prefix: str = "") -> dict[str, Column]:

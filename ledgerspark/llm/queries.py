@@ -83,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .mixing import SQL
     from .token_counts import MAINTAINED_SQL
 
-    return {"op4_token_rollup": MAINTAINED_SQL}
+    return {"op2_source_mixing": SQL, "op4_token_rollup": MAINTAINED_SQL}

@@ -1,6 +1,6 @@
 """Sharding by Hilbert-curve order, so that shards prune on several metadata columns at once.
 
-Source and language are quantised by the order of their distinct values, the size by quantiles; a Hilbert index
+Source and language are quantised by the order of their distinct values, the size by its logarithm; a Hilbert index
 over these levels orders the rows and equal runs are cut as shards. Law ``rows``: shard counts differ by one at
 most. No global sort and no hot task: curve cells are counted, cells are split into hash buckets, and a row's rank
 is the sum of the rows in cells before, buckets before and rows before in its bucket.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 BITS = 6
 BUCKETS = 16
+#: Doublings of the size, from 8 bytes, that the levels tell apart.
+OCTAVES = 20
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -78,10 +80,9 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = BITS, bucke
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", "lang")
     levels = 1 << bits
-    at = [i / levels for i in range(1, levels)]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("size", at, 10_000).alias("q")).first()
-    n = stats["n"]
-    dims = [level(F.col("source"), level_bounds(rows, "source", levels)), level(F.col("lang"), level_bounds(rows, "lang", levels)), level(F.col("size"), sorted(set(stats["q"] or [])))]
+    n = docs.count()
+    octave = F.floor(F.log2(F.col("size") / 8) * levels / OCTAVES)
+    dims = [level(F.col("source"), level_bounds(rows, "source", levels)), level(F.col("lang"), level_bounds(rows, "lang", levels)), F.least(octave, F.lit(levels - 1))]
     rows = rows.withColumn("curve", hilbert(dims, bits)).withColumn("h", F.xxhash64("doc_id"))
     parts = buckets * max(1, n // 50_000_000)
     rows = rows.withColumn("b", F.pmod("h", F.lit(parts)))
@@ -93,7 +94,6 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = BITS, bucke
     starts = counts.withColumn("in_cell", F.coalesce(F.sum("c").over(within), F.lit(0))).join(cells, "curve").select("curve", "b", (F.col("in_cell") + F.col("cell_start")).alias("start"))
     mine = Window.partitionBy("curve", "b").orderBy("h", "doc_id", "text_crc32")
     ranked = rows.join(starts, ["curve", "b"]).withColumn("rank", F.col("start") + F.row_number().over(mine) - 1)
-    shard = F.floor(F.col("rank") * shards / F.lit(max(n, 1))).cast("int")
     shard = F.expr(f"CAST((rank * {shards}L) DIV {max(n, 1)}L AS INT)")
     first = F.expr(f"(shard * {n}L + {shards - 1}L) DIV {shards}L")
     return ranked.withColumn("shard", shard).withColumn("slot", (F.col("rank") - first).cast("long")).select("doc_id", "size", "text_crc32", "source", "lang", "curve", "shard", "slot")
