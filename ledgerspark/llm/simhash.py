@@ -34,21 +34,29 @@ SEED = 42
 MAX_SHARD = 256
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
+def codes_of(text: str | None, shingle: int) -> np.ndarray:
+    """The 64-bit hash of each word shingle, in the order of the text."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.r_[0, ends[:-1]][:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1:] - 1).tolist()
     h = xxhash.xxh64_intdigest
-    codes = np.fromiter((h(line[a:b], SEED) for a, b in zip(starts, stops)), "<u8", n)
+    return np.fromiter((h(line[a:b], SEED) for a, b in zip(starts, stops)), "<u8", n)
+
+
+def print_of(codes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
+    for i in range(0, len(codes), 1 << 14):
         ones += np.unpackbits(codes[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(codes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    return print_of(codes_of(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
