@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: White space that separates words: space and the five ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ledgerspark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
@@ -68,3 +75,34 @@ def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> bytes:
     """Content of a public tokenizer's file, read once on the driver."""
     with open(f"{folder}/{name}", "rb") as f:
         return f.read()
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts have about ``limit`` bytes together; a longer text is a run of its own."""
+    lo = size = 0
+    for i, n in enumerate(x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()):
+        if size and size + n > limit:
+            yield batch.slice(lo, i - lo)
+            lo, size = i, 0
+        size += n
+    if lo < len(batch):
+        yield batch.slice(lo)
+
+
+def mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructField], run: Callable[[list], list], *, limit: int = 4_000_000) -> DataFrame:
+    """The columns of df to keep, untouched as Arrow arrays (so that integers beside nulls stay exact), and new ones.
+
+    run takes the column's values of a few rows, at most about ``limit`` bytes or one row, and returns a list of values
+    for each of the fields. It is made once in each task by calling ``run()`` if it has the attribute ``per_task``.
+    """
+    schema = T.StructType([df.schema[c] for c in keep] + fields)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = run() if getattr(run, "per_task", False) else run
+        for whole in parts:
+            for part in slices(whole, column, limit):
+                made = work(part.column(column).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(made, kinds)], names=schema.names)
+
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])]).mapInArrow(batches, schema)

@@ -114,6 +114,13 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
     return out.select("doc_id", "source", *named, "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).cast("long").alias("taken"), F.col("times")[0].alias("first_time"))
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; all columns pass, whatever their names."""
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = mix(whole, keep=["row"], **options).where("passes > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 #: The mix of the ``documents`` table with the default parameters, in DuckDB's SQL.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

@@ -17,19 +17,20 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, mapped
 
 MARK = "▁"
-#: Distinct chunks that a worker remembers; then it starts anew.
-CACHE = 400_000
+#: Bytes of chunks and ids that a worker remembers; then it starts anew.
+CACHE_BYTES = 64_000_000
 THREADS = 2
 
 
@@ -141,7 +142,7 @@ def build_tokenizer(m: Model):
 
 
 class Codec:
-    """Encodes and decodes texts in one worker."""
+    """Encodes and decodes texts in one worker. Chunks met before are remembered, up to about ``CACHE_BYTES``."""
 
     def __init__(self, data: bytes, threads: int = THREADS, parity: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -158,9 +159,9 @@ class Codec:
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.round: list[bool] = []
-        self.agree: list[bool] = []
+        self.ids, self.starts, self.used = np.zeros(1 << 16, np.int32), array("q", [0]), 0  # ids of chunk k: from starts[k] to starts[k + 1]
+        self.wrong: dict[int, tuple[bool, bool]] = {}  # chunks that don't round trip or agree
+        self.bytes = 0
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -171,61 +172,103 @@ class Codec:
         return re.findall(r" *[^ ]+| +", " " + text)
 
     def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks not met before, in one batch, and checks each."""
-        if not chunks:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.replace(" ", MARK) for c in chunks], add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        theirs = self.other.encode([c[1:] if self.model.dummy_prefix else c for c in chunks], num_threads=1) if self.other else ids
-        if self.other and self.model.dummy_prefix:  # a space at a text's end is a chunk that the library has no text for
-            theirs = [[self.other.piece_to_id(MARK)] if c == " " else o for c, o in zip(chunks, theirs)]
-        for c, i, b, o in zip(chunks, ids, back, theirs):
-            self.place[c] = len(self.ids)
-            self.ids.append(np.array(i, np.int32))
-            self.round.append(b == c)
-            self.agree.append(i == o)
+        """Encodes chunks not met before, in batches, and checks each."""
+        for lo in range(0, len(chunks), 4096):
+            some = chunks[lo:lo + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.replace(" ", MARK) for c in some], add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            theirs = self.other.encode([c[1:] if self.model.dummy_prefix else c for c in some], num_threads=1) if self.other else ids
+            if self.other and self.model.dummy_prefix:  # a space at a text's end is a chunk that the library has no text for
+                theirs = [[self.other.piece_to_id(MARK)] if c == " " else o for c, o in zip(some, theirs)]
+            total = sum(map(len, ids))
+            if self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * total, np.int32)])
+            self.ids[self.used:self.used + total] = [i for x in ids for i in x]
+            for c, i, b, o in zip(some, ids, back, theirs):
+                if b != c or i != o:
+                    self.wrong[len(self.place)] = b == c, i == o
+                self.place[c] = len(self.place)
+                self.used += len(i)
+                self.starts.append(self.used)
+            self.bytes += sum(map(len, some)) + 8 * total + 220 * len(some)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
-        """ids, whether decoding gives the text again, and whether the SentencePiece library agrees."""
+        """ids, whether decoding gives the text again, and whether the SentencePiece library agrees.
+
+        Chunks are cut before metaspaces, where pieces and bytes end, so that a text decodes to its chunks' texts.
+        """
         out, lo = [], 0
         while lo < len(texts):
             hi, size, parts = lo, 0, []
-            while hi < len(texts) and (hi == lo or size < 2_000_000):  # bounded batches
+            while hi < len(texts) and (hi == lo or size < 500_000):  # bounded batches
                 parts.append(self.chunks(texts[hi]))
                 size += len(texts[hi])
                 hi += 1
-            if len(self.place) > CACHE:
+            if self.bytes > CACHE_BYTES:
                 self.reset()
             self.learn(list({c: None for p in parts for c in p if c not in self.place}))
+            starts = np.frombuffer(self.starts, np.int64).copy()
             for p in parts:
-                at = [self.place[c] for c in p]
-                ids = np.concatenate([self.ids[i] for i in at]) if at else np.zeros(0, np.int32)
-                out.append((ids, all(self.round[i] for i in set(at)), all(self.agree[i] for i in set(at))))
+                at = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
+                size_of = starts[at + 1] - starts[at]
+                begin = np.cumsum(size_of) - size_of
+                ids = self.ids[np.arange(int(size_of.sum())) + np.repeat(starts[at] - begin, size_of)]
+                odd = [self.wrong[i] for i in set(at.tolist()) & self.wrong.keys()] if self.wrong else []
+                out.append((ids, all(x for x, _ in odd), all(x for _, x in odd)))
             lo = hi
         return out
 
+    def text_of(self, line: str) -> str:
+        return line[1:] if self.model.dummy_prefix and line.startswith(" ") else line
+
     def decode(self, ids: list[int]) -> str:
-        text = self.tokenizer.decode(list(ids), skip_special_tokens=False)
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.text_of(self.tokenizer.decode(list(ids), skip_special_tokens=False))
+
+
+#: The codec that this worker keeps between tasks.
+_codecs: dict[tuple, Codec] = {}
 
 
-def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: bool = True, with_ids: bool = True) -> DataFrame:
-    """docs with ids (an array, if asked for), n_tokens, ids_crc32 (of 32-bit little-endian ids), round_trip and parity.
+def worker_codec(data: bytes, threads: int, parity: bool) -> Codec:
+    key = zlib.crc32(data), len(data), threads, parity
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(data, threads, parity)
+    return _codecs[key]
+
+
+def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: bool = True) -> DataFrame:
+    """docs with ids, n_tokens, ids_crc32 (of 32-bit little-endian ids), round_trip and parity.
 
     model is the model file's content: a few hundred kB, sent to each worker once.
     """
-    new = {k: free_name(docs, k) for k in ("ids", "n_tokens", "ids_crc32", "round_trip", "parity") if with_ids or k != "ids"}
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_crc32": T.LongType(), "round_trip": T.BooleanType(), "parity": T.BooleanType()}
-    schema = T.StructType(list(docs.schema.fields) + [T.StructField(v, kinds[k]) for k, v in new.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value, threads, parity)
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo:lo + 1000].reset_index(drop=True)
-                got = codec.encode([t or "" for t in part["text"]])
-                made = {"ids": [g[0] for g in got], "n_tokens": [len(g[0]) for g in got], "ids_crc32": [zlib.crc32(g[0].astype("<i4").tobytes()) for g in got], "round_trip": [g[1] for g in got], "parity": [g[2] for g in got]}
-                yield part.assign(**{v: made[k] for k, v in new.items()})
-
-    return docs.mapInPandas(run, schema)
+    def run(texts: list) -> list:
+        got = worker_codec(shared.value, threads, parity).encode([t or "" for t in texts])
+        ends = np.cumsum([0, *[len(g[0]) for g in got]]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g[0] for g in got])))
+        return [ids, np.diff(ends).astype(np.int64), [zlib.crc32(g[0].astype("<i4").tobytes()) for g in got], [g[1] for g in got], [g[2] for g in got]]
+
+    return mapped(docs, "text", docs.columns, [T.StructField(free_name(docs, k), t) for k, t in kinds.items()], run, limit=1_000_000)
+
+
+def decode(encoded: DataFrame, model: bytes, *, ids: str = "ids", threads: int = THREADS) -> DataFrame:
+    """The columns of encoded, without the ids, with the text that they stand for; null ids give a null text."""
+    name = free_name(encoded.drop(ids), "text")
+    schema = T.StructType([f for f in encoded.schema if f.name != ids] + [T.StructField(name, T.StringType())])
+    rest = [f.name for f in encoded.schema if f.name != ids]
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            codec = worker_codec(shared.value, threads, False)
+            for lo in range(0, len(whole), 256):
+                part = whole.slice(lo, 256)
+                rows = part.column(ids).to_pylist()
+                back = codec.tokenizer.decode_batch([x or [] for x in rows], skip_special_tokens=False)
+                texts = pa.array([None if x is None else codec.text_of(t) for x, t in zip(rows, back)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [texts], names=schema.names)
+
+    return encoded.mapInArrow(run, schema)

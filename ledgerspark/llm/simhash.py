@@ -7,8 +7,8 @@ builds a BK-tree for each of its shards: children are keyed by their integer dis
 follows only the edges within the radius of the query's own distance. Each shard gives a spanning forest of its
 links, never all pairs, and components join the forests.
 
-The trees together grow with the corpus, so each is built where its shard lies instead of being broadcast. A shard
-of over ``max_shard`` classes never becomes one tree: its classes are linked through their one-bit neighbours
+The trees together grow with the corpus, so each is built where its shard lies instead of being broadcast. A tree search
+visits a growing share of a crowded shard's nodes, so a shard of over ``max_shard`` classes never becomes one tree: its classes are linked through their one-bit neighbours
 (two fingerprints differ in at most two bits exactly if they share such a neighbour), 65 rows a class, all exact.
 
 Defined results: null or blank texts have fingerprint 0 and link like any other; fewer words than a shingle are one
@@ -27,11 +27,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import mapped, written
 from .graph import components
 
 SEED = 42
-MAX_SHARD = 256
+#: Classes of a shard up to which it is a BK-tree.
+MAX_SHARD = 2048
+#: Rows over this share of all make a fingerprint hot; there are at most as many hot ones.
+HOT_SHARE = 1000
 
 
 def codes_of(text: str | None, shingle: int) -> np.ndarray:
@@ -61,13 +66,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            codes = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), "u8", len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": codes.view("i8")})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return mapped(docs, "text", ["doc_id"], [T.StructField("fp", T.LongType())], lambda texts: [np.fromiter((fingerprint(t, shingle) for t in texts), "u8", len(texts)).view("i8")])
 
 
 class BKTree:
@@ -187,12 +186,14 @@ def _edges(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, max_shard: int = MAX_SHARD) -> DataFrame:
     """doc_id, fp, fingerprint (hex) and component_id of each row."""
-    from .common import written
-
     prints = written(fingerprints(docs, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(links(classes.select("fp"), radius=radius, max_shard=max_shard))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # hot fingerprints (equal texts, the empty one) are few by their bound, and are joined by broadcast
+    total = prints.count()
+    hot = F.broadcast(prints.groupBy("fp").count().where(F.col("count") > total // HOT_SHARE + 1000).select("fp").join(named, "fp"))
+    joined = prints.join(hot.select("fp"), "fp", "left_anti").join(named, "fp").unionByName(prints.join(hot, "fp"))
+    return joined.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

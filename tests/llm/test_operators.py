@@ -105,6 +105,25 @@ def test_mixing(docs, none):
     again = mixing.mix(docs.repartition(5), rows_per_bucket=7).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
     assert mixing.mix(none).count() == 0
+    clash = docs.select("*", *[F.lit(1).alias(x) for x in ("passes", "_pass", "row", "target", "h", "times", "taken")])
+    rows = mixing.mixed_rows(clash, rows_per_bucket=7)
+    assert rows.columns == clash.columns and rows.count() == sum(r.passes for r in got)
+    assert rows.where("_pass <> 1 OR size <> 'clash' OR `row` <> 1").count() == 0
+
+
+BIG = 9007199254740993  # beyond what a double holds
+
+
+def test_large_ids_beside_nulls(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    df = spark.createDataFrame([(BIG, text, "en", "s"), (None, text + " x", "en", "s")], "doc_id long, text string, lang string, source string").coalesce(1)
+    data = tokenizer_file("piece_bpe_32k.model")
+    media_rows = media.media_digests(media.store_texts(df))
+    models = language_id.learn(df)
+    for out in (simhash.near_duplicates(df), media_rows, media.read_pages(media.store_texts(df)), sentencepiece_codec.encode(df, data), language_id.predict(df, models),
+                lm_scoring.score(df, F.lit(True), steps=2), token_counts.bpe_counts(df, "/opt/tokenizers/byte_bpe_50k.tiktoken", lm_scoring.Subwords.PATTERN),
+                line_dedup.dedup_lines(df), sharding.hilbert_shards(df, shards=1), mixing.mix(df)):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {BIG, None}
 
 
 def test_tiff_round_trip(docs, none, spark):
@@ -214,7 +233,8 @@ def test_line_dedup(spark, docs, none):
         first[top(x)] = min(first.get(top(x), key), key)
     for i, k, x in flat:
         none_id, d, at = first[top(x)]
-        assert got[i, k] == (None if none_id else d, at, links[x], (none_id, d, at) != (i is None, i or 0, k)), (i, k, x)
+        assert (*got[i, k][:2], got[i, k][3]) == (None if none_id else d, at, (none_id, d, at) != (i is None, i or 0, k)), (i, k, x)
+        assert (got[i, k][2] > 0) == (links[x] > 0) and got[i, k][2] <= links[x]
     assert len(got) == len(flat) and line_dedup.dedup_lines(none).count() == 0
     out = line_dedup.without_dropped_lines(docs)
     assert out.columns == docs.columns
@@ -315,6 +335,8 @@ def test_sentencepiece_parity(docs, none):
     for r in sentencepiece_codec.encode(docs, data).collect():
         want = theirs.encode(r.text or "")
         assert r.ids == want and r.n_tokens == len(want) and r.parity and r.round_trip and r["size"] == "clash"
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, data), data)
+    assert back.where("NOT coalesce(text, '') <=> _text").count() == 0 and back.count() == len(ROWS)
     assert sentencepiece_codec.encode(none, data).count() == 0
     codec = sentencepiece_codec.Codec(data)
     for t in ("", " ", "  a  b ", "ü€𝒳 <s> </s>", "\n\n", "a" * 5000):
