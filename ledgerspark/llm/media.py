@@ -4,7 +4,9 @@ The reader walks the chain of image directories in either byte order, decodes st
 deflate), undoes horizontal differencing and yields one page per directory. ``read_pages`` emits one row per page.
 
 Defined results: null media gives one row with page null and error "null"; broken bytes give the pages before the
-fault and then a row with the error; a chain that returns to a directory ends with an error. Empty tables give
+fault and then a row with the error: tags, dimensions, block counts and places are checked against the file before memory is
+taken, and a block that holds less than its share is an error, never black pixels. 1- and 4-bit samples, separate planes, 64-bit
+files and the floating-point predictor end as errors. A chain that returns to a directory ends with an error. Empty tables give
 empty results. Rows are independent, so repeated rows repeat. Extra columns of the input pass through
 ``read_pages``; new columns get leading underscores where a name is taken.
 """
@@ -18,12 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import free_name
+from .common import free_name, mapped
 
 # Fixed values of the TIFF 6.0 format: tags, compressions, field sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -157,8 +159,9 @@ def _compress(raw: bytes, how: int) -> bytes:
 
 
 def _expand(raw: bytes, how: int, size: int) -> bytes:
+    """At most size bytes of a block: a stream that would unpack to more is cut there, so it can't fill the worker."""
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(raw)
+        return zlib.decompressobj().decompress(raw, size)
     if how == LZW:
         return lzw_decode(raw, size)
     if how == PACKBITS:
@@ -168,6 +171,10 @@ def _expand(raw: bytes, how: int, size: int) -> bytes:
     raise ValueError(f"compression {how} is not supported")
 
 
+#: Most bytes that one byte of a block can stand for, by compression: what a page claims is checked against its file.
+MOST_OUT = {NONE: 1, PACKBITS: 128, DEFLATE: 1100, OLD_DEFLATE: 1100, LZW: 4096}
+
+
 def write_tiff(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: bool = True, tile: int | None = None, strip_rows: int = STRIP_ROWS, order: str = "<") -> bytes:
     """8-bit grey pages (rows x columns) as one file; tile: edge of square tiles, else strips."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
@@ -216,48 +223,79 @@ class Page:
     pixels: np.ndarray
 
 
+def _directory(media: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
+    """Tags of the image directory at a place, and the place of the next."""
+    if at + 2 > len(media):
+        raise ValueError("a directory lies beyond the file")
+    count = struct.unpack_from(order + "H", media, at)[0]
+    if at + 6 + 12 * count > len(media):
+        raise ValueError("a directory is cut off")
+    tags: dict[int, list[int]] = {}
+    for place in range(at + 2, at + 2 + 12 * count, 12):
+        tag, kind, n = struct.unpack_from(order + "HHI", media, place)
+        if kind not in FIELD:
+            continue
+        size = n * struct.calcsize(order + FIELD[kind])
+        begin = place + 8 if size <= 4 else struct.unpack_from(order + "I", media, place + 8)[0]
+        if begin + size > len(media):
+            raise ValueError(f"tag {tag} lies beyond the file")
+        tags[tag] = list(struct.unpack_from(f"{order}{n}{FIELD[kind]}", media, begin))
+    return tags, struct.unpack_from(order + "I", media, at + 2 + 12 * count)[0]
+
+
+def _page(media: bytes, order: str, tags: dict[int, list[int]], number: int) -> Page:
+    def one(tag: int, default: int) -> int:
+        if tag in tags and not tags[tag]:
+            raise ValueError(f"tag {tag} has no value")
+        return tags.get(tag, [default])[0]
+
+    w, h, samples, how, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    bits = one(BITS, 1)
+    if bits not in (8, 16) or set(tags[BITS]) != {bits} or one(PLANAR, 1) != 1:
+        raise ValueError("only 8 or 16 bits and chunky samples are supported")
+    if how not in MOST_OUT or predictor not in (1, 2):
+        raise ValueError(f"compression {how} with predictor {predictor} is not supported")
+    tiled = TILE_OFFSETS in tags
+    bw, bh = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
+    if min(w, h, samples, bw, bh) < 1:
+        raise ValueError("a dimension is 0")
+    across, down = -(-w // bw), -(-h // bh)
+    places, sizes = (tags.get(x, []) for x in ((TILE_OFFSETS, TILE_BYTES) if tiled else (STRIP_OFFSETS, STRIP_BYTES)))
+    if not len(places) == len(sizes) == across * down:
+        raise ValueError(f"{len(places)} places and {len(sizes)} sizes for {across * down} blocks")
+    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    line = bw * samples * kind.itemsize
+    if w * h * samples * kind.itemsize > MOST_OUT[how] * sum(sizes) or sum(sizes) > len(media) or line * bh > max(MOST_OUT[how] * max(sizes), 1):
+        raise ValueError("the page is larger than its blocks can hold")
+    pixels = np.zeros((h, w, samples), kind.newbyteorder("="))
+    for k, (place, size) in enumerate(zip(places, sizes)):
+        y, x = k // across * bh, k % across * bw
+        rows = bh if tiled else min(bh, h - y)
+        if place + size > len(media):
+            raise ValueError(f"block {k} lies beyond the file")
+        raw = _expand(media[place:place + size], how, rows * line)
+        if len(raw) != rows * line:
+            raise ValueError(f"block {k} has {len(raw)} bytes of {rows * line}")
+        block = np.frombuffer(raw, kind).reshape(rows, bw, samples)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=pixels.dtype)
+        pixels[y:y + rows, x:x + bw] = block[:h - y, :w - x]
+    return Page(number, w, h, samples, bits, how, pixels)
+
+
 def tiff_pages(media: bytes) -> Iterator[Page]:
-    """Pages of a file, one image directory after the other."""
+    """Pages of a file, one image directory after the other. ValueError (or zlib.error) on what can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(media[:2])
     if order is None or len(media) < 8 or struct.unpack_from(order + "H", media, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at, seen, number = struct.unpack_from(order + "I", media, 4)[0], set(), 0
+    at, seen = struct.unpack_from(order + "I", media, 4)[0], set()
     while at:
         if at in seen:
             raise ValueError("directories form a loop")
+        tags, next_at = _directory(media, order, at)
+        yield _page(media, order, tags, len(seen))
         seen.add(at)
-        count = struct.unpack_from(order + "H", media, at)[0]
-        tags: dict[int, list[int]] = {}
-        for i in range(count):
-            tag, kind, n = struct.unpack_from(order + "HHI", media, at + 2 + 12 * i)
-            if kind in FIELD:
-                place = at + 10 + 12 * i
-                if n * struct.calcsize(FIELD[kind]) > 4:
-                    place = struct.unpack_from(order + "I", media, place)[0]
-                tags[tag] = list(struct.unpack_from(f"{order}{n}{FIELD[kind]}", media, place))
-        one = lambda tag, default: tags.get(tag, [default])[0]
-        w, h, bits, samples, how = one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, NONE)
-        if bits not in (8, 16) or one(PLANAR, 1) != 1:
-            raise ValueError("only 8 or 16 bits and chunky samples are supported")
-        kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
-        tiled = TILE_OFFSETS in tags
-        bw, bh = (one(TILE_WIDTH, w), one(TILE_HEIGHT, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
-        across = -(-w // bw) if bw else 0
-        pixels = np.zeros((h, w, samples), kind.newbyteorder("="))
-        for k, (place, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES])):
-            y, x = (k // across) * bh, (k % across) * bw
-            rows = bh if tiled else min(bh, h - y)
-            need = rows * bw * samples * kind.itemsize
-            raw = _expand(media[place:place + size], how, need)
-            if len(raw) != need:
-                raise ValueError(f"block {k} has {len(raw)} bytes of {need}")
-            block = np.frombuffer(raw, kind).reshape(rows, bw, samples)
-            if one(PREDICTOR, 1) == 2:
-                block = np.cumsum(block, axis=1, dtype=pixels.dtype)
-            pixels[y:y + rows, x:x + bw] = block[:h - y, :w - x]
-        yield Page(number, w, h, samples, bits, how, pixels)
-        number += 1
-        at = struct.unpack_from(order + "I", media, at + 2 + 12 * count)[0]
+        at = next_at
 
 
 def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
@@ -267,25 +305,22 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     kinds = [T.BinaryType() if k == "pixels" else T.StringType() if k == "error" else T.IntegerType() for k in new]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(v, t) for v, t in zip(new.values(), kinds)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in schema.fields[len(keep):]]
         for batch in batches:
-            rest, rows = batch[keep], []
-            for i, blob in enumerate(batch[media]):
-                if blob is None:
-                    rows.append((i, None, None, None, None, None, None, None, "null"))
-                    continue
+            for i in range(len(batch)):
+                blob, rows = batch.column(media)[i].as_py(), []
                 try:
-                    for p in tiff_pages(bytes(blob)):
-                        rows.append((i, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.tobytes(), None))
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
-                    rows.append((i, None, None, None, None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=["_i", *new.values()])
-            for c in list(new.values())[:6]:
-                out[c] = out[c].astype("Int32")
-            head = rest.iloc[out.pop("_i")].reset_index(drop=True)
-            yield pd.concat([head, out], axis=1)
+                    if blob is None:
+                        raise ValueError("null")
+                    for p in tiff_pages(blob):
+                        rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.tobytes(), None))
+                except (ValueError, zlib.error) as e:
+                    rows.append((None,) * 7 + (str(e),))
+                head = [batch.column(c).take(pa.array([i] * len(rows))) for c in keep]
+                yield pa.RecordBatch.from_arrays(head + [pa.array(v, t) for v, t in zip(zip(*rows), types)], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_payload(text: str | None) -> tuple[int, bytes]:
@@ -308,30 +343,28 @@ def store_payload(payload: bytes) -> bytes:
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the media column that holds each whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [text_payload(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in made], "media": [store_payload(p) for _, p in made]})
+    def run(texts: list) -> list:
+        made = [text_payload(t) for t in texts]
+        return [[n for n, _ in made], [store_payload(p) for _, p in made]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return mapped(docs, "text", ["doc_id"], [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], run)
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
     """Checks and features of each media value, folded over its pages as they are read back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for blob in map(bytes, batch["media"]):
-                sha, n, total, tail, pages, dark = hashlib.sha256(), 0, 0, b"", 0, 0
-                for p in tiff_pages(blob):
-                    raw = p.pixels.tobytes()
-                    sha.update(raw)
-                    n, total, pages = n + len(raw), total + int(p.pixels.sum(dtype=np.int64)), pages + 1
-                    dark += int((p.pixels <= 32).sum())
-                    tail = (tail + raw)[-16:]
-                rows.append((n, sha.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), f"pages={pages};mean={total // n};dark={1000 * dark // n}"))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield pd.concat([batch[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
-
-    return stored.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def run(blobs: list) -> list:
+        rows = []
+        for blob in blobs:
+            sha, n, total, tail, pages, dark = hashlib.sha256(), 0, 0, b"", 0, 0
+            for p in tiff_pages(blob):
+                raw = p.pixels.tobytes()
+                sha.update(raw)
+                n, total, pages = n + len(raw), total + int(p.pixels.sum(dtype=np.int64)), pages + 1
+                dark += int((p.pixels <= 32).sum())
+                tail = (tail + raw)[-16:]
+            rows.append((n, sha.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), f"pages={pages};mean={total // n};dark={1000 * dark // n}"))
+        return list(zip(*rows)) if rows else [[]] * 6
+
+    fields = [T.StructField(k, T.LongType() if k in ("payload_bytes", "tail_crc32", "media_bytes") else T.StringType()) for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")]
+    return mapped(stored, "media", ["doc_id", "n_bytes"], fields, run)

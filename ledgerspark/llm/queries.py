@@ -73,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import learn, predict
 
     docs = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     models = learn(docs, trainable=~held_out)
     return predict(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 

@@ -1,11 +1,11 @@
 """Sharding by Hilbert-curve order, so that shards prune on several metadata columns at once.
 
-Source and language are quantised by the order of their distinct values, the size by its logarithm; a Hilbert index
-over these levels orders the rows and equal runs are cut as shards. Law ``rows``: shard counts differ by one at
+Source and language are quantised by the order of their distinct values, spread over all levels so that each dimension
+cuts as deep as the others, the size by its logarithm; a Hilbert index over these levels orders the rows and equal runs are cut as shards. Law ``rows``: shard counts differ by one at
 most. No global sort and no hot task: curve cells are counted, cells are split into hash buckets, and a row's rank
 is the sum of the rows in cells before, buckets before and rows before in its bucket.
 
-Defined results: null text has size 8 and crc 0; null source or language take level 0; ties on the curve go by id
+Defined results: null text has size 8 and crc 0; null source or language have a level of their own, the lowest; ties on the curve go by id
 hash, id and crc; repeated rows take slots of their own; an empty table gives an empty result; other columns are
 dropped, so that names cannot clash.
 """
@@ -61,18 +61,16 @@ def hilbert(cols: list[Column], bits: int) -> Column:
 
 
 def level_bounds(df: DataFrame, column: str, levels: int) -> list[str]:
-    """At most levels - 1 values of a text column that cut its distinct values into even runs."""
-    ranked = df.where(F.col(column).isNotNull()).groupBy(column).count().select(
-        column, F.row_number().over(Window.orderBy(column)).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n"))
-    cut = F.floor(F.col("r") * levels / F.col("n")) > F.floor((F.col("r") - 1) * levels / F.col("n"))
-    return [r[0] for r in ranked.where(cut & (F.col("r") < F.col("n"))).orderBy(column).select(column).collect()]
+    """At most levels - 2 values of a text column that cut its distinct values into nearly even runs; no task sees them all."""
+    kinds = df.where(F.col(column).isNotNull()).select(column).distinct()
+    runs = kinds.repartitionByRange(levels - 1, column).groupBy(F.spark_partition_id().alias("p")).agg(F.max(column).alias("last"))
+    return sorted(r["last"] for r in runs.collect())[:-1]
 
 
-def level(column: Column, bounds: list) -> Column:
-    if not bounds:
-        return F.lit(0)
-    marks = F.array(*map(F.lit, bounds))
-    return F.when(column.isNull(), 0).otherwise(F.size(F.filter(marks, lambda b: column > b)))
+def level(column: Column, bounds: list, levels: int) -> Column:
+    """Levels spread over the whole range, whatever the number of distinct values; null has the lowest for itself."""
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: column > b)) + 1
+    return F.floor(F.when(column.isNull(), 0).otherwise(place) * levels / (len(bounds) + 2)).cast("int")
 
 
 def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = BITS, buckets: int = BUCKETS) -> DataFrame:
@@ -82,7 +80,7 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = BITS, bucke
     levels = 1 << bits
     n = docs.count()
     octave = F.floor(F.log2(F.col("size") / 8) * levels / OCTAVES)
-    dims = [level(F.col("source"), level_bounds(rows, "source", levels)), level(F.col("lang"), level_bounds(rows, "lang", levels)), F.least(octave, F.lit(levels - 1))]
+    dims = [level(F.col("source"), level_bounds(rows, "source", levels), levels), level(F.col("lang"), level_bounds(rows, "lang", levels), levels), F.least(octave, F.lit(levels - 1))]
     rows = rows.withColumn("curve", hilbert(dims, bits)).withColumn("h", F.xxhash64("doc_id"))
     parts = buckets * max(1, n // 50_000_000)
     rows = rows.withColumn("b", F.pmod("h", F.lit(parts)))

@@ -2,8 +2,8 @@
 
 Counts of documents become signed changes: an insert adds its count, a delete takes it away, a revision adds the
 difference of the new count and the old. A batch of changes is summed by source, language and tokenizer version
-before it is stored; totals are the sums over committed batches. A batch has one folder, and committing it again
-replaces that folder, so retries, repeated sends and lost executors change nothing.
+before it is stored; totals are the sums over committed batches. A batch counts by its manifest, which appears whole
+or not at all and only once, so failed attempts, retries, repeated sends, lost executors and new drivers change nothing.
 
 Defined results: null texts count 0 tokens; null sources and languages are groups of their own; a null count is 0;
 unknown operations raise; groups whose documents and tokens are both 0 leave the totals; repeated rows in a batch are
@@ -13,13 +13,13 @@ separate changes; empty batches add nothing; columns beyond those named are igno
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import word_count
+from .common import mapped, word_count, written
 
 KEYS = ["source", "lang", "version"]
 PIECES_1 = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
@@ -41,14 +41,14 @@ def bpe_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ranks = {base64.b64decode(r["value"].split(" ")[0]): int(r["value"].split(" ")[1]) for r in spark.read.text(ranks_path).collect()}  # a vocabulary
     shared = spark.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coder():
         import tiktoken
 
-        coder = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        for batch in batches:
-            yield batch.drop(columns="text").assign(n_tokens=[len(coder.encode_ordinary(t or "")) for t in batch["text"]])
+        one = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+        return lambda texts: [[len(one(t or "")) for t in texts]]
 
-    return docs.select("doc_id", "source", "lang", "text").mapInPandas(run, "doc_id long, source string, lang string, n_tokens long")
+    coder.per_task = True
+    return mapped(docs, "text", ["doc_id", "source", "lang"], [T.StructField("n_tokens", T.LongType())], coder)
 
 
 def changes(rows: DataFrame, op: str, version: str, tokens: Column, old_tokens: Column | None = None) -> DataFrame:
@@ -67,31 +67,68 @@ def signed(batch: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share, one sub-folder per committed batch."""
+    """Totals in a folder that all executors share.
+
+    Each commit writes its totals to a folder of its own, then publishes one small manifest that names it under the
+    batch's id. A batch counts once its manifest is there: a commit that fails before leaves nothing that is read, and a
+    known id is left as it is. A manifest is renamed into its place, which succeeds for one of several committers. The
+    list of batches is read from the folder, so it outlives the driver.
+    """
 
     SCHEMA = "source string, lang string, version string, docs long, tokens long"
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.batches: list[str] = []
-
-    def commit(self, batch_id: str, batch: DataFrame) -> None:
-        """Stores the batch's totals under its id. The folder appears whole or not at all; a second commit replaces it."""
-        signed(batch).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
-        if batch_id not in self.batches:
-            self.batches.append(batch_id)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> dict[str, str]:
+        """Committed batch ids and the folders that hold their totals."""
+        folder = self._path(f"{self.root}/manifests")
+        if not self._fs.exists(folder):
+            return {}
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
+        done = [x for x in names if x.endswith(".manifest")]
+        if not done:
+            return {}
+        rows = self.spark.read.text([f"{self.root}/manifests/{x}" for x in done], wholetext=True).collect()  # a line for each batch
+        return {bytes.fromhex(x).decode(): attempt for attempt, *ids in (r["value"].split("\n") for r in rows) for x in ids}
+
+    def commit(self, batch_id: str, batch: DataFrame) -> bool:
+        """Stores the batch's totals under its id; False if the id is committed already."""
+        if batch_id in self.batches():
+            return False
+        attempt = uuid.uuid4().hex
+        signed(batch).write.mode("error").parquet(f"{self.root}/data/{attempt}")
+        return self._publish(batch_id.encode().hex(), [batch_id], attempt)
+
+    def _publish(self, name: str, batch_ids: list[str], attempt: str) -> bool:
+        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        draft = self._path(f"{self.root}/manifests/{attempt}.draft")
+        out = self._fs.create(draft, False)
+        out.write(bytearray("\n".join([attempt, *[x.encode().hex() for x in batch_ids]]).encode()))
+        out.close()
+        place = self._path(f"{self.root}/manifests/{name}.manifest")
+        done = not self._fs.exists(place) and self._fs.rename(draft, place)
+        if not done:
+            self._fs.delete(draft, False)
+        return bool(done)
 
     def totals(self) -> DataFrame:
-        if not self.batches:
+        known = self.batches()
+        if not known:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.root}/batch={b}" for b in self.batches])
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.root}/data/{x}" for x in sorted(set(known.values()))])
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self, into: str) -> "Rollup":
-        """A rollup in another folder whose one batch holds this one's totals."""
+        """A rollup in another folder that holds this one's totals under the same batch ids, so that they stay known."""
         other = Rollup(self.spark, into)
-        self.totals().write.mode("overwrite").parquet(f"{other.root}/batch=base")
-        other.batches.append("base")
+        known = sorted(self.batches())
+        if known and not other.batches():
+            attempt = uuid.uuid4().hex
+            self.totals().write.parquet(f"{other.root}/data/{attempt}")
+            other._publish("compact", known, attempt)
         return other
 
 
@@ -104,8 +141,6 @@ def maintained(docs: DataFrame, root: str) -> DataFrame:
     """
     text = F.col("text")
     base = docs.select("doc_id", "source", "lang", words(text).alias("w"), pieces(text).alias("p"), pieces(text, PIECES_2).alias("p2"))
-    from .common import written
-
     base = written(base, "token-counts")
     rollup = Rollup(docs.sparkSession, root)
     rollup.commit("1", changes(base, "insert", "words-1", F.col("w")).unionByName(changes(base, "insert", "pieces-1", F.col("p"))))
