@@ -42,38 +42,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-#: Rows under a key that each is compared with at first.
-MATES = 4
 
-
-def shared_keys(keyed: DataFrame, mates: int = MATES) -> DataFrame:
-    """keyed (key, id, side) -> its rows whose key has other ids too, each with the ids of a few mates under the key.
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """keyed (key, id, side) -> its rows whose key has other ids too, each with one mate under the key (null for the first).
 
     Sides are bits: a pair under a key counts where one has bit 1 and the other bit 2. Repeats of a row are dropped, the
-    one with the most bits stays. The order under a key is dealt anew for each key, so that mates differ by key.
+    one with the most bits stays. The order under a key is dealt anew for each key, so that mates differ by key. The window
+    streams: a crowded key is not held in memory.
     """
-    of = Window.partitionBy("key")
-    order = of.orderBy("deal", "id", F.desc("side"))
+    order = Window.partitionBy("key").orderBy("deal", "id", F.desc("side"))
     one = keyed.withColumn("deal", F.xxhash64("key", "id")).withColumn("last", F.lag("id").over(order)).where("last IS NULL OR last <> id")
-    met = F.array_compact(F.array(*[F.lag("id", k).over(order) for k in range(1, mates + 1)]))
-    near = one.withColumn("mates", met).withColumn("next", F.lead("id").over(order))
-    return near.where("size(mates) > 0 OR next IS NOT NULL").select("key", "id", "side", "mates")
+    near = one.withColumn("mate", F.lag("id").over(order)).withColumn("next", F.lead("id").over(order))
+    return near.where("mate IS NOT NULL OR next IS NOT NULL").select("key", "id", "side", "mate")
 
 
 def linked_under_keys(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], marks: DataFrame, may: str = "true", links: DataFrame | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all verified pairs of ids that share a key.
 
-    Pairs within a large group of linked ids are never listed: each id is first verified against its few mates under
+    Pairs within a large group of linked ids are never listed: each id is first verified against one mate under
     each key, and only pairs of different components of these links follow, for keys under which there are any. Their
     number is bounded by group size times ids under the key that are not linked to the group. No link between components
     is lost. ``verified`` keeps of pairs (a, b) those that are linked. marks (id, ...) has columns for the condition
     ``may`` on x and y, which all linked pairs under a key fulfil. links: pairs (a, b) known before, counted as verified.
     """
-    met = shared.select("id", F.explode("mates").alias("y")).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    met = shared.where("mate IS NOT NULL").select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
     found = verified(met)
     found = written(found if links is None else found.unionByName(links), "first-links")
     roots = components(found).withColumnRenamed("node", "id")
-    told = written(shared.drop("mates").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "shared-roots")
+    told = written(shared.drop("mate").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "shared-roots")
     open_keys = told.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rest = told.join(open_keys, "key", "left_semi").join(marks, "id")
     pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.root < y.root AND ((x.side & 1) * (y.side & 2) + (x.side & 2) * (y.side & 1) > 0) AND ({may})"))
