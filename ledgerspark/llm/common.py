@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +91,40 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(lo)
 
 
+#: Bits of a filter that goes to the tasks: 8 MB, whatever the number of ids in it.
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame, column: str = "id"):
+    """A broadcast filter of fixed size over hashes of a long column: all ids given pass it, and few others."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    parts = ids.select(bit.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()  # FILTER_BITS bits at most
+    bits = bytearray(FILTER_BITS // 8)
+    for r in parts:
+        at = (r["b"] - 1) * 4096
+        bits[at:at + 4096] = r["bits"]
+    return ids.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def passes(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids (longs) pass a filter. Their hashes are those of Spark's xxhash64."""
+    one = np.ascontiguousarray(ids, "<i8")
+    h = np.fromiter((xxhash.xxh64_intdigest(one[i:i + 1].tobytes(), 42) for i in range(len(one))), np.uint64, len(one))
+    at = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+    return ((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def filtered(df: DataFrame, column: str, shared, hit: bool = True) -> DataFrame:
+    """Rows of df whose ids pass the filter, or those that don't; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = passes(shared.value, batch.column(column).to_numpy())
+            yield batch.filter(pa.array(ok if hit else ~ok))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructField], run: Callable[[list], list], *, limit: int = 4_000_000) -> DataFrame:
     """The columns of df to keep, untouched as Arrow arrays (so that integers beside nulls stay exact), and new ones.
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import free_name, word_count, written
 
 #: Rows that one hash bucket of a source, or one slice of finish time, holds at most on average.
 ROWS_PER_BUCKET = 500
@@ -115,10 +115,15 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), max_repeats: int = 3
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; all columns pass, whatever their names."""
-    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    taken = mix(whole, keep=["row"], **options).where("passes > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"))
-    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it; all columns pass, whatever their names.
+
+    Rows get a number and are written once; the mix is made of numbers, ids, sources and sizes, so that texts are shuffled once.
+    """
+    row = free_name(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plain = rows.select("doc_id", "source", "text", F.col(row).alias("row"))
+    taken = mix(plain, keep=["row"], **options).where("passes > 0").select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("passes"))).alias(free_name(rows, "_pass")))
+    return rows.join(taken, row).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The mix of the ``documents`` table with the default parameters, in DuckDB's SQL.
