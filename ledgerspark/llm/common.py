@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of work that is done and written, by collecting garbage on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -140,5 +147,6 @@ def mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructFie
             for part in slices(whole, column, limit):
                 made = work(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(made, kinds)], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])]).mapInArrow(batches, schema)

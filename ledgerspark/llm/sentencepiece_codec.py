@@ -30,7 +30,7 @@ from .common import free_name, mapped
 
 MARK = "▁"
 #: Bytes of chunks and ids that a worker remembers; then it starts anew.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 32_000_000
 THREADS = 2
 
 
