@@ -31,7 +31,7 @@ INFORMATIVE = r"(?<!\w)(?:nota\s+credito|nota\s+debito|saldo|debito:|credito:|re
 AUTHOR = r"(?iu)^(?:Desde|From|De)\s*:?\s*(.+?)\s*(?:<([^>]+)>)?\s*$"
 AMOUNT = re.compile(r"(?:(?P<before>\$|COP|USD)\s*)?(?P<n>\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d{4,}(?:[.,]\d{1,2})?)(?:\s*(?P<after>COP|USD|pesos))?", re.I)
 BAD_NEIGHBOURS = set("-/:@%°#*_")
-BOOK_SUFFIX = re.compile(r"(?:CR|DB|COP|USD)(?!\w)", re.I)
+BOOK_SUFFIX = re.compile(r"(?:CR|DB|COP|USD)(?![A-Za-z])", re.I)
 
 
 def read_amount(raw: str) -> float | None:
@@ -91,13 +91,22 @@ def candidates(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "page").orderBy("line_no")
     usable = ~F.col("line").rlike(HEADER) & ~F.col("line").rlike(SIGNATURE)
     name = F.regexp_extract(F.trim("line"), AUTHOR, 1)
+    mail = F.col("line").rlike(HEADER)
+    begins = (name != "") & (F.length(name) <= 90)  # a block of a mail
     rows = lines.withColumns({
         "usable": usable,
         "context": F.array_join(F.collect_list(F.when(usable & (F.trim("line") != ""), F.trim("line"))).over(w.rowsBetween(-2, 2)), " "),
-        "author": F.last(F.when((name != "") & (F.length(name) <= 90), name), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "header": F.last(F.when(F.rtrim("line").rlike(":$") & (F.length("line") <= 120), F.trim("line")), ignorenulls=True).over(w.rowsBetween(-19, -1)),
-        "party": F.last(F.when(X.party_name(F.col("line")), F.trim("line")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
+        "author": F.last(F.when(begins, name), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.row_number().over(w), "mail": mail, "stop": mail | F.rtrim("line").rlike(":$"), "block": F.sum(begins.cast("int")).over(w),
+    }).withColumns({
+        # a header of mail, and for a party a line that opens a list, hides what stands above it
+        "fence": F.last(F.when(F.col("mail"), F.col("n")), ignorenulls=True).over(w.rowsBetween(-19, -1)),
+        "barrier": F.last(F.when(F.col("stop"), F.col("n")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
+        "head_at": F.last(F.when(F.rtrim("line").rlike(":$") & ~mail & (F.length(F.trim("line")) <= 120), F.struct("n", "block", F.trim("line").alias("line"))), ignorenulls=True).over(w.rowsBetween(-19, -1)),
+        "party_at": F.last(F.when(X.party_name(F.col("line")) & ~F.col("stop"), F.struct("n", "block", F.trim("line").alias("line"))), ignorenulls=True).over(w.rowsBetween(-7, -1)),
     })
+    seen = lambda at, wall: F.when((F.col(f"{at}.block") == F.col("block")) & (F.col(f"{at}.n") > F.coalesce(wall, F.lit(0))), F.col(f"{at}.line"))
+    rows = rows.withColumns({"header": seen("head_at", F.col("fence")), "party": seen("party_at", F.col("barrier"))}).drop("n", "mail", "stop", "block", "fence", "barrier", "head_at", "party_at")
     found = with_amounts(rows.where("usable").drop("usable")).withColumn("score", score_of(X.fold(F.col("line")), X.fold(F.col("context")), F.col("value"), F.col("currency")))
     found = found.withColumn("line", F.trim("line"))
     best = Window.partitionBy("doc", "value", "line").orderBy(F.desc("score"), "page", "line_no", "place")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """words (doc, page, word_no, text, x0, x1, y0, y1) -> words with their line number on the page.
 
-    In order of (y0, x0) a word joins the first line whose centre, which moves with its words, is within the tolerance or half the
+    In order of (y0, x0) a word joins the first line whose centre, the middle between its words' top and bottom, is within the tolerance or half the
     first word's height; else it opens a line. The order matters, so a page is folded in one Arrow batch.
     """
     def fold(page: pd.DataFrame) -> pd.DataFrame:
@@ -22,13 +22,11 @@ def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
         at = []
         for y0, y1 in zip(page["y0"], page["y1"]):
             centre = (y0 + y1) / 2
-            k = next((i for i, l in enumerate(lines) if abs(centre - l["centre"]) <= max(tolerance, l["height"] / 2)), None)
+            k = next((i for i, l in enumerate(lines) if abs(centre - (l["top"] + l["bottom"]) / 2) <= max(tolerance, l["height"] / 2)), None)
             if k is None:
                 k = len(lines)
-                lines.append({"height": y1 - y0, "centre": centre, "n": 0, "top": y0})
-            line = lines[k]
-            line["centre"] = (line["centre"] * line["n"] + centre) / (line["n"] + 1)
-            line["n"] += 1
+                lines.append({"height": y1 - y0, "top": y0, "bottom": y1})
+            lines[k]["top"], lines[k]["bottom"] = min(lines[k]["top"], y0), max(lines[k]["bottom"], y1)
             at.append(k)
         rank = {k: i for i, k in enumerate(sorted(range(len(lines)), key=lambda i: (lines[i]["top"], i)))}
         return page.assign(line_no=[rank[k] for k in at])
@@ -75,12 +73,19 @@ def table_cells(words: DataFrame, row_anchors: DataFrame, column_anchors: DataFr
 
 
 def value_beside(words: DataFrame, labels: DataFrame, reach: float = 70.0) -> DataFrame:
-    """labels (doc, page, label, x0, x1, y0, y1) -> the nearest word right of each on its height, else below it within reach."""
+    """labels (doc, page, label, x0, x1, y0, y1) -> the value of each.
+
+    A label without a colon takes the highest word that starts at its left edge, up to 2.5 of its heights below it. Else, and where there is
+    none, the first word to its right on its height counts, then the highest below it within reach.
+    """
     l = labels.select("doc", "page", "label", *[F.col(c).alias("l" + c) for c in ("x0", "x1", "y0", "y1")])
-    j = words.join(l, ["doc", "page"])
-    right = (F.col("x0") >= F.col("lx1")) & (F.least("y1", "ly1") > F.greatest("y0", "ly0"))
-    below = (F.col("y0") >= F.col("ly1")) & (F.col("y0") - F.col("ly1") < reach) & (F.least("x1", "lx1") > F.greatest("x0", "lx0"))
-    place = F.when(right, F.struct(F.lit(0).alias("way"), (F.col("x0") - F.col("lx1")).alias("far"), F.col("word_no"))).when(below, F.struct(F.lit(1).alias("way"), (F.col("y0") - F.col("ly1")).alias("far"), F.col("word_no")))
+    j = words.join(l, ["doc", "page"]).withColumn("tall", F.greatest(F.col("ly1") - F.col("ly0"), F.lit(1.0)))
+    drop = F.col("y0") - F.col("ly1")
+    aligned = ~F.rtrim("label").endswith(":") & (drop >= 0) & (drop < 2.5 * F.col("tall")) & (F.abs(F.col("x0") - F.col("lx0")) < 0.8 * F.col("tall"))
+    right = (F.col("x0") > F.col("lx1") - 5) & (F.col("y0") < F.col("ly1")) & (F.col("y1") > F.col("ly0"))
+    below = (drop >= -4) & (drop < reach) & (F.col("x0") < F.col("lx1") + 40) & (F.col("x1") > F.col("lx0") - 40)
+    rank = lambda way, by: F.struct(F.lit(way).alias("way"), F.col(by).alias("at"), F.col("word_no"))
+    place = F.when(aligned, rank(0, "y0")).when(right, rank(1, "x0")).when(below, rank(2, "y0"))
     return j.withColumn("p", place).where("p IS NOT NULL").groupBy("doc", "page", "label").agg(F.min_by("text", "p").alias("value"))
 
 

@@ -63,7 +63,7 @@ def chequeo_recibido(spark, d):
 def chequeo_radian(spark, d):
     """Users whose events hold the three kinds that are asked for."""
     kind = F.create_map(*[F.lit(x) for p in (("click", "acuse"), ("view", "recibo"), ("purchase", "aceptacion")) for x in p])
-    e = table(spark, d, "events").where("event_id % 37 <> 0").groupBy("user_id").agg(F.collect_set(kind[c("event_type")]).alias("present"), F.max("event_id").cast("string").alias("number"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(kind[c("event_type")]).alias("present"), F.max("event_id").cast("string").alias("number"))
     state, bad = K.event_log(F.array_compact("present"), c("number"), F.when(c("user_id") % 3 == 0, F.concat(F.lit("00"), c("number"))), c("user_id").cast("string"), F.when(c("user_id") % 5 == 0, F.concat(c("user_id").cast("string"), F.lit("-1"))))
     return e.select("user_id", state.alias("state"), F.array_join(bad, ",").alias("failed"))
 
@@ -192,7 +192,7 @@ SQL = {
     "tope_orden": _F + f", g AS (SELECT *, {_LIST([('nit_tercero', f'''NOT (nit IS NOT NULL AND {_EQ('nit', 'want_nit')})'''), ('orden_en_registro', '''want_oc <> '' AND (oc = '' OR upper(oc) <> replace(upper(want_oc), ' ', ''))'''), ('cantidad_tope', 'billed > received + 1e-6')])} AS bad FROM f) SELECT key, CASE WHEN len(bad) > 0 THEN 'Revisar' ELSE 'OK' END AS state, array_to_string(bad, ',') AS failed FROM g",
     "chequeo_entrada": _F + f", g AS (SELECT *, {_LIST([('nit_tercero', f'''NOT (nit IS NOT NULL AND {_EQ('nit', 'want_nit')})'''), ('firma', 'NOT signed'), ('factura', f'''want_fra <> '' AND (fra = '' OR {_D('fra')} <> {_D('want_fra')})'''), ('orden_compra', f'''want_oc <> '' AND (oc = '' OR {_D('oc')} <> {_D('want_oc')})'''), ('cantidad', 'abs(received - billed) >= 0.01')])} AS bad FROM f) SELECT key, {_STATE.format('received IS NULL OR billed IS NULL')} FROM g",
     "chequeo_recibido": _F + f", g AS (SELECT *, {_LIST([('factura', f'''want_fra <> '' AND (fra = '' OR ltrim({_C.format('fra')}, '0') <> ltrim({_C.format('want_fra')}, '0'))'''), ('cantidad', 'billed IS NOT NULL AND coalesce(abs(received - billed) >= 1e-6, true)'), ('firmas', 'NOT (helper AND boss)')])} AS bad, {_LIST([('factura', '''want_fra = '' '''), ('cantidad', 'billed IS NULL'), ('firmas', 'helper IS NULL AND boss IS NULL')])} AS open FROM f) SELECT key, {_STATE.format('len(open) > 0')}, array_to_string(open, ',') AS pending FROM g",
-    "chequeo_radian": "WITH e AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('click', 'view', 'purchase')) AS k FROM events WHERE event_id % 37 <> 0 GROUP BY 1) SELECT user_id, CASE WHEN k = 3 THEN 'OK' ELSE 'Revisar' END AS state, CASE WHEN k = 3 THEN '' ELSE 'eventos' END AS failed FROM e",
+    "chequeo_radian": "WITH e AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('click', 'view', 'purchase')) AS k FROM events GROUP BY 1) SELECT user_id, CASE WHEN k = 3 THEN 'OK' ELSE 'Revisar' END AS state, CASE WHEN k = 3 THEN '' ELSE 'eventos' END AS failed FROM e",
     "factura_m": _F + f", g AS (SELECT *, {_LIST([('nit_cliente', 'nit IS NOT NULL AND NOT signed'), ('nit_tercero', f'''NOT {_EQ('nit', 'want_nit')}'''), ('qr', 'NOT helper')])} AS bad, {_LIST([('nit_cliente', 'nit IS NULL'), ('numero', '''fra = '' '''), ('qr', 'helper IS NULL')])} AS open FROM f) SELECT key, CASE WHEN len(bad) = 0 AND len(open) = 0 THEN 'OK' ELSE '' END AS state, array_to_string(bad, ',') AS failed, array_to_string(open, ',') AS pending FROM g",
     "estado_combinado": "WITH x AS (SELECT l_orderkey, CASE WHEN l_discount > 0.01 THEN l_tax < 0.07 END AS ok FROM lineitem) SELECT l_orderkey, CASE WHEN count(*) > count(ok) THEN NULL ELSE bool_and(ok) END AS p, CASE WHEN bool_and(coalesce(ok, false)) THEN 'OK' ELSE '' END AS m FROM x GROUP BY 1",
     "nit_igual_join": "WITH a AS (SELECT s_suppkey AS a_key, '9' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || CAST(s_suppkey % 10 AS VARCHAR) AS x FROM supplier), b AS (SELECT c_custkey AS b_key, '9' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS y FROM customer) SELECT a_key, b_key FROM a JOIN b ON x = y OR (length(x) = length(y) + 1 AND x[:-2] = y) OR (length(y) = length(x) + 1 AND y[:-2] = x)",

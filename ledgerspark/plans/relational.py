@@ -132,9 +132,12 @@ def visibilidad(spark, d):
 
 
 def reporte_huerfanos_archivo(spark, d):
-    names = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"([^/]+)$", 1).alias("name"), F.octet_length("html").cast("long").alias("size"))
-    hit = names.where(F.col("name").rlike(r"[0-9]"))
-    return hit.agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("size") / 1048576, 1).alias("mb"), F.array_join(F.slice(F.sort_array(F.collect_list("name")), 1, 20), ",").alias("first_names"))
+    """Files named by time stamp, as the old scheme did: how many, how large, and the first 20 names. Names are made of page ids and urls."""
+    stamp = F.when(F.col("page_id") % 3 == 0, F.concat(F.lpad(F.col("page_id").cast("string"), 13, "1"), F.lit("_"))).otherwise("")
+    names = table(spark, d, "pages").select(F.concat(stamp, F.regexp_extract("url", r"([^/]+)$", 1)).alias("name"), F.octet_length("html").cast("long").alias("size"))
+    hit = names.where(F.col("name").rlike(r"^[0-9]{13}_"))
+    first = hit.orderBy("name").limit(20).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("first_names"))
+    return hit.agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("size") / 1048576, 1).alias("mb")).crossJoin(first)
 
 
 def diferencias_l_r(spark, d):
@@ -244,7 +247,7 @@ FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN l ON l_orderke
     "lote_desde_egresos": "SELECT s_nationkey AS batch, count(*) AS vouchers, round(sum(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 0 END), 2) AS total, min(s_suppkey) AS first_number, max(s_suppkey) AS last_number, arg_min(s_name, s_suppkey) FILTER (s_suppkey % 2 = 0) AS bank FROM supplier GROUP BY 1",
     "primer_usuario": "SELECT c_mktsegment, arg_min(c_name, c_custkey) AS first_user, count(*) AS users FROM customer GROUP BY 1",
     "visibilidad": "SELECT person, s_suppkey, role = 'revisor' AS writes FROM supplier, (VALUES ('ana', 'revisor', 3), ('luz', 'gerente', 0), ('rey', 'admin', 0)) v(person, role, nation) WHERE role IN ('gerente', 'admin') OR s_nationkey = nation",
-    "reporte_huerfanos_archivo": "WITH f AS (SELECT regexp_extract(url, '([^/]+)$', 1) AS name, strlen(html) AS size FROM pages) SELECT count(*) AS files, round(sum(size) / 1048576, 1) AS mb, array_to_string(list_slice(list_sort(list(name)), 1, 20), ',') AS first_names FROM f WHERE regexp_matches(name, '[0-9]')",
+    "reporte_huerfanos_archivo": "WITH f AS (SELECT CASE WHEN page_id % 3 = 0 THEN lpad(CAST(page_id AS VARCHAR), 13, '1') || '_' ELSE '' END || regexp_extract(url, '([^/]+)$', 1) AS name, strlen(html) AS size FROM pages) SELECT count(*) AS files, round(sum(size) / 1048576, 1) AS mb, array_to_string(list_slice(list_sort(list(name)), 1, 20), ',') AS first_names FROM f WHERE regexp_matches(name, '^[0-9]{13}_')",
     "diferencias_l_r": f"SELECT o_orderkey AS key, CASE WHEN o_orderpriority <> '1-URGENT' THEN round(o_totalprice - coalesce(k, 0), 2) END AS diff_l, CASE WHEN o_orderpriority = '1-URGENT' THEN 'USD' END AS note_l, round(o_totalprice - coalesce(q, 0), 2) AS diff_r FROM orders LEFT JOIN {_SUMS} ON l_orderkey = o_orderkey",
     "fila_total": f"SELECT o_orderpriority AS sheet, round(sum(o_totalprice), 2) AS sum_g, round(sum(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE k END), 2) AS sum_k, round(sum(q), 2) AS sum_q, CAST(grouping(o_orderpriority) AS INTEGER) AS all_sheets FROM orders LEFT JOIN {_SUMS} ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_orderpriority)",
     "diferencias_lote": "SELECT c_custkey AS batch, round(coalesce(g, 0) - c_acctbal, 2) AS difference FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS g FROM orders GROUP BY 1) ON o_custkey = c_custkey",

@@ -7,6 +7,7 @@ Readers of PDF, image and workbook files are interfaces: their libraries are not
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def read_pages(spark: SparkSession, folder: str, reader: PageReader, ocr: PageRe
                     pages = reader(path, bytes(content))
                     if ocr and any(not p.strip() for p in pages):
                         again = ocr(path, bytes(content))
-                        pages = [p if p.strip() else q for p, q in zip(pages, again)]
+                        pages = [p if p.strip() or q is None else q for p, q in zip_longest(pages, again[:len(pages)])]  # the first reader's pages all stay
                     rows += [(path, digest, k, p, not p.strip(), None) for k, p in enumerate(pages, 1)]
                 except Exception as e:  # one bad file must not stop the batch
                     rows.append((path, digest, None, None, None, f"{type(e).__name__}: {e}"))
@@ -63,10 +64,24 @@ def write_cells(cells: DataFrame, path: str) -> None:
 
 
 def sheet_names(batches: DataFrame) -> DataFrame:
-    """Names of at most 31 characters without the forbidden ones; repeated names get a number."""
-    from pyspark.sql import Window
-
-    base = F.substring(F.regexp_replace("name", r"[\[\]:*?/\\]", " "), 1, 28)
-    w = Window.partitionBy(F.lower("base")).orderBy("position")
-    out = batches.withColumn("base", base).withColumn("_r", F.row_number().over(w))
-    return out.withColumn("sheet", F.when(F.col("_r") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" "), F.col("_r").cast("string")))).drop("base", "_r")
+    """Names of at most 31 characters without the forbidden ones; a name that is taken, in any case, gets the next free number.
+
+    The sheets of one workbook are few, and each name depends on those before it: they are named in one group.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*batches.schema.fields, T.StructField("sheet", T.StringType())])
+
+    def name(group: pd.DataFrame) -> pd.DataFrame:
+        group, taken, out = group.sort_values("position"), set(), []
+        for base in group.pop("_base"):
+            sheet, k = base, 1
+            while sheet.lower() in taken:
+                k += 1
+                sheet = f"{base} {k}"
+            taken.add(sheet.lower())
+            out.append(sheet)
+        return group.assign(sheet=out)
+
+    base = F.substring(F.regexp_replace("name", r"[\[\]:*?/\\]", " "), 1, 27)
+    return batches.withColumn("_base", base).groupBy().applyInPandas(name, schema)
