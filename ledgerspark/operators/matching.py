@@ -25,13 +25,16 @@ def tax_id_join(left: DataFrame, right: DataFrame) -> DataFrame:
 def near_numbers(read: DataFrame, listed: DataFrame, most: int = 2) -> DataFrame:
     """read (doc, batch, number), listed (batch, position, invoice) -> the listed invoice of each document.
 
-    An exact match comes first, in list order; then one of equal length with at most ``most`` other digits. Candidates meet
-    on batch and length, which keeps the comparison an equi-join; documents without a match keep a null invoice.
+    An exact match comes first, in list order; then one of equal length with at most ``most`` other digits. Numbers are cut into
+    ``most`` + 1 segments, one of which agrees in any match, and meet on batch, length and segment, so that a large batch isn't compared with itself
+    in full; documents without a match keep a null invoice.
     """
     mine, theirs = X.whole_number(F.col("number")), X.whole_number(F.col("invoice"))
     r = read.withColumn("n", mine).withColumn("size", F.length("n"))
     l = listed.withColumn("m", theirs).withColumn("size", F.length("m")).where("m <> ''")
-    cand = r.where("n <> ''").join(l, ["batch", "size"]).withColumn("gap", X.differing(F.col("n"), F.col("m"))).where(F.col("gap") <= most)
+    at = lambda i: F.floor(i * F.col("size") / (most + 1)).cast("int")
+    cut = lambda n: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(n, at(F.lit(i)) + 1, at(F.lit(i + 1)) - at(F.lit(i))).alias("s")) for i in range(most + 1)]))
+    cand = r.where("n <> ''").withColumn("part", cut("n")).join(l.withColumn("part", cut("m")), ["batch", "size", "part"]).withColumn("gap", X.differing(F.col("n"), F.col("m"))).where(F.col("gap") <= most)
     best = cand.groupBy("doc").agg(F.min(F.struct((F.col("gap") > 0).alias("inexact"), "position", "invoice", "gap")).alias("best"))
     return read.join(best, "doc", "left").select("doc", "number", F.col("best.invoice").alias("invoice"), F.coalesce(~F.col("best.inexact"), F.lit(False)).alias("exact"), F.coalesce("best.gap", F.lit(-1)).alias("gap"))
 

@@ -95,12 +95,18 @@ WEIGHTS = {"the": 12, "that": 7, "de": 5, "is": 4, "und": 3, "la": -6, "los": -8
 
 
 def puntaje_claves(spark, d):
-    """Weighted whole-word keys in the line, or at half weight in its context."""
+    """Weighted whole-word keys in the line, or at half weight in its context.
+
+    A key is one word, so it is in the context if it is in one of the context's lines: lines are scanned once, into a bit for each
+    key, and the bits are joined over the window.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-2, 2)
-    around = F.array_join(F.collect_list("l").over(w), " ")
-    rows = _lines(spark, d).select("doc_id", "line_no", F.lower("line").alias("l")).withColumn("c", around)
-    hit = lambda col, k: F.col(col).rlike(rf"(^|[^0-9A-Za-z_]){k}([^0-9A-Za-z_]|$)")
-    score = sum((F.when(hit("l", k), v).when(hit("c", k), max(1, v // 2) if v > 0 else 0).otherwise(0) for k, v in WEIGHTS.items()), F.lit(0))
+    line = F.lower("line")
+    hit = lambda k: F.contains(line, F.lit(k)) & line.rlike(rf"(^|[^0-9A-Za-z_]){k}([^0-9A-Za-z_]|$)")
+    bits = sum((F.when(hit(k), 1 << i).otherwise(0) for i, k in enumerate(WEIGHTS)), F.lit(0))
+    rows = _lines(spark, d).select("doc_id", "line_no", bits.alias("own")).withColumn("near", F.bit_or("own").over(w))
+    has = lambda col, i: F.col(col).bitwiseAND(1 << i) != 0
+    score = sum((F.when(has("own", i), v).when(has("near", i), max(1, v // 2) if v > 0 else 0).otherwise(0) for i, v in enumerate(WEIGHTS.values())), F.lit(0))
     return rows.groupBy("doc_id").agg(F.sum(score).alias("score"), F.max(score).alias("best"))
 
 
