@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ["relational", "text", "reconciliation", "extraction"]
+PLANS = ["relational", "text", "reconciliation", "extraction", "store", "invoices"]
 
 
 def _plans() -> list:

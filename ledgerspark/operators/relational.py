@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 CENT = 0.01
 
 
@@ -119,10 +121,79 @@ def sheet_totals(lines: DataFrame) -> DataFrame:
     return lines.rollup("sheet").agg(money(F.sum("g")).alias("sum_g"), money(F.sum(k)).alias("sum_k"), money(F.sum("q")).alias("sum_q"), F.grouping("sheet").cast("int").alias("all_sheets"))
 
 
-def comments(notes: DataFrame) -> DataFrame:
-    """key, position, column letter, invoice, text -> one comment per payment: distinct notes in order, with the invoice where there are several."""
-    many = F.count_distinct("invoice").alias("n")
-    counted = notes.join(notes.groupBy("key").agg(many), "key")
-    text = F.concat(F.col("letter"), F.lit(": "), F.when(F.col("n") > 1, F.concat(F.lit("["), F.col("invoice"), F.lit("] "))).otherwise(""), F.col("text"))
-    first = counted.where("text IS NOT NULL AND text <> ''").select("key", "position", text.alias("note")).groupBy("key", "note").agg(F.min("position").alias("position"))
-    return first.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "note"))), lambda x: x["note"]), "\n").alias("comment"))
+# What a failed and an open check are called in the sheet's notes.
+FAILED = {
+    "nit_cliente": "el NIT del cliente no coincide", "nit_tercero": "el NIT del tercero no coincide", "cufe": "sin CUFE", "qr": "sin código QR",
+    "numero": "no se pudo leer el número de factura", "numero_egreso": "el número de factura no coincide con el del egreso",
+    "fuera_del_registro": "la factura no es ninguna de las de este registro",
+}
+OPEN = {"nit_cliente": "el NIT del cliente", "nit_tercero": "el NIT del tercero", "cufe": "el CUFE", "qr": "el código QR", "numero": "el número de factura", "numero_egreso": "el número contra el egreso"}
+
+
+def worded(codes: Column, words: dict[str, str]) -> Column:
+    """Codes in their wording, joined by commas; an unknown code stands for itself, no codes give null."""
+    book = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.when(F.size(codes) > 0, F.array_join(F.transform(codes, lambda k: F.coalesce(F.try_element_at(book, k), k)), ", "))
+
+
+def invoice_cells(lines: DataFrame) -> DataFrame:
+    """lines (key, has_file, ok, missing, pending) -> cell and note of each payment with a file or a finding on some line.
+
+    OK only if every line is; a check that failed on one line isn't listed as open too. Sets of codes are few, so a group stays small.
+    """
+    seen = F.bool_or(F.coalesce("has_file", F.lit(False)) | (F.size("missing") > 0) | (F.size("pending") > 0))
+    codes = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    g = lines.groupBy("key").agg(seen.alias("seen"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), codes("missing").alias("missing"), codes("pending").alias("pending")).where("seen")
+    failed, still = worded(F.col("missing"), FAILED), worded(F.array_except("pending", "missing"), OPEN)
+    note = F.concat_ws(" · ", F.concat(F.lit("revisar: "), failed), F.concat(F.lit("sin comprobar: "), still))
+    return g.select("key", F.when(F.col("ok"), "OK").otherwise("Revisar").alias("cell"), F.nullif(note, F.lit("")).alias("note"))
+
+
+def comments(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """One comment per payment: why it differs (L), the invoices' note (M), then each row's notes by column letter, equal lines once.
+
+    rows (key, position, invoice, notes, states), heads (key, reason, note); notes are structs of letter and text, states of letter and state. A pending
+    state without a note is a line too. Where a payment has several rows, each line begins with the row's invoice. The rows of one payment
+    meet in one array.
+    """
+    blank = lambda t: F.trim(F.coalesce(t, F.lit(""))) == ""
+    line = lambda many, r, letter, text: F.concat(F.when(many & ~blank(r["invoice"]), F.concat(r["invoice"], F.lit(" · "))).otherwise(""), letter, F.lit(": "), text)
+
+    def of_row(many: Column, r: Column) -> Column:
+        written = F.filter(r["notes"], lambda x: ~blank(x["text"]))
+        waiting = F.filter(r["states"], lambda s: (s["state"] == "Pendiente") & ~F.exists(written, lambda x: x["letter"] == s["letter"]))
+        return F.concat(F.transform(written, lambda x: line(many, r, x["letter"], F.trim(x["text"]))), F.transform(waiting, lambda s: line(many, r, s["letter"], F.lit("pendiente"))))
+
+    own = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("position", "invoice", "notes", "states"))).alias("rows")).join(heads, "key", "full")
+    top = F.array_compact(F.array(F.when(~blank(F.col("reason")), F.concat(F.lit("L: "), F.col("reason"))), F.when(~blank(F.col("note")), F.concat(F.lit("M: "), F.col("note")))))
+    below = F.coalesce(F.flatten(F.transform("rows", lambda r: of_row(F.size("rows") > 1, r))), F.array().cast("array<string>"))
+    return own.select("key", F.array_join(F.array_distinct(F.concat(top, below)), "\n").alias("comment")).where("comment <> ''")
+
+
+def rewrite_children(stored: DataFrame, incoming: DataFrame, key: str, items: str) -> DataFrame:
+    """stored (key, position, value), incoming (key, items): the children of each incoming parent are replaced by its items, numbered from 0."""
+    new = incoming.select(key, F.posexplode(items).alias("position", "value"))
+    return stored.join(incoming.select(key), key, "left_anti").unionByName(new)
+
+
+def without_text(items: Column, part: str = "entrada", field: str = "texto") -> Column:
+    """The array with one field left out of a nested struct of its elements; elements without that struct stay."""
+    return F.transform(items, lambda x: x.withField(part, F.when(x[part].isNotNull(), x[part].dropFields(field))))
+
+
+def delete_work(batches: DataFrame, children: DataFrame, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Batches (batch, owner) and children (batch) that are left when an owner's work, or with no owner all work, is deleted."""
+    gone = F.lit(True) if owner is None else F.coalesce(F.col("owner") == owner.strip().lower(), F.lit(False))
+    left = batches.where(~gone)
+    return left, children.join(left.select("batch"), "batch", "left_semi")
+
+
+def voucher_documents(docs: DataFrame, tax_id: str = "") -> DataFrame:
+    """docs (name, category, tax_id): those filed as vouchers or named like the accounting system's, of one payee if an id is given."""
+    hit = (F.col("category") == "egreso") | F.lower(F.coalesce("name", F.lit(""))).rlike(r"^g[0-9]{6,}")
+    return docs.where(hit) if not tax_id else docs.where(hit & X.same_tax_id(F.col("tax_id"), F.lit(tax_id)))
+
+
+def by_hash(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (.., hash) and wanted (hash), one or many -> the documents of that content."""
+    return docs.join(wanted.select("hash"), "hash", "left_semi")
