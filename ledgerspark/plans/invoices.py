@@ -32,7 +32,7 @@ _NUMBER = "CASE o_orderkey % 6 WHEN 0 THEN 'FV' || n WHEN 1 THEN 'FE' || n WHEN
 _ORDERS = "(SELECT o_orderkey, CAST(o_orderkey + 100000 AS VARCHAR) AS n FROM orders)"
 SQL = {
     "numero_factura": f"""SELECT o_orderkey AS doc, {_NUMBER} AS number, CASE o_orderkey % 6 WHEN 0 THEN 'texto (etiqueta de factura, detrás de un No.)' WHEN 1 THEN 'texto (detrás de un No., prefijo en el rango autorizado)' WHEN 2 THEN 'texto (coincide con el egreso)' WHEN 3 THEN 'texto (nombre del archivo)' WHEN 4 THEN 'QR' ELSE '' END AS source,
- CASE o_orderkey % 6 WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 3 THEN 2 END AS points FROM {_ORDERS}""",
+ CAST(CASE o_orderkey % 6 WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 3 THEN 2 END AS BIGINT) AS points FROM {_ORDERS}""",
     "numero_contra_egreso": f"""WITH x AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 6 < 5 THEN o_orderkey + 100000 END AS a, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey + 100000 WHEN 1 THEN o_orderkey + 130000 WHEN 2 THEN 7 END AS b FROM orders)
 SELECT doc, CASE WHEN a = b THEN true WHEN length(CAST(a AS VARCHAR)) = length(CAST(b AS VARCHAR)) AND hamming(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) <= 2 THEN false END AS agrees FROM x""",
 }
