@@ -166,7 +166,7 @@ def qr_fields(c: Column) -> Column:
 
 def invoice_hash(c: Column) -> Column:
     """The 96-digit hash of an e-invoice: after its label, in a document URL, or alone."""
-    found = [F.nullif(F.lower(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"(?i)cu[fd]e\s*:?\s*([0-9a-f]{96})", r"(?i)documentkey=([0-9a-f]{96})", r"(?i)\b([0-9a-f]{96})\b")]
+    found = [F.nullif(F.lower(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"(?i)cu(?:fe|de|ds)\s*[:=]?\s*([0-9a-f]{96})", r"(?i)(?:catalogo-vpfe|documentkey=)\S*?([0-9a-f]{96})", r"(?i)\b([0-9a-f]{96})\b")]
     return F.coalesce(*found)
 
 
@@ -183,3 +183,10 @@ def pack_factor(c: Column) -> Column:
     t = fold(c)
     n = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (r"(?:x|por)\s*([0-9]{1,4})\s*(?:und|unid|rollos?|pz|u)\b", r"\b([0-9]{1,4})\s*(?:rollos?|und|unidades|piezas|pz)\b")]).try_cast("int")
     return F.when(n > 1, n)
+
+
+def spots(text: Column, pattern: Column) -> Column:
+    """Matches of a pattern with the number of characters before each: the text is cut at its matches."""
+    hits, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+    return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), (length(F.slice(pieces, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i))).alias("place")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.text import spots
 from .documents import RANGE
 
 # The labels of an invoice's number, a bare "No.", what makes a "No." another number, and words of file names.
@@ -24,13 +25,6 @@ LEAST = 2
 REASONS = {"label": "etiqueta de factura", "bare": "detrás de un No.", "range": "prefijo en el rango autorizado", "expected": "coincide con el egreso", "name": "nombre del archivo", "inside": "dentro del rango autorizado"}
 
 
-def spots(text: Column, pattern: Column) -> Column:
-    """Matches of a pattern with the number of characters before each: the text is cut at its matches."""
-    hits, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), (length(F.slice(pieces, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i))).alias("place")))
-
-
 def _vote(prefix: Column, digits: Column, points: Column, rule: str, place: Column) -> Column:
     return F.struct(F.upper(prefix).alias("prefix"), digits.alias("digits"), points.alias("points"), F.lit(list(REASONS).index(rule)).alias("rule"), place.alias("place"))
 

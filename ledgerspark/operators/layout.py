@@ -72,13 +72,13 @@ def table_cells(words: DataFrame, row_anchors: DataFrame, column_anchors: DataFr
     return cell.groupBy("doc", "page", "row", "name").agg(text.alias("text"))
 
 
-def value_beside(words: DataFrame, labels: DataFrame, reach: float = 70.0) -> DataFrame:
-    """labels (doc, page, label, x0, x1, y0, y1) -> the value of each.
+def value_beside(words: DataFrame, labels: DataFrame, reach: float = 70.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """labels (doc, page, label, x0, x1, y0, y1) -> the value of each; by names more columns that tell equal labels of a page apart.
 
     A label without a colon takes the highest word that starts at its left edge, up to 2.5 of its heights below it. Else, and where there is
     none, the first word to its right on its height counts, then the highest below it within reach.
     """
-    l = labels.select("doc", "page", "label", *[F.col(c).alias("l" + c) for c in ("x0", "x1", "y0", "y1")])
+    l = labels.select("doc", "page", "label", *by, *[F.col(c).alias("l" + c) for c in ("x0", "x1", "y0", "y1")])
     j = words.join(l, ["doc", "page"]).withColumn("tall", F.greatest(F.col("ly1") - F.col("ly0"), F.lit(1.0)))
     drop = F.col("y0") - F.col("ly1")
     aligned = ~F.rtrim("label").endswith(":") & (drop >= 0) & (drop < 2.5 * F.col("tall")) & (F.abs(F.col("x0") - F.col("lx0")) < 0.8 * F.col("tall"))
@@ -86,7 +86,7 @@ def value_beside(words: DataFrame, labels: DataFrame, reach: float = 70.0) -> Da
     below = (drop >= -4) & (drop < reach) & (F.col("x0") < F.col("lx1") + 40) & (F.col("x1") > F.col("lx0") - 40)
     rank = lambda way, by: F.struct(F.lit(way).alias("way"), F.col(by).alias("at"), F.col("word_no"))
     place = F.when(aligned, rank(0, "y0")).when(right, rank(1, "x0")).when(below, rank(2, "y0"))
-    return j.withColumn("p", place).where("p IS NOT NULL").groupBy("doc", "page", "label").agg(F.min_by("text", "p").alias("value"))
+    return j.withColumn("p", place).where("p IS NOT NULL").groupBy("doc", "page", "label", *by).agg(F.min_by("text", "p").alias("value"))
 
 
 def signatures(labels: DataFrame, images: DataFrame, scanned: DataFrame, above: float = 70.0, under: float = 6.0) -> DataFrame:

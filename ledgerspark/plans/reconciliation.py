@@ -11,6 +11,7 @@ from ..operators import checks as K
 from ..operators import layout as L
 from ..operators import matching as M
 from ..operators import relational as R
+from ..operators.access import lockouts
 from ..sources.tables import table
 from .fixtures import COLUMNS, IMAGES, LABELS, MAILS, PACKS, ROWS, SCANNED, WORDS
 
@@ -120,11 +121,12 @@ def mejor_candidato(spark, d):
 
 
 def bloqueo_intentos(spark, d):
-    """Five failures in a row of one user lock the account: runs of failures between successes, counted by fives."""
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", (c("event_type") != "purchase").alias("failed"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    island = e.withColumn("island", F.sum((~c("failed")).cast("int")).over(w)).where("failed").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"))
-    return island.groupBy("user_id").agg(F.sum(F.floor(c("n") / 5)).alias("locks"), F.max("n").alias("longest"))
+    """Five failures in a row of one user lock the account for five minutes, in which nothing counts; longest is the longest run of failures."""
+    e = table(spark, d, "events").select("user_id", c("event_id").alias("place"), c("ts").alias("at"), (c("event_type") == "purchase").alias("ok"))
+    w = Window.partitionBy("user_id").orderBy("at", "place")
+    island = e.withColumn("island", F.sum(c("ok").cast("int")).over(w)).where("NOT ok").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"))
+    locks = lockouts(e).groupBy("user_id").agg(F.count(F.lit(1)).alias("locks"))
+    return island.groupBy("user_id").agg(F.max("n").alias("longest")).join(locks, "user_id", "left").select("user_id", F.coalesce("locks", F.lit(0).cast("long")).alias("locks"), "longest")
 
 
 def clasificar_linea(spark, d):
@@ -201,7 +203,11 @@ SQL = {
     "evidencia_numero": "WITH s AS (SELECT l_orderkey AS doc, CAST(l_suppkey % 4 AS VARCHAR) AS candidate, CAST(sum(CASE WHEN l_quantity > 25 THEN 3 ELSE 1 END) AS BIGINT) AS points, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY points DESC, position, candidate DESC) AS k FROM s) SELECT doc, CASE WHEN points >= 2 THEN candidate ELSE '' END AS candidate, points FROM r WHERE k = 1",
     "mayor_por_linea": "SELECT l_orderkey, l_linenumber, max(round(l_extendedprice, 2)) AS price FROM lineitem GROUP BY 1, 2",
     "mejor_candidato": "SELECT l_orderkey, CAST(rank AS INTEGER) AS rank, l_quantity, round(l_extendedprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS rank FROM lineitem) WHERE rank <= 3",
-    "bloqueo_intentos": "WITH i AS (SELECT user_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events), n AS (SELECT user_id, island, count(*) AS n FROM i WHERE event_type <> 'purchase' GROUP BY 1, 2) SELECT user_id, CAST(sum(n // 5) AS BIGINT) AS locks, max(n) AS longest FROM n GROUP BY 1",
+    "bloqueo_intentos": """WITH RECURSIVE e AS (SELECT user_id, ts, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS n, TIMESTAMP '1970-01-01' AS until, CAST(0 AS BIGINT) AS locks FROM events
+ UNION ALL SELECT e.user_id, e.k, CASE WHEN e.ts < until THEN n WHEN ok OR n = 4 THEN 0 ELSE n + 1 END, CASE WHEN e.ts >= until AND NOT ok AND n = 4 THEN e.ts + INTERVAL 5 MINUTE ELSE until END, locks + CASE WHEN e.ts >= until AND NOT ok AND n = 4 THEN 1 ELSE 0 END
+ FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1), i AS (SELECT user_id, ok, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k) AS island FROM e), r AS (SELECT user_id, island, count(*) AS n FROM i WHERE NOT ok GROUP BY 1, 2)
+ SELECT r.user_id, m.locks, max(r.n) AS longest FROM r JOIN (SELECT user_id, max(locks) AS locks FROM s GROUP BY 1) m ON m.user_id = r.user_id GROUP BY 1, 2""",
     "intervalos_unidos": "WITH a AS (SELECT l_suppkey, l_quantity AS x0, l_quantity + 0.25 AS x1, max(l_quantity + 0.25) OVER (PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM lineitem), b AS (SELECT *, sum(CASE WHEN e IS NULL OR x0 > e + 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS grp FROM a) SELECT l_suppkey, CAST(grp AS BIGINT) AS grp, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM b GROUP BY 1, 2",
 }
 
