@@ -5,34 +5,67 @@ Joins on positions are bounded by page: one page's words meet, never a document'
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _line_numbers(page: list[tuple], tolerance: float) -> list[int]:
+    """The line of each word (y0 and y1 last) of a page in order of (y0, x0).
+
+    Words come downwards, so a line whose reach ends above a word's top takes no later word either: only the lines still in reach are looked at.
+    """
+    lines: list[list[float]] = []  # top, bottom, reach
+    live: list[int] = []
+    at = []
+    for *_, y0, y1 in page:
+        k = None
+        if y0 is not None and y1 is not None:
+            live = [i for i in live if (lines[i][0] + lines[i][1]) / 2 + lines[i][2] >= min(y0, y1)]
+            k = next((i for i in live if abs((y0 + y1) / 2 - (lines[i][0] + lines[i][1]) / 2) <= lines[i][2]), None)
+        if k is None:
+            k = len(lines)
+            known = y0 is not None and y1 is not None
+            lines.append([y0, y1, max(tolerance, (y1 - y0) / 2)] if known else [float("inf")] * 3)
+            live += [k] * known
+        elif y0 is not None and y1 is not None:
+            lines[k][:2] = min(lines[k][0], y0), max(lines[k][1], y1)
+        at.append(k)
+    rank = {k: i for i, k in enumerate(sorted(range(len(lines)), key=lambda i: (lines[i][0], i)))}
+    return [rank[k] for k in at]
+
+
 def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """words (doc, page, word_no, text, x0, x1, y0, y1) -> words with their line number on the page.
 
     In order of (y0, x0) a word joins the first line whose centre, the middle between its words' top and bottom, is within the tolerance or half the
-    first word's height; else it opens a line. The order matters, so a page is folded in one Arrow batch.
+    first word's height; else it opens a line. A word without a height has a line of its own, after the others. The order matters, so the
+    words are read as a stream sorted by page, and one page at a time is held.
     """
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "word_no"]).reset_index(drop=True)
-        lines: list[dict] = []
-        at = []
-        for y0, y1 in zip(page["y0"], page["y1"]):
-            centre = (y0 + y1) / 2
-            k = next((i for i, l in enumerate(lines) if abs(centre - (l["top"] + l["bottom"]) / 2) <= max(tolerance, l["height"] / 2)), None)
-            if k is None:
-                k = len(lines)
-                lines.append({"height": y1 - y0, "top": y0, "bottom": y1})
-            lines[k]["top"], lines[k]["bottom"] = min(lines[k]["top"], y0), max(lines[k]["bottom"], y1)
-            at.append(k)
-        rank = {k: i for i, k in enumerate(sorted(range(len(lines)), key=lambda i: (lines[i]["top"], i)))}
-        return page.assign(line_no=[rank[k] for k in at])
-
-    cols = ["doc", "page", "word_no", "text", "x0", "x1", "y0", "y1"]
-    return words.select(*cols).groupBy("doc", "page").applyInPandas(fold, "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double, line_no int")
+    schema = "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double"
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def numbered(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip([*names, "line_no"], r)) for r in rows], schema=made)
+
+        made = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("word_no", pa.int32()), ("text", pa.string()), *[(n, pa.float64()) for n in names[4:]], ("line_no", pa.int32())])
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:2] != row[:2]:
+                    done += [(*r, k) for r, k in zip(held, _line_numbers(held, tolerance))]
+                    held = []
+                held.append(row)
+            yield numbered(done)
+        yield numbered([(*r, k) for r, k in zip(held, _line_numbers(held, tolerance))])
+
+    typed = words.select(*[F.col(part.split()[0]).cast(part.split()[1]) for part in schema.split(", ")])
+    return typed.repartition("doc", "page").sortWithinPartitions("doc", "page", "y0", "x0", "word_no").mapInArrow(fold, schema + ", line_no int")
 
 
 def line_texts(words: DataFrame) -> DataFrame:
