@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .documents import invoice_ids
 
 # Weights of approval words and of noise words.
 APPROVAL = {
@@ -117,6 +118,22 @@ def candidates(lines: DataFrame) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(rank)).withColumn("kind", kind)
 
 
+LISTED = 40
+
+
+def listed(cands: DataFrame) -> DataFrame:
+    """The candidates that a document offers: scores of 0 or more, the best 40. The others are quantities and codes."""
+    return cands.where((F.col("score") >= 0) & (F.col("rank") <= LISTED))
+
+
+def with_invoices(cands: DataFrame) -> DataFrame:
+    """Candidates with the invoice of their line, or of the best ranked line of the document that names one beside the same value; else blank."""
+    own = F.coalesce(F.get(invoice_ids(F.col("line")), 0), F.lit(""))
+    same = Window.partitionBy("doc", "value").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.when(own != "", own), ignorenulls=True).over(same)
+    return cands.withColumn("invoice", F.when(own != "", own).otherwise(F.coalesce(first, F.lit(""))))
+
+
 def chosen(cands: DataFrame) -> DataFrame:
     """Approved amounts of each document: acts, or requests where there are none; the largest per line; each value once."""
     doc = Window.partitionBy("doc")
@@ -126,6 +143,16 @@ def chosen(cands: DataFrame) -> DataFrame:
     return pick.withColumn("_v", F.row_number().over(Window.partitionBy("doc", "value").orderBy("rank"))).where("_v = 1").drop("_v", "top", "acts")
 
 
+REASONS = {"informativo": "valor informativo (nota crédito, saldo o registro contable)", "mencion": "se menciona sin aprobación explícita", "solicitud": "es una solicitud de aprobación, no la aprobación"}
+
+
+def discarded(cands: DataFrame, picked: DataFrame) -> DataFrame:
+    """Candidates whose value their document doesn't approve: doc, rank, value, kind, reason; an act on a line with a larger one has no reason."""
+    left = cands.join(picked.select("doc", "value").distinct(), ["doc", "value"], "left_anti")
+    reason = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in REASONS.items()], F.lit(""))
+    return left.select("doc", "rank", "value", "kind", reason.alias("reason"))
+
+
 def verdict(picked: DataFrame, payee: Column | None = None) -> DataFrame:
     """picked (payment, doc, value, line, kind, author, party) -> one row per payment: total, lines, split, confidence.
 
@@ -143,3 +170,21 @@ def verdict(picked: DataFrame, payee: Column | None = None) -> DataFrame:
     lost = F.bool_or(F.col("_some") & ~F.col("_any"))
     level = F.when(lost, "baja").when((acts == n) & (F.count_if(F.coalesce("author", F.lit("")) == "") == 0), "alta").when(acts > 0, "media").otherwise("baja")
     return rows.groupBy("payment").agg(F.round(F.sum("value"), 2).alias("total"), n.alias("lines"), (n > 1).alias("split"), level.alias("confidence"))
+
+
+NOTES = {"baja": "Solo se encontraron solicitudes de aprobación. Falta el correo donde el jefe aprueba el valor.", "media": "Algunos renglones provienen de una solicitud de aprobación y no de la aprobación misma. Verifica el correo del aprobador.", "alta": ""}
+NOTHING, STRANGERS = "No se encontró ningún valor aprobado en los correos.", "El correo aprueba facturas de otros terceros y ninguno coincide con el titular: revisa cual corresponde."
+
+
+def decisions(payments: DataFrame, picked: DataFrame, payee: Column | None = None) -> DataFrame:
+    """payments (payment) and picked as of verdict -> one row per payment: the verdict, the mails behind it, and a note that explains it.
+
+    A payment without approved amounts has a total of 0 and low confidence. documents are its mails with approved amounts, copies
+    and mails about other parties included. payment is unique and not null.
+    """
+    v = verdict(picked, payee)
+    mails = picked.groupBy("payment").agg(F.array_sort(F.collect_set("doc")).alias("documents"), F.bool_or(F.col("kind") == "acto").alias("acts"))
+    j = payments.select("payment").join(v, "payment", "left").join(mails, "payment", "left")
+    why = F.when(F.col("confidence").isNull(), NOTHING).when((F.col("confidence") == "baja") & F.col("acts"), STRANGERS).otherwise(F.coalesce(*[F.when(F.col("confidence") == k, n) for k, n in NOTES.items()]))
+    shared = F.when(F.col("split"), F.concat(F.lit("Pago repartido en "), F.col("lines").cast("string"), F.lit(".")))
+    return j.select("payment", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("lines", F.lit(0).cast("long")).alias("lines"), F.coalesce("split", F.lit(False)).alias("split"), F.coalesce("confidence", F.lit("baja")).alias("confidence"), F.coalesce("documents", F.array().cast("array<string>")).alias("documents"), F.concat_ws(" ", F.nullif(why, F.lit("")), shared).alias("note"))

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import access, portal, review
+from ledgerspark.operators import access, candidates, portal, review
 
 DOC = "doc long, text string, links array<string>, code string, code_seen boolean, name string, expected string, own_id string, third_id string, cited string"
 
@@ -52,3 +52,19 @@ def test_portal_fields(spark):
     assert (got["a"]["number"], got["a"]["tax_id"], got["a"]["name"], got["a"]["statuses"], got["a"]["no_events"]) == ("FV 77", "", "UNO SAS", ["Aprobado"], True)
     assert (got["b"]["number"], got["b"]["statuses"], got["b"]["present"]) == ("", [], [])
     assert [r[0] for r in spark.createDataFrame([("Versi",), ("Vers",), ("RAZÓN SOCIAL:",), ("",), ("ALFA",)], "t string").select(portal.is_label(F.col("t"))).collect()] == [True, False, True, True, False]
+
+
+def test_decisions(spark):
+    picked = [
+        (1, "b", 1, 10.0, "Aprobado 10", "acto", "Ana", "NORTE SAS"), (1, "a", 1, 10.0, "aprobado 10", "acto", "Ana", "NORTE SAS"),  # the same quotation in two mails counts once
+        (2, "c", 1, 5.0, "x", "acto", "Ana", "ALFA DEL SUR LTDA"), (3, "d", 1, 7.0, "y", "solicitud", None, None),
+    ]
+    picked = spark.createDataFrame(picked, "payment long, doc string, rank int, value double, line string, kind string, author string, party string")
+    payments = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "payment long")
+    got = {r["payment"]: r for r in candidates.decisions(payments, picked, F.lit("NORTE SAS")).collect()}
+    assert (got[1]["total"], got[1]["confidence"], got[1]["documents"], got[1]["note"]) == (10.0, "alta", ["a", "b"], "")
+    assert (got[2]["total"], got[2]["confidence"], got[2]["note"]) == (5.0, "baja", candidates.STRANGERS)
+    assert (got[3]["confidence"], got[3]["note"]) == ("baja", candidates.NOTES["baja"])
+    assert (got[4]["total"], got[4]["lines"], got[4]["split"], got[4]["documents"], got[4]["note"]) == (0.0, 0, False, [], candidates.NOTHING)
+    scores = spark.createDataFrame([(i, 41 - i, float(i)) for i in range(1, 43)], "rank int, score int, value double")
+    assert sorted(r["rank"] for r in candidates.listed(scores).collect()) == list(range(1, 41))
