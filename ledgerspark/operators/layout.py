@@ -51,7 +51,7 @@ def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
         held: list[tuple] = []
 
         def numbered(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip([*names, "line_no"], r)) for r in rows], schema=made)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(made), made)], schema=made)
 
         made = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("word_no", pa.int32()), ("text", pa.string()), *[(n, pa.float64()) for n in names[4:]], ("line_no", pa.int32())])
         for batch in batches:

@@ -10,7 +10,7 @@ from ..sources.tables import table
 c = F.col
 
 
-def _candidates(spark, d):
+def _lines(spark, d):
     """First mail: an act after its request, a request beside a mention, an act without an author, or a balance. Second: a copy for every third order, two more acts for the next, else nothing."""
     n = (c("o_orderkey") + 100_000).cast("string")
     value = F.concat(F.lit("$ "), F.substring(n, 1, 3), F.lit("."), F.substring(n, 4, 3), F.lit(".000"))
@@ -18,8 +18,19 @@ def _candidates(spark, d):
     one = way(4, F.concat(F.lit("Desde: Ana Ruiz <ana@x.co>\nsu aprobación a la FRA 4819 por "), value, F.lit("\nAprobada por "), value), F.concat(F.lit("Desde: Ana Ruiz\nsolicito su visto bueno por "), value, F.lit("\npresupuesto $ 55.000.000")), F.concat(F.lit("Aprobada por "), value), F.concat(F.lit("saldo de "), value))
     two = way(3, one, "Desde: Luis Paz\nAprobado por $ 20.000.000\nAprobado por $ 30.000.000", "gracias")
     mails = table(spark, d, "orders").select(c("o_orderkey").alias("payment"), F.explode(F.array(F.struct(F.lit("a").alias("part"), one.alias("text")), F.struct(F.lit("b").alias("part"), two.alias("text")))).alias("m"))
-    lines = mails.select("payment", F.concat(c("payment").cast("string"), c("m.part")).alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("m.text", "\n")).alias("line_no", "line"))
-    return C.with_invoices(C.listed(C.candidates(lines)))
+    return mails.select("payment", F.concat(c("payment").cast("string"), c("m.part")).alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("m.text", "\n")).alias("line_no", "line"))
+
+
+def _candidates(spark, d):
+    return C.with_invoices(C.listed(C.candidates(_lines(spark, d))))
+
+
+def resumen_correos(spark, d):
+    """The mails below the mail program's name and a blank line."""
+    mails = _lines(spark, d)
+    above = mails.where("line_no = 0").select("payment", "doc", "page", F.posexplode(F.array(F.lit("Outlook"), F.lit(" "))).alias("line_no", "line")).withColumn("line_no", c("line_no") - 2)
+    lines = mails.unionByName(above)
+    return C.summaries(lines, C.candidates(lines)).select("doc", "subject", F.array_join("invoices", ",").alias("invoices"), F.array_join("orders", ",").alias("orders"), "suggested", "shown", "dropped")
 
 
 def decision_pagos(spark, d):
@@ -47,6 +58,10 @@ SQL = {
     "aprobados_con_factura": f"""WITH {_MAILS} SELECT doc, v AS value, CASE WHEN way = 1 THEN 'solicitud' ELSE 'acto' END AS kind, CASE WHEN way = 0 THEN '4819' ELSE '' END AS invoice FROM m WHERE way < 3
  UNION ALL SELECT s || 'b', x.v, 'acto', '' FROM o, (VALUES (20000000.0::DOUBLE), (30000000.0::DOUBLE)) x(v) WHERE two = 1""",
     "descartados_con_motivo": f"""WITH {_MAILS} SELECT doc, v AS value, 'informativo' AS kind, '{C.REASONS['informativo']}' AS reason FROM m WHERE way = 3 UNION ALL SELECT doc, 55000000.0, 'mencion', '{C.REASONS['mencion']}' FROM m WHERE way = 1""",
+    "resumen_correos": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS s, o_orderkey % 4 AS way, o_orderkey % 3 AS two, CAST(o_orderkey + 100000 AS VARCHAR) AS n FROM orders), x AS (SELECT *, substr(n, 1, 3) || '.' || substr(n, 4, 3) || '.000' AS t FROM o),
+ m AS (SELECT s || 'a' AS doc, way, t FROM x UNION ALL SELECT s || 'b', CASE two WHEN 0 THEN way WHEN 1 THEN 4 ELSE 5 END, t FROM x)
+ SELECT doc, CASE way WHEN 0 THEN 'Desde: Ana Ruiz <ana@x.co>' WHEN 1 THEN 'Desde: Ana Ruiz' WHEN 2 THEN 'Aprobada por $ ' || t WHEN 3 THEN 'saldo de $ ' || t WHEN 4 THEN 'Desde: Luis Paz' ELSE 'gracias' END AS subject, CASE way WHEN 0 THEN '4819' ELSE '' END AS invoices, '' AS orders,
+ CASE way WHEN 4 THEN 30000000.0 WHEN 5 THEN NULL ELSE CAST(replace(t, '.', '') AS DOUBLE) END AS suggested, CAST(CASE way WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 0 ELSE 2 END AS BIGINT) AS shown, CAST(0 AS BIGINT) AS dropped FROM m""",
 }
 
 QUERIES = {k: globals()[k] for k in SQL}
