@@ -78,6 +78,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compression_quality import learn, score
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), trainable=~held_out)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "by_sizes", "by_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
