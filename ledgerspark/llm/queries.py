@@ -87,12 +87,19 @@ def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "by_sizes", "by_bytes")
 
 
+def op12_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import SQL
+    from .phrases import SQL as PHRASES_SQL
     from .token_counts import MAINTAINED_SQL
 
-    return {"op2_source_mixing": SQL, "op4_token_rollup": MAINTAINED_SQL}
+    return {"op2_source_mixing": SQL, "op4_token_rollup": MAINTAINED_SQL, "op12_suffix_phrases": PHRASES_SQL}
