@@ -93,13 +93,20 @@ def op12_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_bisected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import build_index, search
+
+    return search(build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .lexical_search import SQL as SEARCH_SQL
     from .mixing import SQL
     from .phrases import SQL as PHRASES_SQL
     from .token_counts import MAINTAINED_SQL
 
-    return {"op2_source_mixing": SQL, "op4_token_rollup": MAINTAINED_SQL, "op12_suffix_phrases": PHRASES_SQL}
+    return {"op2_source_mixing": SQL, "op4_token_rollup": MAINTAINED_SQL, "op12_suffix_phrases": PHRASES_SQL, "op13_bisected_search": SEARCH_SQL}
