@@ -85,14 +85,12 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list]]:
         yield escaped(lang), some
 
 
-def joined(kinds: pa.Array, codes: list[np.ndarray]) -> pa.Array:
-    """Words with a space after each; codes of -1 are none."""
-    out = None
-    for c in codes:
-        part = pc.fill_null(kinds.take(pa.array(c, mask=c < 0)), b"")
-        space = pa.array([b"", b" "], pa.large_binary()).take(pa.array((c >= 0).astype(np.int64)))
-        out = pc.binary_join_element_wise(*([part, space] if out is None else [out, part, space]), NOTHING)
-    return out
+def joined(kinds: pa.Array, codes: list[np.ndarray], head: bytes = b"") -> pa.Array:
+    """head, then words with a space after each; codes of -1 are none."""
+    spaced = pc.binary_join_element_wise(kinds, pa.scalar(b" ", pa.large_binary()), NOTHING)
+    spaced = pa.concat_arrays([spaced, pa.array([b""], pa.large_binary())])  # the last stands for none
+    parts = [spaced.take(pa.array(np.where(c < 0, len(kinds), c))) for c in codes]
+    return pc.binary_join_element_wise(*([pa.scalar(head, pa.large_binary())] if head else []), *parts, NOTHING)
 
 
 def runs(columns: list[np.ndarray], weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -202,11 +200,8 @@ def suffixes(docs: DataFrame, common, hot: dict[bytes, set[bytes]], max_n: int)
                         some = pc.is_in(text, value_set=pa.array(list(prefixes), pa.large_binary())).to_numpy(zero_copy_only=False) if len(inside) else np.zeros(0, bool)
                         inside = inside[some]
                         part[inside] = (part[inside] ^ own[codes[size][inside]]) * np.int64(0x1E3779B97F4A7C15) + size
-                    text = joined(kinds, codes)
-                    head = lang + b"\n"
                     for lo in range(0, len(rows), 50_000):
-                        some = text.slice(lo, 50_000)
-                        full = pc.binary_join_element_wise(pa.scalar(head, pa.large_binary()), some, NOTHING).cast(pa.binary())
+                        full = joined(kinds, [c[lo:lo + 50_000] for c in codes], lang + b"\n").cast(pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(part[lo:lo + 50_000]), full, pa.array(count[lo:lo + 50_000])], names=["part", "suffix", "n"])
         pa.default_memory_pool().release_unused()
 
