@@ -13,6 +13,15 @@ MONTHS = {"ene": 1, "jan": 1, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "may": 5,
 # Words of company names that tell nobody apart.
 GENERIC = ["S", "A", "SA", "SAS", "LTDA", "LIMITADA", "CIA", "CO", "INC", "DE", "DEL", "LA", "EL", "LOS", "LAS", "Y", "E", "EN", "SOCIEDAD", "ANONIMA", "GRUPO", "EMPRESA", "COMERCIALIZADORA", "DISTRIBUIDORA", "SERVICIOS", "SUMINISTROS"]
 
+# Words that tell a column of the bank's table, in the order in which they are tried, with its field.
+COLUMN_WORDS = {"transaccion": "kind", "destinatario": "payee", "destino": "account", "celular": "phone", "referencia": "reference", "valor": "value"}
+# Words of the bank's form and of banks, which are never part of a payee's name; and those that stand in the name's own column.
+FORM_WORDS = [
+    "abono", "cuenta", "cuentas", "ahorro", "ahorros", "corriente", "banco", "bancos", "bancolombia", "davivienda", "occidente", "villas", "bbva", "av", "popular", "agrario",
+    "caja", "social", "itau", "scotiabank", "colpatria", "falabella", "pichincha", "cop", "transferencia", "debito", "credito", "pago", "pagos", "abonoa", "de", "del", "la", "el", "cops", "copz", "cor",
+]
+NAME_COLUMN_WORDS = ["abono", "abonoa", "cuenta", "a"]
+
 
 def fold(c: Column) -> Column:
     """Lower case without marks."""
@@ -190,3 +199,34 @@ def spots(text: Column, pattern: Column) -> Column:
     hits, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
     return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), (length(F.slice(pieces, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i))).alias("place")))
+
+
+def column_field(title: Column) -> Column:
+    """The field that a column's normalised title names, blank if none. Titles may be misread; two titles share "documento", so "tipo" tells them apart."""
+    says = lambda word: tolerant(title).contains(word.translate(str.maketrans("l105", "iios")))
+    out = F.when(F.trim(title).isin("#", "n", "no"), "nro").when(says("documento"), F.when(says("tipo"), "document_kind").otherwise("document"))
+    for word, field in COLUMN_WORDS.items():
+        out = out.when(says(word), field)
+    return out.otherwise("")
+
+
+def screen_noise(c: Column) -> Column:
+    """Buttons and bubbles of the portal that are read as if they were data."""
+    said = F.btrim(normalise(c), F.lit("?¿ "))
+    return said.isin("cambiar", "ayuda", "necesitas", "necesitas ayuda") | said.contains("necesitas ayuda")
+
+
+def invoice_references(c: Column) -> Column:
+    """All numbers of two digits or more in a payment's reference."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]{2,}"), F.lit(0))
+
+
+def payee_name(c: Column, noise: list[str] = FORM_WORDS) -> Column:
+    """Words of letters that aren't noise. One letter alone counts only as a link (y, e) between two words of the name."""
+    token = "[A-Za-zÁÉÍÓÚÑáéíóúñ][A-Za-zÁÉÍÓÚÑáéíóúñ&']*"
+    link = lambda w: fold(w).isin("y", "e")
+    takes = lambda kept, w: ~fold(w).isin(*noise) & F.when(F.length(w) == 1, link(w) & (F.size(kept) > 0)).otherwise(True)
+    words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(token), F.lit(0))
+    kept = F.aggregate(words, F.array().cast("array<string>"), lambda kept, w: F.when(takes(kept, w), F.array_append(kept, w)).otherwise(kept))
+    last = F.aggregate(F.transform(kept, lambda w, i: F.when(link(w), 0).otherwise(i + 1)), F.lit(0), lambda a, b: F.greatest(a, b))  # links at the end go
+    return F.array_join(F.slice(kept, F.lit(1), last), " ")
