@@ -156,12 +156,18 @@ def spelled_out(c: Column) -> Column:
     return (F.size(t) >= 6) & (F.size(F.filter(t, lambda x: F.length(x) <= 2)) >= 0.6 * F.size(t))
 
 
+# Words of a pasted table's head.
+TABLE_WORDS = ["FECHA", "FACTURA", "FACT", "CANTIDAD", "VALOR", "TOTAL", "NOMBRES", "APELLIDOS", "DETALLE", "UND", "UNITARIO", "DESCRIPCION", "ITEM"]
+
+
 def party_name(c: Column) -> Column:
-    """A line that looks like a company's name: 3 to 90 characters, no digit or dollar, four letters, nine tenths upper case."""
+    """A line that looks like a company's name: 3 to 90 characters, no digit, dollar or colon at its end, four letters, nine tenths upper case, and no two words of a table's head."""
     t = F.trim(c)
     letters = F.length(F.regexp_replace(t, r"(?U)[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(t, r"(?U)[^\p{Lu}]", ""))
-    return F.length(t).between(3, 90) & ~t.rlike(r"[0-9$]") & (letters >= 4) & (upper >= 0.9 * letters)
+    words = F.split(F.regexp_replace(F.upper(fold(t)), "[^A-Z ]", " "), " +")
+    of_table = F.size(F.array_intersect(words, F.array(*map(F.lit, TABLE_WORDS)))) >= 2
+    return F.length(t).between(3, 90) & ~t.rlike(r"[0-9$]") & ~t.endswith(":") & (letters >= 4) & ~of_table & (upper >= 0.9 * letters)
 
 
 def qr_fields(c: Column) -> Column:

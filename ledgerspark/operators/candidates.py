@@ -30,6 +30,10 @@ ACT = r"(?<!\w)(?:aprobad[oa]s?|autorizad[oa]s?|apruebo|autorizo|aprobamos|proce
 REQUEST = r"(?<!\w)(?:(?:su|tu)\s+(?:aprobacion|autorizacion|vo\.?\s?bo|visto\s+bueno)|por\s+favor\s+(?:su|tu|nos)|solicito|agradezco|requiero|me\s+confirmas|quedo\s+atent[oa]|pendiente\s+de\s+(?:su|tu))(?!\w)"
 INFORMATIVE = r"(?<!\w)(?:nota\s+credito|nota\s+debito|saldo|debito:|credito:|registro\s+contable|iva|retencion|rete|subtotal|base\s+imponible)(?!\w)"
 AUTHOR = r"(?iu)^(?:Desde|From|De)\s*:?\s*(.+?)\s*(?:<([^>]+)>)?\s*$"
+SENT = r"(?i)^(?:Enviado(?:\s+el)?|Fecha|Sent)\s*:?\s*(.+)$"
+DATED = r"(?iU)^(?:fecha|enviad[oa](?:\s+el)?|sent|date)\b.*[0-9]{1,2}[/\-. ]\w+[/\-. ][0-9]{2,4}"
+ADDRESSED = r"(?i)^(?:para|to|cc|cco|bcc|asunto|subject)\s*:?\s+\S"
+IN_WORDS = re.compile(r"\b(\d{1,3})\s*(mil|millones?)\s*(?:de\s*)?pesos?\b", re.I)
 AMOUNT = re.compile(r"(?:(?P<before>\$|COP|USD)\s*)?(?P<n>\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d{4,}(?:[.,]\d{1,2})?)(?:\s*(?P<after>COP|USD|pesos))?", re.I)
 BAD_NEIGHBOURS = set("-/:@%°#*_")
 BOOK_SUFFIX = re.compile(r"(?:CR|DB|COP|USD)(?![A-Za-z])", re.I)
@@ -43,7 +47,10 @@ def read_amount(raw: str) -> float | None:
 
 
 def amounts_of(line: str) -> list[tuple[str, float, bool, int]]:
-    """(text, value, has a currency, place) of each number of a line that can be an amount of money."""
+    """(text, value, has a currency, place) of each number of a line that can be an amount of money; those in words come last.
+
+    Both "mil" and "millones" count a thousand, as the rule in use has it.
+    """
     found = []
     for m in AMOUNT.finditer(line):
         a, b = m.span("n")
@@ -60,7 +67,7 @@ def amounts_of(line: str) -> list[tuple[str, float, bool, int]]:
         a_year = not currency and 1900 <= value <= 2100
         if not too_plain and not a_year and value >= 1_000:
             found.append((m[0].strip(), value, currency, a))
-    return found
+    return found + [(m[0].strip(), float(m[1]) * 1000, True, len(line) + m.start()) for m in IN_WORDS.finditer(line)]
 
 
 def with_amounts(lines: DataFrame) -> DataFrame:
@@ -84,32 +91,56 @@ def score_of(line: Column, context: Column, value: Column, currency: Column) ->
     return sum(near + noise, F.lit(0)) + F.when(currency, 5).otherwise(0) + F.when(value >= 100_000, 2).otherwise(0)
 
 
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\r\x0b\x0c\u00a0"))
+
+
+def mail_header(line: Column) -> Column:
+    """A line of a mail's own header: a sender, a date after its label, or an addressee or subject after a space. A table's title that begins so is none."""
+    return line.rlike(AUTHOR) | line.rlike(DATED) | line.rlike(ADDRESSED)
+
+
+def invoices_beside(text: Column, amount: Column) -> Column:
+    """Invoices that a text names, without those that are part of the amount; sorted, five at most."""
+    return F.slice(F.array_sort(F.array_distinct(F.filter(invoice_ids(text), lambda f: ~F.contains(amount, f)))), 1, 5)
+
+
 def candidates(lines: DataFrame) -> DataFrame:
     """lines (doc, page, line_no, line) -> ranked candidate amounts of each document.
 
-    Of equal (value, line) the best score stays, the first of equals; rank goes by score, then value, then place.
+    Author and date are those of the mail's block above, which opens with a sender and may have its date in the next three lines. The party is the nearest company name
+    in the seven lines above, the header the nearest line with a colon at its end in the nineteen above; neither reaches over a mail's header, and the party not over a
+    list's header. Invoices are those of the line, else of the lines around it. Of equal (value, line) the best score stays, the
+    first of equals; rank goes by score, then value, then place.
     """
     w = Window.partitionBy("doc", "page").orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    said = stripped(F.col("line"))
     usable = ~F.col("line").rlike(HEADER) & ~F.col("line").rlike(SIGNATURE)
-    name = F.regexp_extract(F.trim("line"), AUTHOR, 1)
-    mail = F.col("line").rlike(HEADER)
+    name = stripped(F.regexp_extract(said, AUTHOR, 1))
     begins = (name != "") & (F.length(name) <= 90)  # a block of a mail
+    sent = F.nullif(stripped(F.regexp_extract(said, SENT, 1)), F.lit(""))
     rows = lines.withColumns({
-        "usable": usable,
-        "context": F.array_join(F.collect_list(F.when(usable & (F.trim("line") != ""), F.trim("line"))).over(w.rowsBetween(-2, 2)), " "),
-        "author": F.last(F.when(begins, name), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "n": F.row_number().over(w), "mail": mail, "stop": mail | F.rtrim("line").rlike(":$"), "block": F.sum(begins.cast("int")).over(w),
-    }).withColumns({
+        "usable": usable, "said": said, "sent": sent, "begins": begins, "name": name, "n": F.row_number().over(w), "mail": mail_header(said),
+        "context": F.array_join(F.collect_list(F.when(usable & (said != ""), said)).over(w.rowsBetween(-2, 2)), " "),
+    })
+    rows = rows.withColumn("dated", F.coalesce(*[F.lead("sent", k).over(w) for k in (1, 2, 3)], F.lit("")))
+    rows = rows.withColumns({"opened": F.last(F.when(F.col("begins"), F.struct("name", "dated")), ignorenulls=True).over(upto), "block": F.sum(F.col("begins").cast("int")).over(upto)})
+    party = X.party_name(F.col("said")) & ~F.col("said").rlike(HEADER) & ~F.col("said").rlike(SIGNATURE)
+    colon, at = F.col("said").endswith(":"), lambda what: F.when(what, F.struct("n", "block", F.col("said").alias("line")))
+    rows = rows.withColumns({
         # a header of mail, and for a party a line that opens a list, hides what stands above it
         "fence": F.last(F.when(F.col("mail"), F.col("n")), ignorenulls=True).over(w.rowsBetween(-19, -1)),
-        "barrier": F.last(F.when(F.col("stop"), F.col("n")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
-        "head_at": F.last(F.when(F.rtrim("line").rlike(":$") & ~mail & (F.length(F.trim("line")) <= 120), F.struct("n", "block", F.trim("line").alias("line"))), ignorenulls=True).over(w.rowsBetween(-19, -1)),
-        "party_at": F.last(F.when(X.party_name(F.col("line")) & ~F.col("stop"), F.struct("n", "block", F.trim("line").alias("line"))), ignorenulls=True).over(w.rowsBetween(-7, -1)),
+        "barrier": F.last(F.when((F.col("mail") | colon) & (F.col("said") != ""), F.col("n")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
+        "head_at": F.last(at(colon & ~F.col("mail") & (F.length("said") <= 120)), ignorenulls=True).over(w.rowsBetween(-19, -1)),
+        "party_at": F.last(at(party & ~colon & ~F.col("mail")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
     })
     seen = lambda at, wall: F.when((F.col(f"{at}.block") == F.col("block")) & (F.col(f"{at}.n") > F.coalesce(wall, F.lit(0))), F.col(f"{at}.line"))
-    rows = rows.withColumns({"header": seen("head_at", F.col("fence")), "party": seen("party_at", F.col("barrier"))}).drop("n", "mail", "stop", "block", "fence", "barrier", "head_at", "party_at")
-    found = with_amounts(rows.where("usable").drop("usable")).withColumn("score", score_of(X.fold(F.col("line")), X.fold(F.col("context")), F.col("value"), F.col("currency")))
-    found = found.withColumn("line", F.trim("line"))
+    rows = rows.withColumns({"header": seen("head_at", F.col("fence")), "party": seen("party_at", F.col("barrier")), "author": F.col("opened.name"), "date": F.col("opened.dated")})
+    rows = rows.where("usable").select(*lines.columns, "context", "author", "date", "header", "party")
+    found = with_amounts(rows).withColumn("score", score_of(X.fold(F.col("line")), X.fold(F.col("context")), F.col("value"), F.col("currency")))
+    own = invoices_beside(F.col("line"), F.col("original"))
+    found = found.withColumn("invoices", F.when(F.size(own) > 0, own).otherwise(invoices_beside(F.col("context"), F.col("original")))).withColumn("line", stripped(F.col("line")))
     best = Window.partitionBy("doc", "value", "line").orderBy(F.desc("score"), "page", "line_no", "place")
     one = found.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b")
     rank = Window.partitionBy("doc").orderBy(F.desc("score"), F.desc("value"), "page", "line_no", "place")
@@ -144,8 +175,8 @@ def summaries(lines: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def with_invoices(cands: DataFrame) -> DataFrame:
-    """Candidates with the invoice of their line, or of the best ranked line of the document that names one beside the same value; else blank."""
-    own = F.coalesce(F.get(invoice_ids(F.col("line")), 0), F.lit(""))
+    """Candidates with the first of their invoices, or that of the best ranked candidate of the document with the same value that has any; else blank."""
+    own = F.coalesce(F.get("invoices", 0), F.lit(""))
     same = Window.partitionBy("doc", "value").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first(F.when(own != "", own), ignorenulls=True).over(same)
     return cands.withColumn("invoice", F.when(own != "", own).otherwise(F.coalesce(first, F.lit(""))))
@@ -160,48 +191,91 @@ def chosen(cands: DataFrame) -> DataFrame:
     return pick.withColumn("_v", F.row_number().over(Window.partitionBy("doc", "value").orderBy("rank"))).where("_v = 1").drop("_v", "top", "acts")
 
 
+# The wording of reasons and notes.
 REASONS = {"informativo": "valor informativo (nota crédito, saldo o registro contable)", "mencion": "se menciona sin aprobación explícita", "solicitud": "es una solicitud de aprobación, no la aprobación"}
+NOTES = {"baja": "Solo se encontraron solicitudes de aprobación. Falta el correo donde el jefe aprueba el valor.", "media": "Algunos renglones provienen de una solicitud de aprobación y no de la aprobación misma. Verifica el correo del aprobador.", "alta": ""}
+NOTHING, NO_MAILS = "No se encontró ningún valor aprobado en los correos.", "No hay correos con texto para determinar el valor aprobado."
+KINDS_READ = ["", "correo", "otro"]
+DISCARDED = 20
+
+
+def approval_mails(docs: DataFrame) -> DataFrame:
+    """Documents (category, needs_ocr, ...) that can approve an amount: mails and others, with a text."""
+    return docs.where(F.coalesce("category", F.lit("")).isin(*KINDS_READ) & ~F.coalesce("needs_ocr", F.lit(False)))
 
 
 def discarded(cands: DataFrame, picked: DataFrame) -> DataFrame:
-    """Candidates whose value their document doesn't approve: doc, rank, value, kind, reason; an act on a line with a larger one has no reason."""
+    """Candidates whose value their document doesn't approve, and why: an act on a line with a larger one is named by its document alone."""
     left = cands.join(picked.select("doc", "value").distinct(), ["doc", "value"], "left_anti")
-    reason = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in REASONS.items()], F.lit(""))
-    return left.select("doc", "rank", "value", "kind", reason.alias("reason"))
+    doc = F.col("doc").cast("string")
+    reason = F.coalesce(*[F.when(F.col("kind") == k, F.concat(doc, F.lit(f": {v}"))) for k, v in REASONS.items()], doc)
+    keep = [c for c in ("payment",) if c in cands.columns]
+    return left.select(*keep, "doc", "rank", "value", "kind", reason.alias("reason"))
 
 
-def verdict(picked: DataFrame, payee: Column | None = None) -> DataFrame:
-    """picked (payment, doc, value, line, kind, author, party) -> one row per payment: total, lines, split, confidence.
+def approved(picked: DataFrame, payee: Column | None = None) -> DataFrame:
+    """picked (payment, doc, rank, value, line, kind, author, party; orders, if known) -> each approved amount once.
 
-    The same value with the same quotation counts once over all documents. With a payee, lines of other parties go if any line is
-    the payee's; if none is, all stay and the confidence is low.
+    The same value with the same quotation (80 characters) counts once over all mails of a payment; its documents and orders are those of all of them, in order. With a payee,
+    amounts of others don't stay where any is the payee's; lost tells that parties are named and none of them is the payee.
     """
-    same = Window.partitionBy("payment", "value", F.substring(X.fold(F.col("line")), 1, 80)).orderBy("doc", "rank")
-    rows = picked.withColumn("_s", F.row_number().over(same)).where("_s = 1")
-    mine = F.lit(True) if payee is None else F.coalesce(X.same_party(F.col("party"), payee), F.lit(False))
-    named = F.lit(False) if payee is None else F.col("party").isNotNull()
+    rows = picked if "orders" in picked.columns else picked.withColumn("orders", F.array().cast("array<string>"))
+    rows = rows.withColumns({"_payee": F.coalesce(payee, F.lit("")) if payee is not None else F.lit(""), "quote": F.left("line", F.lit(300))})
+    first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("payment", "value", "orders")]), F.struct("doc", "rank"))
+    seen = F.sort_array(F.collect_list(F.struct("doc", "rank", "orders")))
+    once = rows.groupBy("payment", "value", F.substring(X.fold(F.col("quote")), 1, 80).alias("_said")).agg(first.alias("f"), seen.alias("_seen"))
+    once = once.select("payment", "value", "f.*", F.array_distinct(F.transform("_seen", lambda x: x["doc"])).alias("documents"), F.array_distinct(F.flatten(F.transform("_seen", lambda x: x["orders"]))).alias("orders"))
     w = Window.partitionBy("payment")
-    rows = rows.withColumns({"_mine": mine, "_named": named}).withColumns({"_any": F.max("_mine").over(w), "_some": F.max("_named").over(w)})
-    rows = rows.where(~F.col("_some") | ~F.col("_any") | F.col("_mine"))
-    acts, n = F.count_if(F.col("kind") == "acto"), F.count(F.lit(1))
-    lost = F.bool_or(F.col("_some") & ~F.col("_any"))
-    level = F.when(lost, "baja").when((acts == n) & (F.count_if(F.coalesce("author", F.lit("")) == "") == 0), "alta").when(acts > 0, "media").otherwise("baja")
-    return rows.groupBy("payment").agg(F.round(F.sum("value"), 2).alias("total"), n.alias("lines"), (n > 1).alias("split"), level.alias("confidence"))
+    named = (F.col("_payee") != "") & (F.coalesce("party", F.lit("")) != "")
+    mine = named & X.same_party(F.col("party"), F.col("_payee"))
+    once = once.withColumns({"_mine": mine, "_some": F.max(named).over(w)}).withColumn("_any", F.max("_mine").over(w))
+    return once.withColumns({"stays": ~F.col("_any") | F.col("_mine"), "lost": F.col("_some") & ~F.col("_any")}).drop("_mine", "_some", "_any")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """A row per payment of ``approved``."""
+    stays, order = F.col("stays"), [F.col("doc"), F.col("rank")]
+    kept = lambda *cs: F.sort_array(F.collect_list(F.when(stays, F.struct(*order, *cs))))
+    n, acts = F.count_if(stays), F.count_if(stays & (F.col("kind") == "acto"))
+    lost = F.bool_or("lost")
+    level = F.when(lost, "baja").when((acts == n) & (F.count_if(stays & (F.coalesce("author", F.lit("")) == "")) == 0), "alta").when(acts > 0, "media").otherwise("baja")
+    base = F.when((acts == n) & (F.count_if(stays & (F.coalesce("author", F.lit("")) == "")) == 0), NOTES["alta"]).when(acts > 0, NOTES["media"]).otherwise(NOTES["baja"])
+    parts = F.array_join(F.transform(kept(F.col("value")), lambda x: F.format_number(x["value"], 2)), " + ")
+    names = F.array_join(F.array_sort(F.collect_set(F.when(F.coalesce("party", F.lit("")) != "", F.col("party")))), ", ")
+    shared = F.when(n > 1, F.concat(F.lit("Pago repartido: "), parts, F.lit(".")))
+    strangers = F.when(lost, F.concat(F.lit("El correo aprueba facturas de "), names, F.lit(" y ninguno coincide con el titular ("), F.max("_payee"), F.lit("): revisa cual corresponde.")))
+    reason = F.concat(F.col("doc").cast("string"), F.lit(": aprobado de otro proveedor ("), F.coalesce(F.nullif(F.col("party"), F.lit("")), F.lit("sin nombre")), F.lit("), no de "), F.col("_payee"))
+    others = F.reverse(F.sort_array(F.collect_list(F.when(~stays, F.struct(*order, "value", reason.alias("reason"))))))
+    return rows.groupBy("payment").agg(
+        F.round(F.sum(F.when(stays, F.col("value"))), 2).alias("total"), n.alias("lines"), (n > 1).alias("split"), level.alias("confidence"),
+        F.array_distinct(F.flatten(F.transform(kept(F.col("documents")), lambda x: x["documents"]))).alias("documents"), F.array_distinct(F.flatten(F.transform(kept(F.col("orders")), lambda x: x["orders"]))).alias("orders"),
+        F.concat_ws(" ", F.nullif(base, F.lit("")), shared, strangers).alias("note"), F.transform(others, lambda x: F.struct(x["value"].alias("value"), x["reason"].alias("reason"))).alias("others"))
 
 
-NOTES = {"baja": "Solo se encontraron solicitudes de aprobación. Falta el correo donde el jefe aprueba el valor.", "media": "Algunos renglones provienen de una solicitud de aprobación y no de la aprobación misma. Verifica el correo del aprobador.", "alta": ""}
-NOTHING, STRANGERS = "No se encontró ningún valor aprobado en los correos.", "El correo aprueba facturas de otros terceros y ninguno coincide con el titular: revisa cual corresponde."
+def verdict(picked: DataFrame, payee: Column | None = None) -> DataFrame:
+    """One row per payment with approved amounts: total, lines, split, confidence (see ``approved``)."""
+    return _judged(approved(picked, payee)).select("payment", "total", "lines", "split", "confidence")
 
 
-def decisions(payments: DataFrame, picked: DataFrame, payee: Column | None = None) -> DataFrame:
-    """payments (payment) and picked as of verdict -> one row per payment: the verdict, the mails behind it, and a note that explains it.
+def decisions(payments: DataFrame, picked: DataFrame, payee: Column | None = None, *, mails: DataFrame | None = None, left: DataFrame | None = None) -> DataFrame:
+    """payments (payment) and picked as of ``approved`` -> one row per payment: the verdict, its documents and orders, a note, and what was discarded.
 
-    A payment without approved amounts has a total of 0 and low confidence. documents are its mails with approved amounts, copies
-    and mails about other parties included. payment is unique and not null.
+    mails (payment): those that could be read; a payment without any says so. left: ``discarded`` amounts (payment, doc, rank, value, reason); approved amounts of
+    other parties come before them, the last first, and 20 are kept. A payment without approved amounts has a total of 0 and low confidence. payment is unique and not null.
     """
-    v = verdict(picked, payee)
-    mails = picked.groupBy("payment").agg(F.array_sort(F.collect_set("doc")).alias("documents"), F.bool_or(F.col("kind") == "acto").alias("acts"))
-    j = payments.select("payment").join(v, "payment", "left").join(mails, "payment", "left")
-    why = F.when(F.col("confidence").isNull(), NOTHING).when((F.col("confidence") == "baja") & F.col("acts"), STRANGERS).otherwise(F.coalesce(*[F.when(F.col("confidence") == k, n) for k, n in NOTES.items()]))
-    shared = F.when(F.col("split"), F.concat(F.lit("Pago repartido en "), F.col("lines").cast("string"), F.lit(".")))
-    return j.select("payment", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("lines", F.lit(0).cast("long")).alias("lines"), F.coalesce("split", F.lit(False)).alias("split"), F.coalesce("confidence", F.lit("baja")).alias("confidence"), F.coalesce("documents", F.array().cast("array<string>")).alias("documents"), F.concat_ws(" ", F.nullif(why, F.lit("")), shared).alias("note"))
+    none = F.array().cast("array<struct<value: double, reason: string>>")
+    j = payments.select("payment").join(_judged(approved(picked, payee)), "payment", "left")
+    if left is not None:
+        rest = left.groupBy("payment").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc", "rank", "value", "reason"))), lambda x: F.struct(x["value"].alias("value"), x["reason"].alias("reason"))).alias("rest"))
+        j = j.join(rest, "payment", "left")
+    else:
+        j = j.withColumn("rest", none)
+    if mails is not None:
+        j = j.join(mails.select("payment").distinct().withColumn("read", F.lit(True)), "payment", "left")
+    else:
+        j = j.withColumn("read", F.lit(True))
+    empty = F.array().cast("array<string>")
+    note = F.when(F.col("read").isNull(), NO_MAILS).when(F.col("confidence").isNull(), NOTHING).otherwise(F.col("note"))
+    return j.select(
+        "payment", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("lines", F.lit(0).cast("long")).alias("lines"), F.coalesce("split", F.lit(False)).alias("split"), F.coalesce("confidence", F.lit("baja")).alias("confidence"),
+        F.coalesce("documents", empty).alias("documents"), F.coalesce("orders", empty).alias("orders"), note.alias("note"), F.slice(F.concat(F.coalesce("others", none), F.coalesce("rest", none)), 1, DISCARDED).alias("discarded"))

@@ -33,10 +33,6 @@ def entradas(spark, d):
     return D.receipts(_docs(spark)).withColumns({"tax_ids": F.array_join("tax_ids", ","), "units": F.array_join("units", ",")})
 
 
-def ordenes_correo(spark, d):
-    return _docs(spark).select("doc", F.array_join(D.mail_orders(F.col("text")), ",").alias("orders"), F.array_join(D.invoice_ids(F.col("text")), ",").alias("invoices"))
-
-
 def rangos_y_numero(spark, d):
     """Numbers with an authorised prefix, inside the range and not at its ends."""
     docs = _docs(spark)
@@ -56,4 +52,4 @@ def eventos_radian(spark, d):
 
 
 SQL: dict[str, str] = {}
-QUERIES = {k: globals()[k] for k in ("comprobantes", "renglones_comprobante", "registro_compras", "ordenes_compra", "entradas", "ordenes_correo", "rangos_y_numero", "nits_factura", "eventos_radian")}
+QUERIES = {k: globals()[k] for k in ("comprobantes", "renglones_comprobante", "registro_compras", "ordenes_compra", "entradas", "rangos_y_numero", "nits_factura", "eventos_radian")}

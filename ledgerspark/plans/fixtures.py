@@ -1,14 +1,5 @@
 """Small inputs made here: mails, words with places, signatures, packs."""
 
-MAILS = [
-    ("m1.pdf", "p1", "Desde: Ana Ruiz <ana@x.co>\nEnviado: 4 Sep 2026\nAprobada por $ 62,029\nSaludos"),
-    ("m2.pdf", "p1", "Desde: Luis Paz\npor favor su aprobación por $ 150,000\nOk procedamos por $150.000"),
-    ("m3.pdf", "p2", "De: Eva\nAprobadas:\nINFOSISCO S A S\nFRA 4819 valor $ 1.786.190,00\nACEROS DEL NORTE LTDA\nFRA 77112 valor $ 2.764.800,00"),
-    ("m4.pdf", "p3", "Desde: Rey\nsaldo de $ 900.000\nTel 605.123.4567\nsolicito su visto bueno por 3.000.000"),
-    ("m5.pdf", "p1", "Desde: Ana Ruiz <ana@x.co>\nAprobada por $ 62,029"),
-    ("m6.pdf", "p4", "nada que aprobar"),
-]
-
 WORDS = [
     ("w1", 1, 1, "Valor", 10.0, 40.0, 10.0, 20.0), ("w1", 1, 2, "Titular", 100.0, 150.0, 11.0, 21.0),
     ("w1", 1, 3, "4.093.736,00", 10.0, 60.0, 40.0, 50.0), ("w1", 1, 4, "ACEROS", 100.0, 140.0, 42.0, 52.0), ("w1", 1, 5, "NORTE", 145.0, 180.0, 41.0, 51.0),

@@ -13,7 +13,7 @@ from ..operators import matching as M
 from ..operators import relational as R
 from ..operators.access import lockouts
 from ..sources.tables import table
-from .fixtures import COLUMNS, IMAGES, LABELS, MAILS, PACKS, ROWS, SCANNED, WORDS
+from .fixtures import COLUMNS, IMAGES, LABELS, PACKS, ROWS, SCANNED, WORDS
 
 # Facts of documents made from orders and their lines: nulls and misreadings come from the keys.
 _FACTS = """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS total,
@@ -129,28 +129,11 @@ def bloqueo_intentos(spark, d):
     return island.groupBy("user_id").agg(F.max("n").alias("longest")).join(locks, "user_id", "left").select("user_id", F.coalesce("locks", F.lit(0).cast("long")).alias("locks"), "longest")
 
 
-def clasificar_linea(spark, d):
-    lines = spark.createDataFrame([(p, i, x) for p, _, t in MAILS for i, x in enumerate(t.split("\n"))], "doc string, line_no int, line string")
-    return lines.select("doc", "line_no", C.class_of(c("line")).alias("kind"))
-
-
-def _mail_lines(spark):
-    return spark.createDataFrame([(x, 1, i, l, p) for x, p, t in MAILS for i, l in enumerate(t.split("\n"))], "doc string, page int, line_no int, line string, payment string")
-
-
-def candidatos_correo(spark, d):
-    return C.candidates(_mail_lines(spark)).select("doc", "rank", "value", "kind", "score", "line", "author", "header", "party")
-
-
 def candidatos_documentos(spark, d):
     lines = table(spark, d, "documents").select(c("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return C.candidates(lines).select("doc", "rank", "value", "kind", "score", "currency")
 
 
-def veredicto(spark, d):
-    return C.verdict(C.chosen(C.candidates(_mail_lines(spark))))
-
-
 def empaque(spark, d):
     return K.pack_conversions(spark.createDataFrame(PACKS, "doc string, quantities array<double>, factors array<int>, received array<double>, gap double"))
 
@@ -211,4 +194,4 @@ SQL = {
     "intervalos_unidos": "WITH a AS (SELECT l_suppkey, l_quantity AS x0, l_quantity + 0.25 AS x1, max(l_quantity + 0.25) OVER (PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM lineitem), b AS (SELECT *, sum(CASE WHEN e IS NULL OR x0 > e + 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS grp FROM a) SELECT l_suppkey, CAST(grp AS BIGINT) AS grp, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM b GROUP BY 1, 2",
 }
 
-QUERIES = {k: globals()[k] for k in [*SQL, "clasificar_linea", "candidatos_correo", "candidatos_documentos", "veredicto", "empaque", "lineas_visuales", "tabla_portal", "firmas", "valor_etiqueta"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "candidatos_documentos", "empaque", "lineas_visuales", "tabla_portal", "firmas", "valor_etiqueta"]}

@@ -53,12 +53,31 @@ def test_amounts_need_the_right_neighbours():
     assert [a[1:3] for a in C.amounts_of("saldo 1.786.190,00CR y $ 2026 y 2.026 y 15.000")] == [(1786190.0, True), (15000.0, False)]
 
 
+MAILS = {
+    ("a", "p1"): "Desde: Ana Ruiz <ana@x.co>\nEnviado: 4 Sep 2026\nAprobada por $ 62,029\nSaludos",
+    ("b", "p1"): "Desde: Luis Paz\npor favor su aprobación por $ 150,000\nOk procedamos por $150.000",
+    ("c", "p2"): "De: Eva\nAprobadas:\nHILOS DEL RIO S A S\nToner negro HP\nFRA 5151 valor $ 1.700.000,00\nCANTIDAD VALOR TOTAL\nFRA 6161 valor $ 2.800.000,00",
+    ("d", "p3"): "Desde: Rey\nsaldo de $ 900.000\nTel 605.123.4567\nsolicito su visto bueno por 3.000.000",
+    ("e", "p1"): "Desde: Ana Ruiz <ana@x.co>\nAprobada por $ 62,029",
+    ("f", "p4"): "nada que aprobar",
+    ("g", "p5"): "Fecha Mar 01/09/2026\nAprobados:\nFecha factura\nPara la planta\n150 mil pesos y 3 millones de pesos\nEVA Y ANA LTDA:\nSuma 5.000.000",
+}
+
+
 def test_classes_and_verdict(spark):
-    kinds = {(r.doc, r.line_no): r.kind for r in P.clasificar_linea(spark, "").collect()}
-    assert kinds["m1.pdf", 2] == "acto" and kinds["m2.pdf", 1] == "solicitud" and kinds["m2.pdf", 2] == "acto" and kinds["m4.pdf", 1] == "informativo"
-    found = {r.payment: r for r in P.veredicto(spark, "").collect()}
+    lines = spark.createDataFrame([(doc, 1, i, line, p) for (doc, p), t in MAILS.items() for i, line in enumerate(t.split("\n"))], "doc string, page int, line_no int, line string, payment string")
+    kinds = {(r.doc, r.line_no): r.kind for r in lines.select("doc", "line_no", C.class_of(F.col("line")).alias("kind")).collect()}
+    assert kinds["a", 2] == "acto" and kinds["b", 1] == "solicitud" and kinds["b", 2] == "acto" and kinds["d", 1] == "informativo"
+    cands = C.with_invoices(C.candidates(lines)).cache()
+    found = {r.payment: r for r in C.verdict(C.chosen(cands)).collect()}
     assert (found["p1"].total, found["p1"].split, found["p1"].confidence) == (212029.0, True, "alta")
-    assert found["p2"].total == 4550990.0 and found["p3"].confidence == "baja" and "p4" not in found
+    assert found["p2"].total == 4500000.0 and found["p3"].confidence == "baja" and "p4" not in found
+    told = {(r.doc, r.value): (r.header, r.party, r.author, r.date, r.kind, r.invoice) for r in cands.collect()}
+    assert told["c", 1700000.0] == ("Aprobadas:", "HILOS DEL RIO S A S", "Eva", "", "acto", "5151")  # "Toner" is no addressee
+    assert told["c", 2800000.0] == ("Aprobadas:", "HILOS DEL RIO S A S", "Eva", "", "acto", "6161")  # a table's head is nobody
+    assert told["a", 62029.0][2:4] == ("Ana Ruiz", "4 Sep 2026")
+    assert told["g", 150000.0][0] is None and told["g", 3000.0][0] is None  # "Para la planta" is a header of mail, "Fecha factura" is none
+    assert told["g", 5000000.0][:2] == ("EVA Y ANA LTDA:", None)
 
 
 def test_pack_conversions(spark):

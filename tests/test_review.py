@@ -63,7 +63,7 @@ def test_decisions(spark):
     payments = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "payment long")
     got = {r["payment"]: r for r in candidates.decisions(payments, picked, F.lit("NORTE SAS")).collect()}
     assert (got[1]["total"], got[1]["confidence"], got[1]["documents"], got[1]["note"]) == (10.0, "alta", ["a", "b"], "")
-    assert (got[2]["total"], got[2]["confidence"], got[2]["note"]) == (5.0, "baja", candidates.STRANGERS)
+    assert (got[2]["total"], got[2]["confidence"], got[2]["note"]) == (5.0, "baja", "El correo aprueba facturas de ALFA DEL SUR LTDA y ninguno coincide con el titular (NORTE SAS): revisa cual corresponde.")
     assert (got[3]["confidence"], got[3]["note"]) == ("baja", candidates.NOTES["baja"])
     assert (got[4]["total"], got[4]["lines"], got[4]["split"], got[4]["documents"], got[4]["note"]) == (0.0, 0, False, [], candidates.NOTHING)
     scores = spark.createDataFrame([(i, 41 - i, float(i)) for i in range(1, 43)], "rank int, score int, value double")
