@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..sources.shared import kept
 from .layout import merge_intervals, signatures, visual_lines
 
 # Labels with their fields, words of column titles with theirs, signature labels, and what tells a form.
@@ -84,14 +85,22 @@ def title_columns(lined: DataFrame, edges: DataFrame | None = None) -> DataFrame
 
 
 def item_rows(lined: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc, page, line_no, code, description, unit, quantity_text, quantity of the lines between the titles and the signatures; lines with neither description nor quantity go."""
+    """doc, page, line_no, code, description, unit, quantity_text, quantity of the lines from the first titles to the signatures, over all pages; lines with neither description nor quantity go.
+
+    A page without titles goes on with the columns of the last page that had any.
+    """
     line = lined.groupBy("doc", "page", "line_no").agg(X.normalise(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "word_no", "text"))), lambda w: w["text"]), " ")).alias("said"))
-    last = columns.groupBy("doc", "page").agg(F.max("last").alias("last"))
-    under = line.join(last, ["doc", "page"]).where(F.col("line_no") > F.col("last"))
-    foot = under.where(F.col("said").rlike("|".join(SIGNED))).groupBy("doc", "page").agg(F.min("line_no").alias("foot"))
-    body = under.join(foot, ["doc", "page"], "left").where(F.col("foot").isNull() | (F.col("line_no") < F.col("foot"))).select("doc", "page", "line_no")
+    titled = columns.groupBy("doc", "page").agg(F.max("last").alias("last"))
+    pages = lined.select("doc", "page").distinct().join(titled, ["doc", "page"], "left")
+    source = F.last(F.when(F.col("last").isNotNull(), F.col("page")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("page"))
+    pages = pages.withColumn("source", source).where("source IS NOT NULL").select("doc", "page", "source", F.coalesce("last", F.lit(-1)).alias("last"))
+    under = line.join(pages, ["doc", "page"]).where(F.col("line_no") > F.col("last"))
+    at = F.struct("page", "line_no")
+    foot = under.where(F.col("said").rlike("|".join(SIGNED))).groupBy("doc").agg(F.min(at).alias("foot"))
+    body = under.join(foot, "doc", "left").where(F.col("foot").isNull() | (at < F.col("foot"))).select("doc", "page", "line_no", "source")
+    columns = columns.withColumnRenamed("page", "source")
     middle = (F.col("x0") + F.col("x1")) / 2
-    cells = lined.join(body, ["doc", "page", "line_no"]).join(columns.select("doc", "page", "name", "low", "high"), ["doc", "page"]).where((middle >= F.col("low")) & (middle < F.col("high")))
+    cells = lined.join(body, ["doc", "page", "line_no"]).join(columns.select("doc", "source", "name", "low", "high"), ["doc", "source"]).where((middle >= F.col("low")) & (middle < F.col("high")))
     cell = lambda n: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("name") == n, F.struct("x0", "word_no", "text")))), lambda w: w["text"]), " ")
     rows = cells.groupBy("doc", "page", "line_no").agg(cell("code").alias("code"), cell("description").alias("description"), cell("unit").alias("unit"), cell("quantity").alias("quantity_text"))
     return rows.where("description <> '' OR quantity_text <> ''").withColumn("quantity", N.form_quantity(F.col("quantity_text")))
@@ -103,7 +112,7 @@ def forms(words: DataFrame, images: DataFrame, scanned: DataFrame, edges: DataFr
     Documents without the form's title give no row. Head fields that are not there are blank; quantity is the sum of the items' readable
     quantities, null where there is none; a signature is unknown without its label or on a scanned page.
     """
-    lined = visual_lines(words.where("text IS NOT NULL"))
+    lined = kept(visual_lines(words.where("text IS NOT NULL")), "form-lines")  # read by every part of the form
     whole = lined.groupBy("doc").agg(X.normalise(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "x0", "word_no", "text"))), lambda w: w["text"]), " ")).alias("said"))
     docs = whole.where(F.col("said").rlike(IS_FORM)).select("doc")
     lined = lined.join(docs, "doc", "left_semi")
