@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ["relational", "text", "reconciliation", "extraction", "store", "invoices", "forms", "mails", "captures"]
+PLANS = ["relational", "text", "reconciliation", "extraction", "store", "invoices", "forms", "mails", "captures", "layouts"]
 
 
 def _plans() -> list:

@@ -47,7 +47,9 @@ def compact(c: Column) -> Column:
 
 
 def label(c: Column) -> Column:
-    return F.trim(F.replace(F.replace(fold(c), F.lit(" "), F.lit(" ")), F.lit(":"), F.lit("")))
+    """A sheet's label in lower case, without hard spaces, colons at its end and the marks of Spanish vowels and ñ."""
+    bare = F.trim(F.regexp_replace(F.trim(F.replace(c, F.lit("\u00a0"), F.lit(" "))), ":+$", ""))
+    return F.translate(F.lower(bare), "áéíóúñ", "aeioun")
 
 
 def digits(c: Column) -> Column:
@@ -152,7 +154,7 @@ def has_word(text: Column, word: str) -> Column:
 
 def spelled_out(c: Column) -> Column:
     """Six tokens or more, three fifths of them of one or two characters: a stamp read letter by letter."""
-    t = F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
+    t = F.filter(F.split(F.trim(c), r"\s+"), lambda x: ~x.isin("", "|", "_", "|_"))
     return (F.size(t) >= 6) & (F.size(F.filter(t, lambda x: F.length(x) <= 2)) >= 0.6 * F.size(t))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,12 +115,40 @@ def smallest_conversion(quantities: list[float], factors: list[int | None], rece
             options.append(ways)
     if not options or len(options) > MAX_ITEMS:
         return None
-    best: list[int] | None = None
-    for picks in product(*[[None, *w] for w in options]):
-        used = [p for p in picks if p]
-        if used and abs(sum(d for _, d in used) - gap) < 0.01 and (best is None or len(used) < len(best)):
-            best = [i for i, _ in used]
-    return best
+    half = len(options) // 2
+    left, right = _sums(options[:half]), _sums(options[half:])
+    # of right halves with one sum only the smallest counts, the first of equals; sums are then looked up in order
+    by_sum: dict[float, tuple[int, int]] = {}
+    for k, (total, used) in enumerate(right):
+        by_sum[total] = min(by_sum.get(total, (len(used) + 1, 0)), (len(used), k))
+    sums = sorted(by_sum)
+    found = []
+    for k, (total, used) in enumerate(left):
+        for at in range(bisect_left(sums, gap - total - 0.01), bisect_right(sums, gap - total + 0.01)):
+            size, j = by_sum[sums[at]]
+            if used or size:
+                if abs(total + sums[at] - gap) < 0.01:
+                    found.append((len(used) + size, k, j))
+    if not found:
+        return None
+    _, k, j = min(found)
+    return left[k][1] + right[j][1]
+
+
+def _sums(options: list[list[tuple[int, float]]]) -> list[tuple[float, list[int]]]:
+    """Sum and items of every way to take one conversion, or none, of each item; seven items have 2,187."""
+    out: list[tuple[float, list[int]]] = [(0.0, [])]
+    for ways in options:
+        out = [(total + delta, used + [i] * (i is not None)) for total, used in out for i, delta in [(None, 0.0), *ways]]
+    return out
+
+
+def order_timing(invoice_date: Column, order_date: Column, deliveries: Column) -> tuple[Column, Column]:
+    """Days from the order to the invoice, and whether the invoice's day and month is one of the planned deliveries ("dd/mm:n, ..."); null where a part isn't known."""
+    on, ordered = invoice_date.try_cast("date"), order_date.try_cast("date")
+    days = F.transform(F.split(deliveries, ", "), lambda x: F.substring_index(x, ":", 1))
+    planned = F.when(_filled(deliveries) & on.isNotNull(), F.array_contains(days, F.date_format(on, "dd/MM")))
+    return F.datediff(on, ordered), planned
 
 
 def pack_conversions(documents: DataFrame) -> DataFrame:

@@ -85,15 +85,15 @@ def invoice_numbers(docs: DataFrame) -> DataFrame:
 
     A number in the QR code stands by itself. Else points are summed by prefix and number without leading zeros; a number inside an
     authorised range of its prefix gains once, outside it or under another prefix it loses for each range. Most points
-    win, then the earliest place; under two points there is no number. Null texts have none. doc is unique.
+    win, then the earliest place, then the rule that is tried first; under two points there is no number. Null texts have none. doc is unique.
     """
     text = F.coalesce("text", F.lit(""))
     qr = F.regexp_replace(F.coalesce("qr", F.lit("")), "[^A-Za-z0-9-]", "")
     rows = docs.select("doc", text.alias("text"), qr.alias("qr"), "expected", "name").withColumn("ranges", ranges_of(F.col("text")))
-    each = rows.select("doc", "qr", "ranges", F.explode_outer(F.when(F.col("qr") == "", votes(F.col("text"), F.col("ranges"), F.col("expected"), F.col("name")))).alias("v"))
-    each = each.select("doc", "qr", "ranges", "v.*", F.concat("v.prefix", _number(F.col("v.digits"))).alias("candidate"))
+    each = rows.select("doc", "qr", "ranges", F.posexplode_outer(F.when(F.col("qr") == "", votes(F.col("text"), F.col("ranges"), F.col("expected"), F.col("name")))).alias("found", "v"))
+    each = each.select("doc", "qr", "ranges", "found", "v.*", F.concat("v.prefix", _number(F.col("v.digits"))).alias("candidate"))
     first = F.struct("rule", "place")
-    sums = each.groupBy("doc", "candidate").agg(F.any_value("qr").alias("qr"), F.any_value("ranges").alias("ranges"), F.sum("points").alias("points"), F.min("place").alias("place"), F.array_sort(F.collect_set("rule")).alias("rules"), F.min_by("prefix", first).alias("prefix"), F.min_by("digits", first).alias("digits"))
+    sums = each.groupBy("doc", "candidate").agg(F.any_value("qr").alias("qr"), F.any_value("ranges").alias("ranges"), F.sum("points").alias("points"), F.min("place").alias("place"), F.min("found").alias("found"), F.array_sort(F.collect_set("rule")).alias("rules"), F.min_by("prefix", first).alias("prefix"), F.min_by("digits", first).alias("digits"))
     n, own = F.col("digits").cast("long"), F.col("prefix")
     within = lambda r: (r["prefix"] == own) & n.between(r["low"], r["high"])
     gains = F.exists("ranges", within) & ~F.array_contains("rules", list(REASONS).index("range"))
@@ -101,8 +101,8 @@ def invoice_numbers(docs: DataFrame) -> DataFrame:
     rules = F.when(gains, F.array_append("rules", F.lit(list(REASONS).index("inside")))).otherwise(F.col("rules"))
     total = F.col("points") + loses + F.when(gains, POINTS["inside"]).otherwise(0)
     named = F.array(*map(F.lit, REASONS.values()))
-    scored = sums.select("doc", "qr", total.alias("points"), "place", F.concat("prefix", "digits").alias("number"), F.concat(F.lit("texto ("), F.array_join(F.transform(rules, lambda k: F.get(named, k)), ", "), F.lit(")")).alias("source"))
-    best = scored.groupBy("doc").agg(F.any_value("qr").alias("qr"), F.max_by(F.struct("number", "source", "points"), F.struct("points", -F.col("place"), F.col("number"))).alias("b"))
+    scored = sums.select("doc", "qr", total.alias("points"), "place", "found", F.concat("prefix", "digits").alias("number"), F.concat(F.lit("texto ("), F.array_join(F.transform(rules, lambda k: F.get(named, k)), ", "), F.lit(")")).alias("source"))
+    best = scored.groupBy("doc").agg(F.any_value("qr").alias("qr"), F.max_by(F.struct("number", "source", "points"), F.struct("points", -F.col("place"), -F.col("found"))).alias("b"))
     enough = F.col("b.points") >= LEAST
     pick = lambda c, code: F.when(F.col("qr") != "", code).when(enough, F.col(f"b.{c}")).otherwise("")
     return best.select("doc", pick("number", F.col("qr")).alias("number"), pick("source", F.lit("QR")).alias("source"), F.when((F.col("qr") == "") & enough, F.col("b.points")).alias("points"))

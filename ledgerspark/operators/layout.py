@@ -74,8 +74,10 @@ def line_texts(words: DataFrame) -> DataFrame:
 
 
 def raw_lines(chars: DataFrame) -> DataFrame:
-    """Characters bucketed by a third of their top, sorted by x: lines of pages without words."""
-    return chars.groupBy("doc", "page", F.round(F.col("top") / 3).cast("int").alias("bucket")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "ch"))), lambda c: c["ch"]), "").alias("text"))
+    """Letters (doc, page, top, x0, ch) joined in print order, by thirds of their top: lines without the spaces that a reader invents. Blank ones go."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "ch"))), lambda c: c["ch"]), "")
+    rows = chars.groupBy("doc", "page", F.bround(F.col("top") / 3).cast("int").alias("bucket")).agg(F.regexp_replace(F.trim(text), " {2,}", " ").alias("text"))
+    return rows.where("text <> ''")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], slack: float) -> DataFrame:
@@ -142,13 +144,41 @@ def without_repeated_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def column_quantity(words: DataFrame, headers: DataFrame, reach: float = 45.0, row: float = 4.0) -> DataFrame:
-    """Sum of the numbers under a header: per row bucket the one nearest to the header's centre, within reach."""
+# A quantity column's title, rows that end the items, and reaches in points.
+QUANTITY_TITLE = r"(?i)^(?:cant|cantidad|cant\.|qty)"
+ITEMS_END = r"(?i)^(?:subtotal|total|totales|son|valor\s+en\s+letras|impuestos|iva|retefuente|reteiva|reteica|descuento|redondeo|base|observaciones)\b"
+QUANTITY_REACH, ROW_STEP = 45.0, 4.0
+
+
+def quantity_rows(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """words (doc, page, word_no, text, x0, x1, y0, y1) and pages (doc, page, height) -> doc, page, row, header, raw, quantity, description.
+
+    Numbers under the page's first title of a quantity column count, within reach of its centre, down to the first row that opens with a total. Of several in a row the
+    one nearest to the centre counts. The description is the rest of the row without codes and amounts.
+    """
     from ..functions.numbers import simple
 
-    h = headers.select("doc", "page", ((F.col("x0") + F.col("x1")) / 2).alias("hx"), F.col("y1").alias("hy"))
-    n = words.withColumn("q", simple(F.col("text"))).where("q IS NOT NULL").join(h, ["doc", "page"])
-    far = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("hx"))
-    under = n.where((F.col("y0") > F.col("hy")) & (far <= reach)).withColumns({"far": far, "bucket": F.round(F.col("y0") / row)})
-    one = under.groupBy("doc", "page", "bucket").agg(F.min_by("q", F.struct("far", "word_no")).alias("q"))
-    return one.groupBy("doc").agg(F.round(F.sum("q"), 2).alias("quantity"), F.count(F.lit(1)).alias("rows"))
+    t = F.trim("text")
+    placed = words.withColumns({"bucket": F.bround(F.col("y0") / ROW_STEP).cast("long"), "centre": (F.col("x0") + F.col("x1")) / 2})
+    titles = placed.where(t.rlike(QUANTITY_TITLE) & ~F.lower(t).startswith("cantidades"))
+    title = titles.groupBy("doc", "page").agg(F.min_by(F.struct(t.alias("header"), F.col("centre").alias("at"), F.col("y1").alias("under")), "word_no").alias("h")).select("doc", "page", "h.*")
+    word = F.struct("x0", "word_no", "text", "y0")
+    rows = placed.groupBy("doc", "page", "bucket").agg(F.sort_array(F.collect_list(word)).alias("ws"))
+    rows = rows.withColumns({"opens": F.get("ws", 0)["y0"], "said": F.array_join(F.transform("ws", lambda w: w["text"]), " ")}).join(title, ["doc", "page"])
+    ends = rows.where((F.col("opens") > F.col("under") + 10) & F.trim("said").rlike(ITEMS_END)).groupBy("doc", "page").agg(F.min("opens").alias("end"))
+    limits = title.join(ends, ["doc", "page"], "left").join(pages.select("doc", "page", "height"), ["doc", "page"], "left").withColumn("limit", F.least("end", "height"))
+    numbers = placed.join(limits, ["doc", "page"]).where((F.col("y0") > F.col("under") + 1) & (F.col("limit").isNull() | (F.col("y0") < F.col("limit"))) & F.col("text").rlike("^[0-9.,]+$"))
+    far = F.abs(F.col("centre") - F.col("at"))
+    near = numbers.where(far <= QUANTITY_REACH).groupBy("doc", "page", "header", "bucket").agg(F.min_by(F.struct("text", "word_no"), F.struct(far.alias("far"), "word_no")).alias("n"), F.min("word_no").alias("first"))
+    rest = F.filter("ws", lambda w: (w["word_no"] != F.col("n.word_no")) & ~w["text"].rlike("^[0-9]{7,}$") & ~w["text"].rlike(r"^\$?[0-9.,]*[.,][0-9.,]*$"))
+    out = near.join(rows.select("doc", "page", "bucket", "ws"), ["doc", "page", "bucket"]).withColumn("quantity", simple(F.col("n.text"))).where("quantity > 0")
+    number = F.row_number().over(Window.partitionBy("doc", "page").orderBy("first"))
+    return out.select("doc", "page", number.alias("row"), "header", F.col("n.text").alias("raw"), "quantity", F.left(F.array_join(F.transform(rest, lambda w: w["text"]), " "), F.lit(160)).alias("description"))
+
+
+def column_quantity(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, header, quantity (sum) and rows of ``quantity_rows``; a page that repeats an earlier one's quantities, all of them, is not counted again."""
+    rows = quantity_rows(words, pages)
+    page = rows.groupBy("doc", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "raw"))), lambda r: r["raw"]).alias("signature"), F.sum("quantity").alias("q"), F.count(F.lit(1)).alias("n"), F.min("header").alias("header"))
+    first = page.groupBy("doc", "signature").agg(F.min(F.struct("page", "q", "n", "header")).alias("p"))
+    return first.groupBy("doc").agg(F.min_by("p.header", "p.page").alias("header"), F.round(F.sum("p.q"), 2).alias("quantity"), F.sum("p.n").alias("rows"))

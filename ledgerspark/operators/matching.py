@@ -39,14 +39,28 @@ def near_numbers(read: DataFrame, listed: DataFrame, most: int = 2) -> DataFrame
     return read.join(best, "doc", "left").select("doc", "number", F.col("best.invoice").alias("invoice"), F.coalesce(~F.col("best.inexact"), F.lit(False)).alias("exact"), F.coalesce("best.gap", F.lit(-1)).alias("gap"))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, width: int, inclusive: bool = True) -> DataFrame:
-    """points (prefix, n), ranges (prefix, low, high) -> points within a range of their prefix.
+def range_join(points: DataFrame, ranges: DataFrame, inclusive: bool = True) -> DataFrame:
+    """points (prefix, n), ranges (prefix, low, high) of whole numbers -> points within a range of their prefix.
 
-    Ranges are laid over bins of the given width; points meet them on prefix and bin, and the ends are checked.
+    A range lies in two neighbouring blocks at most of the power of two that is no shorter than itself, however wide it is; points meet it on prefix, power and
+    block, and the ends are checked. Points are repeated for the powers that there are ranges of, 63 at most.
     """
-    binned = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    power = F.ceil(F.log2((F.col("high") - F.col("low") + 1).cast("double"))).cast("int")
+    sized = ranges.where("low <= high").withColumn("power", F.greatest(power, F.lit(0)))
+    laid = sized.withColumn("block", F.explode(F.array_distinct(F.array(F.expr("shiftright(CAST(low AS LONG), power)"), F.expr("shiftright(CAST(high AS LONG), power)")))))
+    powers = sorted(r[0] for r in sized.select("power").distinct().collect())  # 63 values at most
+    if not powers:
+        return points.join(ranges, "prefix").where("false")
     ok = F.col("n").between(F.col("low"), F.col("high")) if inclusive else (F.col("n") > F.col("low")) & (F.col("n") < F.col("high"))
-    return points.withColumn("bin", F.floor(F.col("n") / width)).join(binned, ["prefix", "bin"]).where(ok).drop("bin")
+    met = points.withColumn("power", F.explode(F.array(*map(F.lit, powers)))).withColumn("block", F.expr("shiftright(CAST(n AS LONG), power)"))
+    return met.join(laid, ["prefix", "power", "block"]).where(ok).drop("power", "block")
+
+
+def party_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left (a, on...) and right (b, on...) -> distinct pairs of names that are the same party: they meet on a telling word that they share."""
+    worded = lambda df, c: df.withColumn("word", F.explode(X.name_words(F.col(c))))
+    met = worded(left, "a").join(worded(right, "b"), [*on, "word"]).select(*on, "a", "b").distinct()
+    return met.where(X.same_party(F.col("a"), F.col("b")))
 
 
 def best_evidence(evidence: DataFrame, least: int = 2) -> DataFrame:

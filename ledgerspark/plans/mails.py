@@ -7,6 +7,7 @@ of the first, two more acts, or nothing. Some payments have a third that can't a
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
@@ -85,6 +86,16 @@ def ordenes_correo(spark, d):
     return table(spark, d, "orders").select(k.alias("doc"), F.array_join(mail_orders(text), ",").alias("orders"))
 
 
+def puntaje_renglones(spark, d):
+    """Scores of a customer's amounts: each line says one word of approval and one of noise, and the lines around it count by half."""
+    k = c("o_orderkey")
+    n = (k + 100_000).cast("string")
+    word = lambda words: F.get(F.array(*map(F.lit, words)), (k % len(words)).cast("int"))
+    line = F.concat(F.lit("Linea "), word(list(C.APPROVAL)), F.lit(" y "), word(list(C.NOISE)), F.lit(" por $ "), F.when(k % 3 == 0, F.concat(F.substring(n, 2, 2), F.lit(".000"))).otherwise(F.concat(F.substring(n, 1, 3), F.lit("."), F.substring(n, 4, 3))))
+    rows = table(spark, d, "orders").select(c("o_custkey").alias("doc"), F.lit(1).alias("page"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("line_no"), line.alias("line"))
+    return C.candidates(rows).select("doc", "line_no", "value", "score")
+
+
 def veredicto(spark, d):
     """The verdict of each payment with approved amounts, whoever its payee is."""
     return C.verdict(C.chosen(_candidates(spark, d)[1]))
@@ -149,6 +160,12 @@ SQL = {
   UNION ALL SELECT doc, 2, 1500000.0, 'acto', 'FRA ' || CAST(k + 800000 AS VARCHAR) || ' valor $ 1.500.000', true, 'Ana Ruiz', 'Mar 01/09/2026', 'Aprobadas:', '{TWO}', CAST(k + 800000 AS VARCHAR) FROM a WHERE way = 4
   UNION ALL SELECT doc, 1, 150000.0, 'acto', 'Aprobado por 150 mil pesos', true, 'Luis Paz', '', '', '', '' FROM a WHERE way = 5 UNION ALL SELECT doc, 2, 3000.0, 'acto', 'Aprobado por 3 millones de pesos', true, 'Luis Paz', '', '', '', '' FROM a WHERE way = 5)
  SELECT * FROM x""",
+    "puntaje_renglones": f"""WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no, CAST(o_orderkey + 100000 AS VARCHAR) AS n, o_orderkey AS k, {list(C.APPROVAL)}[o_orderkey % {len(C.APPROVAL)} + 1] AS a, {list(C.NOISE)}[o_orderkey % {len(C.NOISE)} + 1] AS b FROM orders),
+ l AS (SELECT *, 'linea ' || a || ' y ' || b || ' por $ ' || CASE WHEN k % 3 = 0 THEN substr(n, 2, 2) || '.000' ELSE substr(n, 1, 3) || '.' || substr(n, 4, 3) END AS line, CASE WHEN k % 3 = 0 THEN CAST(substr(n, 2, 2) AS DOUBLE) * 1000 ELSE CAST(substr(n, 1, 6) AS DOUBLE) END AS value, b NOT IN ('telefono', 'phone', 'cra.', 'calle', 'km') AS usable FROM o),
+ x AS (SELECT *, ' ' || coalesce(string_agg(line, ' ') FILTER (usable) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), '') || ' ' AS context FROM l),
+ w(word, good, points) AS (VALUES {', '.join(f"('{k}', true, {v})" for k, v in C.APPROVAL.items())}, {', '.join(f"('{k}', false, {v})" for k, v in C.NOISE.items())}),
+ s AS (SELECT doc, line_no, any_value(value) AS value, sum(CASE WHEN contains(' ' || line || ' ', ' ' || word || ' ') THEN points WHEN good AND contains(context, ' ' || word || ' ') THEN greatest(1, points // 2) ELSE 0 END) + 5 + CASE WHEN any_value(value) >= 100000 THEN 2 ELSE 0 END AS score FROM x, w WHERE usable GROUP BY doc, line_no)
+ SELECT doc, CAST(line_no AS INTEGER) AS line_no, value, CAST(score AS INTEGER) AS score FROM s WHERE value >= 1000 AND (value < 1900 OR value > 2100)""",
     "clasificar_linea": f"""WITH {_MAILS}, a AS (SELECT doc, [['mencion', 'mencion', 'mencion', 'solicitud', 'acto'], ['mencion', 'solicitud', 'mencion'], ['acto'], ['informativo'], ['mencion', 'mencion', 'acto', 'mencion', 'mencion', 'mencion', 'mencion', 'mencion'], ['mencion', 'acto', 'acto'], ['mencion', 'mencion', 'acto', 'mencion'], ['mencion', 'mencion', 'acto', 'mencion']][way + 1] AS kinds FROM m WHERE doc LIKE '%a')
  SELECT doc, CAST(generate_subscripts(kinds, 1) - 1 AS INTEGER) AS line_no, unnest(kinds) AS kind FROM a""",
     "ordenes_correo": """SELECT o_orderkey AS doc, CASE o_orderkey % 3 WHEN 0 THEN n WHEN 1 THEN n || '1,' || n || '2' ELSE '' END AS orders FROM (SELECT o_orderkey, '2026' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS n FROM orders)""",

@@ -13,7 +13,6 @@ from ..operators import matching as M
 from ..operators import relational as R
 from ..operators.access import lockouts
 from ..sources.tables import table
-from .fixtures import COLUMNS, IMAGES, LABELS, PACKS, ROWS, SCANNED, WORDS
 
 # Facts of documents made from orders and their lines: nulls and misreadings come from the keys.
 _FACTS = """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS total,
@@ -101,7 +100,7 @@ def emparejar_facturas(spark, d):
 def rango_dian(spark, d):
     points = table(spark, d, "orders").select("o_orderkey", c("o_orderstatus").alias("prefix"), c("o_orderkey").alias("n"))
     ranges = table(spark, d, "nation").select("n_nationkey", F.element_at(F.array(F.lit("O"), F.lit("F"), F.lit("P")), (c("n_nationkey") % 3 + 1).cast("int")).alias("prefix"), (c("n_nationkey") * 90).cast("long").alias("low"), (c("n_nationkey") * 90 + 130).cast("long").alias("high"))
-    return M.range_join(points, ranges, 64, inclusive=False).select("o_orderkey", "n_nationkey")
+    return M.range_join(points, ranges, inclusive=False).select("o_orderkey", "n_nationkey")
 
 
 def evidencia_numero(spark, d):
@@ -134,30 +133,6 @@ def candidatos_documentos(spark, d):
     return C.candidates(lines).select("doc", "rank", "value", "kind", "score", "currency")
 
 
-def empaque(spark, d):
-    return K.pack_conversions(spark.createDataFrame(PACKS, "doc string, quantities array<double>, factors array<int>, received array<double>, gap double"))
-
-
-def _words(spark):
-    return spark.createDataFrame(WORDS, "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
-
-
-def lineas_visuales(spark, d):
-    return L.line_texts(L.visual_lines(_words(spark)))
-
-
-def tabla_portal(spark, d):
-    return L.table_cells(_words(spark), spark.createDataFrame(ROWS, "doc string, page int, y double"), spark.createDataFrame(COLUMNS, "doc string, page int, name string, x double"))
-
-
-def firmas(spark, d):
-    return L.signatures(spark.createDataFrame(LABELS, "doc string, page int, label string, x0 double, x1 double, y0 double, y1 double"), spark.createDataFrame(IMAGES, "doc string, page int, x0 double, x1 double, bottom double"), spark.createDataFrame(SCANNED, "doc string, page int"))
-
-
-def valor_etiqueta(spark, d):
-    return L.value_beside(_words(spark), spark.createDataFrame(LABELS, "doc string, page int, label string, x0 double, x1 double, y0 double, y1 double"))
-
-
 def intervalos_unidos(spark, d):
     """Line items of a part as quantity intervals that touch: the same merge as of columns on a page."""
     x = table(spark, d, "lineitem").select("l_suppkey", c("l_quantity").alias("x0"), (c("l_quantity") + 0.25).alias("x1"))
@@ -194,4 +169,4 @@ SQL = {
     "intervalos_unidos": "WITH a AS (SELECT l_suppkey, l_quantity AS x0, l_quantity + 0.25 AS x1, max(l_quantity + 0.25) OVER (PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM lineitem), b AS (SELECT *, sum(CASE WHEN e IS NULL OR x0 > e + 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS grp FROM a) SELECT l_suppkey, CAST(grp AS BIGINT) AS grp, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM b GROUP BY 1, 2",
 }
 
-QUERIES = {k: globals()[k] for k in [*SQL, "candidatos_documentos", "empaque", "lineas_visuales", "tabla_portal", "firmas", "valor_etiqueta"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "candidatos_documentos"]}

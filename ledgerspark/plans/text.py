@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..operators import matching as M
 from ..sources.tables import table
 
 AMOUNTS = ["1.920", "1,920.00", "1.920,00", "3,134,384", "2.984.384,00", "1,786,190.00", "4.093.736", "15", "15.00", "1.920.000", "COP $ 4.093.736,00", "1.269.399.00", "2.764.800 00", "1.786.00.00", "1,234,567.00", ".", ",", "", "abc", "12,5", "1,2,34", "7.5,", " 40.0 ", "100-200 3.000,50", "0,00"]
-TAX_IDS = [("900.123.456-0", "900123456"), ("9001234560", "900123456"), ("", "9"), ("123", "124"), ("900123456", "900123456"), ("800-1", "8001"), ("12", "1"), ("860.111.222", "8601112223")]
-DATES = ["4 Sep 2026", "04/09/2026", "4 Sep2026", "2026/07/14", "14/07/2026", "31-12-1999", "12 Ago. 2024", "nada", "", "5 Xyz 2020"]
-ACCOUNTS = ["787 - 590934 - 14 Cuenta corriente - Bancolombia", "477 -969056 -72", "sin cuenta", "12345", "123456789"]
-NAMES = [("INFOSISCO S A S", "INFOSISCO SAS"), ("CAMARA DE COMERCIO DE BARRANQUILLA", "COOPERATIVA DE TRANSPORTADORES"), ("ACEROS DEL NORTE LTDA", "ACEROS NORTE"), ("", "X"), ("GRUPO SAS", "GRUPO SAS")]
 
 
 def _values(spark, rows, schema):
@@ -41,25 +38,11 @@ def plegar_tildes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.fold(t)).alias("folded"), F.md5(X.compact(t)).alias("compact"), F.md5(X.normalise(t)).alias("normal"), F.md5(X.tolerant(t)).alias("tolerant"), F.length(X.digits(t)).alias("n_digits"))
 
 
-def identificadores(spark, d):
-    a, b = F.col("a"), F.col("b")
-    return _values(spark, TAX_IDS, "a string, b string").select("a", "b", X.same_tax_id(a, b).alias("same"), X.digits(a).alias("digits"), X.whole_number(a).alias("whole"), X.trimmed_digits(a).alias("trimmed"), X.clean_tax_id(a).alias("clean"), X.same_number(a, b).alias("same_number"))
-
-
-def fechas(spark, d):
-    return _values(spark, [(x,) for x in DATES], "raw string").select("raw", X.bank_date(F.col("raw")).alias("bank"), X.order_date(F.col("raw")).alias("ordered"))
-
-
-def cuentas_bancarias(spark, d):
-    return _values(spark, [(x,) for x in ACCOUNTS], "raw string").select("raw", X.account(F.col("raw")).alias("account"))
-
-
 def mismo_nombre(spark, d):
-    """Pairs of suppliers' and customers' names of one nation, with the fixture's pairs."""
+    """Pairs of a supplier and a customer of one nation whose names share their telling words."""
     s = table(spark, d, "supplier").select(F.col("s_name").alias("a"), F.col("s_nationkey").alias("n"))
     c = table(spark, d, "customer").select(F.col("c_name").alias("b"), F.col("c_nationkey").alias("n"))
-    pairs = s.join(c, "n").select("a", "b").union(_values(spark, NAMES, "a string, b string"))
-    return pairs.select("a", "b", X.same_party(F.col("a"), F.col("b")).alias("same"))
+    return M.party_pairs(s, c, ["n"]).select("a", "b")
 
 
 def _lines(spark, d):
@@ -130,16 +113,9 @@ SELECT raw,
  TRY_CAST(CASE WHEN contains(f, ',') AND contains(f, '.') THEN replace(replace(f, '.', ''), ',', '.') ELSE replace(f, ',', '.') END AS DOUBLE) AS n7
 FROM b""",
     "plegar_tildes": r"SELECT doc_id, md5(f) AS folded, md5(regexp_replace(f, '[^a-z0-9]', '', 'g')) AS compact, md5(trim(regexp_replace(f, '\s+', ' ', 'g'), ' .:')) AS normal, md5(translate(f, 'l105', 'iios')) AS tolerant, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS INTEGER) AS n_digits FROM (SELECT doc_id, text, strip_accents(lower(text)) AS f FROM documents)",
-    "identificadores": rf"""WITH x AS (SELECT a, b, regexp_replace(a, '\D', '', 'g') AS p, regexp_replace(b, '\D', '', 'g') AS q FROM {_sql_values(TAX_IDS, 'a, b')})
-SELECT a, b, p <> '' AND q <> '' AND (p = q OR (length(p) = length(q) + 1 AND left(p, length(p) - 1) = q) OR (length(q) = length(p) + 1 AND left(q, length(q) - 1) = p)) AS same, p AS digits, CASE WHEN p = '' THEN '' ELSE CAST(CAST(p AS BIGINT) AS VARCHAR) END AS whole, CASE WHEN ltrim(p, '0') = '' THEN p ELSE ltrim(p, '0') END AS trimmed, string_split(regexp_replace(a, '[^0-9-]', '', 'g'), '-')[1] AS clean,
- regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') <> '' AND regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(b), '[^A-Z0-9]', '', 'g') AS same_number FROM x""",
-    "fechas": rf"""SELECT raw, CASE WHEN regexp_matches(raw, '[0-9]{{1,2}}\s*[/-]\s*[0-9]{{1,2}}\s*[/-]\s*[0-9]{{4}}') THEN strftime(strptime(regexp_extract(raw, '([0-9]{{1,2}})\s*[/-]\s*([0-9]{{1,2}})\s*[/-]\s*([0-9]{{4}})'), ['%d/%m/%Y', '%d-%m-%Y']), '%Y-%m-%d')
- WHEN raw = '4 Sep 2026' OR raw = '4 Sep2026' THEN '2026-09-04' WHEN raw = '12 Ago. 2024' THEN '2024-08-12' ELSE '' END AS bank,
- CASE WHEN regexp_matches(raw, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}') THEN replace(regexp_extract(raw, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}'), '/', '-') WHEN regexp_matches(raw, '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}}') THEN strftime(strptime(replace(regexp_extract(raw, '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}}'), '-', '/'), '%d/%m/%Y'), '%Y-%m-%d') ELSE '' END AS ordered FROM {_sql_values(DATES, 'raw')}""",
-    "cuentas_bancarias": rf"SELECT raw, trim(regexp_replace(regexp_extract(raw, '[0-9][0-9\s.\-]{{5,}}[0-9]'), '\s', '', 'g'), '-') AS account FROM {_sql_values(ACCOUNTS, 'raw')}",
-    "mismo_nombre": f"""WITH p AS (SELECT s_name AS a, c_name AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey UNION ALL SELECT a, b FROM {_sql_values(NAMES, 'a, b')}),
+    "mismo_nombre": f"""WITH p AS (SELECT s_name AS a, c_name AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey),
  w AS (SELECT a, b, list_distinct(list_filter(string_split(regexp_replace(upper(strip_accents(a)), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 AND NOT list_contains({X.GENERIC}, x))) AS x, list_distinct(list_filter(string_split(regexp_replace(upper(strip_accents(b)), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 AND NOT list_contains({X.GENERIC}, x))) AS y FROM p)
-SELECT a, b, len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) >= greatest(1, (least(len(x), len(y)) + 1) // 2) AS same FROM w""",
+SELECT DISTINCT a, b FROM w WHERE len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) >= greatest(1, (least(len(x), len(y)) + 1) // 2)""",
     "lineas_documento": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, md5(l[i]) AS hash, CAST(length(l[i]) AS INTEGER) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) u(i)",
     "contexto_ventana": r"WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) u(i)), o AS (SELECT doc_id, line_no, CASE WHEN trim(line) <> '' AND NOT regexp_matches(lower(line), 'phone|www\.|http|@[a-z0-9_]+\.[a-z0-9_]+') THEN trim(line) END AS line FROM l) SELECT doc_id, line_no, md5(coalesce(array_to_string(list_filter(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), lambda x: x IS NOT NULL), ' '), '')) AS context FROM o",
     "autor_de_linea": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN 'u' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS author FROM conversations",

@@ -1,5 +1,8 @@
 """Worked examples of scalar functions, checks, candidates and layout."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +11,6 @@ from ledgerspark.functions import text as X
 from ledgerspark.operators import candidates as C
 from ledgerspark.operators import checks as K
 from ledgerspark.operators import layout as L
-from ledgerspark.plans import reconciliation as P
 
 
 def value(spark, column):
@@ -37,11 +39,11 @@ def test_text_functions(spark):
     assert v(X.bank_date(lit("4 Sep2026"))) == v(X.bank_date(lit("04/09/2026"))) == "2026-09-04"
     assert v(X.order_date(lit("14/07/2026"))) == v(X.order_date(lit("2026/07/14"))) == "2026-07-14"
     assert v(X.account(lit("477 -969056 -72"))) == "477-969056-72"
-    assert v(X.same_party(lit("INFOSISCO S A S"), lit("INFOSISCO SAS"))) and not v(X.same_party(lit("CAMARA DE COMERCIO DE BARRANQUILLA"), lit("COOPERATIVA DE TRANSPORTADORES")))
+    assert v(X.same_party(lit("VIDRIOS S A S"), lit("VIDRIOS SAS"))) and not v(X.same_party(lit("CAMARA DE ARTES DE CALI"), lit("COOPERATIVA DE PINTORES")))
     assert v(X.differing(lit("127212397"), lit("157212397"))) == 1 and v(X.differing(lit("1"), lit("12"))) == 99
     assert v(X.clean_tax_id(lit("900,555,111-8"))) == "900555111" and v(X.clean_invoice(lit("00000000091-001"))) == "91"
     assert v(X.spelled_out(lit("R E V I S A D O"))) and not v(X.spelled_out(lit("revisado por Ana")))
-    assert v(X.party_name(lit("ACEROS DEL NORTE LTDA"))) and not v(X.party_name(lit("Total 3")))
+    assert v(X.party_name(lit("HIERROS DEL SUR LTDA"))) and not v(X.party_name(lit("Total 3")))
     assert v(X.qr_fields(lit("NumFac: FV12\nNitFac=900\nNumFac: X"))) == {"numfac": "FV12", "nitfac": "900"}
     assert v(X.invoice_hash(lit("CUFE: " + "a1" * 48))) == "a1" * 48
     assert v(X.safe_name(lit("../a b/ñ factura"))) == "factura.pdf" or v(X.safe_name(lit("../a b/ñ factura"))).endswith(".pdf")
@@ -80,19 +82,54 @@ def test_classes_and_verdict(spark):
     assert told["g", 5000000.0][:2] == ("EVA Y ANA LTDA:", None)
 
 
+WORDS = [
+    ("w1", 1, 1, "Valor", 10.0, 40.0, 10.0, 20.0), ("w1", 1, 2, "Titular", 100.0, 150.0, 11.0, 21.0),
+    ("w1", 1, 3, "4.093.736,00", 10.0, 60.0, 40.0, 50.0), ("w1", 1, 4, "ACEROS", 100.0, 140.0, 42.0, 52.0), ("w1", 1, 5, "NORTE", 145.0, 180.0, 41.0, 51.0),
+    ("w1", 1, 6, "775.200,00", 10.0, 60.0, 70.0, 80.0), ("w1", 1, 7, "VIDRIOS", 100.0, 160.0, 71.0, 81.0),
+    ("w2", 1, 1, "Auxiliar", 10.0, 60.0, 200.0, 210.0), ("w2", 1, 2, "Pedro", 70.0, 100.0, 201.0, 211.0), ("w2", 1, 3, "Supervisor", 200.0, 260.0, 200.0, 210.0), ("w2", 1, 4, "Marta", 205.0, 240.0, 230.0, 240.0),
+]
+ROWS = [("w1", 1, 45.0), ("w1", 1, 75.0)]
+COLUMNS = [("w1", 1, "valor", 35.0), ("w1", 1, "titular", 130.0)]
+LABELS = [("w2", 1, "auxiliar", 10.0, 60.0, 200.0, 210.0), ("w2", 1, "supervisor", 200.0, 260.0, 200.0, 210.0), ("w3", 1, "auxiliar", 10.0, 60.0, 200.0, 210.0)]
+IMAGES = [("w2", 1, 20.0, 80.0, 180.0), ("w2", 1, 300.0, 340.0, 190.0)]
+SCANNED = [("w3", 1)]
+PACKS = [
+    ("a", [10.0, 5.0], [4, None], [40.0, 5.0], 30.0), ("b", [10.0], [4], [41.0], 30.0), ("c", [40.0], [4], [10.0], -30.0),
+    ("d", [2.0, 2.0, 3.0], [5, 5, 3], [10.0, 9.0], 8.0), ("e", [], [], [], 0.0),
+]
+
+
+
 def test_pack_conversions(spark):
-    found = {r.doc: r["items"] for r in P.empaque(spark, "").collect()}
+    found = {r.doc: r["items"] for r in K.pack_conversions(spark.createDataFrame(PACKS, "doc string, quantities array<double>, factors array<int>, received array<double>, gap double")).collect()}
     assert found == {"a": [0], "b": None, "c": [0], "d": [1], "e": None}
     assert K.smallest_conversion([1.0] * 15, [2] * 15, [2.0], 1.0) is None
 
 
+def test_pack_conversions_are_those_of_all_ways():
+    r = random.Random(6)
+    for _ in range(200):
+        n = r.randint(1, 6)
+        q, f = [float(r.randint(1, 12)) for _ in range(n)], [r.choice([None, 1, 2, 3, 4]) for _ in range(n)]
+        got = [x * y for x, y in zip(q, f) if y and r.random() < 0.8] + [x / y for x, y in zip(q, f) if y and r.random() < 0.5]
+        ways = [[None] + [(i, y - x) for y, ok in ((x * k, True), (x / k, x % k == 0)) if ok and round(y, 2) in {round(g, 2) for g in got}] if k and k > 1 else [None] for i, (x, k) in enumerate(zip(q, f))]
+        picks = [[p for p in way if p] for way in itertools.product(*ways)]
+        gap = sum(d for _, d in r.choice(picks)) + r.choice([0, 0, 0.3])
+        good = [[i for i, _ in p] for p in picks if p and abs(sum(d for _, d in p) - gap) < 0.01]
+        assert K.smallest_conversion(q, f, got, gap) == (min(good, key=len) if good else None)
+
+
 def test_layout(spark):
-    lines = sorted((r.doc, r.line_no, r.text) for r in P.lineas_visuales(spark, "").collect())
-    assert lines[:3] == [("w1", 0, "Valor Titular"), ("w1", 1, "4.093.736,00 ACEROS NORTE"), ("w1", 2, "775.200,00 INFOSISCO")]
-    cells = {(r["row"], r["name"]): r["text"] for r in P.tabla_portal(spark, "").collect() if r["row"] == 2}
-    assert cells[2, "valor"] == "775.200,00" and cells[2, "titular"] == "INFOSISCO"
-    assert {(r.doc, r.label): r.signed for r in P.firmas(spark, "").collect()} == {("w2", "auxiliar"): True, ("w2", "supervisor"): False, ("w3", "auxiliar"): None}
-    assert {r.label: r.value for r in P.valor_etiqueta(spark, "").collect()} == {"auxiliar": "Pedro", "supervisor": "Marta"}
+    words = spark.createDataFrame(WORDS, "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
+    labels = spark.createDataFrame(LABELS, "doc string, page int, label string, x0 double, x1 double, y0 double, y1 double")
+    lines = sorted((r.doc, r.line_no, r.text) for r in L.line_texts(L.visual_lines(words)).collect())
+    assert lines[:3] == [("w1", 0, "Valor Titular"), ("w1", 1, "4.093.736,00 ACEROS NORTE"), ("w1", 2, "775.200,00 VIDRIOS")]
+    table = L.table_cells(words, spark.createDataFrame(ROWS, "doc string, page int, y double"), spark.createDataFrame(COLUMNS, "doc string, page int, name string, x double"))
+    cells = {(r["row"], r["name"]): r["text"] for r in table.collect() if r["row"] == 2}
+    assert cells[2, "valor"] == "775.200,00" and cells[2, "titular"] == "VIDRIOS"
+    signed = L.signatures(labels, spark.createDataFrame(IMAGES, "doc string, page int, x0 double, x1 double, bottom double"), spark.createDataFrame(SCANNED, "doc string, page int"))
+    assert {(r.doc, r.label): r.signed for r in signed.collect()} == {("w2", "auxiliar"): True, ("w2", "supervisor"): False, ("w3", "auxiliar"): None}
+    assert {r.label: r.value for r in L.value_beside(words, labels).collect()} == {"auxiliar": "Pedro", "supervisor": "Marta"}
 
 
 def test_repeated_pages_change_nothing(spark):
