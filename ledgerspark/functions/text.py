@@ -202,11 +202,17 @@ def pack_factor(c: Column) -> Column:
     return F.when(n > 1, n)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used, inside functions over arrays, too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def spots(text: Column, pattern: Column) -> Column:
     """Matches of a pattern with the number of characters before each: the text is cut at its matches."""
-    hits, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), (length(F.slice(pieces, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i))).alias("place")))
+    cut = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("pieces"))
+    place = lambda v, i: length(F.slice(v["pieces"], F.lit(1), i + 1)) + length(F.slice(v["hits"], F.lit(1), i))
+    return let(cut, lambda v: F.transform(v["hits"], lambda h, i: F.struct(h.alias("hit"), place(v, i).alias("place"))))
 
 
 def column_field(title: Column) -> Column:

@@ -68,8 +68,8 @@ def votes(text: Column, ranges: Column, expected: Column, name: Column) -> Colum
 
     wanted = F.ltrim(X.digits(expected), F.lit("0"))
     printed = lambda d: F.concat(F.lit("(?<![0-9])0*"), d, F.lit("(?![0-9])"))
-    asked = F.when(wanted != "", F.transform(spots(text, printed(wanted)), lambda s: _vote(F.regexp_extract(before(s, 8), r"([A-Z]{1,6})\s*-?\s*$", 1), wanted, p["expected"], "expected", s["place"])))
-    hints = F.filter(name_hints(name), lambda h: F.regexp_like(text, printed(_number(h["digits"]))))
+    asked = F.when((wanted != "") & F.contains(text, wanted), F.transform(spots(text, printed(wanted)), lambda s: _vote(F.regexp_extract(before(s, 8), r"([A-Z]{1,6})\s*-?\s*$", 1), wanted, p["expected"], "expected", s["place"])))
+    hints = F.filter(name_hints(name), lambda h: F.contains(text, _number(h["digits"])) & F.regexp_like(text, printed(_number(h["digits"]))))
     every = [
         F.transform(spots(text, F.lit(LABELLED)), label),
         F.transform(F.filter(spots(text, F.lit(BARE)), lambda s: ~before(s, 40).rlike(OTHER)), bare),

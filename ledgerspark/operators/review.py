@@ -24,20 +24,19 @@ def printed(text: Column, tax_id: Column) -> Column:
     return F.coalesce((X.digits(tax_id) != "") & F.regexp_like(text, X.tax_id_pattern(tax_id)), F.lit(False))
 
 
-def parties(text: Column, code: Column, own: Column, third: Column) -> tuple[Column, Column, Column]:
-    """Issuer, buyer, and whether the buyer was named as such (by the code or by its box) and not just seen somewhere.
+def parties(ids: Column, code: Column, own: Column, third: Column, own_shown: Column, third_shown: Column) -> tuple[Column, Column, Column]:
+    """ids: the text's labelled ids. Issuer, buyer, and whether the buyer was named as such (by the code or by its box) and not just seen somewhere.
 
     Issuer: of the code; else the expected one if the text shows it; else the first id that is not the own one, those with an
     issuer's words first. Buyer: of the code; else of the buyers' boxes the own id, or the first; else the own id if it is shown.
     """
-    ids = labelled_ids(text)
     of_code = lambda f: F.nullif(X.digits(code[f]), F.lit(""))
     strange = F.filter(ids, lambda i: ~X.same_tax_id(i["tax_id"], own))
     first = lambda xs: F.get(xs, 0)["tax_id"]
-    issuer = F.coalesce(of_code(ISSUER_FIELD), F.when(printed(text, third), X.digits(third)), first(F.filter(strange, lambda i: i["role"] == "emisor")), first(strange))
+    issuer = F.coalesce(of_code(ISSUER_FIELD), F.when(third_shown, X.digits(third)), first(F.filter(strange, lambda i: i["role"] == "emisor")), first(strange))
     boxes = F.filter(ids, lambda i: i["role"] == "adquirente")
     named = F.coalesce(of_code(BUYER_FIELD), first(F.filter(boxes, lambda i: X.same_tax_id(i["tax_id"], own))), first(boxes))
-    return F.coalesce(issuer, F.lit("")), F.coalesce(named, F.when(printed(text, own), X.digits(own)), F.lit("")), named.isNotNull()
+    return F.coalesce(issuer, F.lit("")), F.coalesce(named, F.when(own_shown, X.digits(own)), F.lit("")), named.isNotNull()
 
 
 def review(docs: DataFrame) -> DataFrame:
@@ -53,10 +52,11 @@ def review(docs: DataFrame) -> DataFrame:
     link = F.get(F.filter("links", lambda u: F.regexp_like(u, F.lit(CHECK_LINK))), 0)
     rows = docs.select("doc", blank("text").alias("text"), blank("code").alias("raw"), X.qr_fields(blank("code")).alias("code"), F.coalesce("code_seen", F.lit(False)).alias("code_seen"), link.alias("link"), blank("own_id").alias("own"), blank("third_id").alias("third"), blank("cited").alias("cited"), "name", "expected")
     text, own, third = F.col("text"), F.col("own"), F.col("third")
-    issuer, buyer, named = parties(text, F.col("code"), own, third)
+    rows = rows.withColumns({"ids": labelled_ids(text), "own_shown": printed(text, own), "third_shown": printed(text, third)})
+    issuer, buyer, named = parties(F.col("ids"), F.col("code"), own, third, F.col("own_shown"), F.col("third_shown"))
     coded = F.when(F.col("code")[HASH_FIELD].rlike("^[0-9a-fA-F]{96}$"), F.lower(F.col("code")[HASH_FIELD]))
     facts = rows.select(
-        "doc", "own", "third", "cited", issuer.alias("issuer"), buyer.alias("buyer"), named.alias("named"), printed(text, own).alias("own_shown"), printed(text, third).alias("third_shown"),
+        "doc", "own", "third", "cited", issuer.alias("issuer"), buyer.alias("buyer"), named.alias("named"), "own_shown", "third_shown",
         F.coalesce(X.invoice_hash(text), X.invoice_hash(F.col("link")), coded, F.lit("")).alias("hash"), ((F.col("raw") != "") | F.col("code_seen") | F.col("link").isNotNull()).alias("has_code"))
     numbers = invoice_numbers(rows.select("doc", "text", F.coalesce(F.col("code")[NUMBER_FIELD], F.lit("")).alias("qr"), "expected", "name"))
     j = facts.join(numbers.select("doc", "number"), "doc")
