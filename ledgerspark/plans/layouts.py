@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import checks as K
+from ..operators import codes as Q
 from ..operators import layout as L
 from ..operators import pages as G
 from ..operators import templates as T
@@ -90,6 +91,20 @@ def empaque(spark, d):
     return found.select("doc", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce(F.get("items", 0) >= 0, F.lit(False)).alias("explained"))
 
 
+def codigo_por_forma(spark, d):
+    """Invoices of the suppliers: a logo, then for two in three a code of random modules, on the first page or too late to be looked at."""
+    k = c("s_suppkey")
+    side = 60
+    at = F.sequence(F.lit(0), F.lit(side * side - 1))
+    module = lambda i: F.pmod(F.xxhash64(k, i), F.lit(2)) * 255
+    drawn = lambda level: F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.hex(level(i).cast("long")), 2, "0")), ""))
+    image = lambda page, no, width, pixels: F.struct(F.lit(page).alias("page") if isinstance(page, int) else page.alias("page"), F.lit(no).alias("image_no"), F.lit(float(width)).alias("width"), F.lit(80.0).alias("height"), pixels.alias("pixels"))
+    logo = drawn(lambda i: F.when(i % side < 25, 0).otherwise(255))
+    images = F.array_compact(F.array(image(1, 1, 80, logo), F.when(k % 3 > 0, image(F.when(k % 7 == 0, 5).otherwise(1), 2, 80, drawn(module))), F.when(k % 3 == 0, image(1, 3, 200, drawn(module)))))
+    made = table(spark, d, "supplier").select(k.alias("doc"), F.explode(images).alias("i")).select("doc", "i.*", F.lit(side).alias("columns"), F.lit(side).alias("rows"))
+    return Q.codes_by_shape(made)
+
+
 def _cells(spark, d):
     """A workbook for each nation: notes, then a batch's sheet whose titles stand lower the greater its key; some books have no table, some no total."""
     n = c("n_nationkey").cast("int")
@@ -161,6 +176,7 @@ SQL = {
 SELECT book, one OR two AS valid, CASE WHEN one THEN 'Lote' WHEN two THEN 'Lote 2' END AS sheet, CASE WHEN one THEN t WHEN two THEN 7 END AS title_row, CASE WHEN one THEN CASE WHEN n % 3 > 0 THEN t + 6 ELSE t + 11 END WHEN two THEN 8 END AS total_row, CASE WHEN one THEN t + 10 END AS differences_row,
  CASE WHEN one THEN CASE WHEN n % 3 > 0 THEN 5 ELSE 10 END WHEN two THEN 0 END AS capacity, CASE WHEN one THEN '2=Nro. Registro,4=Titular' WHEN two THEN '2=nro. registro:' ELSE '' END AS titles,
  CASE WHEN one THEN 'applied_on@2=2026-09-' || lpad(CAST(n + 1 AS VARCHAR), 2, '0') || ',payment_kind@1=Proveedores' ELSE '' END AS info, concat_ws(',', CASE WHEN one THEN 'Lote' END, CASE WHEN two THEN 'Lote 2' END) AS sheets FROM s""",
+    "codigo_por_forma": """SELECT s_suppkey AS doc, 1 AS page, 2 AS image_no FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 7 <> 0""",
     "lineas_visuales": f"""SELECT {_S} AS doc, 0 AS line_no, 'Valor Titular' AS text FROM orders UNION ALL SELECT {_S}, 1, {_S} || ' ACEROS ' || CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT {_S}, 2, {_S} || ',00 VIDRIOS' FROM orders""",
     "tabla_portal": f"""SELECT {_S} AS doc, 1 AS row, 'valor' AS name, {_S} AS text FROM orders UNION ALL SELECT {_S}, 1, 'titular', CAST(o_custkey AS VARCHAR) || ' ACEROS' FROM orders UNION ALL SELECT {_S}, 2, 'valor', {_S} || ',00' FROM orders UNION ALL SELECT {_S}, 2, 'titular', 'VIDRIOS' FROM orders""",
     "firmas": f"""SELECT {_S} AS doc, 'auxiliar' AS label, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 3 > 0 END AS signed FROM orders UNION ALL SELECT {_S}, 'supervisor', CASE WHEN o_orderkey % 7 <> 0 THEN false END FROM orders""",

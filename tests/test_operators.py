@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ledgerspark.functions import numbers as N
 from ledgerspark.functions import text as X
 from ledgerspark.operators import candidates as C
 from ledgerspark.operators import checks as K
+from ledgerspark.operators import codes
 from ledgerspark.operators import layout as L
 
 
@@ -135,3 +137,13 @@ def test_layout(spark):
 def test_repeated_pages_change_nothing(spark):
     pages = spark.createDataFrame([("d", 1, "a\na"), ("d", 2, "b"), ("d", 3, "a\na")], "doc string, page int, text string")
     assert sorted(r.page for r in L.without_repeated_pages(pages).collect()) == [1, 2]
+
+
+def test_codes_by_shape():
+    r = np.random.default_rng(1)
+    draw = lambda a: (np.ascontiguousarray(a, np.uint8).tobytes(), a.shape[1], a.shape[0])
+    code = np.kron(r.integers(0, 2, (45, 45)), np.ones((6, 6))) * 200 + 20
+    logo = np.zeros((150, 150)) + 255
+    logo[40:110, 30:60] = 0
+    assert codes.looks_like_code(*draw(code)) and codes.looks_like_code(*draw(code[::2, ::3]))
+    assert not codes.looks_like_code(*draw(logo)) and not codes.looks_like_code(*draw(np.full((60, 60), 7))) and not codes.looks_like_code(*draw(code[:40, :40])) and not codes.looks_like_code(None, 60, 60)
