@@ -194,7 +194,11 @@ class Index:
 
 def sampled(docs: DataFrame, size: int = SAMPLE) -> list[list[bytes]]:
     """The different terms of each document of the sample."""
-    some = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text", "doc_id").alias("draw")).orderBy("draw").limit(size).select("text")
+    texts = docs.where(F.col("text").isNotNull())
+    # only about as many rows as are wanted are put in order, whatever the number of tasks
+    least = F.lit(-2.0**63 + 2.0**64 * min(1.0, 1.2 * size / max(1, texts.count())))
+    drawn = texts.select("text", F.xxhash64("text", "doc_id").alias("draw")).where(F.col("draw").cast("double") <= least)
+    some = drawn.orderBy("draw").limit(size).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
