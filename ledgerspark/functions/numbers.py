@@ -79,11 +79,3 @@ def form_quantity(text: Column) -> Column:
     """N7: the first number; with both separators or a comma alone the comma is decimal."""
     raw = F.nullif(F.regexp_extract(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), r"[0-9][0-9.,]*", 0), F.lit(""))
     return _double(F.when(raw.contains(",") & raw.contains("."), F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(","), F.lit("."))))
-
-
-def in_words(text: Column, intended: bool = False) -> Column:
-    """N8: "150 mil pesos", "3 millones de pesos". Millions count a thousand, as the rule in use has it, unless intended."""
-    pattern = r"(?i)\b([0-9]{1,3})\s*(mil|millones?)\s*(?:de\s*)?pesos?\b"
-    unit = F.lower(F.regexp_extract(text, pattern, 2))
-    factor = F.when(unit == "mil", 1e3).otherwise(1e6 if intended else 1e3)
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double") * factor

@@ -68,7 +68,3 @@ def best_evidence(evidence: DataFrame, least: int = 2) -> DataFrame:
     sums = evidence.groupBy("doc", "candidate").agg(F.sum("points").alias("points"), F.min("position").alias("position"))
     top = sums.groupBy("doc").agg(F.max_by(F.struct("candidate", "points"), F.struct("points", -F.col("position"), F.col("candidate"))).alias("t"))
     return top.select("doc", F.when(F.col("t.points") >= least, F.col("t.candidate")).otherwise("").alias("candidate"), F.col("t.points").alias("points"))
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
