@@ -13,7 +13,10 @@ from ..operators import pages as G
 from ..sources.tables import table
 
 c = F.col
-O = c("o_orderkey")
+
+
+def o_():
+    return c("o_orderkey")
 
 
 def _text(*parts):
@@ -25,7 +28,7 @@ def _padded(x, n):
 
 
 def _way(n, *xs):
-    return F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (O % n).cast("int"))
+    return F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (o_() % n).cast("int"))
 
 
 def _money(x):
@@ -33,7 +36,7 @@ def _money(x):
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", O.alias("doc"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", o_().alias("doc"))
 
 
 def _lines(spark, d, *texts):
@@ -47,10 +50,10 @@ def _lines(spark, d, *texts):
 def _vouchers(spark, d):
     """Vouchers of two invoices, of one, and of none; every fifth has the paid sum in its table alone."""
     row = lambda label, value: _text("\n| ", label, " | ", value, " |")
-    one, two = row(_text("2205050100 - CANCELA FACTURA No. ", _padded(O, 11), "-001"), _money(c("o_totalprice"))), row(_text("2205050100 - ABONO A LA FACTURA FE", O.cast("string")), _money(O + 100))
+    one, two = row(_text("2205050100 - CANCELA FACTURA No. ", _padded(o_(), 11), "-001"), _money(c("o_totalprice"))), row(_text("2205050100 - ABONO A LA FACTURA FE", o_().cast("string")), _money(o_() + 100))
     text = _text(
-        "EMPRESA EJEMPLO S.A.S. NIT : 900123456 -0\nTRANSFERENCIAS BANCARIAS G-002-00", _padded(O, 9), "\n| Girado a : PROVEEDOR ", _way(3, "UNO", "DOS", "TRES"), " SAS       FECHA : ", _way(2, "2026/09/01", "01/09/2026"), " |\n| NIT : 901,", _padded(O % 1000, 3),
-        ",", _padded(c("o_custkey") % 1000, 3), "-5 |\n| Banco : BANCO UNO CTA CTE No. 000-00  C.Costo : 0001 |\n| LA SUMA DE : MIL PESOS | |", _way(3, F.concat(one, two), one, ""), row("2408 - RETENCION EN LA FUENTE", F.lit("1.00")), row("CORTO", F.lit("5.00")), F.when(O % 5 == 0, "").otherwise(row("Girado :", _money(c("o_totalprice") + 7))))
+        "EMPRESA EJEMPLO S.A.S. NIT : 900123456 -0\nTRANSFERENCIAS BANCARIAS G-002-00", _padded(o_(), 9), "\n| Girado a : PROVEEDOR ", _way(3, "UNO", "DOS", "TRES"), " SAS       FECHA : ", _way(2, "2026/09/01", "01/09/2026"), " |\n| NIT : 901,", _padded(o_() % 1000, 3),
+        ",", _padded(c("o_custkey") % 1000, 3), "-5 |\n| Banco : BANCO UNO CTA CTE No. 000-00  C.Costo : 0001 |\n| LA SUMA DE : MIL PESOS | |", _way(3, F.concat(one, two), one, ""), row("2408 - RETENCION EN LA FUENTE", F.lit("1.00")), row("CORTO", F.lit("5.00")), F.when(o_() % 5 == 0, "").otherwise(row("Girado :", _money(c("o_totalprice") + 7))))
     return _orders(spark, d).select("doc", text.alias("text"))
 
 
@@ -67,19 +70,19 @@ def conceptos_comprobante(spark, d):
 
 
 def registro_compras(spark, d):
-    cited = _way(3, _text("Fact. No.: 003-", _padded(O, 9), "\nRETFTE FACT ", O.cast("string")), _text("FRA FV", O.cast("string"), "\nRETFTE FACT 1"), _text("Fact. No.: ", (O + 900_000).cast("string")))
-    total = F.when(O % 2 == 0, _text("T o t a l | 1.00\nT o t a l | ", _money(c("o_totalprice")))).otherwise(_text("Valor : ", _money(c("o_totalprice") + 1)))
-    text = _text("OTRAS COMPRAS P-003-", _padded(O, 9), "\nA Favor de : SERVICIOS ", _way(2, "UNO", "DOS"), " SAS | Fecha : 2026/06/01\nCédula / NIT : 860.", _padded(c("o_custkey") % 1000, 3), ".222-3\n", cited, "\nO.C. 2026", _padded(O, 6), " Orden : 6", _padded(O, 6), "\n", total)
+    cited = _way(3, _text("Fact. No.: 003-", _padded(o_(), 9), "\nRETFTE FACT ", o_().cast("string")), _text("FRA FV", o_().cast("string"), "\nRETFTE FACT 1"), _text("Fact. No.: ", (o_() + 900_000).cast("string")))
+    total = F.when(o_() % 2 == 0, _text("T o t a l | 1.00\nT o t a l | ", _money(c("o_totalprice")))).otherwise(_text("Valor : ", _money(c("o_totalprice") + 1)))
+    text = _text("OTRAS COMPRAS P-003-", _padded(o_(), 9), "\nA Favor de : SERVICIOS ", _way(2, "UNO", "DOS"), " SAS | Fecha : 2026/06/01\nCédula / NIT : 860.", _padded(c("o_custkey") % 1000, 3), ".222-3\n", cited, "\nO.C. 2026", _padded(o_(), 6), " Orden : 6", _padded(o_(), 6), "\n", total)
     return D.purchase_entries(_orders(spark, d).select("doc", text.alias("text")))
 
 
 def _purchase_orders(spark, d):
     """Orders with the lines of the order; the page of every fourth is printed twice."""
     line = ("rows", _text("|", _padded(c("l_partkey"), 10), " | ITEM |PZ | ", c("l_quantity").cast("long").cast("string"), ".00| 10.00| 10.00|\n"))
-    number = _text("000", (O + 20_260_000).cast("string"))
+    number = _text("000", (o_() + 20_260_000).cast("string"))
     page = _text("ORDEN DE COMPRA MATERIAL NACIONAL ", number, "\n| Señores : PROVEEDOR S.A. 860", _padded(c("o_custkey") % 1_000_000, 6), "-3 | Fecha: 2026/07/14 |\n| Fec.Ent. : 22/09/2026 |\n", c("rows"))
-    foot = _text(F.when(O % 3 == 0, "|ENTREGAS: 21/07: 20 CIL / 04/08: 15 CIL / 21/07: 9 CIL\n").otherwise(""), "| Neto a Pagar | ", _money(c("o_totalprice")), "|")
-    return _lines(spark, d, line).select("doc", _text(page, F.when(O % 4 == 0, page).otherwise(""), foot).alias("text"))
+    foot = _text(F.when(o_() % 3 == 0, "|ENTREGAS: 21/07: 20 CIL / 04/08: 15 CIL / 21/07: 9 CIL\n").otherwise(""), "| Neto a Pagar | ", _money(c("o_totalprice")), "|")
+    return _lines(spark, d, line).select("doc", _text(page, F.when(o_() % 4 == 0, page).otherwise(""), foot).alias("text"))
 
 
 def ordenes_compra(spark, d):
@@ -97,7 +100,7 @@ def _receipts(spark, d):
     """Receipts as lines of their pages, and the letters of the stamps that came out one by one."""
     line = ("rows", _text("Entra ", c("l_quantity").cast("long").cast("string"), F.when(c("k") % 2 == 0, ".00ROL\n").otherwise(".0OPZ\n")))
     seal = _way(4, "REVISADO POR COSTOS\nANA RUIZ PAZ 05-08-2026", "R E V I S A D O P O R C O S T O S\nA N A R U I Z 0 5 - 0 8 - 2 0 2 6", "Aceptada", "VISTO BUENO\nEVA MARIA LOPEZ")
-    text = _text("ENTRADA DE ALMACEN No. E-001-", _padded(O, 9), "\nNIT : 900123456-0\nSEÑORES : ALFA SAS NIT : 860", _padded(c("o_custkey") % 1_000_000, 6), "-3\nFECHA : 2026/08/05\n", c("rows"), "0.C. 2026", _padded(O, 6), " FRA FC", O.cast("string"), "\n", seal)
+    text = _text("ENTRADA DE ALMACEN No. E-001-", _padded(o_(), 9), "\nNIT : 900123456-0\nSEÑORES : ALFA SAS NIT : 860", _padded(c("o_custkey") % 1_000_000, 6), "-3\nFECHA : 2026/08/05\n", c("rows"), "0.C. 2026", _padded(o_(), 6), " FRA FC", o_().cast("string"), "\n", seal)
     lines = _lines(spark, d, line).select("doc", F.lit(1).alias("page"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     printed = F.array(*[F.struct(F.lit(y).cast("double").alias("top"), F.lit(s).alias("s")) for y, s in ((700, "REVISADO POR COSTOS"), (715, "ANA RUIZ 05-08-2026"), (730, "otra cosa"))])
     chars = _orders(spark, d).where("o_orderkey % 4 = 1").select("doc", F.lit(1).alias("page"), F.explode(printed).alias("p")).select("doc", "page", "p.top", F.posexplode(F.split("p.s", "")).alias("x0", "ch"))
@@ -112,7 +115,7 @@ def entradas(spark, d):
 def rangos_y_numero(spark, d):
     """Numbers with an authorised prefix, inside the range and not at its ends."""
     prefix = _way(2, "FV", "SETT")
-    text = _text("numeración autorizada desde ", prefix, " 10 hasta ", prefix, " ", (O * 2 % 1500 + 11).cast("string"), "\nFactura No. ", prefix, " ", O.cast("string"), " y ", prefix, "-10")
+    text = _text("numeración autorizada desde ", prefix, " 10 hasta ", prefix, " ", (o_() * 2 % 1500 + 11).cast("string"), "\nFactura No. ", prefix, " ", o_().cast("string"), " y ", prefix, "-10")
     docs = _orders(spark, d).select("doc", text.alias("text"))
     ranges = D.authorised_ranges(docs)
     found = docs.select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{1,6})\s*-?\s*(\d{1,10})\b"), F.lit(0))).alias("raw"))
@@ -123,14 +126,14 @@ def rangos_y_numero(spark, d):
 
 
 def nits_factura(spark, d):
-    id_ = _text("860.", _padded(c("o_custkey") % 1000, 3), ".", _padded(O % 1000, 3), "-1")
+    id_ = _text("860.", _padded(c("o_custkey") % 1000, 3), ".", _padded(o_() % 1000, 3), "-1")
     text = _way(3, _text("CLIENTE EJEMPLO NIT: 900.123.456-0\nProveedor ACME N.I.T. ", id_), _text("NIT ", id_, "\nNIT 900123456"), _text("Emisor ACME NIT ", id_, "\nNIT 811222333"))
     docs = _orders(spark, d).select("doc", text.alias("text"))
     return D.issuer_and_buyer(D.tax_ids(docs), docs.select("doc", F.lit("900123456").alias("own_id")))
 
 
 def eventos_radian(spark, d):
-    said = [F.when(F.bitwise_not(O).bitwiseAND(1 << k) == 0, s) for k, s in enumerate(("Acuse de recibo", "Recibo del bien o Prestación del servicio", "ACEPTACIÓN EXPRESA"))]
+    said = [F.when(F.bitwise_not(o_()).bitwiseAND(1 << k) == 0, s) for k, s in enumerate(("Acuse de recibo", "Recibo del bien o Prestación del servicio", "ACEPTACIÓN EXPRESA"))]
     return D.event_logs(_orders(spark, d).select("doc", F.concat_ws(" ... ", F.lit("Eventos"), *said).alias("text"))).select("doc", F.array_join("present", ",").alias("present"))
 
 

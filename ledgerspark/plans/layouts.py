@@ -13,7 +13,10 @@ from ..operators import templates as T
 from ..sources.tables import table
 
 c = F.col
-O = c("o_orderkey")
+
+
+def o_():
+    return c("o_orderkey")
 
 
 def _box(text, x0, x1, y, h=10, when=None, **more):
@@ -22,8 +25,8 @@ def _box(text, x0, x1, y, h=10, when=None, **more):
     return b if when is None else F.when(when, b)
 
 
-def _boxes(df, key, boxes, page=F.lit(1)):
-    return df.select(key.cast("string").alias("doc"), page.alias("page"), F.posexplode(F.array_compact(F.array(*boxes))).alias("word_no", "w")).select("doc", "page", "word_no", "w.*")
+def _boxes(df, key, boxes, page=1):
+    return df.select(key.cast("string").alias("doc"), F.lit(page).alias("page"), F.posexplode(F.array_compact(F.array(*boxes))).alias("word_no", "w")).select("doc", "page", "word_no", "w.*")
 
 
 def _orders(spark, d):
@@ -46,9 +49,9 @@ def texto_paginas(spark, d):
 def lectura_cajas(spark, d):
     """Rows of a scanned receipt: boxes that are sure enough, in the order of their rows."""
     boxes = [
-        _box("Entra 5.00PZ", 200, 260, 103, confidence="0.9"), _box(F.concat(F.lit("1405"), O.cast("string")), 10, 80, 100, confidence="0.8"), _box("dudoso", 90, 120, 100, when=O % 2 == 0, confidence="0.2"),
-        _box("FRA FC1", 10, 60, 130, 14, confidence="x"), _box("0.C. 77", 100, 150, 138, confidence="0.4"), _box("final", 10, 50, 170, when=O % 3 == 0, confidence="0.95")]
-    read = G.readable(_boxes(_orders(spark, d), O, boxes), G.RECEIPT_CONFIDENCE)
+        _box("Entra 5.00PZ", 200, 260, 103, confidence="0.9"), _box(F.concat(F.lit("1405"), o_().cast("string")), 10, 80, 100, confidence="0.8"), _box("dudoso", 90, 120, 100, when=o_() % 2 == 0, confidence="0.2"),
+        _box("FRA FC1", 10, 60, 130, 14, confidence="x"), _box("0.C. 77", 100, 150, 138, confidence="0.4"), _box("final", 10, 50, 170, when=o_() % 3 == 0, confidence="0.95")]
+    read = G.readable(_boxes(_orders(spark, d), o_(), boxes), G.RECEIPT_CONFIDENCE)
     return G.box_lines(read.withColumnRenamed("word_no", "box_no")).select("doc", "line_no", "line")
 
 
@@ -56,24 +59,24 @@ def cantidad_factura(spark, d):
     """Quantities under a column's title over one to three pages; totals end the items, and a page that is printed twice counts once."""
     li = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("l_quantity")).alias("q"))
     o = _orders(spark, d).join(li, "o_orderkey")
-    odd = O % 2 == 1
+    odd = o_() % 2 == 1
     words = [
         _box("Código", 10, 50, 90), _box("Cantidad", 200, 250, 90), _box("VALOR", 300, 330, 90), _box("TOTAL", 335, 360, 90),
         _box("10000001", 10, 60, 120), _box("CINTA", 70, 110, 120), _box("x4", 115, 130, 120), _box(F.concat(c("q").cast("string"), F.lit(".00")), 210, 240, 120), _box("12,500.00", 300, 350, 120),
         _box("TUBO", 70, 100, 140), _box("7", 222, 228, 140), _box("9", 180, 186, 140), _box("IVA", 120, 140, 140), _box("19", 300, 310, 140),
         _box("Subtotal", 10, 60, 180, when=odd), _box(c("n").cast("string"), 215, 235, 180, when=odd), _box("555", 215, 235, 200, when=odd)]
-    one = _boxes(o, O, words)
+    one = _boxes(o, o_(), words)
     again = one.where("CAST(doc AS LONG) % 3 = 0").withColumn("page", F.lit(2))
-    other = _boxes(o.where("o_orderkey % 5 = 0"), O, [_box("CANT.", 200, 240, 50), _box("3", 215, 222, 80), _box("cantidades", 10, 60, 300)], F.lit(3))
+    other = _boxes(o.where("o_orderkey % 5 = 0"), o_(), [_box("CANT.", 200, 240, 50), _box("3", 215, 222, 80), _box("cantidades", 10, 60, 300)], 3)
     pages = one.unionByName(again).unionByName(other)
     return L.column_quantity(pages, pages.select("doc", "page").distinct().withColumn("height", F.lit(700.0)))
 
 
 def renglones_cantidad(spark, d):
     """Items of a page with their descriptions, and the packs that these name."""
-    o = _orders(spark, d).withColumn("n", O % 7 + 2)
+    o = _orders(spark, d).withColumn("n", o_() % 7 + 2)
     words = [_box("CANT", 200, 240, 50), _box("10000001", 10, 60, 80), _box("PH JUMBO", 70, 110, 80), _box(F.concat(c("n").cast("string"), F.lit(" ROLLOS X 250")), 115, 160, 80), _box("15.00", 210, 230, 80), _box("$1.200,50", 300, 340, 80), _box("TORNILLO", 70, 110, 110), _box("0", 215, 222, 110)]
-    page = _boxes(o, O, words)
+    page = _boxes(o, o_(), words)
     return L.quantity_rows(page, page.select("doc", "page").distinct().withColumn("height", F.lit(700.0))).select("doc", "row", "quantity", "description", X.pack_factor(c("description")).alias("factor"))
 
 
@@ -127,9 +130,9 @@ def plantilla(spark, d):
 def _table_words(spark, d):
     """Two rows of two columns under their titles, a little askew."""
     words = [
-        _box("Valor", 10, 40, 10), _box("Titular", 100, 150, 11), _box(O.cast("string"), 10, 60, 40), _box("ACEROS", 100, 140, 42), _box(c("o_custkey").cast("string"), 145, 180, 41),
-        _box(F.concat(O.cast("string"), F.lit(",00")), 10, 60, 70), _box("VIDRIOS", 100, 160, 71)]
-    return _boxes(_orders(spark, d), O, words)
+        _box("Valor", 10, 40, 10), _box("Titular", 100, 150, 11), _box(o_().cast("string"), 10, 60, 40), _box("ACEROS", 100, 140, 42), _box(c("o_custkey").cast("string"), 145, 180, 41),
+        _box(F.concat(o_().cast("string"), F.lit(",00")), 10, 60, 70), _box("VIDRIOS", 100, 160, 71)]
+    return _boxes(_orders(spark, d), o_(), words)
 
 
 def lineas_visuales(spark, d):
@@ -137,7 +140,7 @@ def lineas_visuales(spark, d):
 
 
 def tabla_portal(spark, d):
-    keys = _orders(spark, d).select(O.cast("string").alias("doc"), F.lit(1).alias("page"))
+    keys = _orders(spark, d).select(o_().cast("string").alias("doc"), F.lit(1).alias("page"))
     rows = keys.select("doc", "page", F.explode(F.array(F.lit(45.0), F.lit(75.0))).alias("y"))
     columns = keys.select("doc", "page", F.explode(F.array(F.struct(F.lit("valor").alias("name"), F.lit(35.0).alias("x")), F.struct(F.lit("titular").alias("name"), F.lit(130.0).alias("x")))).alias("k")).select("doc", "page", "k.*")
     return L.table_cells(_table_words(spark, d).where("y0 > 30"), rows, columns).select("doc", "row", "name", "text")
@@ -145,21 +148,21 @@ def tabla_portal(spark, d):
 
 def _labels(spark, d):
     labels = [_box("auxiliar", 10, 60, 200), _box("supervisor", 200, 260, 200)]
-    return _boxes(_orders(spark, d), O, labels).withColumnRenamed("text", "label")
+    return _boxes(_orders(spark, d), o_(), labels).withColumnRenamed("text", "label")
 
 
 def firmas(spark, d):
     """Images stand over the first label of two orders in three and beside the second; every seventh page is a scan."""
     o = _orders(spark, d)
-    images = [_box("", 20, 80, 170, when=O % 3 > 0), _box("", 300, 340, 180)]
-    i = _boxes(o, O, images).withColumnRenamed("y1", "bottom")
-    return L.signatures(_labels(spark, d), i, o.where("o_orderkey % 7 = 0").select(O.cast("string").alias("doc"), F.lit(1).alias("page"))).select("doc", "label", "signed")
+    images = [_box("", 20, 80, 170, when=o_() % 3 > 0), _box("", 300, 340, 180)]
+    i = _boxes(o, o_(), images).withColumnRenamed("y1", "bottom")
+    return L.signatures(_labels(spark, d), i, o.where("o_orderkey % 7 = 0").select(o_().cast("string").alias("doc"), F.lit(1).alias("page"))).select("doc", "label", "signed")
 
 
 def valor_etiqueta(spark, d):
     """Values beside one label and below the other."""
-    words = [_box("Pedro", 70, 100, 201, when=O % 2 == 0), _box(F.concat(F.lit("Marta "), O.cast("string")), 205, 240, 230), _box("lejos", 10, 40, 300)]
-    return L.value_beside(_boxes(_orders(spark, d), O, words), _labels(spark, d)).select("doc", "label", "value")
+    words = [_box("Pedro", 70, 100, 201, when=o_() % 2 == 0), _box(F.concat(F.lit("Marta "), o_().cast("string")), 205, 240, 230), _box("lejos", 10, 40, 300)]
+    return L.value_beside(_boxes(_orders(spark, d), o_(), words), _labels(spark, d)).select("doc", "label", "value")
 
 
 _S = "CAST(o_orderkey AS VARCHAR)"
