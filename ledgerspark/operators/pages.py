@@ -100,3 +100,19 @@ def spliced(lines: DataFrame, read: DataFrame) -> DataFrame:
     turn = F.when(F.col("at").isNull(), F.col("chain")).otherwise(-F.col("chain"))
     new = new.select("doc", "page", "line", F.struct(F.coalesce("at", F.lit(1 << 40)).cast("long").alias("a"), F.lit(1).alias("b"), turn.cast("long").alias("c"), F.col("top").cast("double").alias("d"), (-F.col("read_no")).alias("e")).alias("place"))
     return own.unionByName(new).select("doc", "page", F.row_number().over(Window.partitionBy("doc", "page").orderBy("place")).alias("line_no"), "line")
+
+
+def page_texts(pages: DataFrame, lines: DataFrame, read: DataFrame, boxes: DataFrame) -> DataFrame:
+    """pages (doc, page) with their text lines, lines read in images (see ``spliced``) and boxes of a scan (see ``image_lines``) -> doc, page, text, scanned.
+
+    A page without text in its lines takes the rows of its scan, with lost spaces put back; scanned tells that its text comes from there, and is worth a second look. A page with neither is
+    blank. Images are read only on pages that have text.
+    """
+    joined = lambda d: d.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    own = joined(lines).where(F.regexp_replace("text", r"\s", "") != "").select("doc", "page")
+    with_text = joined(spliced(lines.join(own, ["doc", "page"], "left_semi"), read.join(own, ["doc", "page"], "left_semi")))
+    rest = pages.select("doc", "page").join(own, ["doc", "page"], "left_anti")
+    rows = line_texts(visual_lines(boxes.where(F.trim("text") != "").join(rest, ["doc", "page"], "left_semi")))
+    seen = joined(rows.select("doc", "page", "line_no", unglue(F.col("text")).alias("line"))).withColumnRenamed("text", "seen")
+    out = pages.select("doc", "page").join(with_text, ["doc", "page"], "left").join(seen, ["doc", "page"], "left")
+    return out.select("doc", "page", F.coalesce("text", "seen", F.lit("")).alias("text"), (F.coalesce("seen", F.lit("")) != "").alias("scanned"))

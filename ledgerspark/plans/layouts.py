@@ -33,7 +33,7 @@ def _orders(spark, d):
     return table(spark, d, "orders")
 
 
-def texto_paginas(spark, d):
+def _pages(spark, d):
     """Pages of six lines with an image between two of them; what stands in the image goes below the line above it, and to the end where none is."""
     p = table(spark, d, "pages").select("page_id")
     k = c("page_id")
@@ -43,7 +43,23 @@ def texto_paginas(spark, d):
     images = p.select(k.cast("string").alias("doc"), F.lit(1).alias("page"), F.explode(F.array(
         F.struct(F.lit(50.0).alias("x0"), F.lit(300.0).alias("x1"), y.cast("double").alias("y0"), (y + 32).cast("double").alias("y1")), F.struct(F.lit(400.0).alias("x0"), F.lit(430.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("y1")))).alias("i")).select("doc", "page", "i.*")
     boxes = [_box("Aprobada", 60, 100, y + 2), _box(F.concat(F.lit("por$"), (k + 100_000).cast("string")), 110, 200, y + 2), _box("FRA", 60, 80, y + 18), _box(k.cast("string"), 90, 120, y + 18), _box("icono", 405, 425, 120), _box("fuera", 310, 340, y + 2), _box(" ", 60, 70, y + 2)]
-    return G.spliced(lines, G.image_lines(_boxes(p, k, boxes), images)).select("doc", "line_no", "line")
+    return p, lines, _boxes(p, k, boxes), images
+
+
+def texto_paginas(spark, d):
+    """Lines of all pages with those of their images."""
+    _, lines, boxes, images = _pages(spark, d)
+    return G.spliced(lines, G.image_lines(boxes, images)).select("doc", "line_no", "line")
+
+
+def texto_con_ocr(spark, d):
+    """Texts of pages: every third has no text layer and is read as a scan, and of these every second shows nothing."""
+    p, lines, boxes, images = _pages(spark, d)
+    k = F.col("doc").cast("long")
+    layer = lines.where(k % 3 > 0).unionByName(lines.where((k % 3 == 0) & (F.col("line_no") == 0)).withColumn("line", F.lit("  ")))
+    seen = boxes.where((k % 6 > 0) & (F.col("text") != "icono") & (F.col("text") != "fuera"))
+    pages = p.select(c("page_id").cast("string").alias("doc"), F.lit(1).alias("page"))
+    return G.page_texts(pages, layer, G.image_lines(seen, images), seen).select("doc", "text", "scanned")
 
 
 def lectura_cajas(spark, d):
@@ -169,6 +185,10 @@ _S = "CAST(o_orderkey AS VARCHAR)"
 SQL = {
     "texto_paginas": """WITH p AS (SELECT CAST(page_id AS VARCHAR) AS doc, page_id AS k, CASE WHEN page_id % 5 = 0 THEN 6 ELSE page_id % 6 END AS a FROM pages), i AS (SELECT unnest(range(0, 6)) AS i),
  x AS (SELECT doc, i * 10 AS s, 'linea ' || i || ' de ' || doc AS line FROM p, i UNION ALL SELECT doc, a * 10 + 1, 'Aprobada por $' || CAST(k + 100000 AS VARCHAR) FROM p UNION ALL SELECT doc, a * 10 + 2, 'FRA ' || doc FROM p) SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY s) AS INTEGER) AS line_no, line FROM x""",
+    "texto_con_ocr": """WITH p AS (SELECT CAST(page_id AS VARCHAR) AS doc, page_id AS k, CASE WHEN page_id % 5 = 0 THEN 6 ELSE page_id % 6 END AS a FROM pages), i AS (SELECT unnest(range(0, 6)) AS i),
+ r AS (SELECT doc, k, a * 10 + 1 AS s, 'Aprobada por $' || CAST(k + 100000 AS VARCHAR) AS line FROM p UNION ALL SELECT doc, k, a * 10 + 2, 'FRA ' || doc FROM p),
+ x AS (SELECT doc, i * 10 AS s, 'linea ' || i || ' de ' || doc AS line FROM p, i WHERE k % 3 > 0 UNION ALL SELECT doc, s, line FROM r WHERE k % 6 > 0), t AS (SELECT doc, string_agg(line, chr(10) ORDER BY s) AS text FROM x GROUP BY doc)
+ SELECT p.doc, coalesce(text, '') AS text, k % 3 = 0 AND k % 6 > 0 AS scanned FROM p LEFT JOIN t ON t.doc = p.doc""",
     "lectura_cajas": f"""WITH o AS (SELECT {_S} AS doc, o_orderkey AS k FROM orders) SELECT doc, 1 AS line_no, '1405' || doc || ' Entra 5.00PZ' AS line FROM o UNION ALL SELECT doc, 2, 'FRA FC1 0.C. 77' FROM o UNION ALL SELECT doc, 3, 'final' FROM o WHERE k % 3 = 0""",
     "cantidad_factura": f"""WITH q AS (SELECT l_orderkey AS o_orderkey, sum(floor(l_quantity)) AS q FROM lineitem GROUP BY 1) SELECT {_S} AS doc, 'Cantidad' AS header, q + 7 + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END AS quantity, CASE WHEN q > 0 THEN 1 ELSE 0 END + 1 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS rows FROM orders JOIN q USING (o_orderkey)""",
     "renglones_cantidad": f"""SELECT {_S} AS doc, 1 AS row, 15.0::DOUBLE AS quantity, 'PH JUMBO ' || CAST(o_orderkey % 7 + 2 AS VARCHAR) || ' ROLLOS X 250' AS description, CAST(o_orderkey % 7 + 2 AS INTEGER) AS factor FROM orders""",
