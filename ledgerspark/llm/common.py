@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,19 +46,70 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+#: Tables that operators have written in this thread, from the last ``release`` on.
+_scratch = threading.local()
+
+
+def written(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors. keep: ``release`` leaves it."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
+    if not keep:
+        _scratch.paths = [*getattr(_scratch, "paths", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, still: DataFrame) -> None:
+    """For callers that have written all results so far: deletes the tables that operators have left since ``begin``, and lets Spark's cleaner drop the shuffle files of work that is done.
+
+    Tables that ``still`` reads stay; other frames that read a deleted one can't be used afterwards.
+    """
+    read = still.inputFiles()
+    for path in getattr(_scratch, "paths", []):
+        if any(f"/{path.rstrip('/').rsplit('/', 1)[-1]}/" in f for f in read):
+            continue
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _scratch.paths = []
+    released(spark)
+
+
+def begin() -> None:
+    """From now on ``release`` deletes only what is written after this call."""
+    _scratch.paths = []
+
+
+def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of work that is done and written, by collecting garbage on the driver."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: The one large object that a worker keeps between tasks, by its key.
+_kept: dict[object, object] = {}
+
+
+def worker_object(key: object, make: Callable[[], object]) -> object:
+    """An object made once a worker; it takes the place of any other that the worker keeps."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def trimmed() -> None:
+    """Gives memory that a task has freed back to the machine: workers outlive their tasks, and several of them wait in an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean() -> None:
+    """Drops what an earlier operator keeps in this worker."""
+    _kept.clear()
+    trimmed()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -72,6 +126,24 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_RE))).cast("long")
 
 
+_SPACE_BYTE = np.zeros(256, bool)
+_SPACE_BYTE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def split_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words (large binary, A-Z lower-cased) of all texts, the word at each place (its number), and each text's number of words."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"\n".join(coded).lower() + b"\n", np.uint8)
+    inside = ~_SPACE_BYTE[raw]
+    first = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    after = np.flatnonzero(inside & np.r_[~inside[1:], True]) + 1
+    bound = np.searchsorted(first, np.cumsum([0, *(len(c) + 1 for c in coded)]))
+    letters = raw[inside]
+    offsets = np.r_[0, np.cumsum(after - first)]
+    made = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return made.dictionary, made.indices.to_numpy(), np.diff(bound)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until no column of df clashes."""
     taken = {c.lower() for c in df.columns}
@@ -147,6 +219,6 @@ def mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructFie
             for part in slices(whole, column, limit):
                 made = work(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(made, kinds)], names=schema.names)
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])]).mapInArrow(batches, schema)

@@ -13,15 +13,18 @@ shingle; a component's first row is that of the smallest doc_id, rows without on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import filtered, free_name, id_filter, mapped, written
-from .graph import components, linked_under_keys, shared_keys
+from .graph import components, gathered_keys, linked_under_keys
 from .simhash import codes_of, links, print_of
 
 BANDS, ROWS = 30, 3
@@ -78,12 +81,17 @@ def with_features(docs: DataFrame, shingle: int, row: str, near: str) -> DataFra
             keys.append(band_keys(kind) if len(kind) else np.zeros(0, np.int64))
         return [pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (h, fp, n)] + [pa.array(keys, pa.list_(pa.int64()))], names=["h", "fp", "n", "keys"])]
 
-    return mapped(docs, "text", docs.columns, [T.StructField(near, kinds)], run).withColumn(row, F.monotonically_increasing_id())
+    return mapped(docs, "text", docs.columns, [T.StructField(near, kinds)], run, limit=1_000_000).withColumn(row, F.monotonically_increasing_id())
 
 
 def similar_links(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """rows (id, fp, n, keys), one for each set, and texts (id, text) of these and other ids -> (node, root) of the components of all similar pairs."""
-    shared = written(shared_keys(rows.select(F.explode("keys").alias("key"), "id", F.lit(3).cast("byte").alias("side"))), "shingle-keys")
+    def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        keys = batch.column("keys")
+        key = keys.flatten().to_numpy()
+        yield key, np.repeat(batch.column("id").to_numpy(), pc.list_value_length(keys).to_numpy()), np.full(len(key), 3, np.int8)
+
+    shared = written(gathered_keys(rows.select("id", "keys"), make), "shingle-keys")
     heads = rows.groupBy("fp").agg(F.min("id").alias("head"))
     near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

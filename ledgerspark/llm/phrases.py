@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_filter, passes, slices, written
+from .common import id_filter, passes, slices, trimmed, written
 
 MAX_N, LEAST, KEEP, TOP = 4, 30, 80, 2000
 #: Bytes of text that are counted together.
@@ -157,7 +157,7 @@ def word_and_prefix_counts(docs: DataFrame, hot: int, max_n: int) -> DataFrame:
                         for lo in range(0, len(text), 50_000):
                             some = text.slice(lo, 50_000).cast(pa.binary())
                             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.binary()), some, pa.array([size] * len(some), pa.int32()), pa.array(count[lo:lo + 50_000])], names=["lang", "words", "size", "n"])
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     return docs.select("lang", "text").mapInArrow(run, "lang binary, words binary, size int, n long")
 
@@ -203,7 +203,7 @@ def suffixes(docs: DataFrame, common, hot: dict[bytes, set[bytes]], max_n: int)
                     for lo in range(0, len(rows), 50_000):
                         full = joined(kinds, [c[lo:lo + 50_000] for c in codes], lang + b"\n").cast(pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(part[lo:lo + 50_000]), full, pa.array(count[lo:lo + 50_000])], names=["part", "suffix", "n"])
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     return docs.select("lang", "text").mapInArrow(run, "part long, suffix binary, n long")
 

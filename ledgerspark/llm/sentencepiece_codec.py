@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name, mapped
+from .common import free_name, mapped, worker_object
 
 MARK = "▁"
 #: Bytes of chunks and ids that a worker remembers; then it starts anew.
@@ -225,16 +225,8 @@ class Codec:
         return self.text_of(self.tokenizer.decode(list(ids), skip_special_tokens=False))
 
 
-#: The codec that this worker keeps between tasks.
-_codecs: dict[tuple, Codec] = {}
-
-
 def worker_codec(data: bytes, threads: int, parity: bool) -> Codec:
-    key = zlib.crc32(data), len(data), threads, parity
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data, threads, parity)
-    return _codecs[key]
+    return worker_object(("codec", zlib.crc32(data), len(data), threads, parity), lambda: Codec(data, threads, parity))
 
 
 def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: bool = True) -> DataFrame:
