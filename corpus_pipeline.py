@@ -7,7 +7,8 @@
 4. Mixing: each document stays as often as the mix takes it, up to three times, or goes.
 5. SentencePiece: ids of each text.
 
-Tables that stages write stay in the shared folder until it is cleared; shuffles of a stage are released when the next one starts.
+A stage's result must be written before the next stage is called, as ``run`` does: tables and shuffles that a stage has made for itself go when the
+next one starts. The written results stay in the shared folder until it is cleared.
 Null texts fail the first stage; an empty table passes through all stages; columns beyond those of ``documents`` are kept
 by the first three stages and the mix.
 """
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import line_dedup, mixing, near_copies, quality_rules, sentencepiece_codec
-from ledgerspark.llm.common import documents, release, tokenizer_file, written
+from ledgerspark.llm.common import begin, documents, release, tokenizer_file, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin()
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     prefix = "quality_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
@@ -30,22 +32,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark, docs)
     out = line_dedup.without_dropped_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(spark, docs)
     return near_copies.without_near_copies(docs, shingle=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(spark, docs)
     return mixing.mixed_rows(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    release(spark, docs)
     return sentencepiece_codec.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
@@ -66,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+            docs = written(docs, name.replace(" ", "-"), keep=True)
     return docs
