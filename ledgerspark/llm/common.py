@@ -46,6 +46,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables that operators have written in this thread, from the last ``release`` on.
 _scratch = threading.local()
 
@@ -74,9 +75,11 @@ def release(spark: SparkSession, still: DataFrame) -> None:
     released(spark)
 
 
-def begin() -> None:
-    """From now on ``release`` deletes only what is written after this call."""
+def begin(spark: SparkSession) -> None:
+    """From now on ``release`` deletes only what is written after this call. Whole texts go to Python in batches of a few MB, unless the session has its own bound."""
     _scratch.paths = []
+    if spark.conf.get(BATCH_BYTES, "67108864") in ("67108864", "64MB", "67108864b"):
+        spark.conf.set(BATCH_BYTES, "8388608")
 
 
 def released(spark: SparkSession) -> None:
@@ -197,23 +200,27 @@ def filtered(df: DataFrame, column: str, shared, hit: bool = True) -> DataFrame:
     """Rows of df whose ids pass the filter, or those that don't; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             ok = passes(shared.value, batch.column(column).to_numpy())
             yield batch.filter(pa.array(ok if hit else ~ok))
+        trimmed()
 
     return df.mapInArrow(run, df.schema)
 
 
-def mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructField], run: Callable[[list], list], *, limit: int = 4_000_000) -> DataFrame:
+def mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructField], run: Callable[[list], list], *, limit: int = 4_000_000, keeps: bool = False) -> DataFrame:
     """The columns of df to keep, untouched as Arrow arrays (so that integers beside nulls stay exact), and new ones.
 
     run takes the column's values of a few rows, at most about ``limit`` bytes or one row, and returns a list of values
-    for each of the fields. It is made once in each task by calling ``run()`` if it has the attribute ``per_task``.
+    for each of the fields. It is made once in each task by calling ``run()`` if it has the attribute ``per_task``. keeps: run uses a ``worker_object``.
     """
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            lean()
         work = run() if getattr(run, "per_task", False) else run
         for whole in parts:
             for part in slices(whole, column, limit):

@@ -243,7 +243,7 @@ def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: boo
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g[0] for g in got])))
         return [ids, np.diff(ends).astype(np.int64), [zlib.crc32(g[0].astype("<i4").tobytes()) for g in got], [g[1] for g in got], [g[2] for g in got]]
 
-    return mapped(docs, "text", docs.columns, [T.StructField(free_name(docs, k), t) for k, t in kinds.items()], run, limit=1_000_000)
+    return mapped(docs, "text", docs.columns, [T.StructField(free_name(docs, k), t) for k, t in kinds.items()], run, limit=1_000_000, keeps=True)
 
 
 def decode(encoded: DataFrame, model: bytes, *, ids: str = "ids", threads: int = THREADS) -> DataFrame:

@@ -79,7 +79,7 @@ def test_tables_of_a_stage_go(spark):
 
     from ledgerspark.llm.common import _scratch, begin, release, shared_dir
 
-    begin()
+    begin(spark)
     a, b = written(documents(spark, DATA).limit(3), "gone"), written(documents(spark, DATA).limit(2), "read")
     kept = written(documents(spark, DATA).limit(1), "kept", keep=True)
     release(spark, b)
