@@ -23,7 +23,7 @@ from ledgerspark.llm.common import begin, documents, release, tokenizer_file, wr
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin()
+    begin(spark)
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     prefix = "quality_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
