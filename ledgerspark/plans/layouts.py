@@ -190,7 +190,7 @@ SQL = {
  x AS (SELECT doc, i * 10 AS s, 'linea ' || i || ' de ' || doc AS line FROM p, i WHERE k % 3 > 0 UNION ALL SELECT doc, s, line FROM r WHERE k % 6 > 0), t AS (SELECT doc, string_agg(line, chr(10) ORDER BY s) AS text FROM x GROUP BY doc)
  SELECT p.doc, coalesce(text, '') AS text, k % 3 = 0 AND k % 6 > 0 AS scanned FROM p LEFT JOIN t ON t.doc = p.doc""",
     "lectura_cajas": f"""WITH o AS (SELECT {_S} AS doc, o_orderkey AS k FROM orders) SELECT doc, 1 AS line_no, '1405' || doc || ' Entra 5.00PZ' AS line FROM o UNION ALL SELECT doc, 2, 'FRA FC1 0.C. 77' FROM o UNION ALL SELECT doc, 3, 'final' FROM o WHERE k % 3 = 0""",
-    "cantidad_factura": f"""WITH q AS (SELECT l_orderkey AS o_orderkey, sum(floor(l_quantity)) AS q FROM lineitem GROUP BY 1) SELECT {_S} AS doc, 'Cantidad' AS header, q + 7 + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END AS quantity, CASE WHEN q > 0 THEN 1 ELSE 0 END + 1 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS rows FROM orders JOIN q USING (o_orderkey)""",
+    "cantidad_factura": f"""WITH q AS (SELECT l_orderkey AS o_orderkey, sum(floor(l_quantity)) AS q FROM lineitem GROUP BY 1) SELECT {_S} AS doc, 'Cantidad' AS header, q + 7 + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END AS quantity, CAST(CASE WHEN q > 0 THEN 1 ELSE 0 END + 1 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rows FROM orders JOIN q USING (o_orderkey)""",
     "renglones_cantidad": f"""SELECT {_S} AS doc, 1 AS row, 15.0::DOUBLE AS quantity, 'PH JUMBO ' || CAST(o_orderkey % 7 + 2 AS VARCHAR) || ' ROLLOS X 250' AS description, CAST(o_orderkey % 7 + 2 AS INTEGER) AS factor FROM orders""",
     "empaque": """WITH li AS (SELECT l_orderkey, floor(l_quantity) AS q, l_partkey % 3 + 2 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
  a AS (SELECT l_orderkey, q * f AS got, q * f - q AS delta FROM li WHERE k = 1 AND n <= 10), ways AS (SELECT a.l_orderkey, got, a.delta AS gap, li.k, q * f - q AS d FROM a JOIN li USING (l_orderkey) WHERE q > 0 AND q * f = got UNION ALL SELECT a.l_orderkey, got, a.delta, li.k, q / f - q FROM a JOIN li USING (l_orderkey) WHERE q > 0 AND q % f = 0 AND q / f = got),
