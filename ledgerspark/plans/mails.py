@@ -165,7 +165,7 @@ SQL = {
  x AS (SELECT *, ' ' || coalesce(string_agg(line, ' ') FILTER (usable) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), '') || ' ' AS context FROM l),
  w(word, good, points) AS (VALUES {', '.join(f"('{k}', true, {v})" for k, v in C.APPROVAL.items())}, {', '.join(f"('{k}', false, {v})" for k, v in C.NOISE.items())}),
  s AS (SELECT doc, line_no, any_value(value) AS value, sum(CASE WHEN contains(' ' || line || ' ', ' ' || word || ' ') THEN points WHEN good AND contains(context, ' ' || word || ' ') THEN greatest(1, points // 2) ELSE 0 END) + 5 + CASE WHEN any_value(value) >= 100000 THEN 2 ELSE 0 END AS score FROM x, w WHERE usable GROUP BY doc, line_no)
- SELECT doc, CAST(line_no AS INTEGER) AS line_no, value, CAST(score AS INTEGER) AS score FROM s WHERE value >= 1000 AND (value < 1900 OR value > 2100)""",
+ SELECT doc, CAST(line_no AS INTEGER) AS line_no, value, CAST(score AS INTEGER) AS score FROM s WHERE value >= 1000""",
     "clasificar_linea": f"""WITH {_MAILS}, a AS (SELECT doc, [['mencion', 'mencion', 'mencion', 'solicitud', 'acto'], ['mencion', 'solicitud', 'mencion'], ['acto'], ['informativo'], ['mencion', 'mencion', 'acto', 'mencion', 'mencion', 'mencion', 'mencion', 'mencion'], ['mencion', 'acto', 'acto'], ['mencion', 'mencion', 'acto', 'mencion'], ['mencion', 'mencion', 'acto', 'mencion']][way + 1] AS kinds FROM m WHERE doc LIKE '%a')
  SELECT doc, CAST(generate_subscripts(kinds, 1) - 1 AS INTEGER) AS line_no, unnest(kinds) AS kind FROM a""",
     "ordenes_correo": """SELECT o_orderkey AS doc, CASE o_orderkey % 3 WHEN 0 THEN n WHEN 1 THEN n || '1,' || n || '2' ELSE '' END AS orders FROM (SELECT o_orderkey, '2026' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS n FROM orders)""",
