@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import matching as M
 from ..sources.tables import table
 
-AMOUNTS = ["1.920", "1,920.00", "1.920,00", "3,134,384", "2.984.384,00", "1,786,190.00", "4.093.736", "15", "15.00", "1.920.000", "COP $ 4.093.736,00", "1.269.399.00", "2.764.800 00", "1.786.00.00", "1,234,567.00", ".", ",", "", "abc", "12,5", "1,2,34", "7.5,", " 40.0 ", "100-200 3.000,50", "0,00"]
+AMOUNTS = ["1.920", "1,920.00", "1.920,00", "3,271,845", "2.871.845,00", "1,452,300.00", "4.118.250", "15", "15.00", "1.920.000", "COP $ 4.118.250,00", "1.347.288.00", "2.651.400 00", "1.452.00.00", "1,234,567.00", ".", ",", "", "abc", "12,5", "1,2,34", "7.5,", " 40.0 ", "100-200 3.000,50", "0,00"]
 
 
 def _values(spark, rows, schema):
