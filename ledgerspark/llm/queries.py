@@ -60,7 +60,7 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode
 
-    return encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model")).drop("text")
+    return encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"), cache=128_000_000).drop("text")
 
 
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,9 +142,10 @@ def build_tokenizer(m: Model):
 
 
 class Codec:
-    """Encodes and decodes texts in one worker. Chunks met before are remembered, up to about ``CACHE_BYTES``."""
+    """Encodes and decodes texts in one worker. Chunks met before are remembered, up to about ``cache`` bytes."""
 
-    def __init__(self, data: bytes, threads: int = THREADS, parity: bool = True) -> None:
+    def __init__(self, data: bytes, threads: int = THREADS, parity: bool = True, cache: int = CACHE_BYTES) -> None:
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = parse_model(data)
@@ -204,7 +205,7 @@ class Codec:
                 parts.append(self.chunks(texts[hi]))
                 size += len(texts[hi])
                 hi += 1
-            if self.bytes > CACHE_BYTES:
+            if self.bytes > self.cache:
                 self.reset()
             self.learn(list({c: None for p in parts for c in p if c not in self.place}))
             starts = np.frombuffer(self.starts, np.int64).copy()
@@ -225,11 +226,11 @@ class Codec:
         return self.text_of(self.tokenizer.decode(list(ids), skip_special_tokens=False))
 
 
-def worker_codec(data: bytes, threads: int, parity: bool) -> Codec:
-    return worker_object(("codec", zlib.crc32(data), len(data), threads, parity), lambda: Codec(data, threads, parity))
+def worker_codec(data: bytes, threads: int, parity: bool, cache: int = CACHE_BYTES) -> Codec:
+    return worker_object(("codec", zlib.crc32(data), len(data), threads, parity, cache), lambda: Codec(data, threads, parity, cache))
 
 
-def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: bool = True, cache: int = CACHE_BYTES) -> DataFrame:
     """docs with ids, n_tokens, ids_crc32 (of 32-bit little-endian ids), round_trip and parity.
 
     model is the model file's content: a few hundred kB, sent to each worker once.
@@ -238,7 +239,7 @@ def encode(docs: DataFrame, model: bytes, *, threads: int = THREADS, parity: boo
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list) -> list:
-        got = worker_codec(shared.value, threads, parity).encode([t or "" for t in texts])
+        got = worker_codec(shared.value, threads, parity, cache).encode([t or "" for t in texts])
         ends = np.cumsum([0, *[len(g[0]) for g in got]]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g[0] for g in got])))
         return [ids, np.diff(ends).astype(np.int64), [zlib.crc32(g[0].astype("<i4").tobytes()) for g in got], [g[1] for g in got], [g[2] for g in got]]
