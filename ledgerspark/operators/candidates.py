@@ -160,7 +160,7 @@ def listed(cands: DataFrame) -> DataFrame:
 def summaries(lines: DataFrame, cands: DataFrame) -> DataFrame:
     """lines and their candidates -> one row per document: subject, invoices, orders, suggested, shown, dropped.
 
-    The subject is the first of the first twelve lines that is not blank and not the mail program's name, else blank. Of the invoices the first 20 in order count. The
+    The subject is the first of the first twelve lines that is not blank and not the mail program's name, else blank. Of the invoices the first 20 count, shorter ones first, so that numbers are in their order. The
     best candidate is suggested if its score is above 0; shown and dropped count those of scores from 0 (40 at most) and below it.
     """
     said = F.trim(F.coalesce("line", F.lit("")))
@@ -168,7 +168,7 @@ def summaries(lines: DataFrame, cands: DataFrame) -> DataFrame:
     top = lines.select("doc", said.alias("said"), F.row_number().over(w).alias("n")).where("n <= 12")
     subject = top.groupBy("doc").agg(F.min_by("said", F.when((F.col("said") != "") & (F.lower("said") != "outlook"), F.col("n"))).alias("subject"))
     whole = lines.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "line"))), lambda l: F.coalesce(l["line"], F.lit(""))), "\n").alias("text"))
-    named = whole.select("doc", F.slice(F.array_sort(F.array_distinct(invoice_ids(F.col("text")))), 1, 20).alias("invoices"), mail_orders(F.col("text")).alias("orders"))
+    named = whole.select("doc", F.slice(F.transform(F.array_sort(F.transform(F.array_distinct(invoice_ids(F.col("text"))), lambda f: F.struct(F.length(f), f.alias("f")))), lambda x: x["f"]), 1, 20).alias("invoices"), mail_orders(F.col("text")).alias("orders"))
     best = cands.groupBy("doc").agg(F.max(F.when((F.col("rank") == 1) & (F.col("score") > 0), F.col("value"))).alias("suggested"), F.count_if(F.col("score") >= 0).alias("good"), F.count_if(F.col("score") < 0).alias("bad"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return named.join(subject, "doc").join(best, "doc", "left").select("doc", F.coalesce("subject", F.lit("")).alias("subject"), "invoices", "orders", "suggested", F.least(count("good"), F.lit(LISTED).cast("long")).alias("shown"), count("bad").alias("dropped"))

@@ -84,6 +84,11 @@ def test_classes_and_verdict(spark):
     assert told["g", 5000000.0][:2] == ("EVA Y ANA LTDA:", None)
 
 
+def test_invoices_of_a_mail_are_in_order_of_their_numbers(spark):
+    lines = spark.createDataFrame([("a", 1, 0, "FRA 1004612 y FRA 904612"), ("a", 1, 1, "FRA 904612 por $ 1.500.000")], "doc string, page int, line_no int, line string")
+    assert C.summaries(lines, C.candidates(lines)).first().invoices == ["904612", "1004612"]
+
+
 WORDS = [
     ("w1", 1, 1, "Valor", 10.0, 40.0, 10.0, 20.0), ("w1", 1, 2, "Titular", 100.0, 150.0, 11.0, 21.0),
     ("w1", 1, 3, "4.118.250,00", 10.0, 60.0, 40.0, 50.0), ("w1", 1, 4, "ACEROS", 100.0, 140.0, 42.0, 52.0), ("w1", 1, 5, "NORTE", 145.0, 180.0, 41.0, 51.0),
