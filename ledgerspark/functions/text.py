@@ -134,7 +134,10 @@ def name_words(c: Column) -> Column:
 
 def same_party(a: Column, b: Column) -> Column:
     """Half of the shorter name's telling words, rounded up, must be shared."""
-    x, y = name_words(a), name_words(b)
+    return shares_words(name_words(a), name_words(b))
+
+
+def shares_words(x: Column, y: Column) -> Column:
     need = F.greatest(F.lit(1), F.floor((F.least(F.size(x), F.size(y)) + 1) / 2))
     return (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) >= need)
 
@@ -146,10 +149,10 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def has_word(text: Column, word: str) -> Column:
-    """The phrase stands between non-word characters."""
+    """The phrase stands between non-word characters. The pattern is tried only where the phrase is found at all."""
     import re
 
-    return text.rlike(rf"(?U)(?<!\w){re.escape(word)}(?!\w)")
+    return F.contains(text, F.lit(word)) & text.rlike(rf"(?U)(?<!\w){re.escape(word)}(?!\w)")
 
 
 def spelled_out(c: Column) -> Column:

@@ -39,19 +39,22 @@ def near_numbers(read: DataFrame, listed: DataFrame, most: int = 2) -> DataFrame
     return read.join(best, "doc", "left").select("doc", "number", F.col("best.invoice").alias("invoice"), F.coalesce(~F.col("best.inexact"), F.lit(False)).alias("exact"), F.coalesce("best.gap", F.lit(-1)).alias("gap"))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, inclusive: bool = True) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, inclusive: bool = True, own: tuple[str, ...] = ()) -> DataFrame:
     """points (prefix, n), ranges (prefix, low, high) of whole numbers -> points within a range of their prefix.
 
-    A range lies in two neighbouring blocks at most of the power of two that is no shorter than itself, however wide it is; points meet it on prefix, power and
+    own: columns of both (a document) that a range holds for alone. What has them in common is little, so points and ranges meet on them, and neither is repeated. Else a
+    range lies in two neighbouring blocks at most of the power of two that is no shorter than itself, however wide it is; points meet it on prefix, power and
     block, and the ends are checked. Points are repeated for the powers that there are ranges of, 63 at most.
     """
+    ok = F.col("n").between(F.col("low"), F.col("high")) if inclusive else (F.col("n") > F.col("low")) & (F.col("n") < F.col("high"))
+    if own:
+        return points.join(ranges.where("low <= high"), [*own, "prefix"]).where(ok)
     power = F.ceil(F.log2((F.col("high") - F.col("low") + 1).cast("double"))).cast("int")
     sized = ranges.where("low <= high").withColumn("power", F.greatest(power, F.lit(0)))
     laid = sized.withColumn("block", F.explode(F.array_distinct(F.array(F.expr("shiftright(CAST(low AS LONG), power)"), F.expr("shiftright(CAST(high AS LONG), power)")))))
     powers = sorted(r[0] for r in sized.select("power").distinct().collect())  # 63 values at most
     if not powers:
         return points.join(ranges, "prefix").where("false")
-    ok = F.col("n").between(F.col("low"), F.col("high")) if inclusive else (F.col("n") > F.col("low")) & (F.col("n") < F.col("high"))
     met = points.withColumn("power", F.explode(F.array(*map(F.lit, powers)))).withColumn("block", F.expr("shiftright(CAST(n AS LONG), power)"))
     return met.join(laid, ["prefix", "power", "block"]).where(ok).drop("power", "block")
 
@@ -63,6 +66,17 @@ def party_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return met.where(X.same_party(F.col("a"), F.col("b")))
 
 
+def party_verdicts(left: DataFrame, right: DataFrame, on: str, parts: int = 16) -> DataFrame:
+    """left (a, on) and right (b, on) -> a, b and same (whether the names are the same party) of all pairs that share on.
+
+    Words of a name are told once, not for each of its pairs. A value of on may have many rows, so the right rows of each are dealt into parts by their name and the left ones go to
+    all of them.
+    """
+    l = left.select(on, "a", X.name_words(F.col("a")).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    r = right.select(on, "b", X.name_words(F.col("b")).alias("y"), F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"))
+    return l.join(r, [on, "part"]).select("a", "b", X.shares_words(F.col("x"), F.col("y")).alias("same"))
+
+
 def best_evidence(evidence: DataFrame, least: int = 2) -> DataFrame:
     """evidence (doc, candidate, points, position) -> the candidate with most points, the earliest of equals, if it has enough."""
     sums = evidence.groupBy("doc", "candidate").agg(F.sum("points").alias("points"), F.min("position").alias("position"))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import matching as M
 from ..sources.tables import table
 
+NAMES = [("INFOSISCO S A S", "INFOSISCO SAS"), ("CAMARA DE COMERCIO DE BARRANQUILLA", "COOPERATIVA DE TRANSPORTADORES"), ("ACEROS DEL NORTE LTDA", "ACEROS NORTE"), ("", "X"), ("GRUPO SAS", "GRUPO SAS")]
 AMOUNTS = ["1.920", "1,920.00", "1.920,00", "3,271,845", "2.871.845,00", "1,452,300.00", "4.118.250", "15", "15.00", "1.920.000", "COP $ 4.118.250,00", "1.347.288.00", "2.651.400 00", "1.452.00.00", "1,234,567.00", ".", ",", "", "abc", "12,5", "1,2,34", "7.5,", " 40.0 ", "100-200 3.000,50", "0,00"]
 
 
@@ -39,10 +40,11 @@ def plegar_tildes(spark, d):
 
 
 def mismo_nombre(spark, d):
-    """Pairs of a supplier and a customer of one nation whose names share their telling words."""
+    """All pairs of a supplier and a customer of one nation, and the pairs of names above: whether they share their telling words."""
     s = table(spark, d, "supplier").select(F.col("s_name").alias("a"), F.col("s_nationkey").alias("n"))
     c = table(spark, d, "customer").select(F.col("c_name").alias("b"), F.col("c_nationkey").alias("n"))
-    return M.party_pairs(s, c, ["n"]).select("a", "b")
+    known = _values(spark, NAMES, "a string, b string")
+    return M.party_verdicts(s, c, "n").unionByName(known.select("a", "b", X.same_party(F.col("a"), F.col("b")).alias("same")))
 
 
 def _lines(spark, d):
@@ -113,9 +115,9 @@ SELECT raw,
  TRY_CAST(CASE WHEN contains(f, ',') AND contains(f, '.') THEN replace(replace(f, '.', ''), ',', '.') ELSE replace(f, ',', '.') END AS DOUBLE) AS n7
 FROM b""",
     "plegar_tildes": r"SELECT doc_id, md5(f) AS folded, md5(regexp_replace(f, '[^a-z0-9]', '', 'g')) AS compact, md5(trim(regexp_replace(f, '\s+', ' ', 'g'), ' .:')) AS normal, md5(translate(f, 'l105', 'iios')) AS tolerant, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS INTEGER) AS n_digits FROM (SELECT doc_id, text, strip_accents(lower(text)) AS f FROM documents)",
-    "mismo_nombre": f"""WITH p AS (SELECT s_name AS a, c_name AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+    "mismo_nombre": f"""WITH p AS (SELECT s_name AS a, c_name AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey UNION ALL SELECT a, b FROM {_sql_values(NAMES, 'a, b')}),
  w AS (SELECT a, b, list_distinct(list_filter(string_split(regexp_replace(upper(strip_accents(a)), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 AND NOT list_contains({X.GENERIC}, x))) AS x, list_distinct(list_filter(string_split(regexp_replace(upper(strip_accents(b)), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 AND NOT list_contains({X.GENERIC}, x))) AS y FROM p)
-SELECT DISTINCT a, b FROM w WHERE len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) >= greatest(1, (least(len(x), len(y)) + 1) // 2)""",
+SELECT a, b, len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) >= greatest(1, (least(len(x), len(y)) + 1) // 2) AS same FROM w""",
     "lineas_documento": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, md5(l[i]) AS hash, CAST(length(l[i]) AS INTEGER) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) u(i)",
     "contexto_ventana": r"WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) u(i)), o AS (SELECT doc_id, line_no, CASE WHEN trim(line) <> '' AND NOT regexp_matches(lower(line), 'phone|www\.|http|@[a-z0-9_]+\.[a-z0-9_]+') THEN trim(line) END AS line FROM l) SELECT doc_id, line_no, md5(coalesce(array_to_string(list_filter(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), lambda x: x IS NOT NULL), ' '), '')) AS context FROM o",
     "autor_de_linea": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN 'u' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS author FROM conversations",

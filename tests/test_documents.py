@@ -83,12 +83,27 @@ def test_ranges_of_any_width(spark):
     assert got() == brute(lambda lo, n, hi: lo <= n <= hi) and got(inclusive=False) == brute(lambda lo, n, hi: lo < n < hi)
 
 
+def test_ranges_of_a_document_do_not_repeat_its_points(spark):
+    points = spark.createDataFrame([(d, p, n) for d in (1, 2) for p, n in (("A", 5), ("A", 10), ("B", 6))], "doc int, prefix string, n long")
+    ranges = spark.createDataFrame([(1, "A", 5, 12), (2, "A", 6, 7), (2, "B", 5, 7), (1, "B", 9, 3)], "doc int, prefix string, low long, high long")
+    met = M.range_join(points, ranges, inclusive=False, own=("doc",))
+    assert sorted((r.doc, r.prefix, r.n) for r in met.collect()) == [(1, "A", 10), (2, "B", 6)]
+    assert "Generate" not in met._jdf.queryExecution().toString().replace("LogicalRDD", "")
+
+
 def test_names_meet_on_a_word(spark):
     a = spark.createDataFrame([(1, "HILOS DEL RIO S A S"), (1, "GRUPO SAS"), (2, "TUBOS Y CODOS")], "n int, a string")
     b = spark.createDataFrame([(1, "HILOS RIO LTDA"), (1, "GRUPO SAS"), (1, "TUBOS Y CODOS SAS"), (2, "CODOS UNO DOS TRES CUATRO")], "n int, b string")
     assert sorted((r.a, r.b) for r in M.party_pairs(a, b, ["n"]).collect()) == [("HILOS DEL RIO S A S", "HILOS RIO LTDA"), ("TUBOS Y CODOS", "CODOS UNO DOS TRES CUATRO")]
 
 
+def test_every_pair_of_names_has_its_verdict(spark):
+    a = spark.createDataFrame([(1, "HILOS DEL RIO S A S"), (1, "HILOS DEL RIO S A S"), (1, "GRUPO SAS"), (2, "TUBOS Y CODOS")], "n int, a string")
+    b = spark.createDataFrame([(1, "HILOS RIO LTDA"), (1, "GRUPO SAS"), (2, "ACEROS")], "n int, b string")
+    got = sorted((r.a, r.b, r.same) for r in M.party_verdicts(a, b, "n").collect())
+    assert got == sorted([("HILOS DEL RIO S A S", "HILOS RIO LTDA", True)] * 2 + [("HILOS DEL RIO S A S", "GRUPO SAS", False)] * 2 + [("GRUPO SAS", "HILOS RIO LTDA", False), ("GRUPO SAS", "GRUPO SAS", False), ("TUBOS Y CODOS", "ACEROS", False)])
+
+
 def test_splice_of_images(spark):
     def loop(lines, read):
         out, known = [x for x, _ in lines], [(top, x) for x, top in lines]
