@@ -120,9 +120,7 @@ def rangos_y_numero(spark, d):
     ranges = D.authorised_ranges(docs)
     found = docs.select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{1,6})\s*-?\s*(\d{1,10})\b"), F.lit(0))).alias("raw"))
     points = found.select("doc", F.regexp_extract("raw", "^[A-Z]+", 0).alias("prefix"), F.regexp_extract("raw", r"\d+$", 0).cast("long").alias("n"))
-    named = lambda df: df.withColumn("prefix", F.concat("prefix", F.lit("@"), c("doc").cast("string")))  # noqa: E731  a document's own ranges only
-    inside = M.range_join(named(points), named(ranges).withColumnRenamed("doc", "range_doc"), inclusive=False)
-    return inside.select("doc", F.substring_index("prefix", "@", 1).alias("prefix"), "n").distinct()
+    return M.range_join(points, ranges, inclusive=False, own=("doc",)).select("doc", "prefix", "n").distinct()
 
 
 def nits_factura(spark, d):
