@@ -138,9 +138,10 @@ def candidates(lines: DataFrame) -> DataFrame:
     seen = lambda at, wall: F.when((F.col(f"{at}.block") == F.col("block")) & (F.col(f"{at}.n") > F.coalesce(wall, F.lit(0))), F.col(f"{at}.line"))
     rows = rows.withColumns({"header": seen("head_at", F.col("fence")), "party": seen("party_at", F.col("barrier")), "author": F.col("opened.name"), "date": F.col("opened.dated")})
     rows = rows.where("usable").select(*lines.columns, "context", "author", "date", "header", "party")
-    found = with_amounts(rows).withColumn("score", score_of(X.fold(F.col("line")), X.fold(F.col("context")), F.col("value"), F.col("currency")))
-    own = invoices_beside(F.col("line"), F.col("original"))
-    found = found.withColumn("invoices", F.when(F.size(own) > 0, own).otherwise(invoices_beside(F.col("context"), F.col("original")))).withColumn("line", stripped(F.col("line")))
+    # folded texts and a line's own invoices are columns, so that each is made once and not for each of its uses
+    found = with_amounts(rows.where(F.col("line").rlike(r"\p{Nd}"))).withColumns({"_said": X.fold(F.col("line")), "_near": X.fold(F.col("context"))})
+    found = found.withColumns({"score": score_of(F.col("_said"), F.col("_near"), F.col("value"), F.col("currency")), "_own": invoices_beside(F.col("line"), F.col("original"))})
+    found = found.withColumn("invoices", F.when(F.size("_own") > 0, F.col("_own")).otherwise(invoices_beside(F.col("context"), F.col("original")))).withColumn("line", stripped(F.col("line"))).drop("_said", "_near", "_own")
     best = Window.partitionBy("doc", "value", "line").orderBy(F.desc("score"), "page", "line_no", "place")
     one = found.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b")
     rank = Window.partitionBy("doc").orderBy(F.desc("score"), F.desc("value"), "page", "line_no", "place")

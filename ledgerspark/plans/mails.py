@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators.documents import mail_orders
-from ..sources.tables import table
+from ..sources.shared import kept
+from ..sources.tables import spread, table
 
 c = F.col
 ONE, TWO = "HILOS DEL PACIFICO LTDA", "TUBOS Y CODOS SAS"
@@ -45,7 +46,7 @@ def _mails(spark, d):
     hidden = (k % 8 == 3) & (k % 7 == 0)
     mails = F.array_compact(F.array(F.when(~hidden, mail("a", "correo", False, one)), F.when(~hidden, mail("b", "otro", False, two)), third))
     payee = F.coalesce(*[F.when(k % 16 == m, p) for m, p in PAYEES.items()], F.lit(""))
-    return table(spark, d, "orders").select(k.alias("payment"), payee.alias("payee"), F.explode(mails).alias("m")).select("payment", "payee", F.concat(c("payment").cast("string"), c("m.part")).alias("doc"), "m.category", "m.needs_ocr", "m.text")
+    return spread(table(spark, d, "orders").select(k)).select(k.alias("payment"), payee.alias("payee"), F.explode(mails).alias("m")).select("payment", "payee", F.concat(c("payment").cast("string"), c("m.part")).alias("doc"), "m.category", "m.needs_ocr", "m.text")
 
 
 def _lines(mails):
@@ -56,7 +57,9 @@ def _candidates(spark, d):
     """Candidates that count, with payment, payee, invoice and orders."""
     mails = C.approval_mails(_mails(spark, d))
     found = C.with_invoices(C.listed(C.candidates(_lines(mails))))
-    return mails, found.join(mails.select("doc", mail_orders(c("text")).alias("orders")), "doc")
+    found = found.join(mails.select("doc", mail_orders(c("text")).alias("orders")), "doc")
+    # choosing and what is left over read these rows several times
+    return mails, kept(found, "mail-candidates")
 
 
 def resumen_correos(spark, d):

@@ -89,6 +89,26 @@ def test_invoices_of_a_mail_are_in_order_of_their_numbers(spark):
     assert C.summaries(lines, C.candidates(lines)).first().invoices == ["904612", "1004612"]
 
 
+def test_mails_are_written_by_all_tasks_and_texts_folded_once(spark):
+    from ledgerspark.plans import mails
+
+    made = mails._mails(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    lines = spark.createDataFrame([("a", 1, 0, "Aprobada por $ 1.500.000")], "doc string, page int, line_no int, line string")
+    plan = C.candidates(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(lower(") < 20  # once for each of some seventy words before
+
+
+def test_portal_labels_are_told_without_loops(spark):
+    from ledgerspark.operators import portal as P
+
+    said = ["Razón social", "Versic", "version", "Ve", "ALFA SAS", "", "  ", "Acuse de recibo", "estatus legal:", "elrazonsocialx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", P.is_label(F.col("t")).alias("is"))
+    plain = lambda t: (lambda c: c == "" or any(k in c or len(c) >= 5 and c in k for k in P.LABELS))("".join(x for x in t.lower().replace("ó", "o") if x.isalnum()))
+    assert [r["is"] for r in df.orderBy("i").collect()] == [plain(t) for t in said]
+    assert "exists(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 WORDS = [
     ("w1", 1, 1, "Valor", 10.0, 40.0, 10.0, 20.0), ("w1", 1, 2, "Titular", 100.0, 150.0, 11.0, 21.0),
     ("w1", 1, 3, "4.118.250,00", 10.0, 60.0, 40.0, 50.0), ("w1", 1, 4, "ACEROS", 100.0, 140.0, 42.0, 52.0), ("w1", 1, 5, "NORTE", 145.0, 180.0, 41.0, 51.0),
