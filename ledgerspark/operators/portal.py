@@ -25,7 +25,7 @@ NO_EVENTS = "no posee eventos registrados"
 def is_label(text: Column) -> Column:
     """A blank line, one that holds a label of the portal, or a piece of a label of five characters or more."""
     c = X.compact(text)
-    return (c == "") | F.exists(F.array(*map(F.lit, LABELS)), lambda k: F.contains(c, k) | ((F.length(c) >= 5) & F.contains(k, c)))
+    return (c == "") | c.rlike("|".join(LABELS)) | ((F.length(c) >= 5) & F.contains(F.lit("|".join(LABELS)), c))
 
 
 def portal_fields(lines: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def portal_fields(lines: DataFrame) -> DataFrame:
     digits; the legal status is that of its first label, be it blank. A field that isn't there is blank. Null texts count as blank lines.
     """
     rows = lines.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("squeezed", X.compact(F.col("text")))
-    holds = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda k: F.contains(F.col("squeezed"), k))
+    holds = lambda parts: F.col("squeezed").rlike("|".join(parts))
     names = F.array_compact(F.array(*[F.when(holds(parts), F.lit(f)) for f, parts in FIELDS.items()]))
     labels = rows.withColumn("fields", names).where(F.size("fields") > 0).withColumnRenamed("text", "label")
     beside = value_beside(rows.where(~is_label(F.col("text"))).withColumnRenamed("line_no", "word_no"), labels, by=("line_no", "fields"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import portal as P
 from ..operators import review as V
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 c = F.col
 
@@ -17,7 +17,7 @@ def _invoices(spark, d):
     pick = lambda *xs: F.get(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (c("o_orderkey") % 6).cast("int"))
     say = lambda form: F.concat(*[p for i, s in enumerate(form.split("{n}")) for p in ([n] if i else []) + [F.lit(s)]])
     text = pick(say("Factura electronica de venta No. FV {n}\nOrden No. 4455"), say("ALFA\nResolucion desde FE 1 hasta FE 99999999\nNo. FE {n}\nCuenta No. 5551234567"), say("ALFA\nDocumento FC-{n}\nTotal"), say("ALFA\nRef {n}"), "ALFA\nNo. 77", "ALFA\nTotal 2026")
-    return table(spark, d, "orders").select(c("o_orderkey").alias("doc"), text.alias("text"), pick("", "", "", "", F.concat(F.lit("ÿÿ"), n), "").alias("qr"), pick("", "", F.concat(F.lit("00"), n), "", "", "31").alias("expected"), pick("copia.pdf", "", "", F.concat(F.lit("FRA FE"), n, F.lit(" ALFA.pdf")), "", "Fra 88.pdf").alias("name"))
+    return spread(table(spark, d, "orders").select("o_orderkey")).select(c("o_orderkey").alias("doc"), text.alias("text"), pick("", "", "", "", F.concat(F.lit("ÿÿ"), n), "").alias("qr"), pick("", "", F.concat(F.lit("00"), n), "", "", "31").alias("expected"), pick("copia.pdf", "", "", F.concat(F.lit("FRA FE"), n, F.lit(" ALFA.pdf")), "", "Fra 88.pdf").alias("name"))
 
 
 def numero_factura(spark, d):
@@ -64,7 +64,7 @@ def _portal_lines(spark, d):
         title("Razón social", 410), *value(F.lit("ALFA SAS"), 410), title("Estatus legal", 610), *value(F.lit("Registrado"), 610), spot(F.lit("Acuse de recibo"), 400, 810), spot(F.lit("Recibo del bien"), 400, 830, c("o_orderkey") % 3 != 0),
         spot(F.lit("Aceptación expresa"), 400, 850, c("o_orderkey") % 4 != 0),
     ]
-    return table(spark, d, "orders").select(c("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.array_compact(F.array(*lines))).alias("line_no", "l")).select("doc", "page", "line_no", "l.*")
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey")).select(c("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.array_compact(F.array(*lines))).alias("line_no", "l")).select("doc", "page", "line_no", "l.*")
 
 
 def soporte_radian(spark, d):
