@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..sources.shared import kept
 from .documents import nearest_label
 from .layout import merge_intervals, visual_lines
 
@@ -70,9 +71,11 @@ def label_hits(lines: DataFrame) -> DataFrame:
     spans = lines.select("doc", "line_no", F.explode(F.flatten(starts)).alias("s")).select("doc", "line_no", "s.*")
     field = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     # the ratio can't reach LIKE with more edits than these: 1 - ratio is a share of both lengths that only insertions and deletions make up
-    near = F.lit(False)
+    # nor with lengths further apart than that, so most texts are passed over by their length
+    near, size = F.lit(False), F.length("key")
     for label in LABELS:
-        near |= F.levenshtein("key", F.lit(label)) <= (1 - LIKE) * (F.length("key") + len(label))
+        most = (1 - LIKE) * (size + len(label))
+        near |= (F.abs(size - len(label)) <= most) & (F.levenshtein("key", F.lit(label)) <= most)
     spans = spans.withColumn("exact", field[F.col("key")]).where(F.col("exact").isNotNull() | ((F.length("key") >= 8) & near))
     told = spans.withColumn("field", F.coalesce("exact", field[nearest_label(F.col("key"), list(LABELS), LIKE)])).where("field IS NOT NULL")
     longest = told.groupBy("doc", "line_no", "at").agg(F.max_by(F.struct("n", "field", "x0", "x1"), "n").alias("s")).select("doc", "line_no", "at", "s.*")
@@ -91,7 +94,7 @@ def head_fields(lines: DataFrame) -> DataFrame:
 
     A value is up to three lines that follow each other and have words in the label's stretch. Up to two lines without any may stand before it; another label ends it.
     """
-    hits = label_hits(lines)
+    hits = kept(label_hits(lines), "label-hits")  # few rows, read for the labels and for where the next ones stand
     stop = hits.select("doc", "line_no").distinct().withColumn("stop", F.lead("line_no").over(Window.partitionBy("doc").orderBy("line_no")))
     ahead = hits.join(stop, ["doc", "line_no"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(VALUE_LINES + BLANK_LINES))))
     ahead = ahead.withColumn("next", F.col("line_no") + F.col("k")).where(F.col("stop").isNull() | (F.col("next") < F.col("stop")))

@@ -39,6 +39,12 @@ def test_labels_are_those_of_a_plain_loop(spark):
         assert got.get(str(i)) == C.LABELS.get(key, C.LABELS[near[0]] if near else None), s
 
 
+def test_labels_are_looked_for_once(spark):
+    heads = C.head_fields(C.capture_lines(words(spark, {"a": [("Producto a debitar", 20, 120, 0), ("uno", 20, 30, 20)]})))
+    assert "levenshtein" not in heads._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.field, r.value) for r in heads.collect()] == [("account", "uno")]
+
+
 def test_values_below_labels(spark):
     label = ("Producto a debitar", 20, 120, 0)
     docs = {
