@@ -6,14 +6,19 @@ captures of a batch meet only as rows of payments.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
 from ..sources.shared import kept
-from .documents import nearest_label
-from .layout import merge_intervals, visual_lines
+from .documents import nearest
+from .layout import gathered_lines, merge_intervals
 
 # Labels of the head with their fields, words of column titles, marks of the table's start and end.
 LABELS = {
@@ -31,7 +36,7 @@ LIKE = 0.82
 
 
 def joined(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+    return F.array_join(words["text"], " ")
 
 
 def by_place(words: Column) -> Column:
@@ -52,12 +57,9 @@ def capture_lines(words: DataFrame, heights: DataFrame | None = None) -> DataFra
 
     Words keep their order by page and number, whatever their numbers are.
     """
-    order = Window.partitionBy("doc").orderBy("page", "word_no")
     real = words.where(F.col("text").isNotNull() & (F.trim("text") != "") & ~X.screen_noise(F.col("text")))
     placed = real if heights is None else stacked(real, heights)
-    lined = visual_lines(placed.withColumn("word_no", F.row_number().over(order)).withColumn("page", F.lit(0)))
-    word = F.struct("x0", "word_no", "x1", "y0", "y1", "text")
-    return lined.groupBy("doc", "line_no").agg(F.sort_array(F.collect_list(word)).alias("ws"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).withColumn("said", X.normalise(joined(F.col("ws"))))
+    return gathered_lines(placed).select("doc", "line_no", "ws", "y0", "y1", X.normalise(joined(F.col("ws"))).alias("said"))
 
 
 def label_hits(lines: DataFrame) -> DataFrame:
@@ -66,27 +68,42 @@ def label_hits(lines: DataFrame) -> DataFrame:
     At each word the longest run of up to five words that is a label counts, exactly or, from eight characters on, by likeness; words of an earlier
     label of the line start none. A value reaches to the next label of the line.
     """
-    starts = F.transform("ws", lambda w, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(SPAN), F.size("ws") - i)), lambda n: F.struct(
-        i.alias("at"), n.alias("n"), X.normalise(joined(F.slice("ws", i + 1, n))).alias("key"), w["x0"].alias("x0"), F.get(F.col("ws"), i + n - 1)["x1"].alias("x1"))))
-    spans = lines.select("doc", "line_no", F.explode(F.flatten(starts)).alias("s")).select("doc", "line_no", "s.*")
-    field = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    # the ratio can't reach LIKE with more edits than these: 1 - ratio is a share of both lengths that only insertions and deletions make up
-    # nor with lengths further apart than that, so most texts are passed over by their length
-    near, size = F.lit(False), F.length("key")
-    for label in LABELS:
-        most = (1 - LIKE) * (size + len(label))
-        near |= (F.abs(size - len(label)) <= most) & (F.levenshtein("key", F.lit(label)) <= most)
-    spans = spans.withColumn("exact", field[F.col("key")]).where(F.col("exact").isNotNull() | ((F.length("key") >= 8) & near))
-    told = spans.withColumn("field", F.coalesce("exact", field[nearest_label(F.col("key"), list(LABELS), LIKE)])).where("field IS NOT NULL")
-    longest = told.groupBy("doc", "line_no", "at").agg(F.max_by(F.struct("n", "field", "x0", "x1"), "n").alias("s")).select("doc", "line_no", "at", "s.*")
-    each = longest.groupBy("doc", "line_no").agg(F.sort_array(F.collect_list(F.struct("at", "n", "field", "x0", "x1"))).alias("hits"))
-    none = F.filter("hits", lambda h: F.lit(False))
-    end = lambda taken: F.coalesce(F.get(taken, F.size(taken) - 1)["at"] + F.get(taken, F.size(taken) - 1)["n"], F.lit(0))
-    free = F.aggregate("hits", none, lambda taken, h: F.when(h["at"] >= end(taken), F.array_append(taken, h)).otherwise(taken))
-    free = each.withColumn("free", free)
-    right = lambda h, i: F.coalesce(F.get(F.col("free"), i + 1)["x0"] - 5, h["x1"] + REACH)
-    placed = F.transform("free", lambda h, i: F.struct(i.alias("pos"), h["field"].alias("field"), (h["x0"] - 12).alias("left"), right(h, i).alias("right")))
-    return free.select("doc", "line_no", F.explode(placed).alias("l")).select("doc", "line_no", "l.*")
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a ratio of LIKE leaves room for this share of letters that no label has
+        letters, share = re.compile(f"[^{''.join(sorted(set(''.join(LABELS))))}]+"), LIKE / (2 - LIKE) - 1e-9
+        longest = max(map(len, LABELS)) * (2 - LIKE) / LIKE + 1e-9
+        like = lru_cache(50_000)(lambda key: LABELS.get(nearest(key, list(LABELS), LIKE)))
+        schema = pa.schema([("doc", pa.string()), ("line_no", pa.int32()), ("pos", pa.int32()), ("field", pa.string()), ("left", pa.float64()), ("right", pa.float64())])
+
+        def field_of(key: str) -> str | None:
+            near = 8 <= len(key) <= longest and len(letters.sub("", key)) >= share * len(key)
+            return LABELS.get(key) or (like(key) if near else None)
+
+        for batch in batches:
+            out = []
+            cuts = (batch["said"].offsets.to_numpy() - batch["said"].offsets[0].as_py()).tolist()
+            said, x0, x1 = (batch[c].flatten().to_pylist() for c in ("said", "x0", "x1"))
+            for doc, line_no, at, stop in zip(batch["doc"].to_pylist(), batch["line_no"].to_pylist(), cuts, cuts[1:]):
+                taken = []
+                while at < stop:
+                    for n in range(min(SPAN, stop - at), 0, -1):
+                        key = " ".join(said[at:at + n])
+                        field = field_of((re.sub(" +", " ", key) if "  " in key else key).strip(" .:"))
+                        if field:
+                            taken.append((field, x0[at], x1[at + n - 1]))
+                            at += n - 1
+                            break
+                    at += 1
+                for pos, (field, left, end) in enumerate(taken):
+                    after = taken[pos + 1][1] if pos + 1 < len(taken) else None
+                    right = after - 5 if after is not None else None if end is None else end + REACH
+                    out.append((doc, line_no, pos, field, None if left is None else left - 12, right))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
+
+    # a word's own blanks fall together first, and where words meet they are looked at again
+    folded = F.transform(F.col("ws")["text"], lambda t: F.regexp_replace(X.fold(t), r"\s+", " "))
+    given = lines.select("doc", "line_no", folded.alias("said"), F.col("ws")["x0"].alias("x0"), F.col("ws")["x1"].alias("x1"))
+    return given.mapInArrow(found, "doc string, line_no int, pos int, field string, left double, right double")
 
 
 def head_fields(lines: DataFrame) -> DataFrame:
@@ -140,14 +157,14 @@ def table_marks(lines: DataFrame) -> DataFrame:
     return m.groupBy("doc").agg(F.first("start").alias("start"), F.min(F.when(good, F.col("line_no"))).alias("head_first"), F.min_by("last", F.when(good, F.col("line_no"))).alias("head_last"))
 
 
-def words_of(lines: DataFrame) -> DataFrame:
-    """doc, line_no, middle (of the line's height) and the words' columns."""
-    return lines.select("doc", "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("middle"), F.explode("ws").alias("w")).select("doc", "line_no", "middle", "w.*")
+def words_of(lines: DataFrame, *more: str) -> DataFrame:
+    """doc, line_no, middle (of the line's height), more columns of the line, and the words' columns."""
+    return lines.select("doc", "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("middle"), *more, F.explode("ws").alias("w")).select("doc", "line_no", "middle", *more, "w.*")
 
 
 def title_columns(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """doc, column (from 1), field, low, high: title words that touch within 6 points are a column, and columns meet halfway. A title that names no field is one of its own."""
-    block = words_of(lines).join(marks.where("head_first IS NOT NULL"), "doc").where(F.col("line_no").between(F.col("head_first"), F.col("head_last")))
+    block = words_of(lines.join(marks.where("head_first IS NOT NULL"), "doc").where(F.col("line_no").between(F.col("head_first"), F.col("head_last"))))
     groups = merge_intervals(block, ["doc"], 6.0).select("doc", F.col("x0").alias("gx0"), F.col("x1").alias("gx1"))
     said = groups.join(block.select("doc", "x0", "x1", "y0", "word_no", "text"), "doc").where((F.col("x0") >= F.col("gx0")) & (F.col("x1") <= F.col("gx1")))
     said = said.groupBy("doc", "gx0", "gx1").agg(X.normalise(by_place(F.collect_list(F.struct("y0", "x0", "word_no", "text")))).alias("title"))
@@ -156,6 +173,12 @@ def title_columns(lines: DataFrame, marks: DataFrame) -> DataFrame:
     return said.select("doc", F.row_number().over(along).alias("column"), F.coalesce(F.nullif(X.column_field(F.col("title")), F.lit("")), "title").alias("field"), F.coalesce(low, F.lit(float("-inf"))).alias("low"), F.coalesce(high, F.lit(float("inf"))).alias("high"))
 
 
+def table_layout(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``table_marks`` and ``title_columns``, kept: few rows, which the reading of rows needs in several places."""
+    marks = kept(table_marks(lines), "table-marks")
+    return marks, kept(title_columns(lines, marks), "title-columns")
+
+
 FIELDS = ["payee", "document", "account", "value", "kind", "reference"]
 
 
@@ -170,7 +193,7 @@ def titled_rows(lines: DataFrame, marks: DataFrame, columns: DataFrame) -> DataF
         F.max(F.when(F.col("line_no") == F.col("head_last"), F.col("y1"))).alias("ceiling"),
         F.coalesce(F.min(F.when((F.col("line_no") > F.col("head_last")) & F.col("said").contains(FOOT), F.col("line_no"))), F.max("line_no") + 1).alias("foot"))
     ends = ends.join(lines.select("doc", F.col("line_no").alias("l"), F.col("y1").alias("floor")), "doc").where("l = foot - 1").drop("l")
-    body = words_of(lines).join(ends, "doc").where((F.col("line_no") > F.col("head_last")) & (F.col("line_no") < F.col("foot")))
+    body = words_of(lines.join(ends, "doc").where((F.col("line_no") > F.col("head_last")) & (F.col("line_no") < F.col("foot"))), "ceiling", "floor")
     centre = (F.col("x0") + F.col("x1")) / 2
     value = columns.where("field = 'value'").groupBy("doc").agg(F.min("column").alias("value_column"))
     celled = body.join(columns.join(value, "doc"), "doc").where((centre >= F.col("low")) & (centre < F.col("high"))).drop("low", "high")
@@ -192,7 +215,7 @@ def untitled_rows(lines: DataFrame, marks: DataFrame) -> DataFrame:
     the amount that is nearest by height. Lines down to the table's caption are no rows.
     """
     open_docs = marks.where("head_first IS NULL").select("doc", "start")
-    words = words_of(lines).join(open_docs, "doc").where((F.col("start") == 0) | (F.col("line_no") > F.col("start"))).withColumn("centre", (F.col("y0") + F.col("y1")) / 2)
+    words = words_of(lines.join(open_docs, "doc").where((F.col("start") == 0) | (F.col("line_no") > F.col("start")))).withColumn("centre", (F.col("y0") + F.col("y1")) / 2)
     order = Window.partitionBy("doc").orderBy("centre", "line_no", "x0", "word_no")
     amounts = words.where(F.col("text").rlike(AMOUNT_MARK) & F.col("text").rlike("[0-9]"))
     low, high = (F.lag("centre").over(order) + F.col("centre")) / 2, (F.lead("centre").over(order) + F.col("centre")) / 2
@@ -213,8 +236,8 @@ def untitled_rows(lines: DataFrame, marks: DataFrame) -> DataFrame:
 
 def capture_rows(lines: DataFrame) -> DataFrame:
     """doc, row, FIELDS and said of all captures, by titles where there are any, else by content."""
-    marks = table_marks(lines)
-    return titled_rows(lines, marks, title_columns(lines, marks)).unionByName(untitled_rows(lines, marks))
+    marks, columns = table_layout(lines)
+    return titled_rows(lines, marks, columns).unionByName(untitled_rows(lines, marks))
 
 
 def payments(rows: DataFrame) -> DataFrame:

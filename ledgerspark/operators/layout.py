@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +19,79 @@ def _line_numbers(page: list[tuple], tolerance: float) -> list[int]:
 
     Words come downwards, so a line whose reach ends above a word's top takes no later word either: only the lines still in reach are looked at.
     """
-    lines: list[list[float]] = []  # top, bottom, reach
+    tops: list[float] = []
+    bottoms: list[float] = []
+    reach: list[float] = []
     live: list[int] = []
     at = []
     for *_, y0, y1 in page:
         k = None
-        if y0 is not None and y1 is not None:
-            live = [i for i in live if (lines[i][0] + lines[i][1]) / 2 + lines[i][2] >= min(y0, y1)]
-            k = next((i for i in live if abs((y0 + y1) / 2 - (lines[i][0] + lines[i][1]) / 2) <= lines[i][2]), None)
+        known = y0 is not None and y1 is not None
+        if known:
+            low, middle, near = min(y0, y1), (y0 + y1) / 2, []
+            for i in live:
+                centre = (tops[i] + bottoms[i]) / 2
+                if centre + reach[i] >= low:
+                    near.append(i)
+                    if k is None and abs(middle - centre) <= reach[i]:
+                        k = i
+            live = near
         if k is None:
-            k = len(lines)
-            known = y0 is not None and y1 is not None
-            lines.append([y0, y1, max(tolerance, (y1 - y0) / 2)] if known else [float("inf")] * 3)
+            k = len(tops)
+            tops.append(y0 if known else float("inf"))
+            bottoms.append(y1 if known else float("inf"))
+            reach.append(max(tolerance, (y1 - y0) / 2) if known else float("inf"))
             live += [k] * known
-        elif y0 is not None and y1 is not None:
-            lines[k][:2] = min(lines[k][0], y0), max(lines[k][1], y1)
+        else:
+            tops[k], bottoms[k] = min(tops[k], y0), max(bottoms[k], y1)
         at.append(k)
-    rank = {k: i for i, k in enumerate(sorted(range(len(lines)), key=lambda i: (lines[i][0], i)))}
+    rank = {k: i for i, k in enumerate(sorted(range(len(tops)), key=lambda i: (tops[i], i)))}
     return [rank[k] for k in at]
 
 
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places at which the keys of a sorted table change; the first row is one."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        code = pc.fill_null(pc.dictionary_encode(table[key].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A sorted stream as tables in which no group of equal keys is cut, with the places at which groups start."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = _starts(pa.Table.from_batches([batch]), keys)[-1]
+        goes_on = held and all(held[-1][k][-1] == batch[k][0] or not (held[-1][k][-1].is_valid or batch[k][0].is_valid) for k in keys)
+        if last or (held and not goes_on):
+            table = pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+            yield table, _starts(table, keys)
+        else:
+            held.append(batch)
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, _starts(table, keys)
+
+
+def _numbered(table: pa.Table, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    """The line of each word of pages that start at the given places."""
+    heights = list(zip(*(c.to_pylist() if c.null_count else c.to_numpy().tolist() for c in (table["y0"], table["y1"]))))
+    ends = [*starts[1:].tolist(), len(heights)]
+    return np.array([k for a, b in zip(starts.tolist(), ends) for k in _line_numbers(heights[a:b], tolerance)], np.int32)
+
+
+SCHEMA = "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double"
+
+
+def _typed(words: DataFrame) -> DataFrame:
+    return words.select(*[F.col(part.split()[0]).cast(part.split()[1]) for part in SCHEMA.split(", ")])
+
+
 def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """words (doc, page, word_no, text, x0, x1, y0, y1) -> words with their line number on the page.
 
@@ -44,28 +99,51 @@ def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     first word's height; else it opens a line. A word without a height has a line of its own, after the others. The order matters, so the
     words are read as a stream sorted by page, and one page at a time is held.
     """
-    schema = "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double"
-    names = [part.split()[0] for part in schema.split(", ")]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole(batches, ["doc", "page"]):
+            yield from table.append_column("line_no", pa.array(_numbered(table, starts, tolerance))).combine_chunks().to_batches()
+
+    return _typed(words).repartition("doc", "page").sortWithinPartitions("doc", "page", "y0", "x0", "word_no").mapInArrow(fold, SCHEMA + ", line_no int")
+
+
+def _order(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Keys for ``np.lexsort``, less important first, that order numbers as Spark does: nulls first, NaN last."""
+    null = pc.is_null(column).to_numpy()
+    value = np.where(null, 0, pc.fill_null(column, 0).to_numpy())
+    return [value, ~null]
+
+
+def gathered_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
+    """words as for ``visual_lines``, of documents whose pages are stacked -> doc, line_no, y0 and y1 (its top and bottom), ws: the line's words from left to right.
+
+    word_no becomes the word's number in the document by page and number. The stream that numbers the lines gathers them, too, so words are shuffled once.
+    """
+    word = "x0 double, word_no int, x1 double, y0 double, y1 double, text string"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def numbered(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(made), made)], schema=made)
-
-        made = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("word_no", pa.int32()), ("text", pa.string()), *[(n, pa.float64()) for n in names[4:]], ("line_no", pa.int32())])
-        for batch in batches:
-            done = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:2] != row[:2]:
-                    done += [(*r, k) for r, k in zip(held, _line_numbers(held, tolerance))]
-                    held = []
-                held.append(row)
-            yield numbered(done)
-        yield numbered([(*r, k) for r, k in zip(held, _line_numbers(held, tolerance))])
-
-    typed = words.select(*[F.col(part.split()[0]).cast(part.split()[1]) for part in schema.split(", ")])
-    return typed.repartition("doc", "page").sortWithinPartitions("doc", "page", "y0", "x0", "word_no").mapInArrow(fold, schema + ", line_no int")
+        for table, starts in _whole(batches, ["doc"]):
+            n = table.num_rows
+            doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            line = _numbered(table, starts, tolerance)
+            number = np.empty(n, np.int32)
+            placed = np.lexsort([*_order(table["word_no"]), *_order(table["page"]), doc])
+            number[placed] = np.arange(n) - starts[doc[placed]] + 1
+            along = np.lexsort([number, *_order(table["x0"]), line, doc])
+            doc, line, table = doc[along], line[along], table.take(pa.array(along)).combine_chunks()
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
+            one = {c: table[c].combine_chunks() for c in ("doc", "x0", "x1", "y0", "y1", "text")}
+            fields = [("x0", one["x0"]), ("word_no", pa.array(number[along])), ("x1", one["x1"]), ("y0", one["y0"]), ("y1", one["y1"]), ("text", one["text"])]
+            ws = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pa.StructArray.from_arrays([a for _, a in fields], [k for k, _ in fields]))
+
+            def edge(name: str, best: np.ufunc, none: float) -> pa.Array:
+                null = pc.is_null(one[name]).to_numpy(zero_copy_only=False)
+                return pa.array(best.reduceat(np.where(null, none, pc.fill_null(one[name], 0.0).to_numpy()), first), mask=np.logical_and.reduceat(null, first))
+
+            top, bottom = edge("y0", np.fmin, np.nan), edge("y1", np.maximum, -np.inf)  # NaN is the largest number in Spark
+            yield pa.RecordBatch.from_arrays([one["doc"].take(pa.array(first)), pa.array(line[first]), ws, top, bottom], ["doc", "line_no", "ws", "y0", "y1"])
+
+    placed = _typed(words).repartition("doc").sortWithinPartitions("doc", "y0", "x0", "page", "word_no")
+    return placed.mapInArrow(fold, f"doc string, line_no int, ws array<struct<{', '.join(w.replace(' ', ': ') for w in word.split(', '))}>>, y0 double, y1 double")
 
 
 def line_texts(words: DataFrame) -> DataFrame:

@@ -108,18 +108,17 @@ def encabezado_lote(spark, d):
 def columnas_portal(spark, d):
     """Columns of each capture with titles, from left to right."""
     lines = _lines(spark, d)
-    return C.title_columns(lines, C.table_marks(lines)).select("doc", "column", "field")
+    return C.title_columns(lines, kept(C.table_marks(lines), "table-marks")).select("doc", "column", "field")
 
 
 def filas_con_titulos(spark, d):
     lines = _lines(spark, d)
-    marks = C.table_marks(lines)
-    return C.titled_rows(lines, marks, C.title_columns(lines, marks)).select("doc", "row", "payee", "document", "account", "value", "kind", "reference")
+    return C.titled_rows(lines, *C.table_layout(lines)).select("doc", "row", "payee", "document", "account", "value", "kind", "reference")
 
 
 def filas_sin_titulos(spark, d):
     lines = _lines(spark, d)
-    return C.untitled_rows(lines, C.table_marks(lines)).select("doc", "row", "payee", "document", "account", "value", "reference")
+    return C.untitled_rows(lines, kept(C.table_marks(lines), "table-marks")).select("doc", "row", "payee", "document", "account", "value", "reference")
 
 
 def _batches(spark, d):
