@@ -240,7 +240,8 @@ def edit_links(docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between different lines (by hash), whose components are those of all pairs within the limits."""
     shared = written(shared_lines(docs), "line-keys")
     released(docs.sparkSession)  # the shuffle of all keys is the largest; what is left of it is written
-    texts = written(wanted_lines(docs, shared.select("id").distinct()), "key-lines")
+    fields = [T.StructField(c, T.LongType()) for c in SKETCH]
+    texts = written(mapped(wanted_lines(docs, shared.select("id").distinct()), "line", ["id", "line"], fields, sketches), "key-lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,29 +250,59 @@ def edit_links(docs: DataFrame) -> DataFrame:
                 yield batch.filter(ok).select(["a", "b"])
             trimmed()
 
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-        return both.select("a", "b", "line_a", "line_b").mapInArrow(check, "a long, b long")
-
-    def marks(lines: list) -> list:
-        long = [len(x.encode("utf-8", "surrogatepass").split()) >= LONG for x in lines]
-        return [[parity(x, False) for x in lines], [parity(x, True) for x in lines], long]
-
-    fields = [T.StructField("letters", T.LongType()), T.StructField("words", T.LongType()), T.StructField("long", T.BooleanType())]
-    # an edit flips two parities at most; pairs with a long line count words, others letters
-    may = f"bit_count(CASE WHEN x.long OR y.long THEN x.words ^ y.words ELSE x.letters ^ y.letters END) <= 2 * {max(CHARS[0], WORDS[0])}"
-    return linked_under_keys(shared, verified, mapped(texts, "line", ["id"], fields, marks), may)
-
-
-def parity(line: str, by_word: bool) -> int:
-    """64 bits: whether words, or characters, with each hash or code point modulo 64 occur an odd number of times."""
-    bits = 0
-    if by_word:
-        for w in line.encode("utf-8", "surrogatepass").split():
-            bits ^= 1 << (xxhash.xxh64_intdigest(w) & 63)
-    else:
-        for ch in line:
-            bits ^= 1 << (ord(ch) & 63)
-    return bits - (1 << 64) if bits >> 63 else bits
+        both = pairs.join(texts.alias("x"), F.col("a") == F.col("x.id")).join(texts.alias("y"), (F.col("b") == F.col("y.id")) & F.expr(may_link()))
+        return both.select("a", "b", F.col("x.line").alias("line_a"), F.col("y.line").alias("line_b")).mapInArrow(check, "a long, b long")
+
+    return linked_under_keys(shared, verified, texts.drop("line"), may_link())
+
+
+#: Longs of parities of single symbols and of pairs of neighbours: with fewer, lines just beyond the limits look like lines within them.
+SINGLE, PAIRED = 2, 4
+#: What a line shows of itself: characters and words, and the parities of its single ones and of its pairs of neighbours.
+SKETCH = ["n_chars", "n_words", *[f"{unit}_{what}{k}" for unit in ("chars", "words") for what, n in (("one", SINGLE), ("two", PAIRED)) for k in range(n)]]
+
+
+def may_link() -> str:
+    """A condition on the sketches of x and y that all linked lines fulfil.
+
+    Within t edits, d of which are a difference in length at least, a replaced symbol flips two parities of symbols and four of pairs, any other edit one and three.
+    """
+    def within(unit: str, limits: tuple[int, int]) -> str:
+        t, d = f"least({limits[0]}, greatest(x.n_{unit}, y.n_{unit}) div {limits[1]})", f"abs(x.n_{unit} - y.n_{unit})"
+        one, two = (" + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SKETCH if c.startswith(f"{unit}_{what}")) for what in ("one", "two"))
+        return f"({d} <= {t} AND {one} <= 2 * {t} - {d} AND {two} <= 4 * {t} - {d})"
+
+    long = f"greatest(x.n_words, y.n_words) >= {LONG}"
+    return f"CASE WHEN {long} THEN {within('words', WORDS)} ELSE {within('chars', CHARS)} END"
+
+
+def parities(symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For each stretch of symbols (none is empty) SINGLE and PAIRED longs: whether symbols, and pairs of neighbours, with each hash modulo their bits occur an odd number of times."""
+    last = np.zeros(len(symbols), bool)
+    last[np.r_[starts[1:], len(symbols)] - 1] = True  # has no neighbour in its line
+    out = []
+    for hashes, longs, none in ((mixed(symbols), SINGLE, None), (mixed(symbols * np.uint64(BASE) + np.r_[symbols[1:], symbols[:1]]), PAIRED, last)):
+        bit, part = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) % np.uint64(longs)
+        if none is not None:
+            bit[none] = 0
+        out += [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts).view(np.int64) for k in range(longs)]
+    return out
+
+
+def sketches(lines: list[str]) -> list:
+    """SKETCH of lines with a word each. Lines that are no part of a pair which counts words have no parities of words."""
+    if not lines:
+        return [[] for _ in SKETCH]
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    split = [x.encode("utf-8", "surrogatepass").split() for x in lines]
+    count = np.fromiter(map(len, split), np.int64, len(lines))
+    some = np.flatnonzero(count >= LONG - WORDS[0])
+    words = np.zeros((SINGLE + PAIRED, len(lines)), np.int64)
+    if len(some):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for i in some for w in split[i]), np.uint64, int(count[some].sum()))
+        words[:, some] = parities(hashes, np.cumsum(count[some]) - count[some])
+    return [pa.array(c) for c in (size, count, *parities(points, np.cumsum(size) - size), *words)]
 
 
 def line_classes(docs: DataFrame, *keep: str) -> DataFrame:
