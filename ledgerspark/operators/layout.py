@@ -85,6 +85,7 @@ def _numbered(table: pa.Table, starts: np.ndarray, tolerance: float) -> np.ndarr
     return np.array([k for a, b in zip(starts.tolist(), ends) for k in _line_numbers(heights[a:b], tolerance)], np.int32)
 
 
+TOLERANCE = 6.0
 SCHEMA = "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double"
 
 
@@ -92,7 +93,7 @@ def _typed(words: DataFrame) -> DataFrame:
     return words.select(*[F.col(part.split()[0]).cast(part.split()[1]) for part in SCHEMA.split(", ")])
 
 
-def visual_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
+def visual_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """words (doc, page, word_no, text, x0, x1, y0, y1) -> words with their line number on the page.
 
     In order of (y0, x0) a word joins the first line whose centre, the middle between its words' top and bottom, is within the tolerance or half the
@@ -113,7 +114,7 @@ def _order(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [value, ~null]
 
 
-def gathered_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
+def gathered_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """words as for ``visual_lines``, of documents whose pages are stacked -> doc, line_no, y0 and y1 (its top and bottom), ws: the line's words from left to right.
 
     word_no becomes the word's number in the document by page and number. The stream that numbers the lines gathers them, too, so words are shuffled once.
@@ -146,6 +147,40 @@ def gathered_lines(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     return placed.mapInArrow(fold, f"doc string, line_no int, ws array<struct<{', '.join(w.replace(' ', ': ') for w in word.split(', '))}>>, y0 double, y1 double")
 
 
+def lined_pages(docs: DataFrame) -> DataFrame:
+    """docs (doc, words: array of page, word_no, text, x0, x1, y0, y1; more columns) -> words' place is taken by lines: array of page, line_no, ws (x0, word_no, x1, y0, y1, text).
+
+    Lines are those of ``visual_lines``, in order of page and number, their words from left to right. A document is one row before and after, so nothing is shuffled.
+    """
+    types = {f.name: f.dataType.simpleString() for f in docs.schema if f.name != "words"}
+    fields = ["x0", "word_no", "x1", "y0", "y1", "text"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            flat = words.flatten()
+            table = pa.Table.from_arrays(flat.flatten(), names=[f.name for f in flat.type])
+            doc = np.repeat(np.arange(len(size)), size)
+            down = np.lexsort([*_order(table["word_no"]), *_order(table["x0"]), *_order(table["y0"]), *_order(table["page"]), doc])
+            doc, table = doc[down], table.take(pa.array(down)).combine_chunks()
+            page = pc.fill_null(table["page"], -1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])][:len(doc)])
+            line = _numbered(table, starts, TOLERANCE)
+            along = np.lexsort([*_order(table["word_no"]), *_order(table["x0"]), line, page, doc])
+            doc, page, line, table = doc[along], page[along], line[along], table.take(pa.array(along)).combine_chunks()
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1]) | (line[1:] != line[:-1])][:len(doc)])
+            one = {c: table[c].combine_chunks() for c in ("page", *fields)}
+            ws = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.StructArray.from_arrays([one[c] for c in fields], fields))
+            lines = pa.StructArray.from_arrays([one["page"].take(pa.array(first)), pa.array(line[first], pa.int32()), ws], ["page", "line_no", "ws"])
+            ends = np.searchsorted(doc[first], np.arange(len(size) + 1))
+            rest = [batch.column(c) for c in types]
+            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)], [*types, "lines"])
+
+    said = ", ".join(f"`{k}` {t}" for k, t in types.items())
+    return docs.select(*types, "words").mapInArrow(fold, f"{said}, lines array<struct<page: int, line_no: int, ws: array<struct<x0: double, word_no: int, x1: double, y0: double, y1: double, text: string>>>>")
+
+
 def line_texts(words: DataFrame) -> DataFrame:
     """Words with line numbers -> one text per line, words from left to right."""
     return words.groupBy("doc", "page", "line_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "word_no", "text"))), lambda w: w["text"]), " ").alias("text"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))

@@ -1,7 +1,11 @@
 """Worked cases of visual lines and of the warehouse's form."""
 
+import os
 import random
 
+import pytest
+
+from ledgerspark import catalog
 from ledgerspark.operators import layout, warehouse
 
 WORD = "doc string, page int, word_no int, text string, x0 double, x1 double, y0 double, y1 double"
@@ -47,3 +51,22 @@ def test_form(spark):
     columns = {r["name"]: (r["low"], r["high"]) for r in warehouse.title_columns(layout.visual_lines(words.where("doc = 'full'")), edges).collect()}
     assert columns == {"code": (float("-inf"), 90.0), "description": (90.0, 325.0), "quantity": (325.0, float("inf"))}
     assert warehouse.forms(spark.createDataFrame([], WORD), images, spark.createDataFrame([], "doc string, page int")).count() == 0
+
+
+def test_words_of_a_form_are_not_moved(spark):
+    """The orders and their lines come together as numbers; what is made of them stays where it is."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    plan = catalog.queries()["relacion_recibida"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert 0 < len(moved) <= 2 and not any("doc" in x or "words" in x for x in moved), moved
+
+
+def test_pages_without_titles_follow_the_last_that_has_them(spark):
+    """Rows of two pages count up to the first signature, which is that of the last page; lines above a page's own titles are none."""
+    first = words_of("a", [[("RELACION DE MERCANCIA RECIBIDA", 10, 200)], [("CANTIDAD", 320, 370), ("X", 100, 140), ("9", 320, 340)], [("CODIGO", 10, 50), ("DESCRIPCION", 100, 170), ("CANTIDAD", 320, 370)], [("SIIGO", 10, 40)], [("A1", 10, 30), ("TUBO", 100, 140), ("2", 320, 370)]])
+    second = [(d, 2, *rest) for d, _, *rest in words_of("a", [[("CODO", 100, 140), ("3,5", 320, 370)], [("AUXILIAR DE ALMACÉN", 10, 100)], [("LISO", 100, 140), ("8", 330, 340)]])]
+    none = spark.createDataFrame([], "doc string, page int")
+    got = warehouse.forms(spark.createDataFrame(second + first, WORD), spark.createDataFrame([("a", 2, 20.0, 40.0, 18.0)], PLACE), none).collect()
+    assert [(r["items"], r["quantity"], r["helper"], r["supervisor"]) for r in got] == [(2, 5.5, True, None)]
