@@ -170,3 +170,17 @@ def linked_under_keys(shared: DataFrame, verified: Callable[[DataFrame], DataFra
     pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.root < y.root AND ((x.side & 1) * (y.side & 2) + (x.side & 2) * (y.side & 1) > 0) AND ({may})"))
     more = verified(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     return written(found.unionByName(more), "links")
+
+
+def with_inner_links(links: DataFrame, shared: DataFrame, verified: Callable[[DataFrame], DataFrame], marks: DataFrame, may: str = "true") -> DataFrame:
+    """links of ``linked_under_keys`` and all others: those between ids of one component, which its links needn't name. Arguments as there.
+
+    Pairs of a component that share a key are listed, so their number grows with the square of a group of ids that are near one another, as the links do. They
+    are moved in pieces: an id's pairs are a stream of the join, and nothing is gathered for a key or a component.
+    """
+    roots = components(links).withColumnRenamed("node", "id")
+    each = shared.groupBy("key", "id").agg(F.bit_or("side").alias("side"))
+    told = written(each.join(roots, "id").join(marks, "id"), "inner-roots")
+    pairs = told.alias("x").join(told.alias("y"), F.expr(f"x.key = y.key AND x.root = y.root AND x.id < y.id AND ((x.side & 1) * (y.side & 2) + (x.side & 2) * (y.side & 1) > 0) AND ({may})"))
+    rest = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    return written(links.unionByName(verified(rest)).distinct(), "all-links")

@@ -9,14 +9,15 @@ line can hold there. Keys are 64-bit hashes, cut out of running polynomial hashe
 its length. Candidates are verified by a banded bit-parallel edit distance over characters or words.
 
 Near-copies in a group of any size are linked through one mate under each key, and only lines of different components
-that share a key are compared in full (``graph.linked_under_keys``): work grows with the group, not with its square.
+that share a key are compared in full (``graph.linked_under_keys``): work grows with the group, not with its square. Where links are
+counted, the other pairs of a component follow (``graph.with_inner_links``), whose number is that of the near pairs.
 Linked lines form classes; the first occurrence of a class, by doc_id and line number, stays.
 
 Defined results: lines without a word are never counted, linked or dropped; null texts have no lines; lines under 10
 characters are equal or different; lines with the same words are linked from ``LONG`` words on, whatever the white space; an occurrence
 without doc_id is first only when no other exists; rows that share doc_id, line number and line share decisions (as wholly
-repeated rows do: each keeps a first occurrence), other rows of the doc_id don't; ties go to the smaller line number. n_links counts verified
-links of a line, which connect its class; not every pair of a class is listed. Line hashes have 64 bits: two different lines in
+repeated rows do: each keeps a first occurrence), other rows of the doc_id don't; ties go to the smaller line number. n_links counts all
+lines within the limits of a line. Line hashes have 64 bits: two different lines in
 10^9 collide with probability 3 %.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, id_filter, mapped, passes, released, slices, trimmed, written
-from .graph import components, gathered_keys, linked_under_keys
+from .graph import components, gathered_keys, linked_under_keys, with_inner_links
 
 #: Words from which a line's edits are counted in words.
 LONG = 32
@@ -236,8 +237,8 @@ def wanted_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
 
 
-def edit_links(docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different lines (by hash), whose components are those of all pairs within the limits."""
+def edit_links(docs: DataFrame, every: bool = False) -> DataFrame:
+    """Verified links (a, b) between different lines (by hash), whose components are those of all pairs within the limits; with every all those pairs."""
     shared = written(shared_lines(docs), "line-keys")
     released(docs.sparkSession)  # the shuffle of all keys is the largest; what is left of it is written
     fields = [T.StructField(c, T.LongType()) for c in SKETCH]
@@ -253,7 +254,9 @@ def edit_links(docs: DataFrame) -> DataFrame:
         both = pairs.join(texts.alias("x"), F.col("a") == F.col("x.id")).join(texts.alias("y"), (F.col("b") == F.col("y.id")) & F.expr(may_link()))
         return both.select("a", "b", F.col("x.line").alias("line_a"), F.col("y.line").alias("line_b")).mapInArrow(check, "a long, b long")
 
-    return linked_under_keys(shared, verified, texts.drop("line"), may_link())
+    marks = texts.drop("line")
+    links = linked_under_keys(shared, verified, marks, may_link())
+    return with_inner_links(links, shared, verified, marks, may_link()) if every else links
 
 
 #: Longs of parities of single symbols and of pairs of neighbours: with fewer, lines just beyond the limits look like lines within them.
@@ -305,9 +308,12 @@ def sketches(lines: list[str]) -> list:
     return [pa.array(c) for c in (size, count, *parities(points, np.cumsum(size) - size), *words)]
 
 
-def line_classes(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per distinct line: h, n (occurrences), n_links, and its class's first occurrence (first: doc_id, the columns to keep, line_no, h)."""
-    links = edit_links(docs)
+def line_classes(docs: DataFrame, *keep: str, every: bool = True) -> DataFrame:
+    """One row per distinct line: h, n (occurrences), n_links, and its class's first occurrence (first: doc_id, the columns to keep, line_no, h).
+
+    n_links counts all lines within the limits of the line; without every only those that tell its class.
+    """
+    links = edit_links(docs, every)
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     linked = components(links).withColumnRenamed("node", "h").join(degree, "h", "left")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keep, "line_no", "h")
@@ -327,12 +333,12 @@ def with_classes(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return lines.join(few.select("h"), "h", "left_anti").join(classes.where(~hot), "h").unionByName(lines.join(few, "h"))
 
 
-def dedup_lines(docs: DataFrame, *keep: str) -> DataFrame:
+def dedup_lines(docs: DataFrame, *keep: str, every: bool = True) -> DataFrame:
     """One row per line with a word: doc_id, line_no, class_doc_id and class_line_no (the class's first occurrence), n_links, dropped.
 
     Columns of docs to keep identify rows within a doc_id, and come along.
     """
-    classes = written(line_classes(docs, *keep), "line-classes")
+    classes = written(line_classes(docs, *keep, every=every), "line-classes")
     same = F.col("h") == F.col("first.h")
     for c in ("doc_id", *keep, "line_no"):
         same &= F.col(c).eqNullSafe(F.col(f"first.{c}"))
@@ -347,7 +353,7 @@ def without_dropped_lines(docs: DataFrame) -> DataFrame:
     """
     row, drop, left = (free_name(docs, x) for x in ("_row", "_drop", "_left"))
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    lines = dedup_lines(rows.select("doc_id", row, "text"), row)
+    lines = dedup_lines(rows.select("doc_id", row, "text"), row, every=False)  # links are not counted here
     # lines without a word follow no class; they are false in the row's flags, which line up with the split text
     blank = rows.select(row, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(~F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     flags = lines.select(row, F.col("line_no").cast("int").alias("line_no"), "dropped").unionByName(blank.select(row, "line_no", F.lit(False).alias("dropped")))

@@ -176,3 +176,18 @@ def test_lines_of_more_words_than_characters(monkeypatch):
     want = [line_dedup.near(" ".join(a), " ".join(b)) for a, b in cases]
     monkeypatch.setattr(line_dedup, "NAMED", 3)
     assert [line_dedup.near(" ".join(a), " ".join(b)) for a, b in cases] == want and want[0] and not want[2]
+
+
+def test_all_links_of_a_group_are_counted(spark):
+    """Lines that are near one another count all of each other, not those alone that connect them."""
+    r = random.Random(11)
+    lines = list(dict.fromkeys(varied() + [f"row {k:02d} of a table of many rows that are alike" for k in range(40)]))
+    for k in range(30):
+        words = [f"b{i}" for i in range(40)]
+        words[r.randrange(40)] = f"x{k}"
+        lines.append(" ".join(words))
+    degree = [sum(linked(a, b) for b in lines if b != a) for a in lines]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.n_links for x in line_dedup.dedup_lines(docs).collect()}
+    assert [got[i] for i in range(len(lines))] == degree
+    assert line_dedup.edit_links(docs).count() < line_dedup.edit_links(docs, every=True).count() == sum(degree) // 2
