@@ -134,3 +134,11 @@ def test_glued_words(spark):
     assert [r[0] for r in df.select(D.unglue(F.col("t"))).collect()] == ["Aprobada por $785.400", "importancia", "FC91 va", None]
     labels = spark.createDataFrame([("titulr del pago",), ("corto",)], "t string").select(D.nearest_label(F.col("t"), ["titular del pago", "valor"]))
     assert [r[0] for r in labels.collect()] == ["titular del pago", None]
+
+
+def test_parts_of_an_order_are_read_once(spark):
+    """Amounts and days of deliveries are not read anew for each delivery, and not at all where a text has none; the first of a day counts."""
+    docs = spark.createDataFrame([(1, "ORDEN DE COMPRA 123456\nEntregas: 21/07: 20 CIL / 04/08: 15 CIL / 21/07: 9 CIL"), (2, "ORDEN DE COMPRA 123457\n21/07: 20 CIL")], "doc long, text string")
+    out = D.purchase_orders(docs)
+    assert [r.deliveries for r in out.orderBy("doc").collect()] == ["21/07:20, 04/08:15", ""]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(D.DELIVERY) == 2
