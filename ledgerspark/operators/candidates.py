@@ -7,9 +7,9 @@ unit that meets in one task. Only the amounts themselves need match positions an
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +70,17 @@ def amounts_of(line: str) -> list[tuple[str, float, bool, int]]:
     return found + [(m[0].strip(), float(m[1]) * 1000, True, len(line) + m.start()) for m in IN_WORDS.finditer(line)]
 
 
-def with_amounts(lines: DataFrame) -> DataFrame:
-    """lines with one row per amount: original, value, currency, place."""
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"original": o, "value": v, "currency": c, "place": p} for o, v, c, p in amounts_of(t or "")])
+def line_amounts(line: Column) -> Column:
+    """``amounts_of`` a line as an array; none for a null."""
+    types = {"original": pa.string(), "value": pa.float64(), "currency": pa.bool_(), "place": pa.int32()}
 
-    udf = F.pandas_udf(run, "array<struct<original string, value double, currency boolean, place int>>")
-    return lines.withColumn("m", F.explode(udf("line"))).select(*lines.columns, "m.*")
+    def run(column: pa.Array) -> pa.Array:
+        found = [amounts_of(t) if t else () for t in column.to_pylist()]
+        parts = list(zip(*chain.from_iterable(found))) or [()] * len(types)
+        each = pa.StructArray.from_arrays([pa.array(p, t) for p, t in zip(parts, types.values())], list(types))
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), each)
+
+    return F.arrow_udf(run, "array<struct<original string, value double, currency boolean, place int>>")(line)
 
 
 def class_of(line: Column) -> Column:
@@ -115,39 +119,42 @@ def candidates(lines: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc", "page").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    said = stripped(F.col("line"))
-    usable = ~F.col("line").rlike(HEADER) & ~F.col("line").rlike(SIGNATURE)
-    name = stripped(F.regexp_extract(said, AUTHOR, 1))
+    said, line = F.col("said"), F.col("line")
+    name = F.col("name")
     begins = (name != "") & (F.length(name) <= 90)  # a block of a mail
-    sent = F.nullif(stripped(F.regexp_extract(said, SENT, 1)), F.lit(""))
-    rows = lines.withColumns({
-        "usable": usable, "said": said, "sent": sent, "begins": begins, "name": name, "n": F.row_number().over(w), "mail": mail_header(said),
-        "context": F.array_join(F.collect_list(F.when(usable & (said != ""), said)).over(w.rowsBetween(-2, 2)), " "),
+    # each pattern is tried once on a line, and a document's lines come together once: all windows below stay inside documents
+    rows = lines.withColumn("said", stripped(line)).withColumns({
+        "usable": ~line.rlike(HEADER) & ~line.rlike(SIGNATURE), "name": stripped(F.regexp_extract(said, AUTHOR, 1)), "sent": F.nullif(stripped(F.regexp_extract(said, SENT, 1)), F.lit("")), "mail": mail_header(said),
+        "company": X.party_name(said) & ~said.rlike(HEADER) & ~said.rlike(SIGNATURE),
+    })
+    # amounts are read before lines meet: a step in Python would undo the partitioning by document
+    rows = rows.withColumn("amounts", line_amounts(F.when(F.col("usable") & line.rlike(r"\p{Nd}"), line))).repartition("doc")
+    rows = rows.withColumns({
+        "begins": begins, "n": F.row_number().over(w), "block": F.sum(begins.cast("int")).over(upto), "dated": F.coalesce(*[F.lead("sent", k).over(w) for k in (1, 2, 3)], F.lit("")),
+        "context": F.array_join(F.collect_list(F.when(F.col("usable") & (said != ""), said)).over(w.rowsBetween(-2, 2)), " "),
     })
-    rows = rows.withColumn("dated", F.coalesce(*[F.lead("sent", k).over(w) for k in (1, 2, 3)], F.lit("")))
-    rows = rows.withColumns({"opened": F.last(F.when(F.col("begins"), F.struct("name", "dated")), ignorenulls=True).over(upto), "block": F.sum(F.col("begins").cast("int")).over(upto)})
-    party = X.party_name(F.col("said")) & ~F.col("said").rlike(HEADER) & ~F.col("said").rlike(SIGNATURE)
-    colon, at = F.col("said").endswith(":"), lambda what: F.when(what, F.struct("n", "block", F.col("said").alias("line")))
+    colon, at = said.endswith(":"), lambda what: F.when(what, F.struct("n", "block", said.alias("line")))
+    above = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({
+        "opened": F.last(F.when(F.col("begins"), F.struct("name", "dated")), ignorenulls=True).over(upto),
         # a header of mail, and for a party a line that opens a list, hides what stands above it
-        "fence": F.last(F.when(F.col("mail"), F.col("n")), ignorenulls=True).over(w.rowsBetween(-19, -1)),
-        "barrier": F.last(F.when((F.col("mail") | colon) & (F.col("said") != ""), F.col("n")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
-        "head_at": F.last(at(colon & ~F.col("mail") & (F.length("said") <= 120)), ignorenulls=True).over(w.rowsBetween(-19, -1)),
-        "party_at": F.last(at(party & ~colon & ~F.col("mail")), ignorenulls=True).over(w.rowsBetween(-7, -1)),
+        "fence": above(F.when(F.col("mail"), F.col("n"))), "barrier": above(F.when((F.col("mail") | colon) & (said != ""), F.col("n"))),
+        "head_at": above(at(colon & ~F.col("mail") & (F.length("said") <= 120))), "party_at": above(at(F.col("company") & ~colon & ~F.col("mail"))),
     })
-    seen = lambda at, wall: F.when((F.col(f"{at}.block") == F.col("block")) & (F.col(f"{at}.n") > F.coalesce(wall, F.lit(0))), F.col(f"{at}.line"))
-    rows = rows.withColumns({"header": seen("head_at", F.col("fence")), "party": seen("party_at", F.col("barrier")), "author": F.col("opened.name"), "date": F.col("opened.dated")})
-    rows = rows.where("usable").select(*lines.columns, "context", "author", "date", "header", "party")
+    seen = lambda at, wall, reach: F.when((F.col(f"{at}.block") == F.col("block")) & (F.col("n") - F.col(f"{at}.n") <= reach) & (F.col(f"{at}.n") > F.coalesce(wall, F.lit(0))), F.col(f"{at}.line"))
+    rows = rows.withColumns({"header": seen("head_at", F.col("fence"), 19), "party": seen("party_at", F.col("barrier"), 7), "author": F.col("opened.name"), "date": F.col("opened.dated")})
+    rows = rows.where("size(amounts) > 0").withColumn("m", F.explode("amounts")).select(*lines.columns, "context", "author", "date", "header", "party", "m.*")
     # folded texts and a line's own invoices are columns, so that each is made once and not for each of its uses
-    found = with_amounts(rows.where(F.col("line").rlike(r"\p{Nd}"))).withColumns({"_said": X.fold(F.col("line")), "_near": X.fold(F.col("context"))})
+    found = rows.withColumns({"_said": X.fold(F.col("line")), "_near": X.fold(F.col("context"))})
     found = found.withColumns({"score": score_of(F.col("_said"), F.col("_near"), F.col("value"), F.col("currency")), "_own": invoices_beside(F.col("line"), F.col("original"))})
     found = found.withColumn("invoices", F.when(F.size("_own") > 0, F.col("_own")).otherwise(invoices_beside(F.col("context"), F.col("original")))).withColumn("line", stripped(F.col("line"))).drop("_said", "_near", "_own")
     best = Window.partitionBy("doc", "value", "line").orderBy(F.desc("score"), "page", "line_no", "place")
     one = found.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b")
     rank = Window.partitionBy("doc").orderBy(F.desc("score"), F.desc("value"), "page", "line_no", "place")
-    own, above = class_of(F.col("line")), class_of(F.col("header"))
+    own, above = F.col("_own"), F.col("_above")
     kind = F.when((own == "mencion") & above.isin("acto", "solicitud"), above).otherwise(own)
-    return one.withColumn("rank", F.row_number().over(rank)).withColumn("kind", kind)
+    classed = one.withColumn("rank", F.row_number().over(rank)).withColumns({"_own": class_of(F.col("line")), "_above": class_of(F.col("header"))})
+    return classed.withColumn("kind", kind).drop("_own", "_above")
 
 
 LISTED = 40
@@ -207,10 +214,22 @@ def approval_mails(docs: DataFrame) -> DataFrame:
 
 def discarded(cands: DataFrame, picked: DataFrame) -> DataFrame:
     """Candidates whose value their document doesn't approve, and why: an act on a line with a larger one is named by its document alone."""
-    left = cands.join(picked.select("doc", "value").distinct(), ["doc", "value"], "left_anti")
+    return _reasoned(cands.join(picked.select("doc", "value").distinct(), ["doc", "value"], "left_anti"))
+
+
+def unchosen(cands: DataFrame) -> DataFrame:
+    """``discarded`` of the candidates that ``chosen`` passes over, read off windows over their document: candidates are read once. doc and value are not null."""
+    acts = F.max((F.col("kind") == "acto").cast("int")).over(Window.partitionBy("doc"))
+    can = (F.col("kind") == "acto") | ((F.col("acts") == 0) & (F.col("kind") == "solicitud"))
+    rows = cands.withColumn("acts", acts).withColumn("top", F.max(F.when(can, F.col("value"))).over(Window.partitionBy("doc", "line")))
+    rows = rows.withColumn("taken", F.max(F.when(can & (F.col("value") == F.col("top")), True)).over(Window.partitionBy("doc", "value")))
+    return _reasoned(rows.where("taken IS NULL").drop("acts", "top", "taken"))
+
+
+def _reasoned(left: DataFrame) -> DataFrame:
     doc = F.col("doc").cast("string")
     reason = F.coalesce(*[F.when(F.col("kind") == k, F.concat(doc, F.lit(f": {v}"))) for k, v in REASONS.items()], doc)
-    keep = [c for c in ("payment",) if c in cands.columns]
+    keep = [c for c in ("payment",) if c in left.columns]
     return left.select(*keep, "doc", "rank", "value", "kind", reason.alias("reason"))
 
 

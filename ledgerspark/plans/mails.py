@@ -50,16 +50,14 @@ def _mails(spark, d):
 
 
 def _lines(mails):
-    return mails.select("payment", "payee", "doc", F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    more = [c for c in ("orders",) if c in mails.columns]
+    return mails.select("payment", "payee", "doc", *more, F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _candidates(spark, d):
-    """Candidates that count, with payment, payee, invoice and orders."""
+    """Mails, and the candidates that count, with payment, payee, invoice and orders."""
     mails = C.approval_mails(_mails(spark, d))
-    found = C.with_invoices(C.listed(C.candidates(_lines(mails))))
-    found = found.join(mails.select("doc", mail_orders(c("text")).alias("orders")), "doc")
-    # choosing and what is left over read these rows several times
-    return mails, kept(found, "mail-candidates")
+    return mails, C.with_invoices(C.listed(C.candidates(_lines(mails.withColumn("orders", mail_orders(c("text")))))))
 
 
 def resumen_correos(spark, d):
@@ -101,12 +99,13 @@ def puntaje_renglones(spark, d):
 
 def veredicto(spark, d):
     """The verdict of each payment with approved amounts, whoever its payee is."""
-    return C.verdict(C.chosen(_candidates(spark, d)[1]))
+    return C.verdict(C.chosen(_candidates(spark, d)[1]).select("payment", "doc", "rank", "value", "line", "kind", "author", "party"))
 
 
 def decision_pagos(spark, d):
     payments = table(spark, d, "orders").select(c("o_orderkey").alias("payment"))
     mails, found = _candidates(spark, d)
+    found = kept(found, "mail-candidates")  # choosing and what is left over read these rows several times
     picked = C.chosen(found)
     out = C.decisions(payments, picked, c("payee"), mails=mails, left=C.discarded(found, picked))
     said = F.array_join(F.transform("discarded", lambda x: F.concat(F.format_number(x["value"], 0), F.lit(" "), x["reason"])), " | ")
@@ -118,8 +117,7 @@ def aprobados_con_factura(spark, d):
 
 
 def descartados_con_motivo(spark, d):
-    _, found = _candidates(spark, d)
-    return C.discarded(found, C.chosen(found)).select("doc", "value", "kind", "reason")
+    return C.unchosen(_candidates(spark, d)[1]).select("doc", "value", "kind", "reason")
 
 
 _MAILS = """o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS s, o_orderkey % 8 AS way, CASE WHEN o_orderkey % 8 = 3 AND o_orderkey % 7 = 0 THEN 9 ELSE o_orderkey % 3 END AS two, o_orderkey % 8 = 3 AND o_orderkey % 7 = 0 AS hidden, CAST(substr(CAST(o_orderkey + 100000 AS VARCHAR), 1, 6) AS DOUBLE) * 1000 AS v,
