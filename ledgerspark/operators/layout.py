@@ -271,22 +271,27 @@ def quantity_rows(words: DataFrame, pages: DataFrame) -> DataFrame:
     """
     from ..functions.numbers import simple
 
-    t = F.trim("text")
-    placed = words.withColumns({"bucket": F.bround(F.col("y0") / ROW_STEP).cast("long"), "centre": (F.col("x0") + F.col("x1")) / 2})
-    titles = placed.where(t.rlike(QUANTITY_TITLE) & ~F.lower(t).startswith("cantidades"))
-    title = titles.groupBy("doc", "page").agg(F.min_by(F.struct(t.alias("header"), F.col("centre").alias("at"), F.col("y1").alias("under")), "word_no").alias("h")).select("doc", "page", "h.*")
-    word = F.struct("x0", "word_no", "text", "y0")
-    rows = placed.groupBy("doc", "page", "bucket").agg(F.sort_array(F.collect_list(word)).alias("ws"))
-    rows = rows.withColumns({"opens": F.get("ws", 0)["y0"], "said": F.array_join(F.transform("ws", lambda w: w["text"]), " ")}).join(title, ["doc", "page"])
-    ends = rows.where((F.col("opens") > F.col("under") + 10) & F.trim("said").rlike(ITEMS_END)).groupBy("doc", "page").agg(F.min("opens").alias("end"))
-    limits = title.join(ends, ["doc", "page"], "left").join(pages.select("doc", "page", "height"), ["doc", "page"], "left").withColumn("limit", F.least("end", "height"))
-    numbers = placed.join(limits, ["doc", "page"]).where((F.col("y0") > F.col("under") + 1) & (F.col("limit").isNull() | (F.col("y0") < F.col("limit"))) & F.col("text").rlike("^[0-9.,]+$"))
-    far = F.abs(F.col("centre") - F.col("at"))
-    near = numbers.where(far <= QUANTITY_REACH).groupBy("doc", "page", "header", "bucket").agg(F.min_by(F.struct("text", "word_no"), F.struct(far.alias("far"), "word_no")).alias("n"), F.min("word_no").alias("first"))
+    t, page = F.trim("text"), Window.partitionBy("doc", "page")
+    placed = words.withColumns({"bucket": F.bround(F.col("y0") / ROW_STEP).cast("long"), "centre": (F.col("x0") + F.col("x1")) / 2, "height": F.lit(None).cast("double"), "is_word": F.lit(True)})
+    placed = placed.withColumn("title", F.when(t.rlike(QUANTITY_TITLE) & ~F.lower(t).startswith("cantidades"), F.struct(t.alias("header"), F.col("centre").alias("at"), F.col("y1").alias("under"))))
+    # a document's words come together once, with its pages' heights; pages, rows and repeated pages are windows and groups inside it
+    both = placed.unionByName(pages.select("doc", "page", F.col("height").cast("double").alias("height")), allowMissingColumns=True).where("doc IS NOT NULL AND page IS NOT NULL").repartition("doc")
+    first = F.min_by("title", F.when(F.col("title").isNotNull(), F.col("word_no"))).over(page)
+    both = both.withColumns({"h": first, "height": F.max("height").over(page)}).where("is_word AND h IS NOT NULL")
+    word = F.struct("x0", "word_no", "text", "y0", "centre")
+    rows = both.groupBy("doc", "page", "bucket").agg(F.sort_array(F.collect_list(word)).alias("ws"), F.first("h").alias("h"), F.first("height").alias("height"))
+    rows = rows.withColumns({"opens": F.get("ws", 0)["y0"], "said": F.array_join(F.transform("ws", lambda w: w["text"]), " ")})
+    under = F.col("h.under")
+    end = F.min(F.when((F.col("opens") > under + 10) & F.trim("said").rlike(ITEMS_END), F.col("opens"))).over(page)
+    rows = rows.withColumn("limit", F.least(end, F.col("height")))
+    far = lambda w: F.abs(w["centre"] - F.col("h.at"))
+    counts = lambda w: (w["y0"] > under + 1) & (F.col("limit").isNull() | (w["y0"] < F.col("limit"))) & (far(w) <= QUANTITY_REACH) & w["text"].rlike("^[0-9.,]+$")
+    near = F.transform(F.filter("ws", counts), lambda w: F.struct(far(w).alias("far"), w["word_no"].alias("word_no"), w["text"].alias("text")))
+    out = rows.withColumn("near", near).where("size(near) > 0").withColumns({"n": F.array_min("near"), "first": F.array_min(F.col("near")["word_no"])})
     rest = F.filter("ws", lambda w: (w["word_no"] != F.col("n.word_no")) & ~w["text"].rlike("^[0-9]{7,}$") & ~w["text"].rlike(r"^\$?[0-9.,]*[.,][0-9.,]*$"))
-    out = near.join(rows.select("doc", "page", "bucket", "ws"), ["doc", "page", "bucket"]).withColumn("quantity", simple(F.col("n.text"))).where("quantity > 0")
-    number = F.row_number().over(Window.partitionBy("doc", "page").orderBy("first"))
-    return out.select("doc", "page", number.alias("row"), "header", F.col("n.text").alias("raw"), "quantity", F.left(F.array_join(F.transform(rest, lambda w: w["text"]), " "), F.lit(160)).alias("description"))
+    out = out.withColumn("quantity", simple(F.col("n.text"))).where("quantity > 0")
+    number = F.row_number().over(page.orderBy("first"))
+    return out.select("doc", "page", number.alias("row"), F.col("h.header").alias("header"), F.col("n.text").alias("raw"), "quantity", F.left(F.array_join(F.transform(rest, lambda w: w["text"]), " "), F.lit(160)).alias("description"))
 
 
 def column_quantity(words: DataFrame, pages: DataFrame) -> DataFrame:

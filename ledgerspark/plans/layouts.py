@@ -10,7 +10,7 @@ from ..operators import codes as Q
 from ..operators import layout as L
 from ..operators import pages as G
 from ..operators import templates as T
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 c = F.col
 
@@ -74,26 +74,29 @@ def lectura_cajas(spark, d):
 def cantidad_factura(spark, d):
     """Quantities under a column's title over one to three pages; totals end the items, and a page that is printed twice counts once."""
     li = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("l_quantity")).alias("q"))
-    o = _orders(spark, d).join(li, "o_orderkey")
+    orders = table(spark, d, "orders").select("o_orderkey")
+    o = orders.join(li, "o_orderkey")
     odd = o_() % 2 == 1
     words = [
         _box("Código", 10, 50, 90), _box("Cantidad", 200, 250, 90), _box("VALOR", 300, 330, 90), _box("TOTAL", 335, 360, 90),
         _box("10000001", 10, 60, 120), _box("CINTA", 70, 110, 120), _box("x4", 115, 130, 120), _box(F.concat(c("q").cast("string"), F.lit(".00")), 210, 240, 120), _box("12,500.00", 300, 350, 120),
         _box("TUBO", 70, 100, 140), _box("7", 222, 228, 140), _box("9", 180, 186, 140), _box("IVA", 120, 140, 140), _box("19", 300, 310, 140),
         _box("Subtotal", 10, 60, 180, when=odd), _box(c("n").cast("string"), 215, 235, 180, when=odd), _box("555", 215, 235, 200, when=odd)]
-    one = _boxes(o, o_(), words)
-    again = one.where("CAST(doc AS LONG) % 3 = 0").withColumn("page", F.lit(2))
-    other = _boxes(o.where("o_orderkey % 5 = 0"), o_(), [_box("CANT.", 200, 240, 50), _box("3", 215, 222, 80), _box("cantidades", 10, 60, 300)], 3)
-    pages = one.unionByName(again).unionByName(other)
-    return L.column_quantity(pages, pages.select("doc", "page").distinct().withColumn("height", F.lit(700.0)))
+    other = [_box("CANT.", 200, 240, 50), _box("3", 215, 222, 80), _box("cantidades", 10, 60, 300)]
+    said = lambda page, ws: F.transform(ws, lambda w, n: F.struct(F.lit(page).alias("page"), n.alias("word_no"), *[w[f].alias(f) for f in ("text", "x0", "x1", "y0", "y1")]))
+    # a document's pages are written once, of the words of its first
+    made = o.select(o_(), F.array_compact(F.array(*words)).alias("ws")).select(o_(), F.array(said(1, c("ws")), F.when(o_() % 3 == 0, said(2, c("ws"))), F.when(o_() % 5 == 0, said(3, F.array(*other)))).alias("pages"))
+    pages = made.select(o_().cast("string").alias("doc"), F.explode(F.flatten(F.array_compact("pages"))).alias("w")).select("doc", "w.*")
+    heights = spread(orders).select(o_().cast("string").alias("doc"), F.explode(F.array_compact(F.array(F.lit(1), F.when(o_() % 3 == 0, 2), F.when(o_() % 5 == 0, 3)))).alias("page"), F.lit(700.0).alias("height"))
+    return L.column_quantity(pages, heights)
 
 
 def renglones_cantidad(spark, d):
     """Items of a page with their descriptions, and the packs that these name."""
-    o = _orders(spark, d).withColumn("n", o_() % 7 + 2)
+    o = spread(table(spark, d, "orders").select("o_orderkey")).withColumn("n", o_() % 7 + 2)
     words = [_box("CANT", 200, 240, 50), _box("10000001", 10, 60, 80), _box("PH JUMBO", 70, 110, 80), _box(F.concat(c("n").cast("string"), F.lit(" ROLLOS X 250")), 115, 160, 80), _box("15.00", 210, 230, 80), _box("$1.200,50", 300, 340, 80), _box("TORNILLO", 70, 110, 110), _box("0", 215, 222, 110)]
-    page = _boxes(o, o_(), words)
-    return L.quantity_rows(page, page.select("doc", "page").distinct().withColumn("height", F.lit(700.0))).select("doc", "row", "quantity", "description", X.pack_factor(c("description")).alias("factor"))
+    heights = o.select(o_().cast("string").alias("doc"), F.lit(1).alias("page"), F.lit(700.0).alias("height"))
+    return L.quantity_rows(_boxes(o, o_(), words), heights).select("doc", "row", "quantity", "description", X.pack_factor(c("description")).alias("factor"))
 
 
 def empaque(spark, d):
