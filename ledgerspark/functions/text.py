@@ -229,8 +229,7 @@ def column_field(title: Column) -> Column:
 
 def screen_noise(c: Column) -> Column:
     """Buttons and bubbles of the portal that are read as if they were data."""
-    said = F.btrim(normalise(c), F.lit("?¿ "))
-    return said.isin("cambiar", "ayuda", "necesitas", "necesitas ayuda") | said.contains("necesitas ayuda")
+    return F.btrim(normalise(c), F.lit("?¿ ")).rlike(r"^(?:cambiar|ayuda|necesitas)\z|necesitas ayuda")
 
 
 def invoice_references(c: Column) -> Column:

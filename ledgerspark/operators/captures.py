@@ -142,15 +142,18 @@ def table_marks(lines: DataFrame) -> DataFrame:
     value or reference, and payee or document.
     """
     page = Window.partitionBy("doc").orderBy("line_no")
-    says = lambda c, word: X.tolerant(c).contains(word.translate(str.maketrans("l105", "iios")))
-    text = joined(F.col("ws"))
-    title = ~text.rlike("[0-9]{3,}") & F.exists(F.array(*map(F.lit, TITLES)), lambda t: X.tolerant(text).contains(X.tolerant(t)))
-    marked = lines.select("doc", "line_no", text.alias("text"), title.alias("title"), F.min(F.when(F.col("said").contains(TABLE), F.col("line_no"))).over(Window.partitionBy("doc")).alias("caption"))
+    seen_as = lambda word: word.translate(str.maketrans("l105", "iios"))
+    says = lambda c, word: c.contains(seen_as(word))
+    # a line's text is put together and its look-alikes fall together once; blocks are made of these texts
+    given = lines.select("doc", "line_no", F.col("said").contains(TABLE).alias("caption"), joined(F.col("ws")).alias("text")).withColumn("text", F.struct("text", X.tolerant(F.col("text")).alias("like")))
+    title = ~F.col("text.text").rlike("[0-9]{3,}") & F.col("text.like").rlike("|".join(map(seen_as, TITLES)))
+    marked = given.select("doc", "line_no", "caption", F.col("text.like").alias("text"), title.alias("title"))
+    marked = marked.select("doc", "line_no", F.when(F.col("title"), F.col("text")).alias("text"), "title", F.min(F.when(F.col("caption"), F.col("line_no"))).over(Window.partitionBy("doc")).alias("caption"))
     marked = marked.withColumn("start", F.coalesce("caption", F.lit(0)))
     ahead = {f"t{k}": F.coalesce(F.lead("title", k).over(page), F.lit(False)) for k in (1, 2)} | {f"s{k}": F.lead("text", k).over(page) for k in (1, 2)}
     m = marked.withColumns(ahead)
     two, three = F.col("t1"), F.col("t1") & F.col("t2")
-    m = m.withColumns({"block": F.concat_ws(" ", "text", F.when(two, F.col("s1")), F.when(three, F.col("s2"))), "last": F.col("line_no") + two.cast("int") + three.cast("int")})
+    m = m.withColumns({"block": F.when(F.col("title"), F.concat_ws(" ", "text", F.when(two, F.col("s1")), F.when(three, F.col("s2")))), "last": F.col("line_no") + two.cast("int") + three.cast("int")})
     known = sum((says(F.col("block"), t).cast("int") for t in TITLES), F.lit(0))
     either = lambda *ts: says(F.col("block"), ts[0]) | says(F.col("block"), ts[1])
     good = F.col("title") & (F.col("line_no") >= F.col("start")) & (known >= 3) & either("valor", "referencia") & either("destinatario", "documento")
