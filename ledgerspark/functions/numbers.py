@@ -61,7 +61,11 @@ def longest_number(text: Column) -> Column:
 
 def portal_amount(text: Column) -> Column:
     """N6: dots group thousands and the comma is decimal, but a last group of two digits after a dot is decimals."""
-    raw = longest_number(text)
+    return portal_value(longest_number(text))
+
+
+def portal_value(raw: Column) -> Column:
+    """``portal_amount`` of a ``longest_number``."""
     comma = F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     cents = raw.rlike(r"\.[0-9]{2}$")
     dotted = F.when(cents, F.concat(_drop(F.regexp_replace(raw, r"\.[0-9]{2}$", ""), r"\."), F.lit("."), F.right(raw, F.lit(2)))).otherwise(_drop(raw, r"\."))
@@ -70,7 +74,11 @@ def portal_amount(text: Column) -> Column:
 
 def portal_shape(text: Column) -> Column:
     """Whether the amount is written in one of the four accepted shapes; true where there is nothing to read."""
-    raw = longest_number(text)
+    return portal_shaped(longest_number(text))
+
+
+def portal_shaped(raw: Column) -> Column:
+    """``portal_shape`` of a ``longest_number``."""
     shapes = r"^(?:[0-9]{1,3}(?:\.[0-9]{3})*(?:,[0-9]{1,2})?|[0-9]{1,3}(?:\.[0-9]{3})*\.[0-9]{2}|[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{1,2})?|[0-9]+)$"
     return F.coalesce(raw.rlike(shapes), F.lit(True))
 

@@ -246,46 +246,47 @@ def capture_rows(lines: DataFrame) -> DataFrame:
 def payments(rows: DataFrame) -> DataFrame:
     """Rows with typed fields. An amount of no accepted shape is null, and a blank payee is taken from the row's text."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    raw, payee = flat(F.col("value")), flat(F.col("payee"))
-    spare = X.payee_name(F.col("said"))
     keep = [c for c in rows.columns if c not in [*FIELDS, "said"]]
+    raw, payee, number = F.col("value"), F.col("payee"), F.col("_number")
+    spare = X.payee_name(F.col("said"))
+    # a cell's number is looked for once, for its shape and for its amount
+    rows = rows.withColumns({"value": flat(raw), "payee": flat(payee)}).withColumn("_number", N.longest_number(raw))
     return rows.select(
         *keep, F.when(payee != "", payee).otherwise(spare).alias("payee"), ((payee == "") & (spare != "")).alias("payee_from_row"), X.digits(F.col("document")).alias("document"),
-        X.account(F.col("account")).alias("account"), flat(F.col("account")).alias("account_text"), F.when(N.portal_shape(raw), N.portal_amount(raw)).alias("value"), raw.alias("value_text"),
+        X.account(F.col("account")).alias("account"), flat(F.col("account")).alias("account_text"), F.when(N.portal_shaped(number), N.portal_value(number)).alias("value"), raw.alias("value_text"),
         flat(F.col("kind")).alias("kind"), flat(F.col("reference")).alias("reference"), X.invoice_references(F.col("reference")).alias("invoices"), flat(F.col("said")).alias("said"))
 
 
-def ordered_captures(captures: DataFrame, heads: DataFrame) -> DataFrame:
-    """captures (batch, doc, arrival, name) with their heads and place: those with a head come first, the others as they arrived; unreadable ones have no place."""
-    has = (F.col("payment_name") != "") | (F.col("total") != "") | (F.col("payment_kind") != "")
-    readable = captures.join(heads, "doc")
-    order = Window.partitionBy("batch").orderBy(F.when(has, 0).otherwise(1), "arrival", "doc")
-    return readable.withColumn("place", F.row_number().over(order))
-
-
-def stitched(placed: DataFrame, paid: DataFrame) -> DataFrame:
-    """batch, n, repeats (earlier rows left out up to here) and the payment's columns: payments of a batch's captures in order, each once.
+def batch_rows(read: DataFrame) -> DataFrame:
+    """``capture_documents.read_captures`` of captures (batch, doc, arrival, name) -> batch, n, again (an earlier row of the batch is the same payment), row, first and the payment's columns, with place, arrival, name, declared and head of its capture.
 
-    A payment is repeated if an earlier one has its document, value and reference, unless these are all blank (a value of 0 is). Numbers are given to those that stay.
+    Captures of a batch with their head come first, the others as they arrived; unreadable ones have no place. A capture without payments is one line with no row; first marks one line of each.
+    A payment is repeated if an earlier one has its document, value and reference, unless these are all blank (a value of 0 is). Numbers are given to those that stay. All of it
+    happens inside a batch, whose captures are shuffled once.
     """
-    rows = placed.select("batch", "doc", "place").join(paid, "doc")
+    from .capture_documents import rows_of
+
+    has = (F.col("head.payment_name") != "") | (F.col("head.total") != "") | (F.col("head.payment_kind") != "")
+    order = Window.partitionBy("batch").orderBy(F.col("lines") == 0, F.when(has, 0).otherwise(1), "arrival", "doc")
+    kept_columns = ["batch", "place", "arrival", "name", "declared", "head"]
+    placed = read.select("batch", "doc", "arrival", "name", "lines", "declared", "head", "titled", "rows").withColumn("place", F.when(F.col("lines") > 0, F.row_number().over(order)))
+    paid = payments(rows_of(placed, *kept_columns))
     blank = (F.col("document") == "") & (F.coalesce("value", F.lit(0.0)) == 0) & (F.col("reference") == "")
     same = Window.partitionBy("batch", "document", "value", "reference").orderBy("place", "row")
-    told = rows.withColumn("again", ~blank & (F.row_number().over(same) > 1))
+    told = paid.withColumn("again", F.col("row").isNotNull() & ~blank & (F.row_number().over(same) > 1))
     along = Window.partitionBy("batch").orderBy("place", "row").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumns({"n": F.sum((~F.col("again")).cast("int")).over(along)})
-    return told.select("batch", "n", "again", *[c for c in paid.columns if c not in ("doc", "row")])
+    return told.withColumns({"n": F.sum((F.col("row").isNotNull() & ~F.col("again")).cast("int")).over(along), "first": F.coalesce("row", F.lit(0)) == F.coalesce("opens", F.lit(0))})
 
 
-def batch_summary(captures: DataFrame, placed: DataFrame, joined_rows: DataFrame) -> DataFrame:
-    """One row per batch: head fields by the first capture that has each, payments read, their sum, and warnings in order.
+def batch_payments(rows: DataFrame) -> DataFrame:
+    """``batch_rows`` -> batch, n and the payment's columns, each payment once."""
+    inner = ["row", "first", "opens", "again", "titled", "place", "arrival", "name", "declared", "head"]
+    return rows.where("row IS NOT NULL AND NOT again").select("batch", "n", *[c for c in rows.columns if c not in ("batch", "n", *inner)])
 
-    joined_rows: ``stitched``. A batch without a readable capture has an error and nothing else.
-    """
-    first = lambda f: F.coalesce(F.min_by(f, F.when(F.col(f) != "", F.col("place"))), F.lit("")).alias(f)
-    head = placed.groupBy("batch").agg(*[first(f) for f in LABELS.values()], F.coalesce(F.min_by("declared", F.when(F.col("declared") > 0, F.col("place"))), F.lit(0)).alias("declared"), F.count(F.lit(1)).alias("captures"))
-    lost = captures.join(placed.select("batch", "doc"), ["batch", "doc"], "left_anti").groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("arrival", "name"))), lambda x: F.concat(F.lit("no se pudo leer "), x["name"])).alias("lost"))
-    given = captures.groupBy("batch").agg(F.count(F.lit(1)).alias("given"))
+
+def batch_summary(rows: DataFrame) -> DataFrame:
+    """``batch_rows`` -> one row per batch: head fields by the first capture that has each, payments read, their sum, and warnings in order. A batch without a readable capture has an error and nothing else."""
+    head_of = lambda f: F.coalesce(F.min_by(f"head.{f}", F.when(F.col(f"head.{f}") != "", F.col("place"))), F.lit("")).alias(f)
     n = F.col("n").cast("string")
     # The wording of the warnings.
     warned = F.array_compact(F.array(
@@ -293,30 +294,31 @@ def batch_summary(captures: DataFrame, placed: DataFrame, joined_rows: DataFrame
         .when(F.col("payee_from_row"), F.concat(F.lit("el destinatario del registro "), n, F.lit(' se deduzco del texto de la fila: "'), F.col("payee"), F.lit('"'))),
         F.when(F.col("value").isNull(), F.concat(F.lit("el valor del registro "), n, F.lit(" no se pudo leer con seguridad"), F.when(F.col("value_text") != "", F.concat(F.lit(': la celda dice "'), F.left("value_text", F.lit(60)), F.lit('"'))).otherwise(""), F.lit("; escribelo a mano"))),
         F.when(F.col("document") == "", F.concat(F.lit("no se leyo el documento del registro "), n))))
-    once = joined_rows.where("NOT again").select("batch", "n", "value", warned.alias("warned"))
-    rows = once.groupBy("batch").agg(F.count(F.lit(1)).alias("payments"), F.sum(F.coalesce("value", F.lit(0.0))).alias("sum"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", "warned"))), lambda x: x["warned"])).alias("warned"))
-    again = joined_rows.where("again").groupBy("batch").agg(F.count(F.lit(1)).alias("again"))
-    out = given.join(head, "batch", "left").join(lost, "batch", "left").join(rows, "batch", "left").join(again, "batch", "left")
-    out = out.fillna({"payments": 0, "sum": 0.0, "again": 0})
+    once, shown = F.col("row").isNotNull() & ~F.col("again"), F.col("first") & F.col("place").isNotNull()
+    out = rows.withColumn("warned", F.when(once, warned)).groupBy("batch").agg(
+        *[head_of(f) for f in LABELS.values()], F.coalesce(F.min_by("declared", F.when(F.col("declared") > 0, F.col("place"))), F.lit(0)).alias("declared"), F.count_if(shown).alias("captures"), F.count_if("first").alias("given"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("first") & F.col("place").isNull(), F.struct("arrival", "name")))), lambda x: F.concat(F.lit("no se pudo leer "), x["name"])).alias("lost"),
+        F.count_if(once).alias("payments"), F.coalesce(F.sum(F.when(once, F.coalesce("value", F.lit(0.0)))), F.lit(0.0)).alias("sum"), F.count_if("again").alias("again"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("warned") > 0, F.struct("n", "warned")))), lambda x: x["warned"])).alias("warned"))
     total = N.portal_amount(F.col("total"))
     said = N.portal_amount(F.col("records")).cast("long")
     records = F.coalesce(F.nullif(said, F.lit(0)), F.nullif(F.col("declared"), F.lit(0)))
     money = lambda c: F.format_number(c, 2)
-    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     general = F.array_compact(F.array(
         F.when(F.col("again") > 0, F.concat(F.col("again").cast("string"), F.lit(" fila(s) venian repetidas en dos capturas y se contaron una sola vez"))),
         F.when(records != F.col("payments"), F.concat(F.lit("la pantalla declara "), records.cast("string"), F.lit(" registros y se leyeron "), F.col("payments").cast("string"), F.when(F.col("given") == 1, "; puede faltar una captura").otherwise(""))),
         F.when(F.abs(F.col("sum") - total) > 0.5, F.concat(F.lit("los registros suman "), money("sum"), F.lit(" y el total del lote dice "), money(total)))))
-    read = F.col("captures").isNotNull()
+    read = F.col("captures") > 0
+    some = lambda c: F.when(read, c)
     return out.select(
-        "batch", "payment_kind", "payment_name", X.account(F.col("account")).alias("account"), F.trim(F.regexp_replace("account", r"\s+", " ")).alias("account_text"), total.alias("total"), records.alias("records"),
-        X.bank_date(F.col("applied_on")).alias("applied_on"), F.coalesce("captures", F.lit(0)).alias("captures"), F.when(read, F.col("payments")).alias("payments"), F.when(read, F.round("sum", 2)).alias("sum"),
-        F.when(read, F.concat(some(F.col("lost")), general, some(F.col("warned")))).alias("warnings"), F.when(~read, "No se pudo leer ninguna de las imagenes").alias("error"))
+        "batch", some(F.col("payment_kind")).alias("payment_kind"), some(F.col("payment_name")).alias("payment_name"), some(X.account(F.col("account"))).alias("account"), some(F.trim(F.regexp_replace("account", r"\s+", " "))).alias("account_text"), some(total).alias("total"), some(records).alias("records"),
+        some(X.bank_date(F.col("applied_on"))).alias("applied_on"), F.col("captures"), some(F.col("payments")).alias("payments"), some(F.round("sum", 2)).alias("sum"),
+        some(F.concat("lost", general, "warned")).alias("warnings"), F.when(~read, "No se pudo leer ninguna de las imagenes").alias("error"))
 
 
 def batches(captures: DataFrame, words: DataFrame, heights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """captures (batch, doc, arrival, name), words and page heights -> the summary of each batch, and its payments."""
-    lines = capture_lines(words, heights)
-    placed = ordered_captures(captures, capture_heads(lines))
-    rows = stitched(placed, payments(capture_rows(lines)))
-    return batch_summary(captures, placed, rows), rows.where("NOT again").drop("again")
+    from .capture_documents import documents_of, read_captures
+
+    rows = batch_rows(read_captures(captures.join(documents_of(words, heights), "doc", "left")))
+    return batch_summary(rows), batch_payments(rows)

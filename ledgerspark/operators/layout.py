@@ -114,6 +114,22 @@ def _order(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [value, ~null]
 
 
+def numbered_words(table: pa.Table, doc: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of documents whose pages are stacked, doc the place of each word's document -> the words' order by document, line and place from left to right, and in that order their lines and numbers.
+
+    Lines and numbers are those of ``gathered_lines``.
+    """
+    down = np.lexsort([*_order(table["word_no"]), *_order(table["page"]), *_order(table["x0"]), *_order(table["y0"]), doc])
+    doc, table = doc[down], table.take(pa.array(down)).combine_chunks()
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][:len(doc)])
+    line = _numbered(table, starts, tolerance)
+    number, first = np.empty(len(doc), np.int32), np.repeat(starts, np.diff(np.append(starts, len(doc))))
+    placed = np.lexsort([*_order(table["word_no"]), *_order(table["page"]), doc])
+    number[placed] = np.arange(len(doc)) - first[placed] + 1
+    along = np.lexsort([number, *_order(table["x0"]), line, doc])
+    return down[along], line[along], number[along]
+
+
 def gathered_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """words as for ``visual_lines``, of documents whose pages are stacked -> doc, line_no, y0 and y1 (its top and bottom), ws: the line's words from left to right.
 

@@ -11,14 +11,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import capture_documents as R
 from ..operators import captures as C
-from ..sources.shared import kept
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 c = F.col
 NAMES = ["Aceros del Rio", "Lopez y Ortega", "Hilos de la Sierra", "Ferretería Ñandú", "Vidrios O'Brien & Co"]
 PLAIN_NAMES = ["Aceros Rio", "Lopez y Ortega", "Hilos Sierra", "Ferretería Ñandú", "Vidrios O'Brien Co"]
 BREAK = 180.0
+_WORDS = "array<struct<text: string, x0: double, x1: double, y0: double, y1: double>>"
 
 
 def _box(text, x0, x1, y, when=None):
@@ -38,30 +39,19 @@ def _money(x):
     return F.concat(F.lit("COP $ "), F.translate(F.format_number(x, 2), ",.", ".,"))
 
 
-def _shown(spark, d):
-    """A row for each payment of each capture: the order's columns, b (batch), r (its number), n (of the batch), cap and pos."""
-    own = Window.partitionBy("o_custkey")
-    o = table(spark, d, "orders").select(c("o_custkey").alias("b"), "o_orderkey", "o_totalprice", F.row_number().over(own.orderBy("o_orderkey")).alias("r"), F.count(F.lit(1)).over(own).alias("n"), F.sum("o_totalprice").over(own).alias("total"))
-    own_place = o.withColumns({"cap": ((c("r") - 1) / 4).cast("int"), "pos": ((c("r") - 1) % 4 + 1)})
-    again = o.where("r % 4 = 0 AND r < n").withColumns({"cap": (c("r") / 4).cast("int"), "pos": F.lit(0)})
-    return own_place.unionByName(again)
-
-
 def _doc(cap):
     return F.concat(c("b").cast("string"), F.lit("-"), cap.cast("string"))
 
 
 def _captures(spark, d):
-    """batch, doc, arrival, name."""
-    shown = _shown(spark, d).groupBy("b", "cap").agg(F.max("n").alias("n"))
-    real = shown.select(c("b").cast("string").alias("batch"), _doc(c("cap")).alias("doc"), F.when((c("b") / 2).cast("int") % 3 == 0, 1000 - c("cap")).otherwise(c("cap")).alias("arrival"), F.concat(F.lit("captura "), (c("cap") + 1).cast("string")).alias("name"))
-    blank = table(spark, d, "customer").where("c_custkey % 11 = 0").select(c("c_custkey").alias("b")).select(c("b").cast("string").alias("batch"), _doc(F.lit("x")).alias("doc"), F.lit(2000).alias("arrival"), F.lit("captura x").alias("name"))
-    return real.unionByName(blank)
-
-
-def _words(spark, d):
-    """Words of all captures, and the heights of first pages."""
-    shown, o, b = _shown(spark, d), c("o_orderkey"), c("b")
+    """batch, doc, arrival, name, words and heights of each capture. Orders come together by customer, as numbers; a capture's words are made where they are read."""
+    own = Window.partitionBy("b")
+    o = spread(table(spark, d, "orders").select(c("o_custkey").alias("b"), "o_orderkey", "o_totalprice"))
+    o = o.withColumns({"r": F.row_number().over(own.orderBy("o_orderkey")), "n": F.count(F.lit(1)).over(own), "total": F.sum("o_totalprice").over(own)})
+    place = lambda cap, pos: F.struct(cap.cast("int").alias("cap"), pos.cast("int").alias("pos"))
+    places = F.array_compact(F.array(place((c("r") - 1) / 4, (c("r") - 1) % 4 + 1), F.when((c("r") % 4 == 0) & (c("r") < c("n")), place(c("r") / 4, F.lit(0)))))
+    shown = o.withColumn("place", F.explode(places)).select("*", "place.*")
+    o, b = c("o_orderkey"), c("b")
     odd_titles, odd_labels, single = b % 4 == 1, b % 5 == 2, b % 2 == 0
     titles = lambda y: [
         _box("#", 10, 18, y), _box("Tipo", 40, 60, y), _box("de", 64, 74, y), _box(F.when(odd_titles, "Dest1natario").otherwise("Destinatario"), 150, 230, y), _box("Número", 330, 360, y), _box("de", 364, 374, y),
@@ -77,8 +67,6 @@ def _words(spark, d):
         *label("Fecha de aplicación", "Fecha de apiicacion", 20, 140), *label("Cantidad de registros", "Cantidad de reglstros", 400, 140), _box(date, 20, 90, 155), _box(c("n").cast("string"), 400, 412, 155, c("n") >= 10),
         _box("Editar", 900, 930, 170), _box("Registros agregados", 20, 120, 185), *titles(200),
         _box(F.concat(F.lit("Mostrando 1-4 de "), (c("n") + F.when(b % 10 == 9, 1).otherwise(0)).cast("string"), F.lit(" pagos")), 20, 160, 500.0)]
-    first = shown.groupBy("b").agg(F.max("n").alias("n"), F.max("total").alias("total")).select(b, F.lit(0).alias("cap"), F.posexplode(F.array_compact(F.array(*head))).alias("word_no", "w"))
-    later = shown.where("cap > 0 AND b % 2 = 1").select("b", "cap").distinct().select(b, "cap", F.posexplode(F.array(*titles(10))).alias("word_no", "w"))
     y = F.when(c("cap") == 0, 220).otherwise(60) + 40 * c("pos")
     name, amount = F.element_at(F.array(*map(F.lit, NAMES)), (o % 5 + 1).cast("int")), F.when(o % 13 == 0, "COP $ 1.78.00.00").otherwise(_money(c("o_totalprice")))
     moved, known = o % 19 == 0, o % 17 != 0
@@ -86,58 +74,54 @@ def _words(spark, d):
     row = [
         _box("Abono a cuenta", 40, 120, y), _box(name, 150, 300, y, ~moved), _box(name, 40, 110, y + 13, moved), _box(dotted, 330, 400, y, known), _box(F.concat(F.lit("47 - "), F.lpad(o.cast("string"), 8, "0"), F.lit(" - 1")), 470, 560, y, known),
         _box("Cuenta de ahorro", 470, 540, y + 13, known), _box(amount, 620, 700, y), _box(F.concat(F.lit("F "), (o + 100000).cast("string"), F.lit(" "), (o + 200000).cast("string")), 800, 880, y)]
-    rows = shown.select(b, "cap", (1000 + 100 * c("pos")).alias("base"), F.posexplode(F.array_compact(F.array(*row))).alias("k", "w")).select("b", "cap", (c("base") + c("k")).alias("word_no"), "w")
-    blank = table(spark, d, "customer").where("c_custkey % 11 = 0").select(c("c_custkey").alias("b"), F.lit("x").alias("cap"), F.lit(0).alias("word_no"), _box("¿Necesitas ayuda?", 700, 780, 300).alias("w"))
-    whole = first.unionByName(later).unionByName(rows).withColumn("cap", c("cap").cast("string")).unionByName(blank)
-    cut = (b % 7 == 3) & (c("cap") == "0") & (c("w.y0") >= BREAK)  # these captures have two pages
-    above = F.when(cut, BREAK).otherwise(0.0)
-    words = whole.select(_doc(c("cap")).alias("doc"), F.when(cut, 2).otherwise(1).alias("page"), "word_no", "w.text", "w.x0", "w.x1", (c("w.y0") - above).alias("y0"), (c("w.y1") - above).alias("y1"))
-    heights = shown.where("b % 7 = 3 AND cap = 0").select("b").distinct().select(_doc(F.lit(0)).alias("doc"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.lit(BREAK).alias("height"))
-    return words, heights
-
-
-def _lines(spark, d):
-    return kept(C.capture_lines(*_words(spark, d)), "capture-lines")
+    listed = lambda words: F.array_compact(F.array(*words))
+    paid = shown.groupBy("b", "cap").agg(F.sort_array(F.collect_list(F.struct("pos", listed(row).alias("ws")))).alias("paid"), F.max("n").alias("n"), F.max("total").alias("total"))
+    above = F.when(c("cap") == 0, listed(head)).when(b % 2 == 1, listed(titles(10)))
+    whole = F.concat(F.coalesce(above, F.array().cast(_WORDS)), F.flatten(c("paid")["ws"]))
+    cut = (b % 7 == 3) & (c("cap") == 0)  # these captures have two pages
+    said = lambda page, top: F.transform("whole", lambda w, k: F.struct(page(w).alias("page"), k.alias("word_no"), w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), (w["y0"] - top(w)).alias("y0"), (w["y1"] - top(w)).alias("y1")))
+    under = lambda w: w["y0"] >= BREAK
+    words = F.when(cut, said(lambda w: F.when(under(w), 2).otherwise(1), lambda w: F.when(under(w), BREAK).otherwise(0.0))).otherwise(said(lambda w: F.lit(1), lambda w: F.lit(0.0)))
+    height = lambda page: F.struct(F.lit(page).alias("page"), F.lit(BREAK).alias("height"))
+    none = F.array().cast("array<struct<page: int, height: double>>")
+    real = paid.select("b", "cap", whole.alias("whole")).select(
+        b.cast("string").alias("batch"), _doc(c("cap")).alias("doc"), F.when((b / 2).cast("int") % 3 == 0, 1000 - c("cap")).otherwise(c("cap")).alias("arrival"), F.concat(F.lit("captura "), (c("cap") + 1).cast("string")).alias("name"),
+        words.alias("words"), F.when(cut, F.array(height(1), height(2))).otherwise(none).alias("heights"))
+    blank = table(spark, d, "customer").where("c_custkey % 11 = 0").select(c("c_custkey").alias("b"), F.array(_box("¿Necesitas ayuda?", 700, 780, 300)).alias("whole"))
+    return real.unionByName(blank.select(b.cast("string").alias("batch"), _doc(F.lit("x")).alias("doc"), F.lit(2000).alias("arrival"), F.lit("captura x").alias("name"), said(lambda w: F.lit(1), lambda w: F.lit(0.0)).alias("words"), none.alias("heights")))
+
+
+def _read(spark, d, **parts):
+    return R.read_captures(_captures(spark, d), **parts)
 
 
 def encabezado_lote(spark, d):
     """The head's fields as they are read, some under misread labels."""
-    return C.capture_heads(_lines(spark, d)).where("doc LIKE '%-0'").select("doc", "payment_name", "payment_kind", "account", "total", "applied_on", "records", "declared")
+    return _read(spark, d, rows=False).where("lines > 0 AND doc LIKE '%-0'").select("doc", *[c(f"head.{f}").alias(f) for f in ("payment_name", "payment_kind", "account", "total", "applied_on", "records")], "declared")
 
 
 def columnas_portal(spark, d):
     """Columns of each capture with titles, from left to right."""
-    lines = _lines(spark, d)
-    return C.title_columns(lines, kept(C.table_marks(lines), "table-marks")).select("doc", "column", "field")
+    return _read(spark, d, heads=False, rows=False).select("doc", F.posexplode("columns").alias("k", "c")).select("doc", (c("k") + 1).alias("column"), "c.field")
 
 
 def filas_con_titulos(spark, d):
-    lines = _lines(spark, d)
-    return C.titled_rows(lines, *C.table_layout(lines)).select("doc", "row", "payee", "document", "account", "value", "kind", "reference")
+    return R.rows_of(_read(spark, d, heads=False).where("titled"), "doc").where("row IS NOT NULL").select("doc", "row", "payee", "document", "account", "value", "kind", "reference")
 
 
 def filas_sin_titulos(spark, d):
-    lines = _lines(spark, d)
-    return C.untitled_rows(lines, kept(C.table_marks(lines), "table-marks")).select("doc", "row", "payee", "document", "account", "value", "reference")
-
-
-def _batches(spark, d):
-    lines = _lines(spark, d)
-    captures = _captures(spark, d)
-    placed = kept(C.ordered_captures(captures, C.capture_heads(lines)), "capture-order")
-    return captures, placed, C.stitched(placed, C.payments(C.capture_rows(lines)))
+    return R.rows_of(_read(spark, d, heads=False).where("NOT titled"), "doc").where("row IS NOT NULL").select("doc", "row", "payee", "document", "account", "value", "reference")
 
 
 def lote_banco(spark, d):
     """Each batch with its head, number and sum of payments, and warnings."""
-    captures, placed, rows = _batches(spark, d)
-    return C.batch_summary(captures, placed, kept(rows, "capture-payments")).withColumn("warnings", F.array_join("warnings", "\n"))
+    return C.batch_summary(C.batch_rows(_read(spark, d))).withColumn("warnings", F.array_join("warnings", "\n"))
 
 
 def lote_registros(spark, d):
     """Each payment of a batch once, with its number."""
-    _, _, rows = _batches(spark, d)
-    return rows.where("NOT again").select("batch", "n", "payee", "payee_from_row", "document", "account", "account_text", "value", "reference", F.array_join("invoices", ",").alias("invoices"))
+    paid = C.batch_payments(C.batch_rows(_read(spark, d)))
+    return paid.select("batch", "n", "payee", "payee_from_row", "document", "account", "account_text", "value", "reference", F.array_join("invoices", ",").alias("invoices"))
 
 
 def titular_de_texto(spark, d):
