@@ -79,10 +79,20 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
 
 
 def _numbered(table: pa.Table, starts: np.ndarray, tolerance: float) -> np.ndarray:
-    """The line of each word of pages that start at the given places."""
-    heights = list(zip(*(c.to_pylist() if c.null_count else c.to_numpy().tolist() for c in (table["y0"], table["y1"]))))
-    ends = [*starts[1:].tolist(), len(heights)]
-    return np.array([k for a, b in zip(starts.tolist(), ends) for k in _line_numbers(heights[a:b], tolerance)], np.int32)
+    """The line of each word of pages that start at the given places.
+
+    Words in a row with one top and one bottom, which is no higher, go to one line, so that they are placed once.
+    """
+    edges = [c.combine_chunks() for c in (table["y0"], table["y1"])]
+    top, bottom = (pc.fill_null(c, np.nan).to_numpy(zero_copy_only=False) for c in edges)
+    new = np.ones(len(top), bool)
+    new[1:] = ~((top[1:] == top[:-1]) & (bottom[1:] == bottom[:-1]) & (bottom[1:] >= top[1:]))
+    new[starts] = True
+    first = np.flatnonzero(new)
+    heights = list(zip(*(c.take(pa.array(first)).to_pylist() if c.null_count else v[first].tolist() for c, v in zip(edges, (top, bottom)))))
+    pages = np.searchsorted(first, starts).tolist()
+    at = np.array([k for a, b in zip(pages, [*pages[1:], len(heights)]) for k in _line_numbers(heights[a:b], tolerance)], np.int32)
+    return np.repeat(at, np.diff(np.append(first, len(top))))
 
 
 TOLERANCE = 6.0
@@ -163,38 +173,20 @@ def gathered_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return placed.mapInArrow(fold, f"doc string, line_no int, ws array<struct<{', '.join(w.replace(' ', ': ') for w in word.split(', '))}>>, y0 double, y1 double")
 
 
-def lined_pages(docs: DataFrame) -> DataFrame:
-    """docs (doc, words: array of page, word_no, text, x0, x1, y0, y1; more columns) -> words' place is taken by lines: array of page, line_no, ws (x0, word_no, x1, y0, y1, text).
+def numbered_pages(table: pa.Table, doc: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of documents, doc the place of each word's document -> the words' order by document, page, line and place from left to right, in that order their lines, and where lines start.
 
-    Lines are those of ``visual_lines``, in order of page and number, their words from left to right. A document is one row before and after, so nothing is shuffled.
+    Lines are those of ``visual_lines``.
     """
-    types = {f.name: f.dataType.simpleString() for f in docs.schema if f.name != "words"}
-    fields = ["x0", "word_no", "x1", "y0", "y1", "text"]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("words")
-            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-            flat = words.flatten()
-            table = pa.Table.from_arrays(flat.flatten(), names=[f.name for f in flat.type])
-            doc = np.repeat(np.arange(len(size)), size)
-            down = np.lexsort([*_order(table["word_no"]), *_order(table["x0"]), *_order(table["y0"]), *_order(table["page"]), doc])
-            doc, table = doc[down], table.take(pa.array(down)).combine_chunks()
-            page = pc.fill_null(table["page"], -1).to_numpy()
-            starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])][:len(doc)])
-            line = _numbered(table, starts, TOLERANCE)
-            along = np.lexsort([*_order(table["word_no"]), *_order(table["x0"]), line, page, doc])
-            doc, page, line, table = doc[along], page[along], line[along], table.take(pa.array(along)).combine_chunks()
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1]) | (line[1:] != line[:-1])][:len(doc)])
-            one = {c: table[c].combine_chunks() for c in ("page", *fields)}
-            ws = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.StructArray.from_arrays([one[c] for c in fields], fields))
-            lines = pa.StructArray.from_arrays([one["page"].take(pa.array(first)), pa.array(line[first], pa.int32()), ws], ["page", "line_no", "ws"])
-            ends = np.searchsorted(doc[first], np.arange(len(size) + 1))
-            rest = [batch.column(c) for c in types]
-            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)], [*types, "lines"])
-
-    said = ", ".join(f"`{k}` {t}" for k, t in types.items())
-    return docs.select(*types, "words").mapInArrow(fold, f"{said}, lines array<struct<page: int, line_no: int, ws: array<struct<x0: double, word_no: int, x1: double, y0: double, y1: double, text: string>>>>")
+    down = np.lexsort([*_order(table["word_no"]), *_order(table["x0"]), *_order(table["y0"]), *_order(table["page"]), doc])
+    placed = table.take(pa.array(down)).combine_chunks()
+    page = pc.fill_null(placed["page"], -1).to_numpy()
+    starts = np.flatnonzero(np.r_[True, (doc[down][1:] != doc[down][:-1]) | (page[1:] != page[:-1])][:len(doc)])
+    line = _numbered(placed, starts, tolerance)
+    along = np.lexsort([*_order(placed["word_no"]), *_order(placed["x0"]), line, page, doc[down]])
+    order, line, page = down[along], line[along], page[along]
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (page[1:] != page[:-1]) | (line[1:] != line[:-1])][:len(doc)]
+    return order, line, np.flatnonzero(new)
 
 
 def line_texts(words: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ over the document's arrays, so that its words are moved once at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from .layout import lined_pages, merge_intervals
+from .layout import merge_intervals
 
 # Labels with their fields, words of column titles with theirs, signature labels, and what tells a form.
 HEAD = {"fecha de recibo": "received_on", "proveedor": "supplier", "factura": "invoice", "orden de compra": "order_no", "numero de ingreso": "entry_no", "nacional": "national", "importado": "imported"}
@@ -106,137 +106,19 @@ def item_rows(lined: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.where("description <> '' OR quantity_text <> ''").withColumn("quantity", N.form_quantity(F.col("quantity_text")))
 
 
-def _let(value: Column, then) -> Column:
-    """then of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
-def _spans_of(line: Column, labels: dict[str, str]) -> Column:
-    """``label_spans`` of one line (ws, said): field, x0, x1, y0, y1 of its labels, from left to right."""
-    ws, field_of = line["ws"], F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    text = lambda i, n: X.normalise(F.array_join(F.transform(F.slice(ws, i + 1, n), lambda w: w["text"]), " "))
-    longest = lambda i: F.get(F.filter(F.transform(F.sequence(F.least(F.lit(LONGEST_LABEL), F.size(ws) - i), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), F.element_at(field_of, text(i, n)).alias("field"))), lambda h: h["field"].isNotNull()), 0)
-    hits = F.filter(F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.struct(i.alias("at"), longest(i).alias("h"))), lambda x: x["h"].isNotNull())
-    free = _let(hits, lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["at"] < x["at"]) & (y["at"] + y["h"]["n"] > x["at"]))))
-
-    def span(x: Column) -> Column:
-        part = lambda c: F.transform(F.slice(ws, x["at"] + 1, x["h"]["n"]), lambda w: w[c])
-        return F.struct(x["h"]["field"].alias("field"), F.get(ws, x["at"])["x0"].alias("x0"), F.array_max(part("x1")).alias("x1"), F.array_min(part("y0")).alias("y0"), F.array_max(part("y1")).alias("y1"))
-
-    return F.transform(free, span)
-
-
-def _labelled(labels: dict[str, str]) -> Column:
-    """Lines that hold one of the labels; what no line says, no span of its words says."""
-    return F.filter("lines", lambda l: l["said"].rlike("|".join(labels)))
-
-
-def _head_values() -> Column:
-    """``head_fields`` of a document's lines: field and value, in order of their places."""
-    def of(line: Column) -> Column:
-        def value(spans: Column, s: Column, j: Column) -> Column:
-            stop = F.coalesce(F.get(spans, j + 1)["x0"], F.lit(float("inf")))
-            right = F.filter(line["ws"], lambda w: (w["x0"] >= s["x1"] - 1) & (w["x1"] <= stop + 1))
-            return F.struct(s["field"].alias("field"), F.trim(F.array_join(F.transform(right, lambda w: w["text"]), " ")).alias("value"))
-
-        return _let(_spans_of(line, HEAD), lambda spans: F.transform(spans, lambda s, j: value(spans, s, j)))
-
-    return F.flatten(F.transform(_labelled(HEAD), of))
-
-
-def _columns_of(page: Column) -> Column:
-    """``title_columns`` of one page (lines, edges): last and columns (name, low, high); null where it has no titles."""
-    lines, inf = page["lines"], F.lit(float("inf"))
-    more = lambda i: F.coalesce(F.get(lines, i)["said"].rlike("|".join(MORE_TITLES)), F.lit(False)).cast("int")
-    start = F.get(F.filter(F.transform(lines, lambda l, i: F.when(l["said"].contains("codigo") & l["said"].contains("cantidad"), i)), lambda i: i.isNotNull()), 0)
-    last = _let(start, lambda i: i + more(i + 1) + more(i + 1) * more(i + 2) + more(i + 1) * more(i + 2) * more(i + 3))
-    words = F.flatten(F.transform(F.slice(lines, start + 1, last - start + 1), lambda l: l["ws"]))
-    pair = lambda low, high: F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
-    none = F.struct(F.array().cast("array<struct<x0: double, x1: double>>").alias("groups"), F.lit(None).cast("double").alias("end"))
-
-    def grown(acc: Column, w: Column) -> Column:
-        """Intervals that touch within the gap are one, as ``merge_intervals`` has it."""
-        g, n = acc["groups"], F.size(acc["groups"])
-        opens = acc["end"].isNull() | F.coalesce(w["x0"] > acc["end"] + GAP, F.lit(False))
-        joined = F.struct(F.least(F.get(g, n - 1)["x0"], w["x0"]).alias("x0"), F.greatest(F.get(g, n - 1)["x1"], w["x1"]).alias("x1"))
-        groups = F.when(opens, F.concat(g, F.array(F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"))))).otherwise(F.concat(F.slice(g, F.lit(1), n - 1), F.array(joined)))
-        return F.struct(groups.alias("groups"), F.greatest(acc["end"], w["x1"]).alias("end"))
-
-    def halfway(groups: Column) -> Column:
-        return F.transform(groups, lambda g, i: pair(F.coalesce((F.when(i > 0, F.get(groups, i - 1)["x1"]) + g["x0"]) / 2, -inf), F.coalesce((F.get(groups, i + 1)["x0"] + g["x1"]) / 2, inf)))
-
-    def named(spans: Column, words: Column) -> Column:
-        def of(s: Column, i: Column) -> Column:
-            inside = F.filter(words, lambda w: ((w["x0"] + w["x1"]) / 2 >= s["low"]) & ((w["x0"] + w["x1"]) / 2 < s["high"]))
-            downwards = F.array_sort(F.transform(inside, lambda w: F.struct(w["y0"].alias("y0"), w["x0"].alias("x0"), w["word_no"].alias("word_no"), w["text"].alias("text"))))
-            said = X.normalise(F.array_join(F.transform(downwards, lambda w: w["text"]), " "))
-            name = lambda t: F.coalesce(*[F.when(t.contains(k), v) for k, v in COLUMNS.items()], F.nullif(t, F.lit("")), F.concat(F.lit("col"), i.cast("string")))
-            return F.struct(_let(said, name).alias("name"), F.when(i == 0, -inf).otherwise(s["low"]).alias("low"), F.when(i == F.size(spans) - 1, inf).otherwise(s["high"]).alias("high"))
-
-        return F.transform(spans, of)
-
-    def columns(words: Column) -> Column:
-        placed = F.array_sort(F.transform(words, lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"))))
-        drawn = F.transform(F.sequence(F.lit(1), F.size(page["edges"]) - 1), lambda i: pair(F.get(page["edges"], i - 1), F.get(page["edges"], i)))
-        spans = F.when(F.size(page["edges"]) >= 3, drawn).otherwise(_let(F.aggregate(placed, none, grown)["groups"], halfway))
-        return _let(spans, lambda spans: named(spans, words))
-
-    return F.when(start.isNotNull(), F.struct(F.get(lines, last)["line_no"].alias("last"), _let(words, columns).alias("columns")))
-
-
-def _item_lines() -> Column:
-    """``item_rows`` of a document's pages (page, lines, titles): description and quantity_text of its items."""
-    def under(p: Column, i: Column) -> Column:
-        source = F.try_element_at(F.filter(F.slice("pages", F.lit(1), i + 1), lambda q: q["titles"].isNotNull()), F.lit(-1))["titles"]["columns"]
-        lines = F.filter(p["lines"], lambda l: l["line_no"] > F.coalesce(p["titles"]["last"], F.lit(-1)))
-        return _let(source, lambda cs: F.when(cs.isNotNull(), F.transform(lines, lambda l: F.struct(l["ws"].alias("ws"), l["said"].alias("said"), cs.alias("columns")))))
-
-    def cells(l: Column) -> Column:
-        def cell(name: str) -> Column:
-            own = F.filter(l["columns"], lambda c: c["name"] == name)
-            middle = lambda w: (w["x0"] + w["x1"]) / 2
-            return _let(own, lambda own: F.array_join(F.transform(F.filter(l["ws"], lambda w: F.exists(own, lambda c: (middle(w) >= c["low"]) & (middle(w) < c["high"]))), lambda w: w["text"]), " "))
-
-        return F.struct(cell("description").alias("description"), cell("quantity").alias("quantity_text"))
-
-    def before_foot(lines: Column) -> Column:
-        foot = F.get(F.filter(F.transform(lines, lambda l, i: F.when(l["said"].rlike("|".join(SIGNED)), i)), lambda i: i.isNotNull()), 0)
-        return _let(F.coalesce(foot, F.size(lines)), lambda n: F.slice(lines, F.lit(1), n))
-
-    pages = F.flatten(F.filter(F.transform("pages", under), lambda ls: ls.isNotNull()))
-    return F.filter(F.transform(_let(pages, before_foot), cells), lambda r: (r["description"] != "") | (r["quantity_text"] != ""))
-
-
-def _signed(label: str, above: float = 70.0, under: float = 6.0) -> Column:
-    """``layout.signatures`` of the last page that has the label: null without one and on a scanned page."""
-    mine = F.filter("marks", lambda m: m["field"] == label)
-    page = F.array_max(F.transform(mine, lambda m: m["page"]))
-    over = lambda m, i: (i["page"] == m["page"]) & (i["x0"] < m["x1"]) & (i["x1"] > m["x0"]) & (i["bottom"] >= m["y0"] - above) & (i["bottom"] <= m["y0"] + under)
-    seen = lambda p: F.exists(F.filter(mine, lambda m: m["page"] == p), lambda m: F.exists(F.col("images"), lambda i: F.coalesce(over(m, i), F.lit(False))))
-    return F.when(page.isNotNull() & ~F.coalesce(F.array_contains("scanned", page), F.lit(False)), _let(page, seen))
-
-
 def form_documents(docs: DataFrame) -> DataFrame:
     """docs (doc, words: array of page, word_no, text, x0, x1, y0, y1; images: array of page, x0, x1, bottom; scanned: array of pages; edges: array of page, x) -> ``forms`` of them.
 
     A document is one row in every step, so its words are neither shuffled nor written.
     """
-    lined = lined_pages(docs.withColumn("words", F.filter("words", lambda w: w["text"].isNotNull())).where(F.size("words") > 0))
-    joined = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
-    said = lined.where(X.normalise(F.array_join(F.transform("lines", lambda l: joined(l["ws"])), " ")).rlike(IS_FORM))
-    said = said.withColumn("lines", F.transform("lines", lambda l: F.struct(l["page"].alias("page"), l["line_no"].alias("line_no"), l["ws"].alias("ws"), X.normalise(joined(l["ws"])).alias("said"))))
-    numbers = F.array_distinct(F.transform("lines", lambda l: l["page"]))
-    edges = lambda p: F.array_sort(F.array_distinct(F.transform(F.filter("edges", lambda e: (e["page"] == p) & e["x"].isNotNull()), lambda e: e["x"])))
-    paged = F.transform(numbers, lambda p: F.struct(p.alias("page"), F.filter("lines", lambda l: l["page"] == p).alias("lines"), edges(p).alias("edges")))
-    marks = F.flatten(F.transform(_labelled(SIGNED), lambda l: F.transform(_spans_of(l, SIGNED), lambda s: F.struct(l["page"].alias("page"), s["field"].alias("field"), s["x0"].alias("x0"), s["x1"].alias("x1"), s["y0"].alias("y0")))))
-    read = said.select("doc", "images", "scanned", _head_values().alias("head"), marks.alias("marks"), F.transform(paged, lambda p: F.struct(p["page"].alias("page"), p["lines"].alias("lines"), _columns_of(p).alias("titles"))).alias("pages"))
-    field = lambda n: F.coalesce(F.get(F.filter("head", lambda h: h["field"] == n), 0)["value"], F.lit(""))
+    from .form_documents import read_forms
+
     plain = lambda c: F.regexp_replace(c, "[^0-9A-Za-z-]", "")
-    out = read.select(
-        "doc", field("received_on").alias("received_on"), F.regexp_replace(field("supplier"), r"\s+", " ").alias("supplier"), plain(field("invoice")).alias("invoice"), plain(field("order_no")).alias("order_no"), field("entry_no").alias("entry_no"),
-        F.transform(_item_lines(), lambda r: N.form_quantity(r["quantity_text"])).alias("items"), *[_signed(s).alias(s) for s in SIGNED.values()])
+    read = read_forms(docs).select(
+        "doc", "head.received_on", F.regexp_replace("head.supplier", r"\s+", " ").alias("supplier"), plain(F.col("head.invoice")).alias("invoice"), plain(F.col("head.order_no")).alias("order_no"), "head.entry_no",
+        F.transform("items", lambda r: N.form_quantity(r["quantity_text"])).alias("items"), "signed.*")
     total = lambda qs: F.aggregate(qs, F.lit(None).cast("double"), lambda a, q: F.coalesce(a + q, a, q))
-    return out.select("doc", "received_on", "supplier", "invoice", "order_no", "entry_no", F.size("items").cast("long").alias("items"), total(F.col("items")).alias("quantity"), *SIGNED.values())
+    return read.select("doc", "received_on", "supplier", "invoice", "order_no", "entry_no", F.size("items").cast("long").alias("items"), total(F.col("items")).alias("quantity"), *SIGNED.values())
 
 
 def forms(words: DataFrame, images: DataFrame, scanned: DataFrame, edges: DataFrame | None = None) -> DataFrame:
