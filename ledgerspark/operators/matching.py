@@ -66,15 +66,22 @@ def party_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return met.where(X.same_party(F.col("a"), F.col("b")))
 
 
-def party_verdicts(left: DataFrame, right: DataFrame, on: str, parts: int = 16) -> DataFrame:
+def party_verdicts(left: DataFrame, right: DataFrame, on: str, parts: int = 32) -> DataFrame:
     """left (a, on) and right (b, on) -> a, b and same (whether the names are the same party) of all pairs that share on.
 
-    Words of a name are told once, not for each of its pairs. A value of on may have many rows, so the right rows of each are dealt into parts by their name and the left ones go to
-    all of them.
+    Words of a name are told once, not for each of its pairs, and so are bits of them: names without a common bit share no word. A value of on may have many rows, so the right rows of each are dealt
+    into parts by their name and the left ones go to all of them. Pairs are many more than rows, so both sides are dealt over all tasks, however few files hold them and however small
+    they are, and neither is broadcast.
     """
-    l = left.select(on, "a", X.name_words(F.col("a")).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    r = right.select(on, "b", X.name_words(F.col("b")).alias("y"), F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"))
-    return l.join(r, [on, "part"]).select("a", "b", X.shares_words(F.col("x"), F.col("y")).alias("same"))
+    spark = left.sparkSession
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))
+    worded = lambda df, c, words, mask: df.select(on, c, X.name_words(F.col(c)).alias(words)).withColumn(mask, bits(F.col(words)))
+    l = worded(left, "a", "x", "p").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = worded(right, "b", "y", "q").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+    met = l.repartition(tasks, on, "part").join(r.repartition(tasks, on, "part").hint("merge"), [on, "part"])
+    return met.select("a", "b", F.when(F.col("p").bitwiseAND(F.col("q")) == 0, False).otherwise(X.shares_words(F.col("x"), F.col("y"))).alias("same"))
 
 
 def best_evidence(evidence: DataFrame, least: int = 2) -> DataFrame:
