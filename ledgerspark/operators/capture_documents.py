@@ -10,6 +10,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import captures as C
 from .documents import nearest
-from .layout import TOLERANCE, numbered_words
+from .layout import TOLERANCE, _order, numbered_words
 
 NAN, INF = float("nan"), float("inf")
 #: Captures that are held as lists at once.
@@ -36,33 +37,45 @@ _LETTERS, _SHARE = re.compile(f"[^{''.join(sorted(set(''.join(C.LABELS))))}]+"),
 _LONGEST = max(map(len, C.LABELS)) * (2 - C.LIKE) / C.LIKE + 1e-9
 
 
-Fact = tuple[str, int, int, int, int]  # folded text, flags, its length, that without dots at its ends, and how many letters of labels it has
+Fact = tuple[str, int]  # folded text, flags
 DIGITS, MARKED = 1 << len(C.TITLES), 2 << len(C.TITLES)  # flags beside those of title words: three digits, and a word of the caption or the foot
 _BLOCK = DIGITS - 1
 
 
 def _folded(text: str) -> str:
     low = text.lower()
-    return _BLANKS.sub(" ", low if low.isascii() else low.translate(_FOLD))
+    low = low if low.isascii() else low.translate(_FOLD)
+    return low if "  " not in low and low.isprintable() else _BLANKS.sub(" ", low)
 
 
 def _liked(folded: str) -> str:
     return folded.replace("l", "i").replace("1", "i").replace("0", "o").replace("5", "s")
 
 
+_NOISE = ("cambiar", "ayuda", "necesitas")
+_SIGNS = re.compile("|".join([*_TITLES, *map(_liked, [*_NOISE, C.FOOT, _CAPTION])]))  # few texts have one of these
+
+
 @lru_cache(50_000)
 def fact(text: str | None) -> Fact | None:
     """What a word's text tells; None for a blank text and for noise of the screen."""
     if text is None or not text.strip(" "):
         return None
     folded = _folded(text)
-    shown = folded.strip(" .:").strip("?¿ ")
-    if shown in ("cambiar", "ayuda", "necesitas") or "necesitas ayuda" in shown:
-        return None
+    flags = DIGITS if _THREE.search(text) else 0
     like = _liked(folded)
-    flags = sum([1 << i for i, t in enumerate(_TITLES) if t in like])
-    flags |= (DIGITS if _THREE.search(text) else 0) | (MARKED if C.FOOT in folded or _CAPTION in folded else 0)
-    return folded, flags, len(folded), len(folded.strip(" .:")), len(_LETTERS.sub("", folded))
+    if _SIGNS.search(like):
+        shown = folded.strip(" .:").strip("?¿ ")
+        if shown in _NOISE or "necesitas ayuda" in shown:
+            return None
+        flags |= sum([1 << i for i, t in enumerate(_TITLES) if t in like]) | (MARKED if C.FOOT in folded or _CAPTION in folded else 0)
+    return folded, flags
+
+
+@lru_cache(50_000)
+def measured(folded: str) -> tuple[int, int, int]:
+    """A text's length, that without dots at its ends, and how many letters of labels it has."""
+    return len(folded), len(folded.strip(" .:")), len(_LETTERS.sub("", folded))
 
 
 _like = lru_cache(50_000)(lambda key: C.LABELS.get(nearest(key, list(C.LABELS), C.LIKE)))
@@ -74,7 +87,7 @@ def _field_of(key: str) -> str | None:
     return C.LABELS.get(key) or (_like(key) if near else None)
 
 
-Word = tuple[float, int, float, float, float, str, Fact, int]  # x0, number, x1, y0, y1, text, fact, runs that may be labels
+Word = tuple[float, int, float, float, float, str, Fact, int, int]  # x0, number, x1, y0, y1, text, fact, runs that may be labels, place from top to bottom, then left to right
 Line = tuple[int, list[Word]]  # flags of any word, words from left to right
 
 
@@ -110,6 +123,9 @@ def label_fields(words: list[Word]) -> list[tuple[str, float, float]]:
     return [(field, left - 12, starts[i] - 5 if i < len(starts) and starts[i] == starts[i] else end + C.REACH) for i, (field, left, end) in enumerate(taken)]
 
 
+_PLACE = itemgetter(8)
+
+
 def _first(v: float) -> float:
     return v if v == v else -INF
 
@@ -119,7 +135,7 @@ def _edge(v: float, other: float) -> float:
 
 
 def _by_place(words: list[Word]) -> str:
-    return words[0][5] if len(words) == 1 else " ".join([w[5] for w in sorted(words, key=lambda w: (_first(w[3]), _first(w[0]), w[1]))])
+    return words[0][5] if len(words) == 1 else " ".join([w[5] for w in sorted(words, key=_PLACE)])
 
 
 def head_values(lines: list[Line]) -> dict[str, str]:
@@ -170,41 +186,49 @@ def column_field(title: str) -> str:
     return next((field for word, field in X.COLUMN_WORDS.items() if says(word)), "")
 
 
-def columns_of(block: list[Word]) -> list[tuple[str, float, float]]:
+def columns_of(block: list[Word]) -> tuple[tuple[str, float, float], ...]:
     """``captures.title_columns`` of the words of one capture's titles: field, low, high from left to right."""
-    groups: list[tuple[float, float, list[Word]]] = []
+    return _columns(tuple([(w[0], w[2], w[5]) for w in sorted(block, key=_PLACE)]))
+
+
+@lru_cache(5_000)
+def _columns(words: tuple[tuple[float, float, str], ...]) -> tuple[tuple[str, float, float], ...]:
+    """Columns of titles (x0, x1, text) from top to bottom; captures of one screen have the same."""
+    low_of, high_of = (lambda a, b: a if b != b else b if a != a else min(a, b)), (lambda a, b: a if b != b else b if a != a else max(a, b))
+    groups: list[tuple[float, float, list[int]]] = []
     end = NAN
-    for w in sorted(block, key=lambda w: (_first(w[0]), _first(w[2]))):
-        if end != end or w[0] > end + 6.0:
-            groups.append((w[0], w[2], [w]))
+    for i in sorted(range(len(words)), key=lambda i: (_first(words[i][0]), _first(words[i][1]))):
+        x0, x1, _ = words[i]
+        if end != end or x0 > end + 6.0:
+            groups.append((x0, x1, [i]))
         else:
-            left, right, ws = groups[-1]
-            groups[-1] = (w[0] if left != left else min(left, w[0]) if w[0] == w[0] else left, w[2] if right != right else max(right, w[2]) if w[2] == w[2] else right, [*ws, w])
-        end = w[2] if end != end else max(end, w[2]) if w[2] == w[2] else end
-    groups = [(left, right, inside) for left, right, ws in groups if (inside := [w for w in ws if w[0] >= left and w[2] <= right])]
+            left, right, own = groups[-1]
+            groups[-1] = (low_of(left, x0), high_of(right, x1), [*own, i])
+        end = high_of(end, x1)
+    groups = [(left, right, inside) for left, right, own in groups if (inside := sorted(i for i in own if words[i][0] >= left and words[i][1] <= right))]
     out = []
-    for i, (left, right, ws) in enumerate(groups):
-        title = _folded(_by_place(ws)).strip(" .:")
-        low, high = (groups[i - 1][1] + left) / 2 if i else -INF, (right + groups[i + 1][0]) / 2 if i + 1 < len(groups) else INF
+    for k, (left, right, own) in enumerate(groups):
+        title = _folded(" ".join([words[i][2] for i in own])).strip(" .:")
+        low, high = (groups[k - 1][1] + left) / 2 if k else -INF, (right + groups[k + 1][0]) / 2 if k + 1 < len(groups) else INF
         out.append((column_field(title) or title, low, high))
-    return out
+    return tuple(out)
 
 
 Row = tuple[int, str, str, str, str, str, str, str]  # row, FIELDS, said
 
 
-def titled_rows(lines: list[Line], said: dict[int, str], last: int, columns: list[tuple[str, float, float]]) -> list[Row]:
+def titled_rows(lines: list[Line], said: dict[int, str], last: int, columns: tuple[tuple[str, float, float], ...]) -> list[Row]:
     """``captures.titled_rows`` of one capture."""
     value = next((k for k, c in enumerate(columns) if c[0] == "value"), None)
     if value is None:
         return []
-    top = lambda i: min([w[3] for w in lines[i][1] if w[3] == w[3]], default=NAN)
     bottom = lambda i: max([w[4] for w in lines[i][1] if w[4] == w[4]], default=NAN)
     foot = next((i for i, s in said.items() if i > last and C.FOOT in s), len(lines))
     lows, body, anchors = [low for _, low, _ in columns], [], []
     for i in range(last + 1, foot):
-        celled, middle = [], (top(i) + bottom(i)) / 2
-        for w in lines[i][1]:
+        ws = lines[i][1]
+        celled, middle = [], (min([w[3] for w in ws if w[3] == w[3]], default=NAN) + bottom(i)) / 2
+        for w in ws:
             centre = (w[0] + w[2]) / 2
             k = bisect_right(lows, centre) - 1  # columns meet, so one takes the word
             if k >= 0 and lows[k] <= centre < columns[k][2]:
@@ -235,7 +259,7 @@ def untitled_rows(lines: list[Line], start: int) -> list[Row]:
     """``captures.untitled_rows`` of one capture; the payee is all of the text where the name stands."""
     words = sorted((((w[3] + w[4]) / 2, i, w) for i, (_, ws) in enumerate(lines) if start == 0 or i > start for w in ws), key=lambda x: (_first(x[0]), x[1], _first(x[2][0]), x[2][1]))
     amounts = [(c, w) for c, _, w in words if _AMOUNT.search(w[5]) and _DIGIT.search(w[5])]
-    placed = lambda ws: sorted(ws, key=lambda w: (_first(w[3]), _first(w[0]), w[1]))
+    placed = lambda ws: sorted(ws, key=_PLACE)
     text = lambda ws: " ".join([w[5] for w in ws])
     halves = [(a + b) / 2 for (a, _), (b, _) in zip(amounts, amounts[1:])]
     out = []
@@ -285,24 +309,26 @@ def _captures(words: pa.ListArray, heads: bool) -> list[list[Line]]:
     order, line, number = numbered_words(table, doc, TOLERANCE)
     doc, table, place = doc[order], table.take(pa.array(order)).combine_chunks(), place[order].tolist()
     texts, facts = [texts[i] for i in place], [facts[i] for i in place]
-    flags, *sizes = np.array([f[1:] for f in facts], np.int64).reshape(-1, 4).T
+    flags = np.array([f[1] for f in facts], np.int64)
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])][:len(doc)])
     starts, stops = first.tolist(), np.append(first[1:], len(doc))
-    runs = label_runs(*sizes, np.repeat(stops, stops - first) - np.arange(len(doc))) if heads else [0] * len(doc)
-    each = list(zip(_plain(table["x0"]), number.tolist(), *(_plain(table[c]) for c in ("x1", "y0", "y1")), texts, facts, runs))
+    runs = label_runs(*np.array([measured(f[0]) for f in facts], np.int64).T, np.repeat(stops, stops - first) - np.arange(len(doc))) if heads else [0] * len(doc)
+    place = np.empty(len(doc), np.int64)
+    place[np.lexsort([number, *_order(table["x0"]), *_order(table["y0"]), doc])] = np.arange(len(doc))
+    each = list(zip(_plain(table["x0"]), number.tolist(), *(_plain(table[c]) for c in ("x1", "y0", "y1")), texts, facts, runs, place.tolist()))
     flags = np.bitwise_or.reduceat(flags, first).tolist()
     lines = [(g, each[a:b]) for g, a, b in zip(flags, starts, stops.tolist())]
     ends = np.searchsorted(doc[first], np.arange(len(size) + 1)).tolist()
     return [lines[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _read(lines: list[Line], heads: bool, rows: bool) -> tuple:
+def _read(lines: list[Line], heads: bool, rows: bool, kinds: tuple[bool, ...]) -> tuple:
     said = {i: _BLANKS.sub(" ", " ".join([w[6][0] for w in ws])).strip(" .:") for i, (flags, ws) in enumerate(lines) if flags & MARKED}
     declared = next((int(m[1]) for s in said.values() if (m := _DECLARED.search(s)) and int(m[1]) < 2 ** 63), 0)
     head = head_values(lines) if heads else {}
     start, first, last = table_place(lines, said)
-    columns = columns_of([w for _, ws in lines[first:last + 1] for w in ws]) if first is not None else []
-    found = [] if not rows else untitled_rows(lines, start) if first is None else titled_rows(lines, said, last, columns)
+    columns = columns_of([w for _, ws in lines[first:last + 1] for w in ws]) if first is not None else ()
+    found = [] if not rows or (first is not None) not in kinds else untitled_rows(lines, start) if first is None else titled_rows(lines, said, last, columns)
     return len(lines), declared, [head.get(f, "") for f in C.LABELS.values()], first is not None, columns, found
 
 
@@ -314,11 +340,11 @@ def stacked_words(words: Column, heights: Column) -> Column:
     return F.when(F.size(heights) > 0, F.transform(words, moved)).otherwise(words)
 
 
-def read_captures(docs: DataFrame, heads: bool = True, rows: bool = True) -> DataFrame:
+def read_captures(docs: DataFrame, heads: bool = True, rows: bool = True, kinds: tuple[bool, ...] = (True, False)) -> DataFrame:
     """docs (words: array of page, word_no, text, x0, x1, y0, y1; heights: array of page, height of pages that stand below each other; more columns) -> the other columns, lines (their number), declared,
     head (a field for each label), titled, columns (field, low, high) and rows (row, FIELDS, said).
 
-    heads and rows tell what is looked for; what isn't is blank.
+    heads and rows tell what is looked for, kinds whether rows of tables with titles (True) or without; what isn't is blank.
     """
     types = {f.name: f.dataType.simpleString() for f in docs.schema if f.name not in ("words", "heights")}
 
@@ -328,7 +354,7 @@ def read_captures(docs: DataFrame, heads: bool = True, rows: bool = True) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                read = [_read(lines, heads, rows) for lines in _captures(part.column("words"), heads)]
+                read = [_read(lines, heads, rows, kinds) for lines in _captures(part.column("words"), heads)]
                 size, declared, head, titled, columns, found = map(list, zip(*read))
                 fields = pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in zip(*head)], list(C.LABELS.values()))
                 out = [pa.array(size, pa.int32()), pa.array(declared, pa.int64()), fields, pa.array(titled), _lists(columns, column), _lists(found, row)]

@@ -106,11 +106,11 @@ def columnas_portal(spark, d):
 
 
 def filas_con_titulos(spark, d):
-    return R.rows_of(_read(spark, d, heads=False).where("titled"), "doc").where("row IS NOT NULL").select("doc", "row", "payee", "document", "account", "value", "kind", "reference")
+    return R.rows_of(_read(spark, d, heads=False, kinds=(True,)).where("titled"), "doc").where("row IS NOT NULL").select("doc", "row", "payee", "document", "account", "value", "kind", "reference")
 
 
 def filas_sin_titulos(spark, d):
-    return R.rows_of(_read(spark, d, heads=False).where("NOT titled"), "doc").where("row IS NOT NULL").select("doc", "row", "payee", "document", "account", "value", "reference")
+    return R.rows_of(_read(spark, d, heads=False, kinds=(False,)).where("NOT titled"), "doc").where("row IS NOT NULL").select("doc", "row", "payee", "document", "account", "value", "reference")
 
 
 def lote_banco(spark, d):
