@@ -19,13 +19,20 @@ c = F.col
 NAMES = ["Aceros del Rio", "Lopez y Ortega", "Hilos de la Sierra", "Ferretería Ñandú", "Vidrios O'Brien & Co"]
 PLAIN_NAMES = ["Aceros Rio", "Lopez y Ortega", "Hilos Sierra", "Ferretería Ñandú", "Vidrios O'Brien Co"]
 BREAK = 180.0
-_WORDS = "array<struct<text: string, x0: double, x1: double, y0: double, y1: double>>"
+_WORDS = "array<struct<page: int, word_no: int, text: string, x0: double, x1: double, y0: double, y1: double>>"
 
 
 def _box(text, x0, x1, y, when=None):
+    """A word of a capture by its number. Captures that are cut have what stands below the break on a second page."""
     at = F.lit(float(y)) if isinstance(y, (int, float)) else y.cast("double")
-    word = F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), at.alias("y0"), (at + 10).alias("y1"))
-    return word if when is None else F.when(when, word)
+    below = (c("b") % 7 == 3) & (c("cap") == 0) & (at >= BREAK)
+    top = at - F.when(below, BREAK).otherwise(0.0)
+
+    def word(word_no):
+        made = F.struct(F.when(below, 2).otherwise(1).alias("page"), word_no.cast("int").alias("word_no"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), top.alias("y0"), (top + 10).alias("y1"))
+        return made if when is None else F.when(when, made)
+
+    return word
 
 
 def _apart(text, x0, y, when):
@@ -74,21 +81,18 @@ def _captures(spark, d):
     row = [
         _box("Abono a cuenta", 40, 120, y), _box(name, 150, 300, y, ~moved), _box(name, 40, 110, y + 13, moved), _box(dotted, 330, 400, y, known), _box(F.concat(F.lit("47 - "), F.lpad(o.cast("string"), 8, "0"), F.lit(" - 1")), 470, 560, y, known),
         _box("Cuenta de ahorro", 470, 540, y + 13, known), _box(amount, 620, 700, y), _box(F.concat(F.lit("F "), (o + 100000).cast("string"), F.lit(" "), (o + 200000).cast("string")), 800, 880, y)]
-    listed = lambda words: F.array_compact(F.array(*words))
-    paid = shown.groupBy("b", "cap").agg(F.sort_array(F.collect_list(F.struct("pos", listed(row).alias("ws")))).alias("paid"), F.max("n").alias("n"), F.max("total").alias("total"))
+    listed = lambda words, base=F.lit(0): F.array_compact(F.array(*[w(base + k) for k, w in enumerate(words)]))
+    paid = shown.groupBy("b", "cap").agg(F.sort_array(F.collect_list(F.struct("pos", listed(row, 1000 + 100 * c("pos")).alias("ws")))).alias("paid"), F.max("n").alias("n"), F.max("total").alias("total"))
     above = F.when(c("cap") == 0, listed(head)).when(b % 2 == 1, listed(titles(10)))
     whole = F.concat(F.coalesce(above, F.array().cast(_WORDS)), F.flatten(c("paid")["ws"]))
     cut = (b % 7 == 3) & (c("cap") == 0)  # these captures have two pages
-    said = lambda page, top: F.transform("whole", lambda w, k: F.struct(page(w).alias("page"), k.alias("word_no"), w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), (w["y0"] - top(w)).alias("y0"), (w["y1"] - top(w)).alias("y1")))
-    under = lambda w: w["y0"] >= BREAK
-    words = F.when(cut, said(lambda w: F.when(under(w), 2).otherwise(1), lambda w: F.when(under(w), BREAK).otherwise(0.0))).otherwise(said(lambda w: F.lit(1), lambda w: F.lit(0.0)))
     height = lambda page: F.struct(F.lit(page).alias("page"), F.lit(BREAK).alias("height"))
     none = F.array().cast("array<struct<page: int, height: double>>")
-    real = paid.select("b", "cap", whole.alias("whole")).select(
+    real = paid.select(
         b.cast("string").alias("batch"), _doc(c("cap")).alias("doc"), F.when((b / 2).cast("int") % 3 == 0, 1000 - c("cap")).otherwise(c("cap")).alias("arrival"), F.concat(F.lit("captura "), (c("cap") + 1).cast("string")).alias("name"),
-        words.alias("words"), F.when(cut, F.array(height(1), height(2))).otherwise(none).alias("heights"))
-    blank = table(spark, d, "customer").where("c_custkey % 11 = 0").select(c("c_custkey").alias("b"), F.array(_box("¿Necesitas ayuda?", 700, 780, 300)).alias("whole"))
-    return real.unionByName(blank.select(b.cast("string").alias("batch"), _doc(F.lit("x")).alias("doc"), F.lit(2000).alias("arrival"), F.lit("captura x").alias("name"), said(lambda w: F.lit(1), lambda w: F.lit(0.0)).alias("words"), none.alias("heights")))
+        whole.alias("words"), F.when(cut, F.array(height(1), height(2))).otherwise(none).alias("heights"))
+    blank = table(spark, d, "customer").where("c_custkey % 11 = 0").select(c("c_custkey").alias("b"), F.lit(1).alias("cap"))
+    return real.unionByName(blank.select(b.cast("string").alias("batch"), _doc(F.lit("x")).alias("doc"), F.lit(2000).alias("arrival"), F.lit("captura x").alias("name"), listed([_box("¿Necesitas ayuda?", 700, 780, 300)]).alias("words"), none.alias("heights")))
 
 
 def _read(spark, d, **parts):
